@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, licenses, secrets, simhash
+from . import decontaminate, exact_dedup, licenses, mixing, secrets, simhash
 from .common import table
 
 
@@ -26,8 +26,16 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op3_simhash, op5_secret_scan, op6_license_scan)
+    f.__name__: f for f in (op2_exact_dedup, op3_simhash, op5_secret_scan, op6_license_scan, op8_decontaminate, op9_mix_sources)
 }
 
 ORACLES: dict[str, str] = {}
