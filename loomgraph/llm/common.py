@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import drop_staged, shared_dir, split_join, staged, staging_path
+
+__all__ = ["LOWER", "UPPER", "WORD_BYTES", "drop_staged", "lower_ascii", "shared_dir", "split_join", "staged", "staging_path", "table"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: bytes.translate table: A-Z to a-z, other non-alphanumeric ASCII to a blank.
@@ -20,45 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set."""
-    if d := spark.conf.get("spark.checkpoint.dir", None):
-        return d.rstrip("/")
-    if not (d := spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-"))
-        d = spark.sparkContext.getCheckpointDir()
-    return d.rstrip("/")
-
-
-def staging_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loomgraph-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back: its lineage ends there, so a lost
-    executor costs the retry of one stage, and its real size is known to the planner."""
-    spark, path = df.sparkSession, staging_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_staged(spark: SparkSession) -> None:
-    """Remove what staged() has written in this application. Results read from it must have been used before."""
-    jvm, path = spark._jvm, f"{shared_dir(spark)}/loomgraph-{spark.sparkContext.applicationId}"
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def split_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join that adaptive execution can split where a key is hot.
-
-    right is often an aggregate that is already partitioned by ``on``; joining on a hash of the key beside the
-    key makes Spark exchange both sides, and only joins of two plain exchanges are split by skew."""
-    k = "_split_key"
-    out = left.withColumn(k, F.xxhash64(*on)).join(right.withColumn(k, F.xxhash64(*on)), [k, *on], how)
-    return out.drop(k)
-
-
 def lower_ascii(c):
     """A-Z to a-z and nothing else."""
     return F.translate(c, UPPER, LOWER)
