@@ -38,7 +38,7 @@ def _load() -> None:
         importlib.import_module(f"loomgraph.plans.{module}")
 
 
-MODULES: tuple[str, ...] = ("q_listing", "q_search")
+MODULES: tuple[str, ...] = ("q_listing", "q_search", "q_graph")
 
 
 def queries() -> dict[str, Query]:
