@@ -74,8 +74,8 @@ class OrdinalModel:
 
 
 def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int = 200, batch: int = 1024, rate: float = 0.3, l1: float = 1e-4, screen: float = 3.0, seed: int = 5) -> OrdinalModel:
-    """Mini-batch AdaGrad on the log-likelihood with an L1 penalty. Features whose rows' mean grade is within
-    ``screen`` standard errors of the mean of all keep weight 0: a long text is then not the sum of many small
+    """Mini-batch AdaGrad on the log-likelihood with an L1 penalty. Features whose rows reach each grade as often as
+    all rows do, within ``screen`` standard errors, keep weight 0: a long text is then not the sum of many small
     errors. Without rows every grade is equally likely."""
     base = np.arange(1, n_grades, dtype=float) / n_grades
     m = OrdinalModel(np.zeros(1 << BITS), np.log(base / (1 - base)))
@@ -85,9 +85,12 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, epoch
     thresholds = np.maximum.accumulate(np.log(share / (1 - share)) + 1e-3 * np.arange(n_grades - 1))
     of = np.concatenate(rows)
     n = np.maximum(np.bincount(of, minlength=1 << BITS), 1)
-    mean = np.bincount(of, np.repeat(grades, [len(r) for r in rows]), 1 << BITS) / n
-    tells = np.abs(mean - grades.mean()) * np.sqrt(n) > screen * max(grades.std(), 1e-9)
-    chosen = np.flatnonzero(tells)  # the weights fitted, and one more for rows that have none of them
+    tells = np.zeros(1 << BITS, bool)
+    for k in range(1, n_grades):
+        high = (grades >= k).astype(float)
+        rate_with = np.bincount(of, np.repeat(high, [len(r) for r in rows]), 1 << BITS) / n
+        tells |= np.abs(rate_with - high.mean()) * np.sqrt(n) > screen * max(high.std(), 1e-9)
+    chosen = np.flatnonzero(tells)  # the weights fitted, and a zero for rows that have none of them
     rows = [np.searchsorted(chosen, r[tells[r]]) if tells[r].any() else np.array([len(chosen)]) for r in rows]
     fitted = OrdinalModel(np.zeros(len(chosen) + 1), thresholds)
     sizes = np.array([len(r) for r in rows])
@@ -112,6 +115,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, epoch
             step = rate / np.sqrt(w2)
             w = fitted.weights - step * g
             fitted.weights = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
+            fitted.weights[-1] = 0.0  # rows without a chosen feature are scored by the thresholds alone
             fitted.thresholds = np.maximum.accumulate(fitted.thresholds - rate * gt / np.sqrt(t2) + 1e-9 * np.arange(n_grades - 1))
     m.weights[chosen], m.thresholds = fitted.weights[:-1], fitted.thresholds
     return m
@@ -140,25 +144,29 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, max_rows: int =
     return fit_ordinal([lists[i].values.to_numpy() for i in order], np.array([rows.column("grade")[i].as_py() for i in order], int), n_grades)
 
 
-def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, expected_grade, tails (P(grade >= 1), P(grade >= 2), ...).
+def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: id, the columns to carry, expected_grade and tails (P(grade >= 1), P(grade >= 2), ...).
 
     Null and empty texts are scored by their style alone; repeated rows give repeated rows, an empty table none;
     other columns are not read."""
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("expected_grade", T.DoubleType()), T.StructField("tails", T.ArrayType(T.DoubleType()))])
+    given = [id_col, *(c for c in carry if c != id_col)]
+    scores = [T.StructField("expected_grade", T.DoubleType()), T.StructField("tails", T.ArrayType(T.DoubleType()))]
+    schema = T.StructType([*docs.select(*given).schema.fields, *scores])
+    columns = given if text_col in given else [*given, text_col]
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))  # 2^BITS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = OrdinalModel(*shared.value)
         for b in batches:
-            rows = [features(t.as_py()) for t in b.column(1).cast(pa.binary())]
+            rows = [features(t.as_py()) for t in b.column(columns.index(text_col)).cast(pa.binary())]
             if rows:
                 sizes = np.array([len(r) for r in rows])
                 tails = m.tails(m.score(np.concatenate(rows), np.cumsum(sizes) - sizes).astype(float))
                 at = pa.array(np.arange(len(rows) + 1) * tails.shape[1], pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tails.sum(axis=1)), pa.ListArray.from_arrays(at, pa.array(tails.ravel()))], names=schema.names)
+                out = [pa.array(tails.sum(axis=1)), pa.ListArray.from_arrays(at, pa.array(tails.ravel()))]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(given)], *out], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(run, schema)
 
 
 def grades_of(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -171,3 +179,11 @@ def quality_report(docs: DataFrame, ratings: DataFrame, least: float = 0.5, max_
     model = fit(docs, ratings, 3, max_rows, id_col, text_col)
     top = F.element_at("tails", -1)
     return score(docs, model, id_col, text_col).select(id_col, "expected_grade", top.alias("p_top"), (top >= least).alias("kept"))
+
+
+def select_quality(docs: DataFrame, ratings: DataFrame, least: float = 0.5, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that quality_report keeps, with their columns, in one pass and without a shuffle."""
+    model = fit(docs, ratings, 3, max_rows, id_col, text_col)
+    own = {c: f"_{k}" for k, c in enumerate(docs.columns)}  # whatever the columns are called
+    scored = score(docs.withColumnsRenamed(own), model, own[id_col], own[text_col], tuple(own.values()))
+    return scored.where(F.element_at("tails", -1) >= least).select(*[F.col(v).alias(c) for c, v in own.items()])
