@@ -200,9 +200,10 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     single range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches))  # the index lines of one range
-        if not t.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        t = pa.Table.from_batches(held)  # the index lines of one range
         t = t.sort_by([("run", "ascending"), ("seq", "ascending")])
         keys = list(zip(*([("" if x is None else x) for x in t.column(c).to_pylist()] for c in ("url_key", "date", "id")), range(t.num_rows)))
         names, slices = t.column("run").to_pylist(), []
