@@ -20,13 +20,15 @@ NEAR = {"width": 5, "words": 4, "radius": 16, "total": 50, "ratio": 0.8}
 
 
 def without(docs: DataFrame, dropped: DataFrame, on: str = "doc_id") -> DataFrame:
-    """docs but those whose id is in dropped; documents without an id stay."""
-    return docs.join(dropped.select(on).distinct(), on, "left_anti").select(*docs.columns)
+    """docs but those whose id is in dropped; documents without an id stay.
+
+    A merge join whatever the sizes: what is dropped grows with the corpus, so it is never broadcast."""
+    return docs.join(dropped.select(on).hint("merge"), on, "left_anti").select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ratings = quality.grades_of(table(spark, sf_dir, "labels"))
-    return without(docs, staged(quality.quality_report(docs, ratings, LEAST_QUALITY).where("not kept"), "rejected"))
+    return quality.select_quality(docs, ratings, LEAST_QUALITY)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = staged(mixing.mix(docs).where("taken > 0").select("doc_id", "size", "source_size", "target", "taken"), "mix")
-    return docs.join(mixed, "doc_id")
+    return docs.drop(*mixed.columns[1:]).join(mixed.hint("merge"), "doc_id")
 
 
 STAGES = [
