@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import names as N
 from ..functions.vectors import concept_hash, dot
-from ..staging import split_join
+from ..staging import split_join, staged
 from .components import components
 from .vectors import knn
 
@@ -59,8 +58,8 @@ def get_or_create(candidates: DataFrame, engrams: DataFrame, vectors: DataFrame,
 
     Unmatched candidates that share an alias key, sign bits or a cosine of ``least`` become one new concept, named
     by the earliest; so a chain of near duplicates is one concept, where taking them one by one may give more."""
-    found = match(candidates, engrams, vectors, least=least, **options)
-    rest = candidates.join(found.where("reason = 'none'").select("cand"), "cand", "left_semi")
+    found = staged(match(candidates, engrams, vectors, least=least, **options), "matches")
+    rest = staged(candidates.join(found.where("reason = 'none'").select("cand"), "cand", "left_semi"), "unmatched")
     keys = rest.select("cand", F.explode(N.alias_keys(F.col("name"), index=True)).alias("key"))
     keys = keys.unionByName(rest.select("cand", concept_hash(F.col("embedding")).alias("key")))
     first = keys.groupBy("key").agg(F.min("cand").alias("v"))
@@ -119,7 +118,7 @@ def merge_families(engrams: DataFrame, vectors: DataFrame, least: float = 0.65)
     A family whose alias-linked members with vectors have a pair below ``least`` is left alone; one without such
     pairs is merged. Members are joined through the least id of each key, so a key that many share adds one edge
     each; pairs are compared only where both have vectors."""
-    index = alias_index(engrams).select("engram_id", "alias_key")
+    index = staged(alias_index(engrams).select("engram_id", "alias_key"), "alias-index")
     first = index.groupBy("alias_key").agg(F.min("engram_id").alias("v"))
     edges = split_join(index, first, ["alias_key"]).select(F.col("engram_id").alias("u"), "v").where("u <> v")
     roots = components(edges)
@@ -132,7 +131,7 @@ def merge_families(engrams: DataFrame, vectors: DataFrame, least: float = 0.65)
     worst = cosines.groupBy("root").agg(F.round(F.min("cosine"), 4).alias("min_cosine"))
     ranked = stars.join(engrams, "id").groupBy("root").agg(F.min(survivor_rank()).alias("best"), F.count(F.lit(1)).alias("family_size"))
     good = ranked.join(worst, "root", "left").where(F.col("min_cosine").isNull() | (F.col("min_cosine") >= least))
-    return split_join(stars, good, ["root"]).select("id", F.col("best.id").alias("survivor"), "family_size", "min_cosine")
+    return staged(split_join(stars, good, ["root"]).select("id", F.col("best.id").alias("survivor"), "family_size", "min_cosine"), "families")
 
 
 def rewrite_edges(edges: DataFrame, mapping: DataFrame) -> DataFrame:
