@@ -38,7 +38,7 @@ def _load() -> None:
         importlib.import_module(f"loomgraph.plans.{module}")
 
 
-MODULES: tuple[str, ...] = ("q_listing", "q_search", "q_graph", "q_resolve")
+MODULES: tuple[str, ...] = ("q_listing", "q_search", "q_graph", "q_resolve", "q_text")
 
 
 def queries() -> dict[str, Query]:
