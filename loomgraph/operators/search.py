@@ -32,30 +32,35 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def _occurrences(words: Column, phrase: list[str]) -> Column:
-    """How often a phrase's tokens stand in a row."""
-    if len(phrase) == 1:
-        return F.size(F.filter(words, lambda w: w == phrase[0]))
-    first = F.filter(F.transform(words, lambda w, i: F.when(w == phrase[0], i + 1)), lambda i: i.isNotNull())
-    return F.size(F.filter(first, lambda i: F.slice(words, i, len(phrase)) == F.array(*map(F.lit, phrase))))
+TOKEN = r"[0-9A-Za-zÀ-ÖØ-öø-ÿ\p{L}\p{N}]"
+
+
+def _pattern(phrase: list[str]) -> str:
+    """A regex for a phrase of folded tokens in raw text: either case, with or without marks, whole tokens."""
+
+    def letter(c: str) -> str:
+        same = {c, c.upper()} | {x for m, q in zip(MARKED, PLAIN) if q == c for x in (m, m.upper())}
+        return "[" + "".join(sorted(x for x in same if len(x) == 1)) + "]"
+
+    first, *rest = ["".join(map(letter, t)) for t in phrase]
+    after = "".join(rf"[^\p{{L}}\p{{N}}]+{t}" for t in rest)
+    return rf"(?<!{TOKEN}){first}(?!{TOKEN})" + (rf"(?={after}(?!{TOKEN}))" if rest else "")
 
 
 def keyword_search(docs: DataFrame, query: str, columns: tuple[str, ...] = ("title", "text", "annotation"), limit: int | None = 20, id_col: str = "id") -> DataFrame:
     """(id, score): documents that hold every phrase of the query, by BM25 over all columns together.
 
-    Each document's tokens stay in its row: two passes of one scan, the first for the corpus totals (one row), so
-    no posting is shuffled. A phrase that repeats counts again; a query without phrases gives no rows.
+    Tokens are counted in the raw text, which folding letter by letter leaves in the same places: two passes of one
+    scan, the first for the corpus totals (one row), so no posting is shuffled. A phrase that repeats counts again; a query without phrases gives no rows.
     """
     folded = [re.findall(r"[^\W_]+", p.lower().translate(str.maketrans(MARKED, PLAIN))) for p in query_phrases(query)]
     folded = [p for p in folded if p]
     if not folded:
         return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
-    per_column = [docs.select(id_col, tokens(F.col(c)).alias(f"w{i}")) for i, c in enumerate(columns)] if len(columns) == 1 else None
-    words = per_column[0] if per_column else docs.select(id_col, *[tokens(F.col(c)).alias(f"w{i}") for i, c in enumerate(columns)])
-    n = [f"w{i}" for i in range(len(columns))]
-    length = sum((F.size(c) for c in n[1:]), F.size(n[0]))
-    tf = [sum((_occurrences(F.col(c), p) for c in n[1:]), _occurrences(F.col(n[0]), p)) for p in folded]
-    counted = words.select(F.col(id_col).alias("id"), length.cast("double").alias("len"), *[t.cast("double").alias(f"tf{k}") for k, t in enumerate(tf)])
+    n = [F.coalesce(F.col(c), F.lit("")) for c in columns]
+    total_of = lambda pattern: sum((F.regexp_count(c, F.lit(pattern)) for c in n[1:]), F.regexp_count(n[0], F.lit(pattern)))
+    tf = [total_of(_pattern(p)) for p in folded]
+    counted = docs.select(F.col(id_col).alias("id"), total_of(TOKEN + "+").cast("double").alias("len"), *[t.cast("double").alias(f"tf{k}") for k, t in enumerate(tf)])
     k = range(len(folded))
     total = counted.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("avglen"), *[F.sum((F.col(f"tf{i}") > 0).cast("double")).alias(f"df{i}") for i in k])
     raw = [F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) for i in k]
