@@ -1,9 +1,10 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
 P(grade <= k) is the logistic of threshold k minus one score, the sum of hashed text weights that all grades
-share. Thresholds are ordered. A document's features are its distinct lower-cased words, hashed, and its style in
-steps (length, shares of capitals, digits, marks and repeated words), so one rude word in a long text counts as
-much as in a short one. The model gives an expected grade and, for selection, the probability of a grade or more.
+share. Thresholds are ordered. A document's features are its distinct lower-cased words and their stems (first
+bytes of longer words, so that an inflected word is known by its beginning), hashed, and its style in steps (length,
+shares of capitals, digits, marks and repeated words), so one rude word in a long text counts as much as in a short
+one. The model gives an expected grade and, for selection, the probability of a grade or more.
 
 It is fitted on at most ``max_rows`` rated rows, those of least hashed id, whose features the driver holds;
 everything is scored with it.
@@ -24,6 +25,7 @@ from pyspark.sql import types as T
 from .common import WORD_BYTES
 
 BITS = 20
+STEMS = (4, 5, 6)  # bytes
 
 
 def features(text: bytes | None) -> np.ndarray:
@@ -44,7 +46,10 @@ def features(text: bytes | None) -> np.ndarray:
         f"word length {min(int(len(text) / max(len(words), 1)), 20)}",
         f"most repeated {_top_share(words)}",
     }
-    hashed = {zlib.crc32(w) & ((1 << BITS) - 1) for w in kinds} | {zlib.crc32(b"\0" + s.encode()) & ((1 << BITS) - 1) for s in style}
+    stems = {w[:n] for n in STEMS for w in kinds if len(w) > n}
+    hashed = {zlib.crc32(w) & ((1 << BITS) - 1) for w in kinds}
+    hashed |= {zlib.crc32(b"\1" + w) & ((1 << BITS) - 1) for w in stems}
+    hashed |= {zlib.crc32(b"\0" + s.encode()) & ((1 << BITS) - 1) for s in style}
     return np.sort(np.fromiter(hashed, np.int32, len(hashed)))
 
 
@@ -140,7 +145,7 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, max_rows: int =
     sample = rated.orderBy(F.xxhash64(id_col), id_col, "grade").limit(max_rows)  # at most max_rows ids, so it may be broadcast
     rows = _features_of(docs.join(F.broadcast(sample), id_col), ["grade"], text_col).toArrow()
     lists = rows.column("features").combine_chunks()
-    order = sorted(range(len(lists)), key=lambda i: (rows.column("grade")[i].as_py(), lists[i].values.to_pylist()[:8]))
+    order = sorted(range(len(lists)), key=lambda i: (rows.column("grade")[i].as_py(), lists[i].values[:8].to_pylist()))
     return fit_ordinal([lists[i].values.to_numpy() for i in order], np.array([rows.column("grade")[i].as_py() for i in order], int), n_grades)
 
 
