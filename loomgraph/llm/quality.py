@@ -6,8 +6,8 @@ bytes of longer words, so that an inflected word is known by its beginning), has
 shares of capitals, digits, marks and repeated words), so one rude word in a long text counts as much as in a short
 one. The model gives an expected grade and, for selection, the probability of a grade or more.
 
-It is fitted on at most ``max_rows`` rated rows, those of least hashed id, whose features the driver holds;
-everything is scored with it.
+It is fitted on at most ``max_rows`` rated rows, those of least hashed id; Spark counts their features, the
+driver holds those that tell grades apart, and everything is scored with the model.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BYTES
+from .common import WORD_BYTES, staged
 
 BITS = 20
 STEMS = (4, 5, 6)  # bytes
@@ -139,14 +139,44 @@ def _features_of(docs: DataFrame, columns: list[str], text_col: str) -> DataFram
     return docs.select(*columns, text_col).mapInArrow(run, schema)
 
 
+def telling(rated: DataFrame, n_grades: int, screen: float = 3.0) -> np.ndarray:
+    """Numbers of the features that fit_ordinal's screen passes, counted by Spark over rated (grade, features)."""
+    totals = {r.grade: r["count"] for r in rated.groupBy("grade").count().collect()}  # a row a grade
+    every = sum(totals.values())
+    kinds = rated.select("grade", F.explode("features").alias("feature")).groupBy("feature")
+    counts = kinds.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("grade") >= k).alias(f"n{k}") for k in range(1, n_grades)])
+    passed = F.lit(False)
+    for k in range(1, n_grades):
+        mean = sum(n for g, n in totals.items() if g >= k) / max(every, 1)
+        passed |= F.abs(F.col(f"n{k}") / F.col("n") - mean) * F.sqrt("n") > screen * max((mean * (1 - mean)) ** 0.5, 1e-9)
+    return counts.where(passed).select("feature").toArrow().column(0).to_numpy()
+
+
+def only(rated: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """rated (grade, features) with the chosen features only."""
+    mask = np.zeros(1 << BITS, bool)
+    mask[chosen] = True
+    shared = rated.sparkSession.sparkContext.broadcast(mask)  # 2^BITS bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [x.values.to_numpy() for x in b.column(1)]
+            kept = [r[shared.value[r]].tolist() for r in lists]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.list_(pa.int32()))], names=["grade", "features"])
+
+    return rated.select("grade", "features").mapInArrow(run, rated.select("grade", "features").schema)
+
+
 def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """Fit on ratings (id, grade from 0) of documents. Null ids, and grades that are null or out of range, are left out."""
     rated = ratings.select(F.col(id_col), F.col("grade").cast("int").alias("grade")).where(F.col(id_col).isNotNull() & F.col("grade").between(0, n_grades - 1))
     sample = rated.orderBy(F.xxhash64(id_col), id_col, "grade").limit(max_rows)  # at most max_rows ids, so it may be broadcast
-    rows = _features_of(docs.join(F.broadcast(sample), id_col), ["grade"], text_col).toArrow()
-    lists = rows.column("features").combine_chunks()
-    order = sorted(range(len(lists)), key=lambda i: (rows.column("grade")[i].as_py(), lists[i].values[:8].to_pylist()))
-    return fit_ordinal([lists[i].values.to_numpy() for i in order], np.array([rows.column("grade")[i].as_py() for i in order], int), n_grades)
+    featured = staged(_features_of(docs.join(F.broadcast(sample), id_col), ["grade"], text_col), "rated-features")
+    rows = only(featured, telling(featured, n_grades)).toArrow()
+    lists = [x.values.to_numpy() for x in rows.column("features")]
+    grades = rows.column("grade").to_numpy().astype(int)
+    order = sorted(range(len(lists)), key=lambda i: (grades[i], lists[i].tobytes()))  # whatever the partitions were
+    return fit_ordinal([lists[i] for i in order], grades[order], n_grades)
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
