@@ -144,6 +144,65 @@ def test_wide_sketches_find_near_copies(spark):
     assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3}
 
 
+def families_by_hand(rows, width=5, least=0.8):
+    grams = {i: {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if (w := t.lower().split()) else set() for i, t in rows}
+    label, sizes = {i: i for i in grams}, sorted(grams)
+    root = lambda i: i if label[i] == i else root(label[i])
+    for k, i in enumerate(sizes):
+        for j in sizes[k + 1 :]:
+            if grams[i] == grams[j] or len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= least:
+                x, y = sorted((root(i), root(j)))
+                label[y] = x
+    return {i: root(i) for i in grams}
+
+
+def around(rng, n_pairs=120):
+    """Pairs with similarities around 0.8, repeats of a passage, short texts and a null-like text."""
+    rows = []
+    for k in range(n_pairs):
+        n = rng.choice([8, 9, 40, 150, 400])
+        words = [f"p{k}w{rng.randrange(10**6)}" for _ in range(n)]
+        cut = max(1, round(n * rng.uniform(0.05, 0.16)))
+        other = words[:-cut] + [f"p{k}x{i}" for i in range(cut)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    base = [f"r{i}" for i in range(60)]
+    rows += [(1000, " ".join(base)), (1001, " ".join(base * 5)), (1002, ""), (1003, "  ")]
+    return rows
+
+
+def test_near_copies_are_decided_by_exact_similarity(spark):
+    import corpus_pipeline
+
+    rows = around(random.Random(5))
+    got = simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), **corpus_pipeline.NEAR).collect()
+    want = families_by_hand(rows)
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert 20 < sum(want[2 * k + 1] == 2 * k for k in range(120)) < 100 and want[1001] == 1000
+
+
+def test_verified_tiles_link_every_similar_pair(spark):
+    rng, base = random.Random(6), [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for k in rng.sample(range(120), rng.choice([1, 2, 3, 5])):
+            words[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = simhash.fingerprints(df, width=5, words=4, distinct=True)
+    keys = fps.withColumnRenamed("doc_id", "least_id")
+    roots = keys.select("node", F.lit(0).cast("long").alias("root"))
+    for tile in (256, 1 << 18):
+        e = simhash.verified(df, keys, roots, "doc_id", "text", 5, 4, 256, 0.8, tile).collect()
+        name = {r.node: r.least_id for r in keys.collect()}
+        label = {i: i for i, _ in rows}
+        root = lambda i: i if label[i] == i else root(label[i])
+        for u, v in e:
+            x, y = sorted((root(name[u]), root(name[v])))
+            label[y] = x
+        assert {i: root(i) for i in label} == families_by_hand(rows)
+
+
 # 4
 
 
