@@ -1,13 +1,15 @@
 """A training corpus from documents: poor texts out, one of each group of copies and near copies, no benchmark
 passages, and the sources mixed to their target weights.
 
-Each stage takes all that the one before kept, and its decisions take effect. All but the last return the columns
-of documents; the last returns the mix: the drawn documents with the words taken of each.
+Each stage takes all that the one before kept, and its decisions take effect, row by row: an id may be null or repeat.
+All but the last return the columns of documents; the last returns the mix: the drawn documents with the words taken
+of each.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgraph.llm import decontaminate, exact_dedup, mixing, quality, simhash
 from loomgraph.llm.common import staged, table
@@ -20,11 +22,19 @@ LEAST_QUALITY = 0.5
 NEAR = {"width": 5, "words": 4, "radius": 24, "total": 72, "ratio": 0.8, "least": 0.8}
 
 
-def without(docs: DataFrame, dropped: DataFrame, on: str = "doc_id") -> DataFrame:
-    """docs but those whose id is in dropped; documents without an id stay.
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, written once with a number for each row, and the name of that column."""
+    row = "_row"
+    while row in map(str.lower, docs.columns):
+        row += "_"
+    return staged(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
+def without(docs: DataFrame, dropped: DataFrame, row: str) -> DataFrame:
+    """docs but the rows whose number is in dropped, and without the number.
 
     A merge join whatever the sizes: what is dropped grows with the corpus, so it is never broadcast."""
-    return docs.join(dropped.select(on).hint("merge"), on, "left_anti").select(*docs.columns)
+    return docs.join(dropped.select(row).hint("merge"), row, "left_anti").select(*[c for c in docs.columns if c != row])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,22 +43,30 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, staged(exact_dedup.exact_groups(docs).where("not kept"), "copies"))
+    docs, row = keyed(docs)
+    key = F.struct("doc_id", F.col(row).alias("row"))  # the largest id stays, a null one last
+    groups = exact_dedup.exact_groups(docs.select(key.alias("key"), "text"), "key")
+    return without(docs, staged(groups.where("not kept").select(F.col("key.row").alias(row)), "copies"), row)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_groups(docs, **NEAR)
-    return without(docs, staged(groups.where("doc_id <> component_id"), "near-copies"))
+    docs, row = keyed(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row"))  # the least id stays, a null one last
+    groups = simhash.near_groups(docs.select(key.alias("key"), "text"), "key", **NEAR)
+    return without(docs, staged(groups.where("not key <=> component_id").select(F.col("key.row").alias(row)), "near-copies"), row)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination_report(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, staged(found.where("contaminated"), "leaks"))
+    docs, row = keyed(docs)
+    found = decontaminate.contamination_report(docs.select(row, "text"), table(spark, sf_dir, "benchmark"), row)
+    return without(docs, staged(found.where("contaminated"), "leaks"), row)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = staged(mixing.mix(docs).where("taken > 0").select("doc_id", "size", "source_size", "target", "taken"), "mix")
-    return docs.drop(*mixed.columns[1:]).join(mixed.hint("merge"), "doc_id")
+    docs, row = keyed(docs)
+    mixed = mixing.mix(docs, carry=(row,)).where("taken > 0").select(row, "size", "source_size", "target", "taken")
+    mixed = staged(mixed, "mix")
+    return docs.drop(*mixed.columns[1:]).join(mixed.hint("merge"), row).drop(row)
 
 
 STAGES = [

@@ -34,12 +34,12 @@ DRAWS = T.ArrayType(
 )
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """(id, source, size, h): words between blanks, and the place in a seeded order of the source."""
+def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, source, size, h) and the columns to carry: words between blanks, and the place in a seeded order of the source."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11)  # 53 bits
-    return staged(docs.select(id_col, F.col(source_col).alias("source"), size.alias("size"), h.alias("h")), "mix-sizes")
+    return staged(docs.select(id_col, F.col(source_col).alias("source"), size.alias("size"), h.alias("h"), *carry), "mix-sizes")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -119,16 +119,17 @@ def mix(
     shard_words: int = 50_000_000,
     bucket_docs: int = 1024,
     seed: int = 7,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per input row: id, source, size, source_size, target, taken and draws (shard, rank of the block
-    among the source's draws, first word, words).
+    """One row per input row: id, source, size, source_size, target, the columns to carry, taken and draws (shard,
+    rank of the block among the source's draws, first word, words).
 
     ``taken`` is the sum of the draws; per source it is the rounded target. Null texts have size 0 and are never
     drawn; null sources are one source, the last. Repeated rows are drawn like different documents. An empty
     table gives no rows, other columns are not read, and the same rows and seed give the same result however they
     are partitioned.
     """
-    sizes = measured(docs, id_col, text_col, source_col, seed)
+    sizes = measured(docs, id_col, text_col, source_col, seed, carry)
     rows = targets(sizes, weights, share, most).orderBy(F.col("source").isNull(), "source").collect()
     plan, block = source_plan(rows, block_words, seed)
     spark, kind = docs.sparkSession, sizes.schema["source"].dataType
@@ -139,17 +140,18 @@ def mix(
     sums = placed.groupBy("number", "bucket").agg(F.sum("size").alias("words"))
     before = W.partitionBy("number").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select("number", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
-    own = W.partitionBy("number", "bucket").orderBy("h", id_col, "size").rowsBetween(W.unboundedPreceding, -1)
+    own = W.partitionBy("number", "bucket").orderBy("h", id_col, "size", *carry).rowsBetween(W.unboundedPreceding, -1)
     at = placed.join(offsets, ["number", "bucket"]).withColumn("begin", F.col("offset") + F.coalesce(F.sum("size").over(own), F.lit(0)))
-    keep = [id_col, "source", "size", "source_size", "target", "number", "begin", "blocks", "step", "shift", "passes", "full", "part"]
+    keep = [id_col, "source", "size", "source_size", "target", *carry, "number", "begin", "blocks", "step", "shift", "passes", "full", "part"]
+    own_columns = 5 + len(carry)
     counts = [int(p.passes * p.blocks + p.full + (p.part > 0)) for p in plan.itertuples()]
     shards = max(1, math.ceil(sum(r.target for r in rows) / shard_words)) if rows else 1
-    schema = T.StructType([*at.select(*keep[:5]).schema.fields, T.StructField("taken", T.LongType()), T.StructField("draws", DRAWS)])
+    schema = T.StructType([*at.select(*keep[:own_columns]).schema.fields, T.StructField("taken", T.LongType()), T.StructField("draws", DRAWS)])
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.cumsum(shard_quotas(counts, shards, seed), axis=0)  # by source, the rank at which each shard ends
         for d in batches:
-            x = {c: d.column(keep.index(c)).to_numpy(zero_copy_only=False) for c in [*keep[5:], "size"]}
+            x = {c: d.column(keep.index(c)).to_numpy(zero_copy_only=False) for c in [*keep[own_columns:], "size"]}
             first, last = x["begin"] // block, (x["begin"] + x["size"] - 1) // block
             n = np.where(x["size"] > 0, last - first + 1, 0)
             row = np.repeat(np.arange(d.num_rows), n)
@@ -174,7 +176,7 @@ def mix(
             cut = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=d.num_rows))))
             draws = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.StructArray.from_arrays(fields, DRAWS.elementType.names))
             taken = pa.array(np.bincount(row, words, d.num_rows).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([*d.columns[:5], taken, draws], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*d.columns[:own_columns], taken, draws], names=schema.names)
 
     return at.select(*keep).mapInArrow(draw, schema)
 

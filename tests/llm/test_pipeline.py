@@ -1,5 +1,7 @@
 """The pipeline against its stages done by hand on what each was given."""
 
+from collections import Counter
+
 import pytest
 
 from .conftest import SMALL
@@ -50,3 +52,30 @@ def test_odd_tables(spark, odd, empty):
             out = stage(spark, df, SMALL)
             rows = out.collect()
             assert set(df.columns) <= set(out.columns) and len(rows) <= df.count() and (rows or name != "exact dedup" or not df.count())
+
+
+def test_stages_act_on_rows(spark, odd):
+    """A null id, a repeated row, and rows that share an id but not a text."""
+    from loomgraph.llm import mixing
+    from loomgraph.llm.common import table
+
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: Counter(r.doc_id for r in df.collect())
+    rows = [tuple(r) for r in odd.select("doc_id", "text", "lang", "source").collect()]
+    more = [(None, "a text without an id", "en", "a"), (None, rows[0][1], "en", "a"), (2, "a text that only this row has", "en", "a")]
+    docs = spark.createDataFrame(rows + more, "doc_id long, text string, lang string, source string")
+
+    out = stages["exact dedup"](spark, docs, SMALL)
+    assert ids(out) == Counter([2, 2, None, 4, 5, 6, 7, 8, 9]) and len({r.text for r in out.collect()}) == 9
+    out = stages["SimHash near-dedup"](spark, docs, SMALL)
+    assert ids(out) == Counter([1, 2, None, 3, 6, 8, 9])
+    assert {r.text for r in out.collect() if r.doc_id == 2} == {"a text that only this row has"}
+
+    leak = table(spark, SMALL, "benchmark").first().text
+    some = spark.createDataFrame([(1, leak), (1, "clean"), (None, leak), (None, "clean too")], "doc_id long, text string")
+    assert Counter(map(tuple, stages["benchmark decontamination"](spark, some, SMALL).collect())) == Counter([(1, "clean"), (None, "clean too")])
+
+    taken = Counter((r.doc_id, r.taken) for r in mixing.mix(docs).collect() if r.taken)
+    got = stages["mixing sources to target weights"](spark, docs, SMALL)
+    assert Counter((r.doc_id, r.taken) for r in got.collect()) == taken
+    assert None in ids(got)
