@@ -3,7 +3,7 @@ passages, and the sources mixed to their target weights.
 
 Each stage takes all that the one before kept, and its decisions take effect, row by row: an id may be null or repeat.
 All but the last return the columns of documents; the last returns the mix: the drawn documents with the words taken
-of each.
+of each and their draws, the word ranges (shard, rank, start, n) that the shards take.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs, row = keyed(docs)
-    mixed = mixing.mix(docs, carry=(row,)).where("taken > 0").select(row, "size", "source_size", "target", "taken")
+    mixed = mixing.mix(docs, carry=(row,)).where("taken > 0").select(row, "size", "source_size", "target", "taken", "draws")
     mixed = staged(mixed, "mix")
     return docs.drop(*mixed.columns[1:]).join(mixed.hint("merge"), row).drop(row)
 

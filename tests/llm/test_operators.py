@@ -405,6 +405,30 @@ def test_splitting_tree():
     assert (q == mixing.shard_quotas([100, 7, 0, 33], 9, 1)).all()
 
 
+def test_shards_hold_their_quotas(docs):
+    m = mixing.mix(docs, block_words=16, shard_words=3000).cache()
+    rows = m.where("taken > 0").collect()
+    drawn = [(d.shard, r.source, d.rank, r.doc_id, d.start, d.n) for r in rows for d in r.draws]
+    shard_of = {}
+    for shard, source, rank, *_ in drawn:
+        assert shard_of.setdefault((source, rank), shard) == shard  # a block is one shard's
+    sources = sorted({s for s, _ in shard_of})
+    shards = max(shard_of.values()) + 1
+    counts = [sum(s == x for s, _ in shard_of) for x in sources]
+    assert all(sorted(r for s, r in shard_of if s == x) == list(range(c)) for x, c in zip(sources, counts))
+    held = np.array([[sum(v == k and s == x for (s, _), v in shard_of.items()) for x in sources] for k in range(shards)])
+    assert shards > 3 and (held == mixing.shard_quotas(counts, shards, 7)).all()
+    size = {r.doc_id: r.size for r in rows}
+    assert all(0 <= start and start + n <= size[d] for *_, d, start, n in drawn)
+    by_block = Counter((x, rank, d, w) for _, x, rank, d, start, n in drawn for w in range(start, start + n))
+    assert max(by_block.values()) == 1 and sum(by_block.values()) == sum(r.taken for r in rows)  # disjoint
+    out = mixing.shuffled_shards(m).collect()
+    assert Counter((r.shard, r.source, r.doc_id, r.start, r.n) for r in out) == Counter((s, x, d, a, n) for s, x, _, d, a, n in drawn)
+    for k in range(shards):
+        ids = [r.doc_id for r in out if r.shard == k]
+        assert len(ids) < 5 or ids != sorted(ids)
+
+
 # 10
 
 

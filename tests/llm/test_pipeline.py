@@ -79,3 +79,4 @@ def test_stages_act_on_rows(spark, odd):
     got = stages["mixing sources to target weights"](spark, docs, SMALL)
     assert Counter((r.doc_id, r.taken) for r in got.collect()) == taken
     assert None in ids(got)
+    assert all(sum(d.n for d in r.draws) == r.taken and all(0 <= d.start and d.start + d.n <= r.size for d in r.draws) for r in got.collect())
