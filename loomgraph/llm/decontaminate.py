@@ -205,13 +205,18 @@ def contamination(
     gap, kind = max(width, slop) + 1, docs.schema[id_col].dataType
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     blocks = max(1, math.ceil((items.agg(F.sum(F.length("text") + 64)).first()[0] or 0) / block_chars))
+    key = id_col
+    if blocks > 1:  # rows are numbered once, so that the blocks' results meet by row
+        row = F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))
+        docs, key = staged(docs.select(row.alias("_key"), F.col(text_col)), "rows"), "_key"
+        kind = docs.schema[key].dataType
     parts = []
     for k in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         rows = [(r.item, words_of(r.text.encode())) for r in block.collect()]
         terms = sorted({w for _, words in rows for w in words})
         number = {w: i for i, w in enumerate(terms)}
-        index = build_index(docs, terms, gap, id_col, text_col)
+        index = build_index(docs, terms, gap, key, text_col)
         zipped = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("x.*")
         n = {r.terms: r.n for r in zipped.groupBy("terms").agg(F.sum("counts").alias("n")).collect()}
         rank = lambda t: (n.get(t, 0), t)
@@ -221,20 +226,20 @@ def contamination(
             if all(number[w] in n for w in words)
         ]
         nearby = [(sorted({number[w] for w in words}, key=rank)[:near_terms], item) for item, words in rows if words]
-        parts.append(_matches(index, windows, nearby, gap, slop, kind).withColumnRenamed("id", id_col))
+        parts.append(_matches(index, windows, nearby, gap, slop, kind).withColumnRenamed("id", key))
     if blocks == 1:
         return parts[0]
-    return _merged([p.select("*", F.lit(k).alias("block")) for k, p in enumerate(parts)], id_col)
+    return _merged([p.select("*", F.lit(k).alias("block")) for k, p in enumerate(parts)], key).select(F.col("_key.id").alias(id_col), "n_words", "hits", "items", "near")
 
 
 def _merged(parts: list[DataFrame], id_col: str) -> DataFrame:
-    """Blocks' results joined by document. Rows that repeat an id share what was found for it."""
+    """Blocks' results joined by document: ids that name one row each."""
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
     flat = lambda c: F.flatten(F.collect_list(c))
     found = every.groupBy(id_col, "n_words").agg(
-        F.count_if(F.col("block") == 0).alias("copies"), flat("hits").alias("hits"), *[F.array_sort(F.array_distinct(flat(c))).alias(c) for c in ("items", "near")]
+        flat("hits").alias("hits"), *[F.array_sort(F.array_distinct(flat(c))).alias(c) for c in ("items", "near")]
     )
     spans = "array<struct<start:bigint,end:bigint>>"
 
@@ -245,8 +250,7 @@ def _merged(parts: list[DataFrame], id_col: str) -> DataFrame:
         return F.when((F.size(acc) > 0) & (x["start"] <= last["end"]), grown).otherwise(F.concat(acc, F.array(x))).cast(spans)
 
     hits = F.aggregate(F.array_sort("hits"), F.array().cast(spans), join)
-    copy = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return found.select(id_col, "n_words", hits.alias("hits"), "items", "near", copy.alias("_copy")).drop("_copy")
+    return found.select(id_col, "n_words", hits.alias("hits"), "items", "near")
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -355,6 +355,18 @@ def test_contamination(spark, odd, docs, empty):
             assert ids(got) == ids(df.collect())
 
 
+def test_blocks_keep_rows_of_one_id_apart(spark):
+    passage, other = " ".join(f"a{i}" for i in range(12)), " ".join(f"b{i}" for i in range(12))
+    clean = " ".join(f"c{i}" for i in range(12))
+    rows = [(1, passage), (1, clean), (None, other), (None, clean), (2, other), (2, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, passage), (2, other), (3, "d " * 12)], "item_id long, text string")
+    want = Counter([(1, True), (1, False), (None, True), (None, False), (2, True), (2, True)])
+    for block_chars in (32 << 20, 100, 20):
+        got = decontaminate.contamination_report(df, items, block_chars=block_chars).collect()
+        assert Counter((r.doc_id, r.contaminated) for r in got) == want
+
+
 # 9
 
 
