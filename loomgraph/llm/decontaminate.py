@@ -7,8 +7,9 @@ that is rarest in the whole corpus to the commonest; a proximity match needs an
 other. Nothing but term counts is shuffled, so a passage or word that a third of the documents share costs each
 segment its own occurrences only.
 
-The benchmark is a query set against all rows. It is read in blocks of at most ``block_chars`` characters, which
-bounds what the driver and each task hold; every block goes over the whole corpus and results are joined.
+The benchmark is a query set against all rows. Spark cuts it into distinct windows and deals them, by their own
+hash, into blocks of about ``block_windows``; a block is a few integer arrays on the driver and in a task, however
+long an item is. All blocks ask one index, and their results meet row by row.
 """
 
 from __future__ import annotations
@@ -18,15 +19,17 @@ import math
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BYTES, staged
+from .common import WORD_BYTES, lower_ascii, staged
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -124,7 +127,7 @@ class Segment:
 
 
 def windows_of(items: list[tuple[str, list[bytes]]], width: int) -> dict[tuple[bytes, ...], list[str]]:
-    """Each distinct window with the items that have it; a short item is one window."""
+    """Each distinct window with the items that have it; a short item is one window. For tests and small benchmarks."""
     out = defaultdict(list)
     for item, words in items:
         for i in range(max(1, len(words) - width + 1) if words else 0):
@@ -132,8 +135,44 @@ def windows_of(items: list[tuple[str, list[bytes]]], width: int) -> dict[tuple[b
     return out
 
 
-def _matches(index: DataFrame, windows: list, nearby: list, gap: int, slop: int, kind: T.DataType) -> DataFrame:
-    """(id, n_words, hits, items, near) for every document of the index."""
+def word_list(text: Column) -> Column:
+    """words_of as a column."""
+    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+
+
+@dataclass
+class Asked:
+    """A block of windows as integers: words (a row of term numbers each, -1 beyond a short window), order (places from
+    the rarest term on), and the items of window i at items[cut[i]:cut[i + 1]]. Rows are sorted by their rarest term."""
+
+    words: np.ndarray
+    order: np.ndarray
+    sizes: np.ndarray
+    cut: np.ndarray
+    items: np.ndarray
+    names: list[str]
+
+
+def asked_block(windows: pa.Table, terms: pa.Array, counts: np.ndarray, width: int) -> Asked:
+    """windows (window, items) of one block; those with a term that no document has are left out."""
+    lists = windows.column("window").combine_chunks()
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.index_in(lists.flatten(), value_set=terms).to_numpy(zero_copy_only=False).astype(np.int32)
+    words = np.full((len(sizes), width), -1, np.int32)
+    words[np.arange(width)[None] < sizes[:, None]] = flat
+    n = np.where(words >= 0, np.append(counts, 0)[words], np.iinfo(np.int64).max)
+    order = np.lexsort((words, n), axis=1).astype(np.int16)
+    first = words[np.arange(len(words)), order[:, 0]] if len(words) else np.empty(0, np.int32)
+    kept = np.argsort(first, kind="stable")
+    kept = kept[(n[kept] > 0).all(axis=1)]
+    held = windows.column("items").combine_chunks().take(pa.array(kept))
+    names, of = np.unique(held.flatten().to_numpy(zero_copy_only=False).astype(object), return_inverse=True) if len(kept) else ([], np.empty(0, int))
+    cut = np.concatenate(([0], np.cumsum(held.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+    return Asked(words[kept], order[kept], sizes[kept], cut, of.astype(np.int32), list(names))
+
+
+def _matches(index: DataFrame, block: Asked, nearby: list, gap: int, slop: int, kind: T.DataType, every: bool) -> DataFrame:
+    """(id, n_words, hits, items, near) for every document of the index, or only for those with a match."""
     schema = T.StructType(
         [
             T.StructField("id", kind),
@@ -143,28 +182,30 @@ def _matches(index: DataFrame, windows: list, nearby: list, gap: int, slop: int,
             T.StructField("near", T.ArrayType(T.StringType())),
         ]
     )
-    asked = index.sparkSession.sparkContext.broadcast((windows, nearby))
+    asked = index.sparkSession.sparkContext.broadcast((block, nearby))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_term, near_by_term = defaultdict(list), defaultdict(list)
-        for terms, items in asked.value[0]:
-            by_term[terms[0][0]].append((terms, items))
+        block, near_by_term = asked.value[0], defaultdict(list)
         for terms, item in asked.value[1]:
             near_by_term[terms[0]].append((terms, item))
+        rarest = block.words[np.arange(len(block.words)), block.order[:, 0]] if len(block.words) else np.empty(0, np.int32)
         for b in batches:
             for k in range(b.num_rows):
                 sizes, used, counts = (b.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (1, 2, 3))
                 s = Segment(sizes, used, counts, b.column(4)[k].as_py(), gap)
                 edge = np.zeros(int(s.start[-1]) + 1, np.int32)
                 items, near = defaultdict(set), defaultdict(set)
-                for t in used.tolist():
-                    for terms, names in by_term.get(t, ()):
-                        at = s.phrase(terms)
-                        if len(at):
-                            np.add.at(edge, at, 1)
-                            np.add.at(edge, at + len(terms), -1)
-                            for d in np.unique(s.docs(at)).tolist():
-                                items[d].update(names)
+                lo, hi = np.searchsorted(rarest, used), np.searchsorted(rarest, used, "right")
+                for w in np.repeat(lo - np.concatenate(([0], np.cumsum(hi - lo)[:-1])), hi - lo) + np.arange((hi - lo).sum()) if len(used) else ():
+                    n, order = int(block.sizes[w]), block.order[w]
+                    at = s.phrase([(int(block.words[w, o]), int(o)) for o in order[:n]])
+                    if len(at):
+                        np.add.at(edge, at, 1)
+                        np.add.at(edge, at + n, -1)
+                        names = block.items[block.cut[w] : block.cut[w + 1]].tolist()
+                        for d in np.unique(s.docs(at)).tolist():
+                            items[d].update(names)
+                for t in used.tolist() if near_by_term else ():
                     for terms, name in near_by_term.get(t, ()):
                         for d in np.unique(s.docs(s.near(terms, slop))).tolist():
                             near[d].add(name)
@@ -173,9 +214,10 @@ def _matches(index: DataFrame, windows: list, nearby: list, gap: int, slop: int,
                 hits = defaultdict(list)
                 for d, x, y in zip(s.docs(begin).tolist(), begin.tolist(), end.tolist()):
                     hits[d].append({"start": x - int(s.start[d]), "end": y - int(s.start[d])})
-                n = range(len(sizes))
-                columns = [b.column(0)[k].values, pa.array(sizes, pa.int64())]
-                columns += [pa.array([hits.get(d, []) for d in n], HITS), *(pa.array([sorted(x.get(d, ())) for d in n], pa.list_(pa.string())) for x in (items, near))]
+                n = range(len(sizes)) if every else sorted({*hits, *near})
+                rows = pa.array(n, pa.int64())
+                columns = [b.column(0)[k].values.take(rows), pa.array(sizes, pa.int64()).take(rows), pa.array([hits.get(d, []) for d in n], HITS)]
+                columns += [pa.array([sorted(block.names[x] for x in items.get(d, ())) for d in n], pa.list_(pa.string())), pa.array([sorted(near.get(d, ())) for d in n], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return index.mapInArrow(run, schema)
@@ -193,54 +235,61 @@ def contamination(
     width: int = 10,
     slop: int = 40,
     near_terms: int = 5,
-    block_chars: int = 32 << 20,
+    block_windows: int = 200_000,
 ) -> DataFrame:
     """One row per input row: id, n_words, hits (merged word ranges inside exact matches), items and near (ids as
     strings, sorted; near: the item's ``near_terms`` rarest terms lie within ``slop`` words of the rarest).
 
     Null and empty texts have no words and no matches; items without words match nothing; a null item id is
     written as an empty string. Items that repeat an id count once. Repeated document rows give repeated rows.
-    An empty benchmark leaves every document clean; other columns are not read.
+    An empty benchmark leaves every document clean; other columns are not read. The driver and each task hold the
+    benchmark's distinct terms and one block: ``block_windows`` windows as integers (30 bytes of each of 10 words), and
+    as many items. The result is the same for every block size.
     """
     gap, kind = max(width, slop) + 1, docs.schema[id_col].dataType
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    blocks = max(1, math.ceil((items.agg(F.sum(F.length("text") + 64)).first()[0] or 0) / block_chars))
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), word_list(F.col(text_col)).alias("words")).where(F.size("words") > 0)
+    items = staged(items, "benchmark-words")
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - width + 1, F.lit(1)))
+    cut = items.select("item", F.explode(F.transform(starts, lambda i: F.slice("words", i, width))).alias("window"))
+    windows = staged(cut.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items")), "benchmark-windows")
+    n_windows, n_items = windows.count(), items.count()
+    blocks = max(1, math.ceil(max(n_windows, n_items) / block_windows))
+    terms = items.select(F.explode("words").alias("term")).distinct().orderBy("term").toArrow().column(0).combine_chunks()
     key = id_col
     if blocks > 1:  # rows are numbered once, so that the blocks' results meet by row
         row = F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))
         docs, key = staged(docs.select(row.alias("_key"), F.col(text_col)), "rows"), "_key"
         kind = docs.schema[key].dataType
+    index = build_index(docs, [t.encode() for t in terms.to_pylist()], gap, key, text_col)
+    zipped = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("x.*")
+    summed = zipped.groupBy("terms").agg(F.sum("counts").alias("n")).toArrow()
+    counts = np.zeros(len(terms), np.int64)
+    counts[summed.column("terms").to_numpy()] = summed.column("n").to_numpy()
+    number = dict(zip(terms.to_pylist(), range(len(terms))))
+    rank = lambda t: (int(counts[t]), t)
     parts = []
     for k in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        rows = [(r.item, words_of(r.text.encode())) for r in block.collect()]
-        terms = sorted({w for _, words in rows for w in words})
-        number = {w: i for i, w in enumerate(terms)}
-        index = build_index(docs, terms, gap, key, text_col)
-        zipped = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("x.*")
-        n = {r.terms: r.n for r in zipped.groupBy("terms").agg(F.sum("counts").alias("n")).collect()}
-        rank = lambda t: (n.get(t, 0), t)
-        windows = [
-            (sorted(((number[w], o) for o, w in enumerate(words)), key=lambda x: (rank(x[0]), x[1])), sorted(set(names)))
-            for words, names in windows_of(rows, width).items()
-            if all(number[w] in n for w in words)
-        ]
-        nearby = [(sorted({number[w] for w in words}, key=rank)[:near_terms], item) for item, words in rows if words]
-        parts.append(_matches(index, windows, nearby, gap, slop, kind).withColumnRenamed("id", key))
+        own = lambda df, c: df if blocks == 1 else df.where(F.pmod(F.xxhash64(*c), F.lit(blocks)) == k)  # noqa: B023, E731
+        block = asked_block(own(windows, ["window"]).toArrow(), terms, counts, width)
+        distinct = own(items, ["item", "words"]).select("item", F.array_distinct("words").alias("words")).toArrow()
+        nearby = [(sorted((number[w] for w in words.as_py()), key=rank)[:near_terms], item.as_py()) for item, words in zip(distinct.column(0), distinct.column(1))]
+        parts.append(_matches(index, block, nearby, gap, slop, kind, blocks == 1).withColumnRenamed("id", key))
     if blocks == 1:
         return parts[0]
-    return _merged([p.select("*", F.lit(k).alias("block")) for k, p in enumerate(parts)], key).select(F.col("_key.id").alias(id_col), "n_words", "hits", "items", "near")
+    every = index.select(F.explode(F.arrays_zip("ids", "sizes")).alias("x")).select(F.col("x.ids").alias(key), F.col("x.sizes").alias("n_words"))
+    found = staged(_merged(parts, key).withColumnRenamed(key, "_found"), "blocks-merged")
+    empty = lambda c: F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c)
+    out = every.join(found, F.col(f"{key}.row") == F.col("_found.row"), "left")
+    return out.select(F.col(f"{key}.id").alias(id_col), "n_words", *[empty(c) for c in ("hits", "items", "near")])
 
 
-def _merged(parts: list[DataFrame], id_col: str) -> DataFrame:
-    """Blocks' results joined by document: ids that name one row each."""
+def _merged(parts: list[DataFrame], key: str) -> DataFrame:
+    """Blocks' results by row."""
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
     flat = lambda c: F.flatten(F.collect_list(c))
-    found = every.groupBy(id_col, "n_words").agg(
-        flat("hits").alias("hits"), *[F.array_sort(F.array_distinct(flat(c))).alias(c) for c in ("items", "near")]
-    )
+    found = every.groupBy(key).agg(flat("hits").alias("hits"), *[F.array_sort(F.array_distinct(flat(c))).alias(c) for c in ("items", "near")])
     spans = "array<struct<start:bigint,end:bigint>>"
 
     def join(acc, x):
@@ -250,7 +299,7 @@ def _merged(parts: list[DataFrame], id_col: str) -> DataFrame:
         return F.when((F.size(acc) > 0) & (x["start"] <= last["end"]), grown).otherwise(F.concat(acc, F.array(x))).cast(spans)
 
     hits = F.aggregate(F.array_sort("hits"), F.array().cast(spans), join)
-    return found.select(id_col, "n_words", hits.alias("hits"), "items", "near")
+    return found.select(key, hits.alias("hits"), "items", "near")
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

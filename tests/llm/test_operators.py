@@ -348,11 +348,15 @@ def test_contamination(spark, odd, docs, empty):
                         hit.update(x for i in at for x in range(i, i + len(w)))
                         names |= {name} if at else set()
             want[(len(words), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit))] += 1
-        for options in ({}, {"block_chars": 200}) if df is odd else ({},):
+        whole = None
+        for options in ({}, {"block_windows": 3}) if df is odd else ({}, {"block_windows": 400}):
+            found = decontaminate.contamination(df, b, **options).collect()
             got = decontaminate.contamination_report(df, b, **options).collect()
-            if not options:
-                assert Counter((r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == want
+            assert Counter((r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == want
             assert ids(got) == ids(df.collect())
+            plain = Counter(map(repr, found))
+            assert whole in (None, plain)  # hits, items and near are those of one block
+            whole = plain
 
 
 def test_blocks_keep_rows_of_one_id_apart(spark):
@@ -362,11 +366,34 @@ def test_blocks_keep_rows_of_one_id_apart(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     items = spark.createDataFrame([(1, passage), (2, other), (3, "d " * 12)], "item_id long, text string")
     want = Counter([(1, True), (1, False), (None, True), (None, False), (2, True), (2, True)])
-    for block_chars in (32 << 20, 100, 20):
-        got = decontaminate.contamination_report(df, items, block_chars=block_chars).collect()
+    for block_windows in (200_000, 4, 1):
+        got = decontaminate.contamination_report(df, items, block_windows=block_windows).collect()
         assert Counter((r.doc_id, r.contaminated) for r in got) == want
 
 
+def test_a_block_is_small_on_the_driver(spark):
+    """What the driver holds grows with the windows of a block, not with the benchmark."""
+    rng = random.Random(8)
+    bench = spark.createDataFrame([(k, " ".join(f"w{rng.randrange(3000)}" for _ in range(500))) for k in range(40)], "item_id long, text string")
+    text = [r.text for r in bench.collect()]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(text)] + [(100, "clean words only")], "doc_id long, text string")
+    sizes = []
+    old = decontaminate.asked_block
+
+    def spy(*args):
+        out = old(*args)
+        sizes.append((len(out.words), sum(x.nbytes for x in (out.words, out.order, out.sizes, out.cut, out.items))))
+        return out
+
+    decontaminate.asked_block = spy
+    try:
+        got = decontaminate.contamination_report(df, bench, block_windows=2000).collect()
+    finally:
+        decontaminate.asked_block = old
+    assert len(sizes) > 5 and sum(n for n, _ in sizes) == 40 * 491 and all(n < 2600 and b < 100 * n + 16 for n, b in sizes)
+    assert {r.doc_id for r in got if r.contaminated} == set(range(40)) and all(r.n_hit == r.n_words for r in got if r.contaminated)
+
+
 # 9
 
 
