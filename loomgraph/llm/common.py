@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import drop_staged, shared_dir, split_join, staged, staging_path
 
-__all__ = ["LOWER", "UPPER", "WORD_BYTES", "drop_staged", "lower_ascii", "shared_dir", "split_join", "staged", "staging_path", "table"]
+__all__ = ["LOWER", "UPPER", "WORD_BYTES", "drop_staged", "lower_ascii", "row_keyed", "shared_dir", "split_join", "staged", "staging_path", "table"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -24,3 +26,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def lower_ascii(c):
     """A-Z to a-z and nothing else."""
     return F.translate(c, UPPER, LOWER)
+
+
+def row_keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key for each row, the same whenever it is read, and the name of that column.
+
+    Rows of Parquet files are named by file and place, which costs no copy; any other table is written once with a
+    number for each row."""
+    row = "_row"
+    while row in map(str.lower, docs.columns):
+        row += "_"
+    if "_metadata" not in map(str.lower, docs.columns) and (files := docs.inputFiles()):
+        names = {xxhash.xxh64_intdigest(f.encode(), 42) for f in files}
+        try:
+            keyed = docs.withColumn(row, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+            if len(names) == len(set(files)) and keyed.schema[row]:
+                return keyed, row
+        except AnalysisException:  # not a plain scan of Parquet files
+            pass
+    return staged(docs.withColumn(row, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "rows"), row

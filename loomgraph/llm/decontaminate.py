@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BYTES, lower_ascii, staged
+from .common import WORD_BYTES, lower_ascii, row_keyed, staged
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -257,8 +257,8 @@ def contamination(
     terms = items.select(F.explode("words").alias("term")).distinct().orderBy("term").toArrow().column(0).combine_chunks()
     key = id_col
     if blocks > 1:  # rows are numbered once, so that the blocks' results meet by row
-        row = F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))
-        docs, key = staged(docs.select(row.alias("_key"), F.col(text_col)), "rows"), "_key"
+        docs, row = row_keyed(docs)
+        docs, key = docs.select(F.struct(F.col(id_col).alias("id"), F.col(row).alias("row")).alias("_key"), F.col(text_col)), "_key"
         kind = docs.schema[key].dataType
     index = build_index(docs, [t.encode() for t in terms.to_pylist()], gap, key, text_col)
     zipped = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("x.*")

@@ -1,7 +1,7 @@
 """Exact deduplication by content-defined chunk recipes. DataFrame functions only.
 
-A text is cut where its own content says so (after a sentence or line end, at least ``lo`` and at most ``hi``
-characters on). Distinct chunks are compared by content once, which proves that a digest names one chunk; then
+A text is cut where its own content says so, at least ``lo`` and at most ``hi`` characters on: after a sentence or line
+end, without one after two equal characters, and at ``hi`` only where there is neither. Distinct chunks are compared by content once, which proves that a digest names one chunk; then
 each document is the ordered list of its chunks' digests, and documents are grouped by that list. A long text
 moves at most once as chunks, and copies of it move as one distinct chunk a task.
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import split_join, staged
 
+ENDS = r".!?\n。！？；"
 Digest = Callable[[Column], Column]
 
 
@@ -26,7 +27,8 @@ def sha256(chunk: Column) -> Column:
 
 def chunks(text: Column, lo: int = 512, hi: int = 4096) -> Column:
     """array<string>: the text in content-defined pieces, whose concatenation is the text."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{lo},{hi}}}?(?:(?<=[.!?\n])|\z)|.{{1,{hi}}}"), F.lit(0))
+    at_end, at_pair = rf".{{{lo},{hi}}}?(?:(?<=[{ENDS}])|\z)", rf".{{{lo},{hi - 2}}}?(.)\1"
+    return F.regexp_extract_all(text, F.lit(rf"(?s){at_end}|{at_pair}|.{{1,{hi}}}"), F.lit(0))
 
 
 def digests_verified(texts: DataFrame, digest: Digest, lo: int, hi: int) -> bool:

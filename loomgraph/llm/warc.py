@@ -3,7 +3,9 @@
 Pages are written as WARC 1.1 records (one gzip member each) by the tasks that hold them, each task into files of
 its own; payloads that an earlier page already has become revisit records. Reading an archive back gives a run of
 index lines sorted by URL key and time. Runs are merged by key range: every range takes its slice of each run and
-merges the slices with a loser tree, so the ranges in order are the capture histories in global order.
+merges the slices with a loser tree, so the ranges in order are the capture histories in global order. What a task
+holds is bounded: a run has at most ``max_records`` lines, and there are as many ranges as give each
+``range_records`` lines; lines of one key are told apart by run and place, so no key is too busy for its range.
 
 Files go through pyarrow's file systems by URI, so the folder can be any that the cluster shares.
 """
@@ -47,8 +49,11 @@ def record(kind: str, page: str | None, url: str | None, date: str, digest: str,
     """One WARC record with an HTTP block; a revisit has the block's head only."""
     block = HTTP + (payload if kind == "response" else b"")
     head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {url} {digest} {date}')}>"), ("WARC-Date", date)]
+    if any(c in x for x in (url or "", page or "", refers_to or "") for c in "\r\n"):  # a line end in a value would end its header
+        url, page, refers_to = map(escaped, (url, page, refers_to))
+        head.append(("X-Escaped", "1"))
     if url is not None:
-        head.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
+        head.append(("WARC-Target-URI", url))
     head += [("WARC-Payload-Digest", f"sha256:{digest}"), ("X-Payload-Length", str(n))]
     if page is not None:
         head.append(("X-Page-Id", page))
@@ -58,6 +63,14 @@ def record(kind: str, page: str | None, url: str | None, date: str, digest: str,
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+def escaped(value: str | None) -> str | None:
+    return value and value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def unescaped(value: str | None) -> str | None:
+    return value and value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+
+
 def read_records(f: BinaryIO, chunk: int = 1 << 20) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
     """(offset, length, headers, payload) of each gzip member of an archive."""
     offset, data = 0, b""
@@ -71,6 +84,8 @@ def read_records(f: BinaryIO, chunk: int = 1 << 20) -> Iterator[tuple[int, int,
             data = member.unused_data
         head, _, body = b"".join(parts).partition(b"\r\n\r\n")
         headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+        if headers.pop("X-Escaped", None):
+            headers |= {k: unescaped(headers[k]) for k in ("WARC-Target-URI", "X-Page-Id", "X-Refers-To-Page") if k in headers}
         block = body[: int(headers["Content-Length"])]
         yield offset, used, headers, block.partition(b"\r\n\r\n")[2]
         offset += used
@@ -119,7 +134,7 @@ def revisits(measured: DataFrame, least: int) -> DataFrame:
     return split_join(large, first, ["digest"]).where("id <> refers_to or id is null").select("id", "digest", "refers_to").where("refers_to is not null").distinct()
 
 
-def write_archives(records: DataFrame, folder: str, max_bytes: int = 1 << 30, level: int = 4) -> DataFrame:
+def write_archives(records: DataFrame, folder: str, max_bytes: int = 1 << 30, max_records: int = 100_000, level: int = 4) -> DataFrame:
     """Write (id, url, date, digest, n, payload, refers_to) as archives; the manifest (path, records, bytes).
 
     A file is named once and appears whole or not at all; a task that runs again writes new files, and only the
@@ -146,7 +161,7 @@ def write_archives(records: DataFrame, folder: str, max_bytes: int = 1 << 30, le
                 packed = packer.compress(raw) + packer.flush()
                 out.write(packed)
                 count, size = count + 1, size + len(packed)
-                if size >= max_bytes:
+                if size >= max_bytes or count >= max_records:
                     yield close()
                     out = None
         if out is not None:
@@ -194,10 +209,10 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
+def merge_runs(runs: DataFrame, ranges: int) -> DataFrame:
     """Index lines of all runs in global order of URL key, time and page: partitions are key ranges in order, and
-    each merges its slices of the runs with a loser tree. Ranges are cut by all three, so one busy URL is no
-    single range."""
+    each merges its slices of the runs with a loser tree. Ranges are cut by all three and by the place in the run, so
+    neither a busy URL nor a row that is repeated for ever is a single range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -215,7 +230,7 @@ def merge_runs(runs: DataFrame) -> DataFrame:
         yield from t.take(order).combine_chunks().to_batches()
 
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return runs.repartitionByRange(empty("url_key"), "date", empty("id")).mapInArrow(run, runs.schema)
+    return runs.repartitionByRange(ranges, empty("url_key"), "date", empty("id"), "run", "seq").mapInArrow(run, runs.schema)
 
 
 def capture_index(
@@ -226,13 +241,17 @@ def capture_index(
     payload_col: str = "html",
     least: int = 100,
     folder: str | None = None,
+    max_records: int = 100_000,
+    range_records: int = 50_000,
 ) -> DataFrame:
     """Write pages as archives in ``folder``, read them back, and return the merged index in global order:
     id, url_key, captured_at, payload_bytes, payload_digest, record_type, refers_to, archive, offset, length.
 
     Of equal payloads (SHA-256) of ``least`` bytes or more, the page of least id is the response and the others
     revisit it; rows that repeat that page are responses too. A null payload is empty; a null URL has no key and
-    sorts first, as does a null id, which revisits a page that has one. An empty table gives an empty index.
+    sorts first, as does a null id, which revisits a page that has one. Ids and URLs come back as they were, line ends
+    in them included. Rows that repeat are records each. An empty table gives an empty index; other columns are not
+    read.
     """
     kind = pages.schema[id_col].dataType
     stamp = F.date_format(date(pages) if date else F.timestamp_seconds(F.lit(0)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -242,9 +261,10 @@ def capture_index(
     again = revisits(staged(base.select("id", "digest", "n"), "warc-digests"), least).select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "refers_to")
     records = base.join(again, (F.col("digest") == F.col("_digest")) & F.col("id").eqNullSafe(F.col("_id")), "left")
     records = records.withColumns({"id": F.col("id").cast("string"), "refers_to": F.col("refers_to").cast("string"), "date": F.coalesce("date", F.lit("1970-01-01T00:00:00Z"))})
-    manifest = write_archives(records, folder or staging_path(pages.sparkSession, "warc"))
+    manifest = write_archives(records, folder or staging_path(pages.sparkSession, "warc"), max_records=max_records)
+    total = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
     runs = staged(read_archives(manifest), "warc-runs")
-    return merge_runs(runs).select(
+    return merge_runs(runs, max(1, -(-total // range_records))).select(
         F.col("id").cast(kind).alias(id_col),
         "url_key",
         F.to_timestamp("date").alias("captured_at"),

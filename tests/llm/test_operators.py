@@ -82,6 +82,16 @@ def test_chunks_are_the_text(odd, docs):
         assert all("".join(r.c) == r.text and all(len(c) <= 4096 for c in r.c) for r in rows)
 
 
+def test_texts_without_sentence_ends_are_cut_by_their_content(spark):
+    """An insertion near the front changes the chunks around it and leaves those behind it alone."""
+    rng = random.Random(9)
+    body = "".join(chr(0x4E00 + rng.randrange(400)) for _ in range(30_000))
+    rows = [("b", body), ("i", body[:700] + "新" + body[700:]), ("s", body.replace(body[500], "。"))]
+    got = {r.k: r.c for r in spark.createDataFrame(rows, "k string, t string").select("k", exact_dedup.chunks(F.col("t")).alias("c")).collect()}
+    assert all("".join(got[k]) == t for k, t in rows)
+    assert len(set(got["b"]) & set(got["i"])) >= len(got["b"]) - 2 and len(got["b"]) > 8
+
+
 # 3
 
 
@@ -325,6 +335,37 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.capture_index(pages.limit(0), folder=f"file://{tmp_path}/e").collect() == []
 
 
+def test_warc_odd_values(spark, odd, tmp_path):
+    """Ids and URLs with line ends, clashing columns, very long values, repeated rows; short runs and ranges."""
+    long = "y" * 300_000
+    rows = [("a\r\nX-Page-Id: b", "http://h/1\r\nWARC-Type: response", "p" * 150), ("b%0A", "http://h/%41?" + long, long), ("c", None, None), ("c", None, None), (None, "http://H/1", "p" * 150), ("d\n", "http://h/1\r\n", "p" * 150)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    for c in ("id", "digest", "n", "payload", "date", "run", "seq"):
+        pages = pages.withColumn(c, F.lit("1"))
+    got = warc.capture_index(pages, folder=f"file://{tmp_path}/o", max_records=2, range_records=2).collect()
+    want = []
+    for p, u, h in rows:
+        key = u and u.split("://", 1)[1].split("#")[0]
+        end = min((key.find(c) for c in "/?" if c in key), default=len(key)) if key else 0
+        want.append((p, u and ",".join(reversed(key[:end].lower().split("."))) + ")" + key[end:], len(h or ""), "revisit" if h == "p" * 150 and p != rows[0][0] else "response", rows[0][0] if h == "p" * 150 and p != rows[0][0] else None))
+    assert Counter((r.page_id, r.url_key, r.payload_bytes, r.record_type, r.refers_to) for r in got) == Counter(want)
+    order = [(r.url_key or "", r.captured_at, r.page_id or "") for r in got]
+    assert order == sorted(order) and len({r.archive for r in got}) > 1
+    table = odd.select("doc_id", "text", "id", "digest")
+    got = warc.capture_index(table, id_col="doc_id", url_col="text", payload_col="text", folder=f"file://{tmp_path}/odd").collect()
+    assert ids(got) == Counter(r[0] for r in ROWS)
+
+
+def test_a_range_has_a_bounded_number_of_lines(spark, tmp_path):
+    """One URL and one time for all rows: its lines are still dealt out."""
+    pages = spark.range(4000).select(F.lit(None).cast("long").alias("page_id"), F.lit("http://one/").alias("url"), F.lit("x").alias("html"))
+    got = warc.capture_index(pages, folder=f"file://{tmp_path}/b", max_records=300, range_records=500)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 1000
+    archives = got.groupBy("archive").count().collect()
+    assert max(r["count"] for r in archives) <= 300
+
+
 # 8
 
 
