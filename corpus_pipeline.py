@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import decontaminate, exact_dedup, mixing, quality, simhash
-from loomgraph.llm.common import staged, table
+from loomgraph.llm.common import row_keyed, staged, table
 
 #: Documents go when the classifier gives the best grade less probability than this.
 LEAST_QUALITY = 0.5
@@ -22,16 +22,8 @@ LEAST_QUALITY = 0.5
 NEAR = {"width": 5, "words": 4, "radius": 24, "total": 72, "ratio": 0.8, "least": 0.8}
 
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs, written once with a number for each row, and the name of that column."""
-    row = "_row"
-    while row in map(str.lower, docs.columns):
-        row += "_"
-    return staged(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
-
-
 def without(docs: DataFrame, dropped: DataFrame, row: str) -> DataFrame:
-    """docs but the rows whose number is in dropped, and without the number.
+    """docs but the rows whose key is in dropped, and without the key.
 
     A merge join whatever the sizes: what is dropped grows with the corpus, so it is never broadcast."""
     return docs.join(dropped.select(row).hint("merge"), row, "left_anti").select(*[c for c in docs.columns if c != row])
@@ -43,27 +35,27 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs, row = keyed(docs)
+    docs, row = row_keyed(docs)
     key = F.struct("doc_id", F.col(row).alias("row"))  # the largest id stays, a null one last
     groups = exact_dedup.exact_groups(docs.select(key.alias("key"), "text"), "key")
     return without(docs, staged(groups.where("not kept").select(F.col("key.row").alias(row)), "copies"), row)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs, row = keyed(docs)
+    docs, row = row_keyed(docs)
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row"))  # the least id stays, a null one last
     groups = simhash.near_groups(docs.select(key.alias("key"), "text"), "key", **NEAR)
     return without(docs, staged(groups.where("not key <=> component_id").select(F.col("key.row").alias(row)), "near-copies"), row)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs, row = keyed(docs)
+    docs, row = row_keyed(docs)
     found = decontaminate.contamination_report(docs.select(row, "text"), table(spark, sf_dir, "benchmark"), row)
     return without(docs, staged(found.where("contaminated"), "leaks"), row)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs, row = keyed(docs)
+    docs, row = row_keyed(docs)
     mixed = mixing.mix(docs, carry=(row,)).where("taken > 0").select(row, "size", "source_size", "target", "taken", "draws")
     mixed = staged(mixed, "mix")
     return docs.drop(*mixed.columns[1:]).join(mixed.hint("merge"), row).drop(row)

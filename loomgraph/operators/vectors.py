@@ -7,11 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..functions.vectors import dot, l2_squared
+from ..functions.replies import json_object
+from ..staging import staged
 
 #: The predicates that an edge may have; fixed values.
 PREDICATES = (
@@ -30,19 +33,54 @@ PREDICATES = (
 )
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, query_col: str = "cand", shards: int = 16) -> DataFrame:
+#: Vectors in a block: a block pair is one numpy product, of 2048 x 2048 doubles at most (32 MB).
+BLOCK = 2048
+
+
+def packed(df: DataFrame, id_col: str, rows: int, n: int | None = None) -> tuple[DataFrame, int]:
+    """df (id, embedding) as blocks of about ``rows`` rows: (block, ids array, flat array of all components), and the
+    number of blocks."""
+    blocks = max(1, -(-(df.count() if n is None else n) // rows))
+    deal = F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int")
+    lists = df.select(deal.alias("block"), F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return lists.groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("rows")).select("block", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("flat")), blocks
+
+
+def _matrix(batch: pa.RecordBatch, k: int, ids: str, flat: str) -> tuple[pa.Array, np.ndarray]:
+    names = batch.column(ids)[k].values
+    return names, batch.column(flat)[k].values.to_numpy(zero_copy_only=False).reshape(len(names), -1)
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int, query_col: str = "cand", rows: int = BLOCK) -> DataFrame:
     """queries (query_col, embedding) against vectors (id, embedding): (query_col, id, d2, cosine, rank) of the k
-    nearest by L2, exactly.
-
-    A query set against all rows in blocks: each of ``shards`` blocks of vectors is compared with each of as many
-    blocks of queries, the k best of a block pair survive, and the last step ranks those few."""
-    deal = lambda df, c: F.pmod(F.xxhash64(df[c]), F.lit(shards))
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    q = queries.select(query_col, F.col("embedding").alias("qv"), deal(queries, query_col).alias("qb")).withColumn("vb", every)
-    v = vectors.select("id", F.col("embedding").alias("vv"), deal(vectors, "id").alias("vb")).withColumn("qb", every)
-    pairs = q.join(v, ["qb", "vb"]).select(query_col, "id", "vb", l2_squared(F.col("qv"), F.col("vv")).alias("d2"))
-    best = F.row_number().over(W.partitionBy(query_col, "vb").orderBy("d2", "id"))
-    few = pairs.withColumn("r", best).where(F.col("r") <= k)
+    nearest by L2, exactly, equal distances by id. Rows without a vector are left out.
+
+    A query set against all rows in blocks of ``rows``: each pair of blocks is one matrix product, which proposes; the
+    k best of each query in a block are settled by the plain sum of squares, and the last step ranks those few."""
+    queries, vectors = queries.where("embedding is not null"), vectors.where("embedding is not null")
+    q, n_q = packed(queries, query_col, rows)
+    v, n_v = packed(vectors, "id", rows)
+    left = q.select(F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("block"))
+    pairs = left.join(v, "block").select("q_ids", "q_flat", "ids", "flat", "block")
+    kind = lambda df, c: df.schema[c].dataType
+    schema = T.StructType([T.StructField(query_col, kind(queries, query_col)), T.StructField("id", kind(vectors, "id")), T.StructField("d2", T.DoubleType()), T.StructField("block", T.IntegerType())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                (qi, x), (vi, y) = _matrix(b, r, "q_ids", "q_flat"), _matrix(b, r, "ids", "flat")
+                near = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * (x @ y.T)
+                few = min(k, len(vi))
+                least = np.partition(near, few - 1, axis=1)[:, few - 1]
+                i, j = np.nonzero(near <= (least + 1e-9 * (1 + np.abs(least)))[:, None])
+                d2 = ((x[i] - y[j]) ** 2).sum(1)
+                order = np.lexsort((vi.to_numpy(zero_copy_only=False)[j], d2, i))
+                i, j, d2 = i[order], j[order], d2[order]
+                good = np.arange(len(i)) - np.searchsorted(i, i) < k
+                columns = [qi.take(pa.array(i[good])), vi.take(pa.array(j[good])), pa.array(d2[good]), pa.array(np.full(int(good.sum()), b.column("block")[r].as_py()), pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    few = pairs.mapInArrow(compare, schema)
     rank = F.row_number().over(W.partitionBy(query_col).orderBy("d2", "id"))
     return few.withColumn("rank", rank).where(F.col("rank") <= k).select(query_col, "id", "d2", (1 - F.col("d2") / 2).alias("cosine"), "rank")
 
@@ -56,35 +94,45 @@ def find_neighbors(queries: DataFrame, vectors: DataFrame, k: int = 10, least: f
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query").alias("id"), F.col("id").alias("neighbor"), "cosine", "rank")
 
 
-def threshold_pairs(vectors: DataFrame, least: float, blocks: int = 16) -> DataFrame:
-    """(a, b, cosine), a < b: all pairs of unit vectors of cosine ``least`` or more, exactly, block by block.
+def block_pairs(blocks: DataFrame, n: int) -> DataFrame:
+    """blocks (block, ids, flat) with each other: (a_ids, a_flat, ids, flat, same), every unordered pair once."""
+    left = blocks.select("block", F.col("ids").alias("a_ids"), F.col("flat").alias("a_flat")).withColumn("with", F.explode(F.sequence(F.col("block"), F.lit(n - 1))))
+    right = blocks.select(F.col("block").alias("with"), "ids", "flat")
+    return left.join(right, "with").select("a_ids", "a_flat", "ids", "flat", (F.col("block") == F.col("with")).alias("same"))
+
 
-    Rows are dealt to blocks and every block pair is one group, which numpy multiplies; ``blocks`` should rise with
-    the rows, so that a block (twice the rows over the blocks) stays small."""
-    deal = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    packed = vectors.select("id", "embedding", deal.alias("block"))
-    left = packed.withColumn("with", F.explode(F.sequence(F.col("block"), F.lit(blocks - 1)))).select("id", "embedding", F.lit(0).alias("side"), F.col("block").alias("x"), F.col("with").alias("y"))
-    right = packed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("block").cast("int")))).select("id", "embedding", F.lit(1).alias("side"), F.col("with").alias("x"), F.col("block").alias("y"))
+def threshold_pairs(vectors: DataFrame, least: float, rows: int = BLOCK) -> DataFrame:
+    """(a, b, cosine), a < b: all pairs of unit vectors (id, embedding) of cosine ``least`` or more, exactly.
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        one, two = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if one.empty or two.empty:
-            return pd.DataFrame({"a": [], "b": [], "cosine": []})
-        va, vb = (np.stack(x["embedding"]).astype(np.float64) for x in (one, two))
-        ia, ib = one["id"].to_numpy(), two["id"].to_numpy()
-        i, j = np.nonzero(va @ vb.T >= least)
-        a, b, c = ia[i], ib[j], (va[i] * vb[j]).sum(axis=1)
-        keep = a < b if pdf["x"].iloc[0] == pdf["y"].iloc[0] else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "cosine": c[keep]})
+    Blocks have ``rows`` rows however many there are, and a block pair is one matrix product; what it proposes is
+    settled by the plain sum of products."""
+    vectors = vectors.where("embedding is not null")
+    blocks, n = packed(vectors, "id", rows)
+    kind = vectors.schema["id"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("cosine", T.DoubleType())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                (ai, x), (bi, y) = _matrix(b, r, "a_ids", "a_flat"), _matrix(b, r, "ids", "flat")
+                i, j = np.nonzero(x @ y.T >= least - 1e-9)
+                c = (x[i] * y[j]).sum(1)
+                one, two = ai.to_numpy(zero_copy_only=False)[i], bi.to_numpy(zero_copy_only=False)[j]
+                good = (c >= least) & ((one < two) if b.column("same")[r].as_py() else (one != two))
+                swap = one > two
+                a, z = np.where(swap, two, one), np.where(swap, one, two)
+                yield pa.RecordBatch.from_arrays([pa.array(a[good], ai.type), pa.array(z[good], bi.type), pa.array(c[good])], names=schema.names)
 
-    return left.unionByName(right).groupBy("x", "y").applyInPandas(compare, "a long, b long, cosine double")
+    return block_pairs(staged(blocks, "vector-blocks"), n).mapInArrow(compare, schema)
 
 
 def propose_edges(replies: DataFrame, known: DataFrame, least: float | None = None) -> DataFrame:
-    """replies (source, document_id, reply JSON) to edges: targets by known name, predicates of the vocabulary,
-    confidence a number within 0 to 1 (1 if it isn't one; below ``least`` dropped). Bad JSON gives none."""
+    """replies (source, document_id, reply) to edges: targets by known name, predicates of the vocabulary,
+    confidence a number within 0 to 1 (1 if it isn't one; below ``least`` dropped). A reply may have its JSON object
+    in a fence or among other words, or be a bare list of edges; one without any gives none."""
     one = "struct<target:string,predicate:string,confidence:string>"
-    parsed = replies.select("source", "document_id", F.explode(F.from_json("reply", f"struct<edges:array<{one}>>")["edges"]).alias("e"))
+    repaired = F.from_json(json_object(F.col("reply")), f"struct<edges:array<{one}>,items:array<{one}>>")
+    parsed = replies.select("source", "document_id", repaired.alias("r")).select("source", "document_id", F.explode(F.coalesce("r.edges", "r.items")).alias("e"))
     confidence = F.least(F.greatest(F.coalesce(F.expr("try_cast(e.confidence AS double)"), F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
     edges = parsed.select("source", "document_id", F.col("e.target").alias("name"), F.col("e.predicate").alias("predicate"), confidence.alias("confidence"))
     edges = edges.where(F.col("predicate").isin(*PREDICATES)).join(known, "name").select("source", F.col("id").alias("target"), "predicate", "confidence", "document_id")
@@ -128,16 +176,50 @@ def mock_replies(prompts: DataFrame, canned: dict[str, str], default: str = "{}"
 
 
 def ask(prompts: DataFrame, model, batch_rows: int = 32) -> DataFrame:
-    """prompts (id, prompt) through model(list of prompts) -> list of replies, a batch at a time; failures are null."""
+    """prompts (id, prompt) through model(list of prompts) -> list of replies, a batch at a time: (id, reply, error).
+
+    A batch that fails is asked again row by row, so that only rows that fail have a null reply, and their error is
+    there to be stored and asked again later (``quarantined``)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            replies, errors = [], []
             for s in range(0, len(b), batch_rows):
-                part = b.iloc[s : s + batch_rows]
+                part = b["prompt"].tolist()[s : s + batch_rows]
                 try:
-                    replies = list(model(part["prompt"].tolist()))
-                except Exception:  # a failed call is a missing reply, not a failed job
-                    replies = [None] * len(part)
-                yield pd.DataFrame({"id": part["id"], "reply": replies})
+                    got = list(model(part))
+                    if len(got) != len(part):
+                        raise ValueError(f"{len(got)} replies to {len(part)} prompts")
+                    replies, errors = replies + got, errors + [None] * len(part)
+                except Exception:  # the model is the caller's: what it raises is unknown
+                    for prompt in part:
+                        try:
+                            (reply,), error = model([prompt]), None
+                        except Exception as e:
+                            reply, error = None, f"{type(e).__name__}: {e}"
+                        replies.append(reply)
+                        errors.append(error)
+            yield pd.DataFrame({"id": b["id"], "reply": pd.Series(replies, b.index, dtype=object), "error": pd.Series(errors, b.index, dtype=object)})
+
+    return prompts.select("id", "prompt").mapInPandas(run, f"id {prompts.schema['id'].dataType.simpleString()}, reply string, error string")
+
+
+def quarantined(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """answers (id, reply, error) as those that came, and those to be seen and asked again."""
+    return answers.where("error is null").drop("error"), answers.where("error is not null").select("id", "error")
+
+
+def embed(texts: DataFrame, model, size: int, batch_rows: int = 64) -> DataFrame:
+    """texts (id, text) through model(list of texts) -> rows of ``size`` numbers: (id, embedding) of unit length; a zero
+    row stays zero, and a row of another size is an error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for s in range(0, len(b), batch_rows):
+                v = np.asarray(model([t or "" for t in b["text"].tolist()[s : s + batch_rows]]), np.float64).reshape(-1, size)
+                n = np.linalg.norm(v, axis=1, keepdims=True)
+                out += list(v / np.where(n == 0, 1.0, n))
+            yield pd.DataFrame({"id": b["id"], "embedding": pd.Series(out, b.index, dtype=object)})
 
-    return prompts.select("id", "prompt").mapInPandas(run, f"id {prompts.schema['id'].dataType.simpleString()}, reply string")
+    return texts.select("id", "text").mapInPandas(run, f"id {texts.schema['id'].dataType.simpleString()}, embedding array<double>")
