@@ -20,7 +20,7 @@ from re import _parser as rp
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import row_keyed, split_join, staged
 
 MAX_STRINGS = 64
 
@@ -123,17 +123,21 @@ def postings(docs: DataFrame, trigrams: list[str], id_col: str = "doc_id", text_
     return low.select(id_col, F.explode(found).alias("trigram"))
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, kinds): for each document the indexed rules with a clause that its postings cover."""
+def candidates(docs: DataFrame, rules: tuple[Rule, ...], id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
+    """(id, kinds), for each document the indexed rules with a clause that its postings cover; and for every clause the
+    trigram of fewest postings, one of which every candidate holds."""
     spark = docs.sparkSession
     clauses = [(r.kind, n, sorted(c)) for r in rules for n, c in enumerate(sorted(trigram_query(r.pattern), key=sorted)) if c]
     trigrams = sorted({t for *_, c in clauses for t in c})
     if not trigrams:
-        return docs.select(id_col, F.array().cast("array<string>").alias("kinds")).limit(0)
+        return docs.select(id_col, F.array().cast("array<string>").alias("kinds")).limit(0), []
     rows = [(trigrams.index(t), kind, n, 1 << k, (1 << len(c)) - 1) for kind, n, c in clauses for k, t in enumerate(c)]
     asked = F.broadcast(spark.createDataFrame(rows, "trigram int, kind string, clause int, bit long, full long"))  # as many rows as the rules have trigrams
-    met = postings(docs, trigrams, id_col, text_col).join(asked, "trigram").groupBy(id_col, "kind", "clause", "full").agg(F.bit_or("bit").alias("bits"))
-    return met.where("bits = full").groupBy(id_col).agg(F.collect_set("kind").alias("kinds"))
+    index = staged(postings(docs, trigrams, id_col, text_col), "secret-postings")
+    sizes = {trigrams[r.trigram]: r["count"] for r in index.groupBy("trigram").count().collect()}  # a row a trigram of the rules
+    met = index.join(asked, "trigram").groupBy(id_col, "kind", "clause", "full").agg(F.bit_or("bit").alias("bits"))
+    rarest = sorted({min(c, key=lambda t: (sizes.get(t, 0), t)) for *_, c in clauses})
+    return met.where("bits = full").groupBy(id_col).agg(F.collect_set("kind").alias("kinds")), rarest
 
 
 def spans_of(text: Column, rule: Rule, rank: int) -> Column:
@@ -157,20 +161,24 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id and ``found``, an array of (start, kind, end) sorted by start, then rule order.
 
-    Null texts are empty and have none. Rows that repeat an id share its candidates, and each is searched in its
-    own text; null ids are compared like others. An empty table gives no rows; other columns are not read.
+    Rules without trigrams are searched in a pass over all texts, without a join. Those with are searched in the
+    candidates: only texts that hold some clause's rarest trigram reach the join with them, so no other text moves,
+    and the two passes' spans meet by row. Null texts are empty and have none. Rows that repeat an id, and null ids,
+    are rows of their own. An empty table gives no rows; other columns are not read.
     """
     kinds = [r.kind for r in rules]
     indexed = {r.kind for r in rules if trigram_query(r.pattern) != ANY}
-    hits = staged(candidates(docs, rules, id_col, text_col), "secret-candidates").withColumnRenamed(id_col, "_id")
-    texts = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    both = texts.join(hits, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    texts, row = row_keyed(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    hits, rarest = candidates(texts, rules, row, "text")
+    hits = staged(hits, "secret-candidates")
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
-    parts = [
-        F.when(F.array_contains("kinds", r.kind), spans_of(F.col("text"), r, k)).otherwise(none) if r.kind in indexed else spans_of(F.col("text"), r, k)
-        for k, r in enumerate(rules)
-    ]
-    found = both.select(id_col, F.array_sort(F.concat(*parts)).alias("found"))
+    part = lambda r, k: spans_of(F.col("text"), r, k)
+    scanned = texts.select("id", row, F.concat(none, *[part(r, k) for k, r in enumerate(rules) if r.kind not in indexed]).alias("scanned"))
+    held = texts.where(reduce(lambda a, b: a | b, [F.contains(F.lower("text"), F.lit(t)) for t in rarest], F.lit(False)))
+    asked = [F.when(F.array_contains("kinds", r.kind), part(r, k)).otherwise(none) for k, r in enumerate(rules) if r.kind in indexed]
+    verified = held.join(hits, row).select(row, F.concat(none, *asked).alias("verified")).where(F.size("verified") > 0)
+    both = split_join(scanned, staged(verified, "secret-spans"), [row], "left")
+    found = both.select(F.col("id").alias(id_col), F.sort_array(F.concat("scanned", F.coalesce("verified", none))).alias("found"))
     name = F.array(*[F.lit(k) for k in kinds])
     return found.select(id_col, F.transform("found", lambda x: F.struct(x["start"].alias("start"), F.element_at(name, x["rank"] + 1).alias("kind"), x["end"].alias("end"))).alias("found"))
 
