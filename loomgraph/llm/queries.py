@@ -25,7 +25,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_rules.url_verdicts(table(spark, sf_dir, "pages"), url_rules.page_labels(table(spark, sf_dir, "labels")))
+    return url_rules.url_verdicts(table(spark, sf_dir, "pages"))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,27 +216,72 @@ def test_verified_tiles_link_every_similar_pair(spark):
 # 4
 
 
+def url_parts(u):
+    if u is None or "://" not in u:
+        return "", ""
+    rest = u.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    return host.lower() if host.isascii() else host, re.match(r"[^?#]*", rest[len(host) :])[0]
+
+
+def tokens_by_hand(u):
+    host, path = url_parts(u)
+    labels = [x for x in reversed(host.split(".")) if x]
+    out = {f"h{i + 1}:{x}" for i, x in enumerate(labels)} | {f"w:{w}" for x in labels if re.search("[^a-z]", x) for w in re.findall("[a-z]{2,}", x)}
+    *dirs, file = path.split("/")
+    out |= {f"p{i + 1}:{x}" for i, x in enumerate([x for x in dirs if x])}
+    ext = re.search(r"\.([A-Za-z0-9]+)$", file)
+    out |= {f"x:{ext[1]}"} if ext else set()
+    out |= {f"f:{w}" for w in re.findall(r"[^\W_]+", file[: ext.start()] if ext else file)}
+    query = re.search(r"\?([^#]*)", u or "")
+    return out | ({f"q:{k}" for k in re.findall(r"(?:^|&)([^=&]+)", query[1])} if query else set())
+
+
+def verdicts_by_hand(rows, labels, support, confidence=0.9):
+    """Every combination of frequent tokens is counted, and every URL is held against every rule."""
+    import itertools
+
+    said, out, baskets = defaultdict(set), Counter(), []
+    for r in labels:
+        said[r.page_id].add(r.label)
+    given = {}
+    for r in rows:
+        host, path = url_parts(r.url)
+        fits = [g for g in url_rules.GIVEN if (host == g.host or host.endswith("." + g.host)) and path.startswith("/" + g.path)]
+        given[r.page_id, r.url] = best = max(fits, key=lambda g: len(g.name), default=None)
+        baskets += [(tokens_by_hand(r.url), x) for x in ([best.verdict] if best else said[r.page_id] if r.page_id is not None else [])]
+    n, counts = len(baskets), Counter(t for b, _ in baskets for t in b)
+    frequent = {t for t, k in counts.items() if k >= support * n}
+    sets = Counter(c for b, _ in baskets for k in range(1, len(frequent & b) + 1) for c in itertools.combinations(sorted(frequent & b), k))
+    both = Counter((c, y) for b, y in baskets for k in range(1, len(frequent & b) + 1) for c in itertools.combinations(sorted(frequent & b), k))
+    rules = [(k / sets[c], k / n, list(c), y) for (c, y), k in both.items() if k >= support * n - 1e-9 and k / sets[c] >= confidence]
+    assert rules
+    for r in rows:
+        best, held = given[r.page_id, r.url], tokens_by_hand(r.url)
+        mined = max((x for x in rules if held >= set(x[2])), default=None) if best is None else None
+        out[(r.page_id, *url_parts(r.url), best and best.name, best.verdict if best else mined[3] if mined else "allow", mined and " ".join(mined[2]))] += 1
+    return out
+
+
 def test_url_rules(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "url")
     more = [(1000, None), (1001, "no scheme"), (1002, "HTTP://COM/en/1"), (1003, "http://notcom/en/1"), (1004, "x://a.COM/en/"), (1005, "http://example.com/en/7?q"), (1006, "://"), (1006, "://"), (1007, "http://a.org?es/#x")]
     pages = pages.union(spark.createDataFrame(more, "page_id long, url string"))
-    labels = url_rules.page_labels(spark.read.parquet(f"{SMALL}/labels.parquet"))
     rows = pages.collect()
-    got = url_rules.url_verdicts(pages, labels).collect()
-    assert ids(got, "page_id") == ids(rows, "page_id")
-    url = {r.page_id: r.url for r in rows}
-    for g in got:
-        u = url[g.page_id]
-        host = path = ""
-        if u is not None and "://" in u:
-            rest = u.split("://", 1)[1]
-            host = re.match(r"[^/?#]*", rest)[0]
-            path, host = re.match(r"[^?#]*", rest[len(host) :])[0], host.lower()
-        fits = [r for r in url_rules.GIVEN if (host == r.host or host.endswith("." + r.host)) and path.startswith("/" + r.path)]
-        best = max(fits, key=lambda r: len(r.name), default=None)
-        assert (g.host, g.path, g.rule) == (host, path, best and best.name)
-        assert g.verdict in ("allow", "block") and (best is None or g.verdict == best.verdict)
-    assert url_rules.url_verdicts(pages.limit(0), labels).collect() == []
+    for labels in (None, spark.createDataFrame([(1001, "block"), (1001, "allow"), (1002, "allow"), (5, "block"), (None, "block")], "page_id long, label string")):
+        got = url_rules.url_verdicts(pages, labels, support=0.02).collect()
+        assert Counter(map(tuple, got)) == verdicts_by_hand(rows, labels.collect() if labels else [], 0.02)
+        assert any(g.mined for g in got)
+    assert url_rules.url_verdicts(pages.limit(0)).collect() == []
+
+
+def test_url_rules_on_odd_tables(spark, odd):
+    """Clashing columns, no URL at all, very long hosts, paths and queries, ties and repeated rows."""
+    assert ids(url_rules.url_verdicts(odd, id_col="doc_id", url_col="text").collect()) == Counter(r[0] for r in ROWS)
+    long = [(k, f"http://{'.'.join(f'l{i}' for i in range(3000))}.com/{'en/' * 3000}?{'k=1&' * 3000}") for k in (1, 1, 2)] + [(3, "http://a.com/en/" + "x" * 100_000)]
+    pages = spark.createDataFrame(long, "page_id long, url string").withColumns({c: F.lit("1") for c in ("id", "host", "path", "given", "tokens", "label", "known")})
+    got = url_rules.url_verdicts(pages, support=0.9).collect()
+    assert [r.verdict for r in got] == ["block"] * 4 and {r.rule for r in got} == {"com/en/"}
 
 
 def test_mined_rules_hold_and_match(spark):
