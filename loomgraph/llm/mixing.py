@@ -7,8 +7,10 @@ halves by a multivariate-hypergeometric draw seeded by the node, so shards have
 uniform random part of the mix, and any task can compute any shard's quota alone. A shard then draws disjoint
 ranges of each source's permuted blocks and is shuffled by itself.
 
-Where a document stands in its source comes from a two-level prefix sum (buckets of about ``bucket_docs``
-documents), so a source with a third of all rows is no single group. The driver holds one row per source.
+Where a document stands in its source comes from a two-level prefix sum: a source's documents are dealt to buckets
+of ``bucket_docs`` or of the root of their number, whichever is more, so neither a bucket nor the list of a source's
+buckets is long where a source has a third of all rows. Blocks are permuted by a keyed Feistel network. The driver and
+each task hold one row per source, and one number for each shard and source; more than ``MOST_SOURCES`` are refused.
 """
 
 from __future__ import annotations
@@ -27,7 +29,10 @@ from pyspark.sql import Window as W
 from .common import staged
 
 WEIGHTS = (3, 1, 2)
-MOST_BLOCKS = 500_000_000  # numpy's hypergeometric takes fewer than 10^9
+#: numpy's hypergeometric takes fewer than 10^9 blocks in all: beyond this many, blocks are of more words. Totals stay
+#: exact; only the grain of the shuffle changes.
+MOST_BLOCKS = 500_000_000
+MOST_SOURCES = 1_000_000
 
 DRAWS = T.ArrayType(
     T.StructType([T.StructField("shard", T.LongType()), T.StructField("rank", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n", T.LongType())])
@@ -62,6 +67,25 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return s.select("source", "source_size", "docs", "weight", target.alias("target"))
 
 
+def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The place of each x in a permutation of 0..n-1 that its key picks: four Feistel rounds on the least even number
+    of bits that holds n, walked on until the place is below n. Neighbours land anywhere."""
+    x, n, key = (np.asarray(v, np.uint64) for v in np.broadcast_arrays(x, n, key))
+    half = np.maximum(np.ceil(np.log2(np.maximum(n, np.uint64(2)).astype(float)) / 2), 1).astype(np.uint64)
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    out, todo = x.copy(), np.arange(len(x))
+    while len(todo):
+        v, h, m, k = out[todo], half[todo], mask[todo], key[todo]
+        left, right = v >> h, v & m
+        for r in range(4):
+            mixed = (right + k + np.uint64(r * 0x9E3779B9)) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            left, right = right, left ^ ((mixed >> np.uint64(32)) & m)
+        out[todo] = (left << h) | right
+        todo = todo[out[todo] >= n[todo]]
+    return out.astype(np.int64)
+
+
 def source_plan(rows: list, block_words: int, seed: int) -> tuple[pd.DataFrame, int]:
     """What a source's blocks are and how many are drawn: one line per source, and the block size."""
     block = max(block_words, math.ceil(sum(r.target for r in rows) / MOST_BLOCKS))
@@ -69,23 +93,18 @@ def source_plan(rows: list, block_words: int, seed: int) -> tuple[pd.DataFrame,
     for k, r in enumerate(rows):
         s, take = int(r.source_size), min(round(r.target), 2 * int(r.source_size)) if r.source_size else 0
         blocks = -(-s // block)
-        step, shift, passes, full, part = 1, 0, 0, 0, 0
+        key, passes, full, part = int(np.random.default_rng([seed, k]).integers(0, 1 << 62)), 0, 0, 0
         if blocks:
-            rng = np.random.default_rng([seed, k])
-            step = int(rng.integers(1, blocks + 1))
-            while math.gcd(step, blocks) != 1:
-                step = step % blocks + 1
-            shift = int(rng.integers(0, blocks))
             passes, rest = divmod(take, s)
-            short, at = s - (blocks - 1) * block, (step * (blocks - 1) + shift) % blocks  # the last block, and its rank
+            short, at = s - (blocks - 1) * block, int(permuted([blocks - 1], [blocks], [key])[0])  # the last block, and its rank
             if rest <= at * block:
                 full, part = divmod(rest, block)
             elif rest < at * block + short:
                 full, part = at, rest - at * block
             else:
                 full, part = divmod(rest + block - short, block)
-        out.append((r.source, k, s, int(r.docs), float(r.target), blocks, step, shift, passes, full, part))
-    names = ["source", "number", "source_size", "docs", "target", "blocks", "step", "shift", "passes", "full", "part"]
+        out.append((r.source, k, s, int(r.docs), float(r.target), blocks, key, passes, full, part))
+    names = ["source", "number", "source_size", "docs", "target", "blocks", "key", "passes", "full", "part"]
     return pd.DataFrame(out, columns=names), block
 
 
@@ -130,11 +149,13 @@ def mix(
     are partitioned.
     """
     sizes = measured(docs, id_col, text_col, source_col, seed, carry)
-    rows = targets(sizes, weights, share, most).orderBy(F.col("source").isNull(), "source").collect()
+    rows = targets(sizes, weights, share, most).orderBy(F.col("source").isNull(), "source").limit(MOST_SOURCES + 1).collect()
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: group them first")
     plan, block = source_plan(rows, block_words, seed)
     spark, kind = docs.sparkSession, sizes.schema["source"].dataType
     fields = [T.StructField("source", kind), *[T.StructField(c, T.DoubleType() if c == "target" else T.LongType()) for c in plan.columns[1:]]]
-    lines = spark.createDataFrame(plan.astype(object).values.tolist(), T.StructType(fields)).withColumn("buckets", F.ceil(F.col("docs") / bucket_docs)).withColumnRenamed("source", "_source")
+    lines = spark.createDataFrame(plan.astype(object).values.tolist(), T.StructType(fields)).withColumn("buckets", F.ceil(F.col("docs") / F.greatest(F.lit(float(bucket_docs)), F.sqrt("docs")))).withColumnRenamed("source", "_source")
     placed = sizes.join(lines, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     placed = placed.withColumn("bucket", F.least(F.floor(F.col("h") / F.lit(float(1 << 53)) * F.col("buckets")), F.col("buckets") - 1))
     sums = placed.groupBy("number", "bucket").agg(F.sum("size").alias("words"))
@@ -142,7 +163,7 @@ def mix(
     offsets = sums.select("number", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
     own = W.partitionBy("number", "bucket").orderBy("h", id_col, "size", *carry).rowsBetween(W.unboundedPreceding, -1)
     at = placed.join(offsets, ["number", "bucket"]).withColumn("begin", F.col("offset") + F.coalesce(F.sum("size").over(own), F.lit(0)))
-    keep = [id_col, "source", "size", "source_size", "target", *carry, "number", "begin", "blocks", "step", "shift", "passes", "full", "part"]
+    keep = [id_col, "source", "size", "source_size", "target", *carry, "number", "begin", "blocks", "key", "passes", "full", "part"]
     own_columns = 5 + len(carry)
     counts = [int(p.passes * p.blocks + p.full + (p.part > 0)) for p in plan.itertuples()]
     shards = max(1, math.ceil(sum(r.target for r in rows) / shard_words)) if rows else 1
@@ -158,7 +179,7 @@ def mix(
             b = first[row] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             x = {c: v[row] for c, v in x.items()}
             lo, hi = np.maximum(x["begin"], b * block), np.minimum(x["begin"] + x["size"], (b + 1) * block)
-            rank = (x["step"] * b + x["shift"]) % np.maximum(x["blocks"], 1)
+            rank = permuted(b, x["blocks"], x["key"])
             parts = []
             for p in range(int(x["passes"].max(initial=0)) + 1):
                 whole = (p < x["passes"]) | ((p == x["passes"]) & (rank < x["full"]))
