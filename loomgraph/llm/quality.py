@@ -78,43 +78,57 @@ class OrdinalModel:
         return _sigmoid(score[:, None] - self.thresholds[None, :])
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, epochs: int = 200, batch: int = 1024, rate: float = 0.3, l1: float = 1e-4, screen: float = 3.0, seed: int = 5) -> OrdinalModel:
-    """Mini-batch AdaGrad on the log-likelihood with an L1 penalty. Features whose rows reach each grade as often as
-    all rows do, within ``screen`` standard errors, keep weight 0: a long text is then not the sum of many small
-    errors. Without rows every grade is equally likely."""
+def log_likelihood(m: OrdinalModel, flat: np.ndarray, begin: np.ndarray, grades: np.ndarray) -> float:
+    """Mean log-probability of the grades."""
+    edge = np.concatenate((np.full((len(grades), 1), 1.0), m.tails(m.score(flat, begin[:-1])), np.zeros((len(grades), 1))), axis=1)
+    p = edge[np.arange(len(grades)), grades] - edge[np.arange(len(grades)), grades + 1]
+    return float(np.log(np.maximum(p, 1e-12)).mean())
+
+
+def gradients(m: OrdinalModel, flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of minus the mean log-likelihood, by weight and by threshold."""
+    k, y = len(m.thresholds) + 1, grades
+    score = m.score(flat, np.cumsum(sizes) - sizes)
+    upper = np.where(y < k - 1, m.thresholds[np.minimum(y, k - 2)] - score, 30.0)
+    lower = np.where(y > 0, m.thresholds[np.maximum(y - 1, 0)] - score, -30.0)
+    pu, pl = _sigmoid(upper), _sigmoid(lower)
+    du, dl, p = pu * (1 - pu) * (y < k - 1), pl * (1 - pl) * (y > 0), np.maximum(pu - pl, 1e-9)
+    g = np.bincount(flat, np.repeat((du - dl) / p, sizes), len(m.weights)) / len(y)
+    return g, (np.bincount(y, dl / p, k)[1:] - np.bincount(y, du / p, k)[:-1]) / len(y)
+
+
+def fit_ordinal(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_grades: int, epochs: int = 200, batch: int = 1024, rate: float = 0.3, l1: float = 1e-4, screen: float = 4.0, seed: int = 5) -> OrdinalModel:
+    """Mini-batch AdaGrad on the log-likelihood with an L1 penalty, from the rows' features laid end to end and their
+    numbers. Features whose rows reach each grade as often as all rows do, within ``screen`` standard errors, keep
+    weight 0: a long text is then not the sum of many small errors. Without rows every grade is equally likely."""
     base = np.arange(1, n_grades, dtype=float) / n_grades
     m = OrdinalModel(np.zeros(1 << BITS), np.log(base / (1 - base)))
-    if not len(rows):
+    if not len(sizes):
         return m
     share = np.clip([np.mean(grades <= k) for k in range(n_grades - 1)], 1e-3, 1 - 1e-3)
     thresholds = np.maximum.accumulate(np.log(share / (1 - share)) + 1e-3 * np.arange(n_grades - 1))
-    of = np.concatenate(rows)
-    n = np.maximum(np.bincount(of, minlength=1 << BITS), 1)
+    n = np.maximum(np.bincount(flat, minlength=1 << BITS), 1)
     tells = np.zeros(1 << BITS, bool)
     for k in range(1, n_grades):
         high = (grades >= k).astype(float)
-        rate_with = np.bincount(of, np.repeat(high, [len(r) for r in rows]), 1 << BITS) / n
+        rate_with = np.bincount(flat, np.repeat(high, sizes), 1 << BITS) / n
         tells |= np.abs(rate_with - high.mean()) * np.sqrt(n) > screen * max(high.std(), 1e-9)
     chosen = np.flatnonzero(tells)  # the weights fitted, and a zero for rows that have none of them
-    rows = [np.searchsorted(chosen, r[tells[r]]) if tells[r].any() else np.array([len(chosen)]) for r in rows]
+    row = np.repeat(np.arange(len(sizes)), sizes)[tells[flat]]
+    flat, none = np.searchsorted(chosen, flat[tells[flat]]), np.setdiff1d(np.arange(len(sizes)), row)
+    order = np.argsort(np.concatenate((row, none)), kind="stable")
+    flat = np.concatenate((flat, np.full(len(none), len(chosen))))[order]
+    sizes = np.maximum(np.bincount(row, minlength=len(sizes)), 1)
+    begin = np.concatenate(([0], np.cumsum(sizes)))
     fitted = OrdinalModel(np.zeros(len(chosen) + 1), thresholds)
-    sizes = np.array([len(r) for r in rows])
-    flat, begin = np.concatenate(rows), np.concatenate(([0], np.cumsum(sizes)))
     rng, w2, t2 = np.random.default_rng(seed), np.full(len(chosen) + 1, 1e-6), np.full(n_grades - 1, 1e-6)
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for s in range(0, len(rows), batch):
+        order = rng.permutation(len(sizes))
+        for s in range(0, len(sizes), batch):
             part = order[s : s + batch]
-            at = np.concatenate([flat[begin[i] : begin[i + 1]] for i in part])
             n = sizes[part]
-            score = fitted.score(at, np.cumsum(n) - n)
-            y = grades[part]
-            upper = np.where(y < n_grades - 1, fitted.thresholds[np.minimum(y, n_grades - 2)] - score, 30.0)
-            lower = np.where(y > 0, fitted.thresholds[np.maximum(y - 1, 0)] - score, -30.0)
-            pu, pl = _sigmoid(upper), _sigmoid(lower)
-            du, dl, p = pu * (1 - pu) * (y < n_grades - 1), pl * (1 - pl) * (y > 0), np.maximum(pu - pl, 1e-9)
-            g = np.bincount(at, np.repeat((du - dl) / p, n), len(chosen) + 1) / len(part)
-            gt = (np.bincount(y, dl / p, n_grades)[1:] - np.bincount(y, du / p, n_grades)[:-1]) / len(part)
+            at = flat[np.repeat(begin[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            g, gt = gradients(fitted, at, n, grades[part])
             w2 += g * g
             t2 += gt * gt
             step = rate / np.sqrt(w2)
@@ -139,7 +153,7 @@ def _features_of(docs: DataFrame, columns: list[str], text_col: str) -> DataFram
     return docs.select(*columns, text_col).mapInArrow(run, schema)
 
 
-def telling(rated: DataFrame, n_grades: int, screen: float = 3.0) -> np.ndarray:
+def telling(rated: DataFrame, n_grades: int, screen: float = 4.0) -> np.ndarray:
     """Numbers of the features that fit_ordinal's screen passes, counted by Spark over rated (grade, features)."""
     totals = {r.grade: r["count"] for r in rated.groupBy("grade").count().collect()}  # a row a grade
     every = sum(totals.values())
@@ -160,9 +174,10 @@ def only(rated: DataFrame, chosen: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = [x.values.to_numpy() for x in b.column(1)]
-            kept = [r[shared.value[r]].tolist() for r in lists]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.list_(pa.int32()))], names=["grade", "features"])
+            flat, n = b.column(1).flatten().to_numpy(), b.column(1).value_lengths().to_numpy()
+            good = shared.value[flat]
+            at = np.concatenate(([0], np.cumsum(np.bincount(np.repeat(np.arange(len(n)), n)[good], minlength=len(n)))))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat[good], pa.int32()))], names=["grade", "features"])
 
     return rated.select("grade", "features").mapInArrow(run, rated.select("grade", "features").schema)
 
@@ -172,11 +187,10 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, max_rows: int =
     rated = ratings.select(F.col(id_col), F.col("grade").cast("int").alias("grade")).where(F.col(id_col).isNotNull() & F.col("grade").between(0, n_grades - 1))
     sample = rated.orderBy(F.xxhash64(id_col), id_col, "grade").limit(max_rows)  # at most max_rows ids, so it may be broadcast
     featured = staged(_features_of(docs.join(F.broadcast(sample), id_col), ["grade"], text_col), "rated-features")
-    rows = only(featured, telling(featured, n_grades)).toArrow()
-    lists = [x.values.to_numpy() for x in rows.column("features")]
-    grades = rows.column("grade").to_numpy().astype(int)
-    order = sorted(range(len(lists)), key=lambda i: (grades[i], lists[i].tobytes()))  # whatever the partitions were
-    return fit_ordinal([lists[i] for i in order], grades[order], n_grades)
+    rows = only(featured, telling(featured, n_grades)).orderBy("grade", "features").toArrow()  # in one order, whatever the partitions were
+    features = rows.column("features").combine_chunks()
+    sizes, flat = features.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), features.flatten().to_numpy()
+    return fit_ordinal(flat, sizes, rows.column("grade").to_numpy().astype(int), n_grades)
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
