@@ -1,7 +1,7 @@
 """License scans by template markup.
 
-A template is license wording with markup: ``<<opt>> ... <</opt>>`` around words that may be left out, and
-``<<var m-n>>`` for m to n words of any kind. It compiles to an automaton over words; a place in a text is
+A template is license wording with markup: ``<<opt>> ... <</opt>>`` around words that may be left out (they may hold
+others), and ``<<var m-n>>`` for m to n words of any kind. It compiles to an automaton over words; a place in a text is
 accepted when the mandatory wording matches exactly, word by word. The longest accepted span at a start counts.
 """
 
@@ -37,6 +37,13 @@ TEMPLATES = (
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     Template("copyright", "copyright <<opt>>c<</opt>> <<var 1-8>> all rights reserved"),
     Template("spdx", "spdx license identifier <<var 1-1>>"),
+    Template("gpl-2.0", "<<opt>>gnu<</opt>> general public license <<opt>>as published by the free software foundation <<opt>>either<</opt>><</opt>> version 2 <<opt>>of the license <<opt>>or at your option any later version<</opt>><</opt>>"),
+    Template("lgpl", "gnu <<var 1-1>> general public license <<opt>>as published by the free software foundation<</opt>>"),
+    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    Template("isc", "permission to use copy modify and <<opt>>or<</opt>> distribute this software for any purpose with or without fee is hereby granted"),
+    Template("mpl-2.0", "subject to the terms of the mozilla public license <<opt>>v<</opt>> <<opt>>version<</opt>> 2 0"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain"),
+    Template("warranty", "the software is provided as is without warranty of any kind <<opt>>express or implied<</opt>>"),
 )
 
 
@@ -46,34 +53,39 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class TokenAutomaton:
-    """States 0..n over template elements; an element is a word, or None for any word."""
+    """States 0..n over template elements; an element is a word, or None for any word. Longer texts cost each start
+    no more than the template's own length."""
 
     def __init__(self, markup: str):
-        self.steps: list[tuple[bytes | None, int]] = []  # (word, the element to go on at without it, or -1)
-        opened = None
+        self.words: list[bytes | None] = []
+        self.skips: dict[int, list[int]] = defaultdict(list)  # from an element to those one may go on at without it
+        opened: list[int] = []
         for part in re.findall(r"<<.*?>>|[^\s<]+", markup):
             if part == "<<opt>>":
-                opened = len(self.steps)
+                opened.append(len(self.words))
             elif part == "<</opt>>":
-                self.steps[opened] = (self.steps[opened][0], len(self.steps))
+                self.skips[opened.pop()].append(len(self.words))
             elif m := re.fullmatch(r"<<var (\d+)-(\d+)>>", part):
                 low, high = map(int, m.groups())
-                end = len(self.steps) + high
-                self.steps += [(None, -1)] * low + [(None, end)] * (high - low)
+                at, end = len(self.words), len(self.words) + high
+                self.words += [None] * high
+                for k in range(at + low, end):
+                    self.skips[k].append(end)
             else:
-                self.steps.append((part.encode(), -1))
-        self.n = len(self.steps)
-        self.first = sorted({self.steps[s][0] for s in self._closed({0}) if s < self.n}, key=str)
-        if None in self.first or self.n in self._closed({0}):
-            raise ValueError(f"a template must begin with a word: {markup}")
+                self.words.append(part.encode())
+        self.n = len(self.words)
+        begin = self._closed({0})
+        self.first = sorted({self.words[s] for s in begin if s < self.n}, key=str)
+        if opened or None in self.first or self.n in begin:
+            raise ValueError(f"a template must begin with a word, and close what it opens: {markup}")
 
     def _closed(self, states: set[int]) -> set[int]:
         todo = list(states)
         while todo:
-            s = todo.pop()
-            if s < self.n and (to := self.steps[s][1]) >= 0 and to not in states:
-                states.add(to)
-                todo.append(to)
+            for to in self.skips.get(todo.pop(), ()):
+                if to not in states:
+                    states.add(to)
+                    todo.append(to)
         return states
 
     def accept(self, words: list[bytes], at: int) -> int:
@@ -81,7 +93,7 @@ class TokenAutomaton:
         states, best = self._closed({0}), -1
         for i in range(at, len(words)):
             w = words[i]
-            states = self._closed({s + 1 for s in states if s < self.n and self.steps[s][0] in (None, w)})
+            states = self._closed({s + 1 for s in states if s < self.n and self.words[s] in (None, w)})
             if not states:
                 break
             if self.n in states:

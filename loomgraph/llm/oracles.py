@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from .licenses import TEMPLATES, Template, TokenAutomaton
 from .secrets import RULES, Rule
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,3 +63,34 @@ WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w F
   t AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM m GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)"""
+
+
+def _regex(markup: str) -> str:
+    """A template as a pattern over words that each end in a blank."""
+    out = ""
+    for part in re.findall(r"<<.*?>>|[^\s<]+", markup):
+        if part == "<<opt>>":
+            out += "(?:"
+        elif part == "<</opt>>":
+            out += ")?"
+        elif m := re.fullmatch(r"<<var (\d+)-(\d+)>>", part):
+            out += f"(?:[^ ]+ ){{{m[1]},{m[2]}}}"
+        else:
+            out += part + " "
+    return out
+
+
+def license_scan(templates: tuple[Template, ...] = TEMPLATES) -> str:
+    automata = [TokenAutomaton(t.markup) for t in templates]
+    first = ", ".join(f"'{w}'" for w in sorted({w.decode() for a in automata for w in a.first}))
+    found = " UNION ALL ".join(
+        f"SELECT r, i, '{t.label}' AS label, {t.base} AS base, len(string_split(regexp_extract(t, '^({_regex(t.markup)})', 1), ' ')) - 1 AS n FROM s WHERE regexp_matches(t, '^{_regex(t.markup)}')" for t in templates
+    )
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+  s AS MATERIALIZED (SELECT r, i, array_to_string(w[i + 1:i + {max(a.n for a in automata)}], ' ') || ' ' AS t FROM (SELECT r, w, unnest(range(len(w))) AS i FROM d) WHERE w[i + 1] IN ({first})),
+  f AS MATERIALIZED ({found}),
+  g AS (SELECT r, count(*) FILTER (base) AS n_base, min(i) FILTER (base) AS first_word, max(i) FILTER (base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM f GROUP BY r),
+  c AS (SELECT r, count(DISTINCT p) AS covered FROM (SELECT r, unnest(range(i, i + n)) AS p FROM f) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN len(w) = 0 THEN 0.0::DOUBLE ELSE coalesce(covered, 0) / CAST(len(w) AS DOUBLE) END AS score FROM d LEFT JOIN g USING (r) LEFT JOIN c USING (r)"""

@@ -74,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": oracles.EXACT_DEDUP,
     "op5_secret_scan": oracles.secret_scan(),
+    "op6_license_scan": oracles.license_scan(),
     "op7_warc": oracles.WARC,
     "op8_decontaminate": oracles.DECONTAMINATE,
 }

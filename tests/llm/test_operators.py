@@ -47,12 +47,73 @@ def test_quality_thresholds_are_ordered_and_odd_rows_pass(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, grade int")
     assert ids(quality.quality_report(odd, none).collect()) == Counter(r[0] for r in ROWS)
     assert quality.quality_report(empty, none).collect() == []
-    m = quality.fit_ordinal([np.array([k % 7, 8 + k % 3]) for k in range(50)], np.arange(50) % 4, 4)
+    flat = np.concatenate([np.array([k % 7, 8 + k % 3]) for k in range(50)])
+    m = quality.fit_ordinal(flat, np.full(50, 2), np.arange(50) % 4, 4)
     assert (np.diff(m.thresholds) > 0).all()
+    tied = quality.fit_ordinal(np.zeros(40, int), np.ones(40, int), np.arange(40) % 2, 3)  # equal rows of either grade
+    assert np.isfinite(tied.weights).all() and abs(tied.weights[0]) < 1
     some = spark.createDataFrame([(1, 2), (4, 0), (9, 2), (8, 1), (None, 1), (6, 7), (7, None)], "doc_id long, grade int")
     assert quality.select_quality(odd, some, least=0.0).columns == odd.columns
 
 
+def ordinal_rows(rng, n=300, kinds=12):
+    rows = [np.unique(rng.integers(0, kinds, rng.integers(1, 6))) for _ in range(n)]
+    truth = rng.normal(0, 1.5, kinds)
+    score = np.array([truth[r].sum() for r in rows]) + rng.logistic(0, 1, n)
+    return np.concatenate(rows), np.array([len(r) for r in rows]), np.digitize(score, [-1.0, 1.0])
+
+
+def likelihood_by_hand(w, t, flat, sizes, grades):
+    """Row by row, from the definition: P(grade <= k) is the logistic of threshold k less the score."""
+    total, at = 0.0, 0
+    for n, y in zip(sizes, grades):
+        score, at = sum(w[f] for f in flat[at : at + n]), at + n
+        below = [0.0] + [1 / (1 + np.exp(-(x - score))) for x in t] + [1.0]
+        total += np.log(below[y + 1] - below[y])
+    return total / len(sizes)
+
+
+def test_ordinal_likelihood_and_gradients_by_hand():
+    rng = np.random.default_rng(11)
+    flat, sizes, grades = ordinal_rows(rng)
+    m = quality.OrdinalModel(rng.normal(0, 0.5, 12), np.array([-0.7, 0.9]))
+    begin = np.concatenate(([0], np.cumsum(sizes)))
+    by_hand = lambda w, t: likelihood_by_hand(w, t, flat, sizes, grades)
+    assert abs(quality.log_likelihood(m, flat, begin, grades) - by_hand(m.weights, m.thresholds)) < 1e-9
+    g, gt = quality.gradients(m, flat, sizes, grades)
+    for k in range(12):
+        step = np.eye(12)[k] * 1e-5
+        assert abs(g[k] + (by_hand(m.weights + step, m.thresholds) - by_hand(m.weights - step, m.thresholds)) / 2e-5) < 1e-6
+    for k in range(2):
+        step = np.eye(2)[k] * 1e-5
+        assert abs(gt[k] + (by_hand(m.weights, m.thresholds + step) - by_hand(m.weights, m.thresholds - step)) / 2e-5) < 1e-6
+
+
+def test_ordinal_fit_is_the_best_there_is():
+    """Against plain gradient descent on the same likelihood, without screen or penalty."""
+    flat, sizes, grades = ordinal_rows(np.random.default_rng(12), 600)
+    begin = np.concatenate(([0], np.cumsum(sizes)))
+    m = quality.fit_ordinal(flat, sizes, grades, 3, l1=0.0, screen=-1.0)
+    best = quality.OrdinalModel(np.zeros(12), np.array([-1.0, 1.0]))
+    for _ in range(4000):
+        g, gt = quality.gradients(best, flat, sizes, grades)
+        best.weights, best.thresholds = best.weights - 0.5 * g, best.thresholds - 0.5 * gt
+    got, want = (quality.log_likelihood(x, flat, begin, grades) for x in (m, best))
+    assert got > want - 0.01 and np.abs(m.weights[:12] - best.weights).max() < 0.35
+
+
+def test_quality_held_out(spark):
+    """Fitted on the labels of half the ids of sf0.1, judged on the other half, which nothing here has seen."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    grades = quality.grades_of(spark.read.parquet("/root/testdata/sf0.1/labels.parquet")).where("grade is not null")
+    half = F.pmod(F.xxhash64(F.lit("held out"), "doc_id"), F.lit(2))
+    judged = docs.join(grades.where(half == 1), "doc_id", "left_semi")
+    got = quality.quality_report(docs, grades.where(half == 0)).join(judged.select("doc_id"), "doc_id", "left_semi").join(grades, "doc_id")
+    share = {r.grade: r.s for r in got.groupBy("grade").agg(F.avg(F.col("kept").cast("int")).alias("s")).collect()}
+    print("held out, share kept by grade", share)
+    assert share[2] > 0.97 and share[1] < 0.4 and share[0] < 0.1  # with 2,000 labels to learn from; README has more
+
+
 # 2
 
 
@@ -332,14 +393,54 @@ def test_automaton():
     assert a.accept(w("licensed under a x y end"), 0) == -1
 
 
+def test_nested_and_wrong_markup():
+    a = licenses.TokenAutomaton("a <<opt>>b <<opt>>c<</opt>> <<var 0-1>> d<</opt>> e")
+    w = lambda s: s.encode().split()
+    assert [a.accept(w(x), 0) for x in ("a e", "a b d e", "a b c d e", "a b x d e", "a b c x d e", "a c e", "a b c x y d e", "a b e")] == [2, 4, 5, 5, 6, -1, -1, -1]
+    for bad in ("<<opt>>a<</opt>>", "<<var 1-2>> a", "a <<opt>> b"):
+        with pytest.raises(ValueError):
+            licenses.TokenAutomaton(bad)
+
+
+#: A text, and what each template says of it, by label.
+LICENSED = (
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software!", "mit", 1.0),
+    ("x Copyright (c) 2020 A B. All rights reserved y", "copyright,reserved", 8 / 10),
+    ("Copyright all rights reserved", "reserved", 3 / 4),
+    ("SPDX-License-Identifier: MIT", "spdx", 1.0),
+    ("GNU Lesser General Public License", "gpl,lgpl", 1.0),
+    ("the General Public License, version 2 of the License, or (at your option) any later version", "gpl,gpl-2.0", 15 / 16),
+    ("THE SOFTWARE IS PROVIDED 'AS IS', WITHOUT WARRANTY OF ANY KIND", "warranty", 1.0),
+    ("licensed under the Apache License 2.1", "", 0.0),
+    ("Licensed under Creative Commons CC BY-NC 4.0 license", "cc-by,cc-by-nc-4.0", 1.0),
+)
+
+
+def test_license_labels_by_case(spark):
+    got = licenses.license_scan(spark.createDataFrame([(k, t) for k, (t, *_) in enumerate(LICENSED)], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.labels, round(r.score, 9)) for r in got} == {k: (labels, round(score, 9)) for k, (_, labels, score) in enumerate(LICENSED)}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SMALL)
+    r = c.execute(queries.ORACLES[name])
+    columns = [x[0] for x in r.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert Counter(map(tuple, df.select(*columns).collect())) == Counter(r.fetchall())
+
+
 def test_license_scan(odd, docs, empty):
     assert licenses.license_scan(empty).collect() == []
     phrases = {"cc-by": ["cc", "by"], "gpl": ["general", "public", "license"], "reserved": ["all", "rights", "reserved"]}
     for df in (odd, docs):
         rows = df.collect()
         got = licenses.license_scan(df).collect()
-        for r, g in zip(sorted(rows, key=repr), sorted(got, key=lambda g: repr(g.doc_id))):
-            pass
         want = []
         for r in rows:
             low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r.text or "")
@@ -524,6 +625,37 @@ def test_mix(odd, docs, empty):
         assert Counter((r.doc_id, r.taken) for r in again) == Counter((r.doc_id, r.taken) for r in got)
 
 
+def test_blocks_are_permuted():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 5, 16, 17, 1000):
+        for key in rng.integers(0, 1 << 62, 5):
+            p = mixing.permuted(np.arange(n), n, key)
+            assert sorted(p.tolist()) == list(range(n))
+            if n == 1000:  # neighbours are at no constant stride, and land all over
+                steps = Counter(np.diff(p).tolist())
+                assert max(steps.values()) < 12 and abs(np.corrcoef(np.arange(n), p)[0, 1]) < 0.15
+
+
+def test_mix_sizes_and_targets_in_sql(spark, docs, odd, tmp_path):
+    """size, source_size and target by DuckDB: the water level is raised step by step."""
+    import duckdb
+
+    for k, df in enumerate((docs, odd)):
+        path = str(tmp_path / f"m{k}")
+        df.select("doc_id", "text", "source").write.parquet(path)
+        sql = rf"""WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM '{path}/*.parquet'),
+          s AS (SELECT source, sum(size) AS n, [3, 1, 2][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS w FROM d GROUP BY 1),
+          fill AS (SELECT 0 AS round, (SELECT 1.5 * sum(n) / sum(w) FROM s)::DOUBLE AS level
+            UNION ALL SELECT round + 1, ((SELECT 1.5 * sum(n) FROM s) - (SELECT coalesce(sum(2 * n), 0) FROM s WHERE level * w > 2 * n)) / (SELECT sum(w) FROM s WHERE level * w <= 2 * n) FROM fill
+            WHERE round < 40 AND EXISTS (SELECT 1 FROM s WHERE level * w <= 2 * n)),
+          top AS (SELECT arg_max(level, round) AS level FROM fill WHERE level IS NOT NULL)
+          SELECT doc_id, size, CAST(n AS BIGINT), least(2 * n, level * w)::DOUBLE FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source, top"""
+        want = duckdb.sql(sql).fetchall()
+        got = mixing.mix(df).select("doc_id", "size", "source_size", "target").collect()
+        near = lambda rows: Counter((*r[:3], round(r[3], 5)) for r in rows)
+        assert near(got) == near(want)
+
+
 def test_splitting_tree():
     q = mixing.shard_quotas([100, 7, 0, 33], 9, 1)
     assert q.sum(axis=0).tolist() == [100, 7, 0, 33] and q.sum(axis=1).max() - q.sum(axis=1).min() <= 1
@@ -589,6 +721,53 @@ def test_token_counts(odd, docs, empty):
         assert all(r.n_tokens == r.title_tokens + r.body_tokens + r.tail_tokens and r.outside == 0 for r in got)
 
 
+def sections_by_hand(text):
+    """(title end, tail start) in bytes: the first line with its break, and the last one if there are three or more."""
+    lines = text.split("\n")
+    if len(lines) == 1:
+        return len(text.encode()), len(text.encode())
+    title = len((lines[0] + "\n").encode())
+    return title, max(title, len(text.encode()) - len(lines[-1].encode()))
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_sections_by_hand(spark, odd, docs, rule):
+    """Every token of every document, one by one."""
+    more = spark.createDataFrame([(50, "one line"), (51, "Zürich\nand\nmore été"), (52, "\n"), (53, "a\n"), (54, "\n\nx"), (55, "t\n" + "body words " * 50 + "\nlast\n")], "doc_id long, text string")
+    encoding, lengths = token_counts.load(token_counts.default_vocabulary())
+    for df in (odd.select("doc_id", "text"), docs.select("doc_id", "text"), more):
+        want = []
+        for r in df.collect():
+            text, parts, n, crossing, at = r.text or "", [0.0, 0.0, 0.0], 0, 0, 0
+            a, b = sections_by_hand(text)
+            cuts = [(0, a), (a, b), (b, len(text.encode()))]
+            for t in encoding.encode_ordinary(text):
+                s, e = at, at + int(lengths[t])
+                share = [max(0, min(e, y) - max(s, x)) for x, y in cuts]
+                if rule == "split":
+                    parts = [p + x / (e - s) for p, x in zip(parts, share)]
+                else:
+                    k = next(k for k, (x, y) in enumerate(cuts) if x <= (s if rule == "start" else e - 1) < y) if rule != "majority" else share.index(max(share))
+                    parts[k] += 1
+                crossing += sum(x > 0 for x in share) > 1
+                n, at = n + 1, e
+            want.append((r.doc_id, n, *(round(p, 6) for p in parts), 0.0, crossing))
+        got = [(r.doc_id, r.n_tokens, round(r.title_tokens, 6), round(r.body_tokens, 6), round(r.tail_tokens, 6), round(r.outside, 6), r.n_crossing) for r in token_counts.token_report(df, rule=rule).collect()]
+        assert Counter(got) == Counter(want)
+
+
+def test_invalid_and_overlapping_sections(spark):
+    """Empty, reversed and far sections have no tokens; an overlap is the earlier section's."""
+    span = lambda name, a, b: F.struct(F.lit(name).alias("name"), F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end"))
+    some = lambda c: F.array(span("late", 8, 99), span("none", 3, 3), span("back", 6, 2), span("first", 0, 9), span("far", 500, 600))
+    df = spark.createDataFrame([(1, "the cat sat on the mat"), (2, ""), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in token_counts.token_counts(df, some).collect()}
+    tokens = {x["name"]: x["tokens"] for x in got[1].counts}
+    assert sum(tokens.values()) + got[1].outside == got[1].n_tokens and tokens.get("none", 0) == tokens.get("back", 0) == tokens.get("far", 0) == 0
+    assert tokens["first"] == 3 and got[2].n_tokens == got[3].n_tokens == 0
+    assert {x["name"]: x["tokens"] for x in token_counts.token_counts(df.limit(1), lambda c: F.lit(None).cast("array<struct<name:string,start:bigint,end:bigint>>")).first().counts} == {}
+
+
 # common
 
 
