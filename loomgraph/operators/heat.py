@@ -6,25 +6,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..staging import split_join
 from .listing import is_draft
 
 
-def co_activity(docs: DataFrame, links: DataFrame, as_of: str, days: int = 30) -> DataFrame:
-    """(id, co_activity): other documents created in the last ``days`` (whole days) that share a concept."""
+#: What the score counts up to: beyond these, more co-active documents or edges change nothing.
+MOST_CO, MOST_EDGES = 5, 10
+
+
+def _least(rows: DataFrame, key: str, value: str, n: int) -> DataFrame:
+    """(key, few): the n least values of each key as an array. A hot key sends n rows a task to the shuffle."""
+    place = F.row_number().over(W.partitionBy(key).orderBy(value))
+    return rows.withColumn("_place", place).where(F.col("_place") <= n).groupBy(key).agg(F.collect_list(value).alias("few"))
+
+
+def _union_size(links: DataFrame, few: DataFrame, most: int, name: str, besides_self: bool) -> DataFrame:
+    """(id, name): how many different values a document's concepts have, ``most`` at most."""
+    met = split_join(links, few, ["engram_id"]).groupBy("document_id").agg(F.array_distinct(F.flatten(F.collect_list("few"))).alias("all"))
+    every = F.array_remove("all", F.col("document_id")) if besides_self else F.col("all")
+    return met.select(F.col("document_id").alias("id"), F.least(F.size(every), F.lit(most)).cast("long").alias(name)).where(F.col(name) > 0)
+
+
+def co_activity(docs: DataFrame, links: DataFrame, as_of: str, days: int = 30, most: int = MOST_CO) -> DataFrame:
+    """(id, co_activity): other documents created in the last ``days`` (whole days) that share a concept, counted up to
+    ``most``. Of each concept the ``most`` + 1 recent documents of least id are enough for that: if it has more, they
+    reach ``most`` without the document itself. So a concept that everything has is one short row, not all its pairs."""
     fresh = docs.where(F.to_date("created_at") >= F.date_sub(F.to_date(F.lit(as_of)), days)).select(F.col("id").alias("other"))
     recent = links.join(fresh, links["document_id"] == fresh["other"]).select("engram_id", "other")
-    pairs = links.join(recent, "engram_id").where("other <> document_id")
-    return pairs.groupBy(F.col("document_id").alias("id")).agg(F.count_distinct("other").alias("co_activity"))
+    return _union_size(links, _least(recent, "engram_id", "other", most + 1), most, "co_activity", True)
 
 
-def edge_counts(links: DataFrame, edges: DataFrame, distinct: bool = True) -> DataFrame:
-    """(id, edge_count): edges that touch a concept of the document, by an equi-join for each end. Not distinct: one
-    for each concept and edge that meet."""
-    by = lambda c: links.join(edges.select(F.col("id").alias("edge"), F.col(c).alias("engram_id")), "engram_id")
-    second = links.join(edges.where("source <> target").select(F.col("id").alias("edge"), F.col("target").alias("engram_id")), "engram_id")
-    both = by("source").unionByName(second)
-    n = F.count_distinct("edge") if distinct else F.count(F.lit(1))
-    return both.groupBy(F.col("document_id").alias("id")).agg(n.alias("edge_count"))
+def edge_counts(links: DataFrame, edges: DataFrame, distinct: bool = True, most: int = MOST_EDGES) -> DataFrame:
+    """(id, edge_count): edges that touch a concept of the document, counted up to ``most``, from the ``most`` of least id of
+    each concept. Not distinct: one for each concept and edge that meet, from the concepts' degrees."""
+    ends = edges.select(F.col("id").alias("edge"), F.explode(F.array_distinct(F.array("source", "target"))).alias("engram_id"))
+    if distinct:
+        return _union_size(links, _least(ends, "engram_id", "edge", most), most, "edge_count", False)
+    degree = ends.groupBy("engram_id").agg(F.count(F.lit(1)).alias("n"))
+    return split_join(links, degree, ["engram_id"]).groupBy(F.col("document_id").alias("id")).agg(F.least(F.sum("n"), F.lit(most)).alias("edge_count"))
 
 
 def days_before(at: Column, as_of: str) -> Column:
@@ -32,7 +51,8 @@ def days_before(at: Column, as_of: str) -> Column:
 
 
 def heat(docs: DataFrame, links: DataFrame, edges: DataFrame, as_of: str, variant: str = "standard") -> DataFrame:
-    """(id, co_activity, edge_count, heat_score, heat_tier) of documents that aren't drafts.
+    """(id, co_activity, edge_count, heat_score, heat_tier) of documents that aren't drafts; the counts stop where the
+    score does.
 
     0.40 recency, 0.35 co-activity up to 5, 0.10 revisions and 0.15 edges up to 10. 'standard': recency from
     updated_at, never in the future, revision 1 counts as none, edges distinct. 'created': from created_at as it

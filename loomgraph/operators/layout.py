@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..staging import split_join, staged
+from .components import components
+from .vectors import knn, matrix
+
 NOISE_COLOR = "#787068"
 
 
@@ -41,97 +47,90 @@ def project_pca(vectors: DataFrame, k: int = 3) -> DataFrame:
     return out.select("id", *[F.col("p")[i].alias(c) for i, c in enumerate("xyz")])
 
 
-def hdbscan(points: np.ndarray, min_size: int) -> np.ndarray:
-    """Labels from 0, -1 for noise: core distances, minimum spanning tree of mutual reachability, condensed tree,
-    and clusters of the greatest stability (never all points at once)."""
-    n = len(points)
-    if n < max(min_size, 2):
-        return np.full(n, -1)
-    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
-    core = np.sort(d, axis=1)[:, min(min_size, n - 1)]
-    reach = np.maximum(d, np.maximum(core[:, None], core[None]))
-    seen, best, link = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int)
-    edges, at = [], 0
-    for _ in range(n - 1):  # Prim
-        seen[at] = True
-        closer = ~seen & (reach[at] < best)
-        best[closer], link[closer] = reach[at][closer], at
-        nxt = int(np.argmin(np.where(seen, np.inf, best)))
-        edges.append((best[nxt], link[nxt], nxt))
-        at = nxt
-    children, size, parent, top = {}, {i: 1 for i in range(n)}, list(range(n)), {i: i for i in range(n)}
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for k, (w, a, b) in enumerate(sorted(edges)):
-        a, b = root(a), root(b)
-        node = n + k
-        children[node] = (top[a], top[b], w)
-        size[node] = size[top[a]] + size[top[b]]
-        parent[b] = a
-        top[a] = node
-
-    def leaves(node):
-        out, todo = [], [node]
-        while todo:
-            x = todo.pop()
-            todo += children[x][:2] if x in children else []
-            out += [x] if x < n else []
-        return out
-
-    clusters, todo = [], [(2 * n - 2, 0.0, None)]  # (top node, birth, parent cluster)
-    while todo:
-        node, birth, above = todo.pop()
-        me = {"points": leaves(node), "above": above, "stability": 0.0, "below": []}
-        clusters.append(me)
-        if above is not None:
-            above["below"].append(me)
-        while node in children:
-            a, b, w = children[node]
-            lam = 1 / max(w, 1e-12)
-            big = [c for c in (a, b) if size[c] >= min_size]
-            if len(big) == 2:
-                me["stability"] += (lam - birth) * size[node]
-                todo += [(c, lam, me) for c in big]
-                break
-            me["stability"] += (lam - birth) * sum(size[c] for c in (a, b) if c not in big)
-            if not big:
-                break
-            node = big[0]
-    for c in reversed(clusters):
-        below = sum(x["best"] for x in c["below"])
-        c["chosen"] = c["above"] is not None and (not c["below"] or c["stability"] >= below)
-        c["best"] = c["stability"] if c["chosen"] or not c["below"] else below
-    labels, k = np.full(n, -1), 0
-    todo = [clusters[0]]
-    while todo:
-        c = todo.pop()
-        if c["chosen"]:
-            labels[c["points"]] = k
-            k += 1
-        else:
-            todo += c["below"][::-1]
-    return labels
-
-
-def cluster(points: DataFrame, group: str) -> DataFrame:
-    """(group, id, cluster_id) of points (group, id, x, y, z), clustered by density within each group; noise is null.
-
-    The distance matrix of a group is held by one task, so groups must be of a known, small size (a map that is
-    drawn): pass a coarse cell as the group for more."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = len(pdf)
-        labels = hdbscan(pdf[["x", "y", "z"]].to_numpy(), min(5, max(2, n // 3)))
-        return pd.DataFrame({group: pdf[group], "id": pdf["id"], "cluster_id": pd.array([None if x < 0 else int(x) for x in labels], dtype="Int64")})
-
-    kind = lambda c: points.schema[c].dataType
-    schema = T.StructType([T.StructField(group, kind(group)), T.StructField("id", kind("id")), T.StructField("cluster_id", T.LongType())])
-    return points.select(group, "id", "x", "y", "z").groupBy(group).applyInPandas(run, schema)
+def cluster(points: DataFrame, min_size: int = 5, eps: float | None = None, share: float = 0.9) -> DataFrame:
+    """(id, cluster_id) of points (id, x, y, z), clustered by density; noise is null, a cluster is named by its least
+    core id.
+
+    A point is core if ``min_size`` points, itself included, lie within ``eps``; core points within ``eps`` of each other are
+    one cluster, and another point joins its nearest core point (the lesser id if equal) within ``eps``. Without ``eps``
+    it is the distance that ``share`` of the points have ``min_size`` points within, estimated.
+
+    Points meet by cell. A cell's diagonal is below ``eps``, so its core points are one cluster without being compared,
+    and it is dealt into tiles of bounded size; only points of different cells within reach are compared, tile by tile,
+    and a pair of tiles returns counts, a link between cells, or nearest core points, never pairs."""
+    points = staged(points.where("x is not null and y is not null and z is not null").select("id", *[F.col(c).cast("double").alias(c) for c in "xyz"]), "points")
+    if eps is None:
+        kth = knn(points.select(F.col("id").alias("q"), F.array(*"xyz").alias("embedding")), points.select("id", F.array(*"xyz").alias("embedding")), min_size, "q")
+        eps = kth.groupBy("q").agg(F.max("d2").alias("d2"), F.count(F.lit(1)).alias("n")).where(F.col("n") == min_size).agg(F.expr(f"percentile_approx(sqrt(d2), {float(share)}, 10000)")).first()[0]
+    if not eps:
+        eps = 1e-12
+    side = eps / 3**0.5 * (1 - 1e-9)
+    cell = [F.floor(F.col(c) / side).cast("long").alias(f"c{c}") for c in "xyz"]
+    celled = staged(points.select("id", *"xyz", *cell), "celled")
+    kind = points.schema["id"].dataType
+    counts = _neighbours(celled, celled, eps, T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType())]), _count)
+    core_ids = counts.groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_size).select("id")
+    core = staged(celled.join(core_ids, "id", "left_semi"), "core")
+    key = ["cx", "cy", "cz"]
+    first = staged(core.groupBy(*key).agg(F.min("id").alias("v")), "core-cells")
+    within = split_join(core.select("id", *key), first, key).select(F.col("id").alias("u"), "v").where("u <> v")
+    between = _neighbours(core, core, eps, T.StructType([T.StructField("u", kind), T.StructField("v", kind)]), _touch, own_cell=False)
+    roots = components(within.unionByName(between))
+    named = core.select("id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("cluster_id"))
+    rest = celled.join(core_ids, "id", "left_anti")
+    nearest = _neighbours(rest, core, eps, T.StructType([T.StructField("id", kind), T.StructField("d2", T.DoubleType()), T.StructField("core", kind)]), _nearest)
+    joined = nearest.groupBy("id").agg(F.min(F.struct("d2", "core"))["core"].alias("core"))
+    border = joined.join(named.select(F.col("id").alias("core"), "cluster_id"), "core").select("id", "cluster_id")
+    return points.select("id").join(named.unionByName(border), "id", "left")
+
+
+def _count(ai, a, bi, b, eps):
+    return [ai, pa.array((_squares(a, b) <= eps * eps).sum(1).astype(np.int64))]
+
+
+def _touch(ai, a, bi, b, eps):
+    i, j = np.nonzero(_squares(a, b) <= eps * eps)
+    return [ai.take(pa.array(i[:1])), bi.take(pa.array(j[:1]))]
+
+
+def _nearest(ai, a, bi, b, eps):
+    d = _squares(a, b)
+    order = np.argsort(bi.to_numpy(zero_copy_only=False), kind="stable")
+    j = order[np.argmin(d[:, order], axis=1)]
+    d2 = d[np.arange(len(a)), j]
+    i = np.flatnonzero(d2 <= eps * eps)
+    return [ai.take(pa.array(i)), pa.array(d2[i]), bi.take(pa.array(j[i]))]
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return sum((a[:, None, k] - b[None, :, k]) ** 2 for k in range(3))
+
+
+def _neighbours(left: DataFrame, right: DataFrame, eps: float, schema: T.StructType, step, own_cell: bool = True, tile: int = 1024) -> DataFrame:
+    """step over each pair of a tile of left and one of right whose cells are within reach of each other."""
+    key = ["cx", "cy", "cz"]
+
+    def tiled(df: DataFrame) -> DataFrame:
+        sizes = df.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
+        dealt = split_join(df, sizes, key).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+        lists = dealt.groupBy(*key, "tile").agg(F.collect_list(F.struct("id", F.array(*"xyz").alias("p"))).alias("m"))
+        return lists.select(*key, F.col("m.id").alias("ids"), F.flatten("m.p").alias("flat"))
+
+    span = range(-2, 3)
+    steps = [(x, y, z) for x in span for y in span for z in span if own_cell or (x, y, z) > (0, 0, 0)]
+    moves = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("xyz", s)]) for s in steps])
+    a = staged(tiled(left), "cell-tiles")
+    b = a if left is right else staged(tiled(right), "cell-tiles")
+    moved = a.select(F.col("ids").alias("a_ids"), F.col("flat").alias("a_flat"), *key, F.explode(moves).alias("d")).select("a_ids", "a_flat", *[(F.col(c) + F.col(f"d.{c[1]}")).alias(c) for c in key])
+    pairs = moved.join(b, key).select("a_ids", "a_flat", "ids", "flat")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                (ai, x), (bi, y) = matrix(batch, r, "a_ids", "a_flat"), matrix(batch, r, "ids", "flat")
+                yield pa.RecordBatch.from_arrays(step(ai, x, bi, y, eps), names=schema.names)
+
+    return pairs.mapInArrow(compare, schema)
 
 
 def cluster_stats(points: DataFrame) -> DataFrame:
@@ -164,16 +163,17 @@ def cluster_prompt(points: DataFrame, engrams: DataFrame, most: int = 50) -> Dat
 def gaps(points: DataFrame, least: float = 0.5) -> DataFrame:
     """(c1, c2, x, y, z, radius): midpoints of cluster centroids with no point, noise included, within ``least``.
 
-    Pairs of clusters are few; every point is compared with them in one pass and only minima are shuffled."""
-    c = cluster_stats(points)
-    a = c.select(F.col("cluster_id").alias("c1"), *[F.col(x).alias(f"a{x}") for x in "xyz"])
-    b = c.select(F.col("cluster_id").alias("c2"), *[F.col(x).alias(f"b{x}") for x in "xyz"])
-    mids = a.join(b, F.col("c1") < F.col("c2")).select("c1", "c2", *[((F.col(f"a{x}") + F.col(f"b{x}")) / 2).alias(f"m{x}") for x in "xyz"])
-    packed = mids.agg(F.collect_list(F.struct("*")).alias("mids"))  # cluster pairs only
-    d = F.sqrt(sum(((F.col(x) - F.col(f"m.m{x}")) * (F.col(x) - F.col(f"m.m{x}")) for x in "yz"), (F.col("x") - F.col("m.mx")) * (F.col("x") - F.col("m.mx"))))
-    near = points.select("x", "y", "z").join(F.broadcast(packed)).select("x", "y", "z", F.explode("mids").alias("m"))
-    best = near.groupBy("m").agg(F.min(d).alias("radius")).where(F.col("radius") >= least)
-    return best.select("m.c1", "m.c2", *[F.col(f"m.m{x}").alias(x) for x in "xyz"], "radius")
+    The midpoints are the query set of a nearest-neighbour search over all points, block by block."""
+    c = staged(cluster_stats(points), "centroids")
+    n = max(1, -(-c.count() // 1024))
+    deal = F.pmod(F.xxhash64("cluster_id"), F.lit(n)).cast("int")
+    a = c.select(F.col("cluster_id").alias("c1"), *[F.col(x).alias(f"a{x}") for x in "xyz"], F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
+    b = c.select(F.col("cluster_id").alias("c2"), *[F.col(x).alias(f"b{x}") for x in "xyz"], deal.alias("block"))
+    mids = a.join(b, "block").where("c1 < c2")  # every pair is a gap to look at
+    mids = staged(mids.select(F.struct("c1", "c2").alias("pair"), F.array(*[(F.col(f"a{x}") + F.col(f"b{x}")) / 2 for x in "xyz"]).alias("embedding")), "midpoints")
+    near = knn(mids, points.select("id", F.array(*"xyz").alias("embedding")), 1, "pair").where(F.sqrt("d2") >= least)
+    best = near.select("pair", F.sqrt("d2").alias("radius")).join(mids, "pair")
+    return best.select("pair.c1", "pair.c2", *[F.col("embedding")[i].alias(x) for i, x in enumerate("xyz")], "radius")
 
 
 def cluster_color(cluster_id: Column) -> Column:
@@ -189,12 +189,16 @@ def cluster_color(cluster_id: Column) -> Column:
     return F.when(cluster_id.isNull() | (cluster_id < 0), NOISE_COLOR).otherwise(color)
 
 
-def graph_payload(points: DataFrame, ranks: DataFrame, edges: DataFrame, engrams: DataFrame, label_from: float = 0.3) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, name, rank, labelled, color) and the links with both ends on the map."""
+def graph_nodes(points: DataFrame, ranks: DataFrame, engrams: DataFrame, label_from: float = 0.3) -> DataFrame:
+    """Nodes (id, name, rank, labelled, color) of the map."""
     nodes = points.join(engrams.select("id", F.col("canonical_name").alias("name")), "id").join(ranks.withColumnRenamed("node", "id"), "id", "left").fillna(0.0, ["rank"])
-    nodes = nodes.select("id", "name", "rank", (F.col("rank") >= label_from).alias("labelled"), cluster_color(F.col("cluster_id")).alias("color"))
+    return nodes.select("id", "name", "rank", (F.col("rank") >= label_from).alias("labelled"), cluster_color(F.col("cluster_id")).alias("color"))
+
+
+def graph_links(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges with both ends on the map."""
     on = lambda c: points.select(F.col("id").alias(c))
-    return nodes, edges.join(on("source"), "source", "left_semi").join(on("target"), "target", "left_semi")
+    return edges.join(on("source"), "source", "left_semi").join(on("target"), "target", "left_semi")
 
 
 def bounds(points: DataFrame, default: float = 15.0) -> DataFrame:

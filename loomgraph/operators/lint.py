@@ -27,15 +27,17 @@ def contradictions(edges: DataFrame, limit: int | None = 20) -> DataFrame:
     return _issue(both, "contradiction", "error", F.array("source", "target"))
 
 
-def missing_links(vectors: DataFrame, edges: DataFrame, most_vectors: int = 200, most_queries: int = 50, k: int = 3, most_distance: float = 0.3, limit: int = 20) -> DataFrame:
+def missing_links(vectors: DataFrame, edges: DataFrame, most_vectors: int | None = 200, most_queries: int | None = 50, k: int = 3, most_distance: float = 0.3, limit: int | None = 20) -> DataFrame:
     """Close concepts without an edge either way. A report: the first ``most_queries`` of the first
-    ``most_vectors`` are asked about."""
-    pool = vectors.orderBy("id").limit(most_vectors)
-    near = find_neighbors(pool.orderBy("id").limit(most_queries), pool, k, -1.0, self_takes_slot=True)
+    ``most_vectors`` are asked about; None for all of them."""
+    first = lambda df, n: df if n is None else df.orderBy("id").limit(n)
+    pool = first(vectors, most_vectors)
+    near = find_neighbors(first(pool, most_queries), pool, k, -1.0, self_takes_slot=True)
     close = near.where(F.sqrt(F.greatest(2 - 2 * F.col("cosine"), F.lit(0.0))) <= most_distance)
     pair = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
     pairs = close.groupBy(*pair("id", "neighbor")).agg(F.max("cosine").alias("cosine"))
-    free = pairs.join(edges.select(*pair("source", "target")), ["a", "b"], "left_anti").orderBy(F.desc("cosine"), "a", "b").limit(limit)
+    free = pairs.join(edges.select(*pair("source", "target")), ["a", "b"], "left_anti")
+    free = free if limit is None else free.orderBy(F.desc("cosine"), "a", "b").limit(limit)
     return _issue(free, "missing_link", "warning", F.array("a", "b"))
 
 
@@ -51,5 +53,5 @@ def resolve(stored: DataFrame, ids: list) -> DataFrame:
 
 def duplicate_candidates(families: DataFrame) -> DataFrame:
     """Families to merge, as issues (an extension: this type is declared but nothing else makes it)."""
-    members = families.groupBy("survivor").agg(F.collect_list("id").alias("ids"))
+    members = families.groupBy("survivor").agg(F.collect_set("id").alias("ids"))
     return _issue(members, "duplicate_candidate", "warning", F.col("ids"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..staging import split_join
+
 
 def is_draft(tidy: bool = True) -> Column:
     """A scribble not yet processed and, unless told otherwise, without tidy text."""
@@ -50,9 +52,9 @@ def recent_documents(docs: DataFrame, links: DataFrame, engrams: DataFrame, as_o
 
 def related_documents(docs: DataFrame, links: DataFrame, of: DataFrame, default: str | None = None) -> DataFrame:
     """(of_id, id, title) of other documents sharing a concept with each document in ``of`` (of_id)."""
-    mine = links.join(of, links["document_id"] == of["of_id"]).select("of_id", "engram_id")
+    mine = links.join(of, links["document_id"] == of["of_id"]).select("of_id", "engram_id").distinct()
     other = links.select("engram_id", F.col("document_id").alias("id"))
-    pairs = mine.join(other, "engram_id").where("id <> of_id").select("of_id", "id").distinct()
+    pairs = split_join(other, mine, ["engram_id"]).where("id <> of_id").select("of_id", "id").distinct()
     return pairs.join(docs.select("id", display_title(default).alias("title")), "id").select("of_id", "id", "title")
 
 

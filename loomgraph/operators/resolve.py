@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import names as N
-from ..functions.vectors import concept_hash, dot
+from ..functions.vectors import concept_hash
 from ..staging import split_join, staged
 from .components import components
-from .vectors import knn
+from .vectors import BLOCK, knn, matrix, threshold_pairs
 
 
 def alias_index(engrams: DataFrame) -> DataFrame:
@@ -17,6 +22,14 @@ def alias_index(engrams: DataFrame) -> DataFrame:
     return engrams.select(F.col("id").alias("engram_id"), F.explode(N.alias_entries(F.col("canonical_name"), index=True)).alias("a")).select("engram_id", "a.*").dropDuplicates(["engram_id", "alias_key"])
 
 
+def overlapping(named: DataFrame) -> DataFrame:
+    """named (id, name) to (a, b), a < b: names that share an alias key, by an equi-join on the keys. Every pair is a
+    row, as asked; merge_families has the same families without their pairs."""
+    keys = named.select("id", F.explode(N.alias_keys(F.col("name"))).alias("key"))
+    both = split_join(keys.withColumnRenamed("id", "a"), keys.withColumnRenamed("id", "b"), ["key"]).where("a < b")
+    return both.select("a", "b").distinct()
+
+
 def apply_synonyms(names: DataFrame, synonyms: DataFrame) -> DataFrame:
     """names (name) to (name, canonical): the synonym's canonical form, else the name itself."""
     return names.join(synonyms, "name", "left").select("name", F.coalesce("canonical", "name").alias("canonical"))
@@ -64,8 +77,9 @@ def get_or_create(candidates: DataFrame, engrams: DataFrame, vectors: DataFrame,
     keys = keys.unionByName(rest.select("cand", concept_hash(F.col("embedding")).alias("key")))
     first = keys.groupBy("key").agg(F.min("cand").alias("v"))
     edges = split_join(keys, first, ["key"]).select(F.col("cand").alias("u"), "v").where("u <> v")
-    close = knn(rest.select("cand", "embedding"), rest.select(F.col("cand").alias("id"), "embedding"), 10, "cand").where((F.col("cosine") >= least) & (F.col("id") != F.col("cand")))
-    roots = components(edges.unionByName(close.select(F.col("cand").alias("u"), F.col("id").alias("v"))))
+    same = rest.where("embedding is not null").groupBy("embedding").agg(F.min("cand").alias("id"))  # copies have one key already: equal sign bits
+    close = threshold_pairs(staged(same.select("id", "embedding"), "distinct-vectors"), least)
+    roots = components(edges.unionByName(close.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     new = rest.join(roots, rest["cand"] == roots["node"], "left").select("cand", F.coalesce("root", "cand").alias("engram_id"), F.lit("created").alias("reason"))
     old = found.where("reason <> 'none'").select("cand", "engram_id", "reason")
     return old.unionByName(new).withColumn("created", F.col("reason") == "created")
@@ -112,6 +126,31 @@ def survivor_rank(name="canonical_name", created="created_at", id_col="id"):
     return F.struct(*[x.cast("int").alias(f"r{i}") for i, x in enumerate((~hangul, titled, bracketed, packed, law))], F.col(created).alias("at"), F.length(n).alias("len"), F.col(id_col).alias("id"))
 
 
+def least_cosines(held: DataFrame, rows: int = BLOCK) -> DataFrame:
+    """held (alias_key, engram_id, embedding) to (id, cosine): the least cosine of a pair of different members, for each
+    two tiles of ``rows`` members of a key, under one of the members. A key that many share is many tiles, and a pair of
+    tiles is one matrix product and one row."""
+    sizes = held.groupBy("alias_key").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("tiles"))
+    dealt = split_join(held, sizes, ["alias_key"]).withColumn("tile", F.pmod(F.xxhash64("engram_id"), F.col("tiles")).cast("int"))
+    lists = dealt.groupBy("alias_key", "tiles", "tile").agg(F.collect_list(F.struct("engram_id", F.col("embedding").cast("array<double>").alias("v"))).alias("m"))
+    tiles = staged(lists.where((F.size("m") > 1) | (F.col("tiles") > 1)).select("alias_key", "tiles", "tile", F.col("m.engram_id").alias("ids"), F.flatten("m.v").alias("flat")), "family-tiles")
+    left = tiles.select("alias_key", F.col("ids").alias("a_ids"), F.col("flat").alias("a_flat"), F.col("tile").alias("a_tile"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("tile"))
+    pairs = left.join(tiles.select("alias_key", "tile", "ids", "flat"), ["alias_key", "tile"]).select("a_ids", "a_flat", "ids", "flat", (F.col("a_tile") == F.col("tile")).alias("same"))
+    schema = T.StructType([T.StructField("id", held.schema["engram_id"].dataType), T.StructField("cosine", T.DoubleType())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                (ai, x), (_, y) = matrix(b, r, "a_ids", "a_flat"), matrix(b, r, "ids", "flat")
+                c = x @ y.T
+                if b.column("same")[r].as_py():
+                    np.fill_diagonal(c, np.inf)
+                if np.isfinite(c.min(initial=np.inf)):
+                    yield pa.RecordBatch.from_arrays([ai.slice(0, 1), pa.array([float(c.min())])], names=schema.names)
+
+    return pairs.mapInArrow(compare, schema)
+
+
 def merge_families(engrams: DataFrame, vectors: DataFrame, least: float = 0.65) -> DataFrame:
     """(id, survivor, family_size, min_cosine): concepts to merge, by components of shared alias keys.
 
@@ -123,12 +162,8 @@ def merge_families(engrams: DataFrame, vectors: DataFrame, least: float = 0.65)
     edges = split_join(index, first, ["alias_key"]).select(F.col("engram_id").alias("u"), "v").where("u <> v")
     roots = components(edges)
     stars = roots.select(F.col("node").alias("id"), "root").unionByName(roots.select(F.col("root").alias("id"), "root")).distinct()
-    held = index.join(vectors.select("engram_id", "embedding"), "engram_id")
-    a = held.select("alias_key", F.col("engram_id").alias("a"), F.col("embedding").alias("va"))
-    b = held.select("alias_key", F.col("engram_id").alias("b"), F.col("embedding").alias("vb"))
-    pairs = a.join(b, "alias_key").where("a < b").dropDuplicates(["a", "b"])
-    cosines = pairs.select(F.col("a").alias("id"), dot(F.col("va"), F.col("vb")).alias("cosine")).join(stars, "id")
-    worst = cosines.groupBy("root").agg(F.round(F.min("cosine"), 4).alias("min_cosine"))
+    held = index.join(vectors.where("embedding is not null").select("engram_id", "embedding"), "engram_id")
+    worst = least_cosines(held).join(stars, "id").groupBy("root").agg(F.round(F.min("cosine"), 4).alias("min_cosine"))
     ranked = stars.join(engrams, "id").groupBy("root").agg(F.min(survivor_rank()).alias("best"), F.count(F.lit(1)).alias("family_size"))
     good = ranked.join(worst, "root", "left").where(F.col("min_cosine").isNull() | (F.col("min_cosine") >= least))
     return staged(split_join(stars, good, ["root"]).select("id", F.col("best.id").alias("survivor"), "family_size", "min_cosine"), "families")

@@ -46,7 +46,7 @@ def packed(df: DataFrame, id_col: str, rows: int, n: int | None = None) -> tuple
     return lists.groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("rows")).select("block", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("flat")), blocks
 
 
-def _matrix(batch: pa.RecordBatch, k: int, ids: str, flat: str) -> tuple[pa.Array, np.ndarray]:
+def matrix(batch: pa.RecordBatch, k: int, ids: str, flat: str) -> tuple[pa.Array, np.ndarray]:
     names = batch.column(ids)[k].values
     return names, batch.column(flat)[k].values.to_numpy(zero_copy_only=False).reshape(len(names), -1)
 
@@ -68,13 +68,15 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, query_col: str = "cand",
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                (qi, x), (vi, y) = _matrix(b, r, "q_ids", "q_flat"), _matrix(b, r, "ids", "flat")
+                (qi, x), (vi, y) = matrix(b, r, "q_ids", "q_flat"), matrix(b, r, "ids", "flat")
                 near = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * (x @ y.T)
                 few = min(k, len(vi))
                 least = np.partition(near, few - 1, axis=1)[:, few - 1]
                 i, j = np.nonzero(near <= (least + 1e-9 * (1 + np.abs(least)))[:, None])
                 d2 = ((x[i] - y[j]) ** 2).sum(1)
-                order = np.lexsort((vi.to_numpy(zero_copy_only=False)[j], d2, i))
+                place = np.empty(len(vi), np.int64)
+                place[np.argsort(vi.to_numpy(zero_copy_only=False), kind="stable")] = np.arange(len(vi))
+                order = np.lexsort((place[j], d2, i))
                 i, j, d2 = i[order], j[order], d2[order]
                 good = np.arange(len(i)) - np.searchsorted(i, i) < k
                 columns = [qi.take(pa.array(i[good])), vi.take(pa.array(j[good])), pa.array(d2[good]), pa.array(np.full(int(good.sum()), b.column("block")[r].as_py()), pa.int32())]
@@ -114,7 +116,7 @@ def threshold_pairs(vectors: DataFrame, least: float, rows: int = BLOCK) -> Data
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                (ai, x), (bi, y) = _matrix(b, r, "a_ids", "a_flat"), _matrix(b, r, "ids", "flat")
+                (ai, x), (bi, y) = matrix(b, r, "a_ids", "a_flat"), matrix(b, r, "ids", "flat")
                 i, j = np.nonzero(x @ y.T >= least - 1e-9)
                 c = (x[i] * y[j]).sum(1)
                 one, two = ai.to_numpy(zero_copy_only=False)[i], bi.to_numpy(zero_copy_only=False)[j]

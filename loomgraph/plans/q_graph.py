@@ -9,6 +9,7 @@ from ..operators import graph as G
 from ..operators import heat as H
 from ..operators import layout as Y
 from ..operators import lint as L
+from ..operators import resolve as R
 from ..operators import vectors as K
 from ..operators.listing import is_draft
 from .registry import query
@@ -38,7 +39,11 @@ GROUPS = """proj AS (WITH m AS (SELECT k, avg(v) AS m FROM (SELECT unnest(CAST(e
     SELECT id, CASE WHEN label < 9 THEN CAST(label AS BIGINT) END AS cluster_id, sum(v) FILTER (k <= 21) / sqrt(64 / 3.0::DOUBLE) AS x, sum(v) FILTER (k > 21 AND k <= 42) / sqrt(64 / 3.0::DOUBLE) AS y, sum(v) FILTER (k > 42) / sqrt(64 / 3.0::DOUBLE) AS z FROM c GROUP BY id, label)"""
 
 
-@query("hsh1_concept_hash", None)
+BITS = "list_transform(CAST(embedding AS DOUBLE[]), lambda x: CASE WHEN x {op} 0 THEN '1' ELSE '0' END)"
+HASH = f"sha256(unhex(array_to_string(list_transform(range(0, len(embedding), 8), lambda i: printf('%02X', list_sum(list_transform(range(8), lambda j: CASE WHEN coalesce(list_extract({BITS}, i + j + 1), '0') = '1' THEN CAST(pow(2, 7 - j) AS INT) ELSE 0 END))::INT)), '')))"
+
+
+@query("hsh1_concept_hash", f"SELECT vec_id AS id, {HASH.format(op='>=')} AS hash, {HASH.format(op='>')} AS hash_positive FROM embeddings")
 def hsh1(spark, d):
     return vecs(spark, d).select("id", V.concept_hash(F.col("embedding")).alias("hash"), V.concept_hash(F.col("embedding"), True).alias("hash_positive"))
 
@@ -67,12 +72,12 @@ def knn2(spark, d):
     return rounded(K.threshold_pairs(vecs(spark, d), 0.3))
 
 
-@query("tri1_triage", oracle(f"""SELECT d.id, CASE WHEN s IS NULL OR s >= 0.35 THEN 1 ELSE -1 END AS triaged, round(s, 6) AS similarity FROM kd d LEFT JOIN (SELECT a.vec_id AS id, max(1 - {D2} / 2) AS s FROM embeddings a, embeddings b WHERE a.vec_id >= 200 AND a.vec_id < 300 AND b.vec_id < 200 GROUP BY a.vec_id) USING (id)
-    WHERE d.source_type = 'feed' AND d.id < 600"""))
+@query("tri1_triage", oracle(f"""SELECT d.id, CASE WHEN s IS NULL OR s >= 0.35 THEN 1 ELSE -1 END AS triaged, round(s, 6) AS similarity FROM kd d LEFT JOIN (SELECT a.vec_id AS id, max(1 - {D2} / 2) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0 GROUP BY a.vec_id) USING (id)
+    WHERE d.source_type <> 'scribble'"""))
 def tri1(spark, d):
-    docs = view(spark, d, "kd").where("source_type = 'feed' AND id < 600")
+    docs = view(spark, d, "kd").where("source_type <> 'scribble'")
     v = vecs(spark, d).select("id", "embedding")
-    return rounded(K.triage(docs, v.where("id >= 200 AND id < 300"), v.where("id < 200"), 0.35))
+    return rounded(K.triage(docs, v.where("id % 20 = 0"), v.where("id % 20 <> 0"), 0.35))
 
 
 @query("tri2_triage_batch", oracle("SELECT id, created_at FROM kd WHERE triaged = 0 AND source_type = 'feed' ORDER BY created_at, id LIMIT 50"))
@@ -94,7 +99,7 @@ def lnk1(spark, d):
 
 HEAT = """WITH co AS (SELECT a.document_id AS id, count(DISTINCT b.document_id) AS n FROM kl a JOIN kl b USING (engram_id) JOIN kd r ON r.id = b.document_id AND CAST(r.created_at AS DATE) >= DATE '2001-07-02' WHERE a.document_id <> b.document_id GROUP BY 1),
     ec AS (SELECT document_id AS id, count({distinct}) AS n FROM (SELECT l.document_id, x.id FROM kl l JOIN kx x ON x.source = l.engram_id UNION ALL SELECT l.document_id, x.id FROM kl l JOIN kx x ON x.target = l.engram_id AND x.source <> x.target) GROUP BY 1),
-    s AS (SELECT d.id, coalesce(co.n, 0) AS co_activity, coalesce(ec.n, 0) AS edge_count, least(1.0, 0.40 * exp(-0.03 * {days}) + 0.35 * least(coalesce(co.n, 0) / 5.0::DOUBLE, 1.0) + 0.10 * {revision} + 0.15 * least(coalesce(ec.n, 0) / 10.0::DOUBLE, 1.0)) AS score
+    s AS (SELECT d.id, least(coalesce(co.n, 0), 5) AS co_activity, least(coalesce(ec.n, 0), 10) AS edge_count, least(1.0, 0.40 * exp(-0.03 * {days}) + 0.35 * least(coalesce(co.n, 0) / 5.0::DOUBLE, 1.0) + 0.10 * {revision} + 0.15 * least(coalesce(ec.n, 0) / 10.0::DOUBLE, 1.0)) AS score
       FROM kd d LEFT JOIN co USING (id) LEFT JOIN ec USING (id) WHERE {where})
     SELECT id, co_activity, edge_count, round(score, 6) AS heat_score, CASE WHEN score >= 0.35 THEN 'active' WHEN score >= 0.12 THEN 'reference' ELSE 'dormant' END AS heat_tier FROM s"""
 DAYS = "(epoch(TIMESTAMP '2001-08-01 00:00:00') - epoch({c})) / 86400.0::DOUBLE"
@@ -148,9 +153,14 @@ def flat(df):
     return df.withColumn("engram_ids", F.array_join(F.transform("engram_ids", lambda x: x.cast("string")), ","))
 
 
-@query("lnt1_orphans", oracle("SELECT 'orphan' AS issue_type, CAST(id AS VARCHAR) AS engram_ids, 'info' AS severity FROM (SELECT id FROM ke WHERE id NOT IN (SELECT source FROM kx WHERE source % 7 <> 0) AND id NOT IN (SELECT target FROM kx WHERE source % 7 <> 0) ORDER BY id LIMIT 50)"))
+@query("lnt1_orphans", oracle("SELECT 'orphan' AS issue_type, CAST(id AS VARCHAR) AS engram_ids, 'info' AS severity FROM (SELECT c_custkey + 1000 AS id FROM customer WHERE c_custkey + 1000 NOT IN (SELECT source FROM kx) AND c_custkey + 1000 NOT IN (SELECT target FROM kx) ORDER BY id LIMIT 50)"))
 def lnt1(spark, d):
-    return flat(L.orphans(view(spark, d, "ke"), view(spark, d, "kx").where("source % 7 <> 0")))
+    return flat(L.orphans(view(spark, d, "customer").select((F.col("c_custkey") + 1000).alias("id")), view(spark, d, "kx")))
+
+
+@query("lnt1_orphans_all", oracle("SELECT 'orphan' AS issue_type, CAST(id AS VARCHAR) AS engram_ids, 'info' AS severity FROM (SELECT c_custkey + 1000 AS id FROM customer) WHERE id NOT IN (SELECT source FROM kx) AND id NOT IN (SELECT target FROM kx)"))
+def lnt1a(spark, d):
+    return flat(L.orphans(view(spark, d, "customer").select((F.col("c_custkey") + 1000).alias("id")), view(spark, d, "kx"), None))
 
 
 @query("lnt2_contradictions", oracle("""SELECT 'contradiction' AS issue_type, CAST(least(source, target) AS VARCHAR) || ',' || CAST(greatest(source, target) AS VARCHAR) AS engram_ids, 'error' AS severity FROM (SELECT DISTINCT a.source, a.target FROM kx a JOIN kx b
@@ -166,6 +176,19 @@ def lnt3(spark, d):
     return flat(L.missing_links(vecs(spark, d).select("id", "embedding"), view(spark, d, "kx"), most_distance=1.183))
 
 
+@query("lnt3_missing_links_all", oracle(f"""SELECT 'missing_link' AS issue_type, a || ',' || b AS engram_ids, 'warning' AS severity FROM (SELECT DISTINCT least(id, neighbor) AS a, greatest(id, neighbor) AS b FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, neighbor) AS rank FROM
+    (SELECT a.vec_id AS id, b.vec_id AS neighbor, {D2} AS d2 FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)) WHERE rank <= 2 AND sqrt(d2) <= 1.183)
+    WHERE NOT EXISTS (SELECT 1 FROM kx WHERE (source = a AND target = b) OR (source = b AND target = a))"""))
+def lnt3a(spark, d):
+    return flat(L.missing_links(vecs(spark, d).select("id", "embedding"), view(spark, d, "kx"), None, None, most_distance=1.183, limit=None))
+
+
+@query("lnt6_duplicate_candidates", oracle("SELECT 'duplicate_candidate' AS issue_type, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS engram_ids, 'warning' AS severity FROM ke GROUP BY canonical_name HAVING count(*) > 1"))
+def lnt6(spark, d):
+    v = view(spark, d, "embeddings").select(F.col("vec_id").alias("engram_id"), "embedding")
+    return flat(L.duplicate_candidates(R.merge_families(view(spark, d, "ke"), v, -1.0)))
+
+
 @query("lnt4_new_issues", oracle("""SELECT 'contradiction' AS issue_type, CAST(least(source, target) AS VARCHAR) || ',' || CAST(greatest(source, target) AS VARCHAR) AS engram_ids, 'error' AS severity FROM (SELECT source, target FROM kx WHERE predicate IN ('supports', 'contradicts') GROUP BY 1, 2 HAVING count(DISTINCT predicate) = 2)
     WHERE NOT EXISTS (SELECT 1 FROM kissue i WHERE issue_type = 'contradiction' AND NOT resolved AND least(first_id, second_id) = least(source, target) AND greatest(first_id, second_id) = greatest(source, target)) GROUP BY ALL"""))
 def lnt4(spark, d):
@@ -173,50 +196,48 @@ def lnt4(spark, d):
     return flat(L.new_issues(L.contradictions(view(spark, d, "kx"), None), stored))
 
 
-@query("lnt5_resolve", oracle("SELECT resolved OR id IN (21, 42, 63) AS resolved, count(*) AS n FROM kissue GROUP BY 1"))
+@query("lnt5_resolve", oracle("SELECT resolved OR id IN (SELECT min(id) FROM kissue) AS resolved, count(*) AS n FROM kissue GROUP BY 1"))
 def lnt5(spark, d):
-    return L.resolve(view(spark, d, "kissue"), [21, 42, 63]).groupBy("resolved").agg(F.count(F.lit(1)).alias("n"))
-
+    issues = view(spark, d, "kissue")
+    return L.resolve(issues, [issues.agg(F.min("id")).first()[0]]).groupBy("resolved").agg(F.count(F.lit(1)).alias("n"))
 
-BFS = """WITH RECURSIVE n AS (SELECT n_nationkey AS id FROM nation), x AS (SELECT source * 100 + target AS id, source, target FROM kn WHERE n >= 4),
-    hop1 AS (SELECT 1 AS seed, source AS node FROM x WHERE target = 1 UNION SELECT 1, target FROM x WHERE source = 1),
-    hop2 AS (SELECT 1 AS seed, source AS node FROM x WHERE target IN (SELECT node FROM hop1) UNION SELECT 1, target FROM x WHERE source IN (SELECT node FROM hop1)),
-    nodes AS (SELECT 1 AS seed, node, min(hop) AS hop FROM (SELECT 1 AS node, 0 AS hop UNION ALL SELECT node, 1 FROM hop1 UNION ALL SELECT node, 2 FROM hop2) GROUP BY node) """
 
+BFS = """WITH x AS (SELECT id, source, target FROM kx), seeds AS (SELECT id AS seed FROM ke WHERE id IN (1, 700)),
+    hop1 AS (SELECT seed, source AS node FROM seeds JOIN x ON target = seed UNION SELECT seed, target FROM seeds JOIN x ON source = seed),
+    hop2 AS (SELECT seed, source AS node FROM hop1 JOIN x ON target = node UNION SELECT seed, target FROM hop1 JOIN x ON source = node),
+    nodes AS (SELECT seed, node, min(hop) AS hop FROM (SELECT seed, seed AS node, 0 AS hop FROM seeds UNION ALL SELECT seed, node, 1 FROM hop1 UNION ALL SELECT seed, node, 2 FROM hop2) GROUP BY 1, 2) """
+SEEDS = [(1,), (700,), (-5,)]
 
-def small(spark, d):
-    kn = view(spark, d, "kn").where("n >= 4")
-    return view(spark, d, "nation").select(F.col("n_nationkey").alias("id")), kn.select((F.col("source") * 100 + F.col("target")).alias("id"), "source", "target", "confidence", F.lit("trades_with").alias("predicate"))
 
-
-@query("bfs1_nodes", oracle(BFS + "SELECT CAST(seed AS INT) AS seed, CAST(node AS INT) AS node, CAST(hop AS INT) AS hop FROM nodes"))
+@query("bfs1_nodes", oracle(BFS + "SELECT seed, node, CAST(hop AS INT) AS hop FROM nodes"))
 def bfs1(spark, d):
-    engrams, edges = small(spark, d)
-    return G.neighbourhood(spark.createDataFrame([(1,), (999,)], "seed int"), engrams, edges)[0].select("seed", "node", "hop")
+    return G.neighbourhood(spark.createDataFrame(SEEDS, "seed long"), view(spark, d, "ke"), view(spark, d, "kx"))[0].select("seed", "node", "hop")
 
 
-@query("bfs1_edges", oracle(BFS + "SELECT CAST(1 AS INT) AS seed, CAST(id AS INT) AS edge FROM x WHERE source IN (SELECT node FROM nodes WHERE hop <= 1) OR target IN (SELECT node FROM nodes WHERE hop <= 1)"))
+@query("bfs1_edges", oracle(BFS + "SELECT DISTINCT seed, id AS edge FROM nodes JOIN x ON source = node OR target = node WHERE hop <= 1"))
 def bfs1e(spark, d):
-    engrams, edges = small(spark, d)
-    return G.neighbourhood(spark.createDataFrame([(1,)], "seed int"), engrams, edges)[1].select("seed", "edge")
+    return G.neighbourhood(spark.createDataFrame(SEEDS, "seed long"), view(spark, d, "ke"), view(spark, d, "kx"))[1].select("seed", "edge")
 
 
 def rank_sql(share: str, scale: str, rounds: int = 20) -> str:
     step = "SELECT w.u, 0.15::DOUBLE / (SELECT n FROM nn) + 0.85::DOUBLE * coalesce(s, 0) AS r FROM w LEFT JOIN (SELECT v, sum(r{k}.r * mv.share) AS s FROM r{k} JOIN mv ON mv.u = r{k}.u GROUP BY v) q ON q.v = w.u"
     steps = ", ".join(f"r{k + 1} AS MATERIALIZED ({step.format(k=k)})" for k in range(rounds))
-    return f"""WITH x AS (SELECT source AS u, target AS v, confidence AS c FROM kn WHERE n >= 4 UNION ALL SELECT target, source, confidence FROM kn WHERE n >= 4),
-    w AS (SELECT u, sum(c) AS weight, count(*) AS degree FROM x GROUP BY u), mv AS (SELECT x.u, x.v, sum({share}) AS share FROM x JOIN w ON w.u = x.u GROUP BY 1, 2), nn AS (SELECT count(*) AS n FROM w),
+    return f"""WITH x AS (SELECT source AS u, target AS v, confidence AS c FROM kx UNION ALL SELECT target, source, confidence FROM kx),
+    w AS MATERIALIZED (SELECT u, sum(c) AS weight, count(*) AS degree FROM x GROUP BY u), mv AS MATERIALIZED (SELECT x.u, x.v, sum({share}) AS share FROM x JOIN w ON w.u = x.u GROUP BY 1, 2), nn AS (SELECT count(*) AS n FROM w),
     r0 AS (SELECT u, 1.0::DOUBLE / (SELECT n FROM nn) AS r FROM w), {steps} SELECT u AS node, round(r / {scale}, 6) AS rank FROM r{rounds}"""
 
 
-@query("pr1_page_rank", oracle(rank_sql("c / weight", "(SELECT max(r) FROM r20)")))
+RANKS = rank_sql("c / weight", "(SELECT max(r) FROM r20)")
+
+
+@query("pr1_page_rank", oracle(RANKS))
 def pr1(spark, d):
-    return rounded(G.page_rank(small(spark, d)[1]))
+    return rounded(G.page_rank(view(spark, d, "kx")))
 
 
 @query("pr1g_page_rank_plain", oracle(rank_sql("c / degree", "1")))
 def pr1g(spark, d):
-    return rounded(G.page_rank(small(spark, d)[1], variant="plain"))
+    return rounded(G.page_rank(view(spark, d, "kx"), variant="plain"))
 
 
 @query("prj2_project_groups", f"WITH {GROUPS} SELECT id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM proj")
@@ -229,9 +250,16 @@ def prj1(spark, d):
     return rounded(Y.project_pca(vecs(spark, d)), 4)
 
 
-@query("clu1_density_clusters")
+EPS = 0.2
+
+
+@query("clu1_density_clusters", f"""WITH RECURSIVE {GROUPS}, near AS MATERIALIZED (SELECT a.id AS a, b.id AS b, (a.x - b.x)^2 + (a.y - b.y)^2 + (a.z - b.z)^2 AS d2 FROM proj a, proj b WHERE (a.x - b.x)^2 + (a.y - b.y)^2 + (a.z - b.z)^2 <= {EPS * EPS}),
+    core AS MATERIALIZED (SELECT a AS id FROM near GROUP BY 1 HAVING count(*) >= 8), link AS MATERIALIZED (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)),
+    reach AS (SELECT id AS root, id FROM core UNION SELECT root, b FROM reach JOIN link ON a = reach.id WHERE b > root), least AS (SELECT id, min(root) AS cluster_id FROM (SELECT root, id FROM reach) GROUP BY 1),
+    edge AS (SELECT a AS id, arg_min(b, (d2, b)) AS core FROM near WHERE a NOT IN (FROM core) AND b IN (FROM core) GROUP BY 1)
+    SELECT p.id, coalesce(l.cluster_id, m.cluster_id) AS cluster_id FROM proj p LEFT JOIN least l ON l.id = p.id LEFT JOIN edge e ON e.id = p.id LEFT JOIN least m ON m.id = e.core""")
 def clu1(spark, d):
-    return Y.cluster(points(spark, d).withColumn("map", F.lit(1)), "map")
+    return Y.cluster(points(spark, d), 8, EPS)
 
 
 @query("clu2_cluster_stats", f"WITH {GROUPS} SELECT cluster_id, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM proj WHERE cluster_id IS NOT NULL GROUP BY 1")
@@ -270,19 +298,6 @@ def gap1(spark, d):
     return rounded(Y.gaps(points(spark, d), 0.01))
 
 
-@query("viz1_graph_nodes")
-def viz1(spark, d):
-    p = points(spark, d)
-    ranks = G.page_rank(view(spark, d, "kx").where("id % 5 = 0"))
-    return rounded(Y.graph_payload(p, ranks, view(spark, d, "kx"), view(spark, d, "ke"))[0], 4)
-
-
-@query("viz1_graph_links", oracle("SELECT id, source, target FROM kx WHERE source IN (SELECT vec_id FROM embeddings) AND target IN (SELECT vec_id FROM embeddings)"))
-def viz1l(spark, d):
-    kx = view(spark, d, "kx")
-    return Y.graph_payload(points(spark, d), kx.select(F.col("source").alias("node"), F.lit(0.0).alias("rank")).limit(0), kx, view(spark, d, "ke"))[1].select("id", "source", "target")
-
-
 def color_sql(c: str) -> str:
     h = f"fmod({c} * 137.508::DOUBLE, 360.0)"
     x = f"0.56::DOUBLE * (1 - abs(fmod({h} / 60, 2.0) - 1))"
@@ -291,6 +306,17 @@ def color_sql(c: str) -> str:
     return f"CASE WHEN {c} IS NULL OR {c} < 0 THEN '#787068' ELSE '#' || {part([full, x, none, none, x, full])} || {part([x, full, full, x, none, none])} || {part([none, none, x, full, full, x])} END"
 
 
+@query("viz1_graph_nodes", oracle(f"""WITH {GROUPS}, rank AS (SELECT * FROM ({RANKS})) SELECT p.id, canonical_name AS name, round(coalesce(rank, 0), 6) AS rank, coalesce(rank, 0) >= 0.3 AS labelled, {color_sql('cluster_id')} AS color
+    FROM proj p JOIN ke ON ke.id = p.id LEFT JOIN rank ON rank.node = p.id"""))
+def viz1(spark, d):
+    return rounded(Y.graph_nodes(points(spark, d), G.page_rank(view(spark, d, "kx")), view(spark, d, "ke")))
+
+
+@query("viz1_graph_links", oracle("SELECT id, source, target FROM kx WHERE source IN (SELECT vec_id FROM embeddings) AND target IN (SELECT vec_id FROM embeddings)"))
+def viz1l(spark, d):
+    return Y.graph_links(points(spark, d), view(spark, d, "kx")).select("id", "source", "target")
+
+
 @query("viz2_cluster_colors", f"SELECT id, {color_sql('id')} AS color FROM (SELECT p_partkey % 60 - 1 AS id FROM part GROUP BY 1)")
 def viz2(spark, d):
     ids = view(spark, d, "part").select((F.col("p_partkey") % 60 - 1).alias("id")).distinct()

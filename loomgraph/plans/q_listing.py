@@ -73,9 +73,9 @@ def lst5g(spark, d):
     return L.related_documents(view(spark, d, "kd"), view(spark, d, "kl"), of, "Untitled")
 
 
-@query("lst6_revisions", "SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations WHERE conv_id < 50 ORDER BY conv_id, turn DESC")
+@query("lst6_revisions", "SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations ORDER BY conv_id, turn DESC")
 def lst6(spark, d):
-    return view(spark, d, "conversations").where("conv_id < 50").orderBy("conv_id", F.desc("turn")).select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"))
+    return view(spark, d, "conversations").orderBy("conv_id", F.desc("turn")).select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"))
 
 
 @query("lst7_engram_page", oracle("SELECT id, canonical_name, (SELECT count(*) FROM ke) AS total FROM ke ORDER BY created_at DESC, id LIMIT 50 OFFSET 100"))

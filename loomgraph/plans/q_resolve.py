@@ -38,52 +38,58 @@ def als2(spark, d):
     return R.alias_index(view(spark, d, "ke"))
 
 
-@query("als2g_short_aliases", "SELECT p_partkey AS id, unnest([p_name || ' (' || p_brand || ')', p_name, replace(p_name, ' ', '') || '(' || p_brand || ')']) AS alias FROM (SELECT p_partkey, p_name, lower(p_brand) AS p_brand FROM part WHERE p_partkey < 500)")
+@query("als2g_short_aliases", "SELECT p_partkey AS id, unnest([p_name || ' (' || p_brand || ')', p_name, replace(p_name, ' ', '') || '(' || p_brand || ')']) AS alias FROM (SELECT p_partkey, p_name, lower(p_brand) AS p_brand FROM part)")
 def als2g(spark, d):
-    p = view(spark, d, "part").where("p_partkey < 500")
+    p = view(spark, d, "part")
     return p.select(F.col("p_partkey").alias("id"), F.explode(N.short_aliases(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")")))).alias("alias"))
 
 
-@query("als3_overlap", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_name = b.p_name WHERE a.p_partkey < 60 AND b.p_partkey < 60")
+@query("als3_overlap", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey < b.p_partkey")
 def als3(spark, d):
-    p = view(spark, d, "part").where("p_partkey < 60").select("p_partkey", "p_name")
-    a, b = p.toDF("a", "na"), p.toDF("b", "nb")
-    return a.join(b, N.aliases_overlap(F.col("na"), F.col("nb"))).select("a", "b")
+    return R.overlapping(view(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
 
 
 def candidates(spark, d):
-    """Vectors from id 200 on as candidates named like parts, against the first 40 differently named parts."""
-    e = view(spark, d, "embeddings").where("vec_id >= 100 AND vec_id < 160").select(F.col("vec_id").alias("cand"), "embedding")
-    return e.join(view(spark, d, "part").select(F.col("p_partkey").alias("cand"), F.initcap("p_name").alias("name")), "cand")
+    """Every twentieth vector as a candidate: most are named like a part and its brand, a third like nothing known."""
+    e = view(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("cand"), "embedding")
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Unheard Of "), "p_type")).otherwise(F.concat(F.initcap("p_name"), F.lit("  "), F.upper("p_brand")))
+    return e.join(view(spark, d, "part").select(F.col("p_partkey").alias("cand"), name.alias("name")), "cand")
 
 
 def known(spark, d):
-    first = view(spark, d, "ke").where("id < 100").groupBy("canonical_name").agg(F.min("id").alias("id"))
-    return first, view(spark, d, "embeddings").join(first.select(F.col("id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("engram_id"), "embedding")
+    """The other parts under name and brand, the least id of each, and their vectors."""
+    named = view(spark, d, "part").where("p_partkey % 20 <> 0").groupBy(F.concat("p_name", F.lit(" "), F.lower("p_brand")).alias("canonical_name")).agg(F.min("p_partkey").alias("id"))
+    return named, view(spark, d, "embeddings").join(named.select(F.col("id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("engram_id"), "embedding")
 
 
 DOT = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
-ER = f"""WITH known AS (SELECT p_name, min(p_partkey) AS id FROM part WHERE p_partkey < 100 GROUP BY 1), c AS (SELECT p_partkey AS cand, p_name FROM part WHERE p_partkey >= 100 AND p_partkey < 160),
-    near AS (SELECT a.vec_id AS cand, arg_max(b.vec_id, {DOT}) AS id, max({DOT}) AS cosine FROM embeddings a, embeddings b, known k WHERE a.vec_id >= 100 AND a.vec_id < 160 AND b.vec_id = k.id GROUP BY 1)
-    SELECT c.cand, coalesce(k.id, CASE WHEN cosine >= 0.3 THEN n.id END) AS engram_id, CASE WHEN k.id IS NOT NULL THEN 'exact_name' WHEN cosine >= 0.3 THEN 'vector_similarity' ELSE 'none' END AS reason,
-      CASE WHEN k.id IS NULL AND cosine >= 0.3 THEN round(cosine, 5) END AS cosine FROM c LEFT JOIN known k USING (p_name) LEFT JOIN near n USING (cand)"""
+KNOWN = """known AS (SELECT p_name || ' ' || lower(p_brand) AS name, min(p_partkey) AS id FROM part WHERE p_partkey % 20 <> 0 GROUP BY 1),
+    c AS (SELECT p_partkey AS cand, embedding, CASE WHEN p_partkey % 3 = 0 THEN 'unheard of ' || lower(p_type) ELSE p_name || ' ' || lower(p_brand) END AS name FROM part JOIN embeddings ON vec_id = p_partkey WHERE p_partkey % 20 = 0)"""
+ER = f"""WITH {KNOWN},
+    near AS (SELECT a.vec_id AS cand, arg_max(b.vec_id, {DOT}) AS id, max({DOT}) AS cosine FROM embeddings a, embeddings b, known k WHERE a.vec_id % 20 = 0 AND b.vec_id = k.id GROUP BY 1)
+    SELECT c.cand, coalesce(k.id, CASE WHEN cosine >= {{least}} THEN n.id END) AS engram_id, CASE WHEN k.id IS NOT NULL THEN 'exact_name' WHEN cosine >= {{least}} THEN 'vector_similarity' ELSE 'none' END AS reason,
+      CASE WHEN k.id IS NULL AND cosine >= {{least}} THEN round(cosine, 6) END AS cosine FROM c LEFT JOIN known k USING (name) LEFT JOIN near n USING (cand)"""
 
 
-@query("er1_match", ER)
+@query("er1_match", ER.format(least=0.3))
 def er1(spark, d):
-    return R.match(candidates(spark, d), *known(spark, d), least=0.3).withColumn("cosine", F.round("cosine", 5))
+    return R.match(candidates(spark, d), *known(spark, d), least=0.3).withColumn("cosine", F.round("cosine", 6))
 
 
-@query("er1g_match_hash_first", ER)
+@query("er1g_match_hash_first", ER.format(least=0.3))
 def er1g(spark, d):
-    return R.match(candidates(spark, d), *known(spark, d), k=5, least=0.3, hash_first=True).withColumn("cosine", F.round("cosine", 5))
+    return R.match(candidates(spark, d), *known(spark, d), k=5, least=0.3, hash_first=True).withColumn("cosine", F.round("cosine", 6))
+
+
+ER2 = f"""WITH RECURSIVE m AS MATERIALIZED ({ER.format(least=0.38)}), {KNOWN}, r AS MATERIALIZED (SELECT cand, name, embedding FROM c WHERE cand IN (SELECT cand FROM m WHERE reason = 'none')),
+    e AS MATERIALIZED (SELECT a.cand AS u, b.cand AS v FROM r a JOIN r b ON a.name = b.name OR {DOT} >= 0.38),
+    reach AS (SELECT cand AS root, cand AS id FROM r UNION SELECT root, v FROM reach JOIN e ON u = reach.id WHERE v > root)
+    SELECT cand, engram_id, reason, false AS created FROM m WHERE reason <> 'none' UNION ALL SELECT id, min(root), 'created', true FROM reach GROUP BY id"""
 
 
-@query("er2_get_or_create", """WITH known AS (SELECT p_name, min(p_partkey) AS id FROM part WHERE p_partkey < 40 GROUP BY 1), c AS (SELECT p_partkey AS cand, p_name FROM part WHERE p_partkey >= 100 AND p_partkey < 160)
-    SELECT cand, coalesce(k.id, min(cand) OVER (PARTITION BY p_name)) AS engram_id, CASE WHEN k.id IS NULL THEN 'created' ELSE 'exact_name' END AS reason, k.id IS NULL AS created FROM c LEFT JOIN known k USING (p_name)""")
+@query("er2_get_or_create", ER2)
 def er2(spark, d):
-    engrams, vectors = known(spark, d)
-    return R.get_or_create(candidates(spark, d), engrams.where("id < 40"), vectors.where("engram_id < 40"), least=0.99)
+    return R.get_or_create(candidates(spark, d), *known(spark, d), least=0.38)
 
 
 @query("er3_merge_entities", "SELECT p_size AS \"group\", min(p_partkey) AS pos, lower(p_name) AS name, arg_max(p_type, length(p_type) * 1000000 - p_partkey) AS description FROM part GROUP BY p_size, p_name")
@@ -213,12 +219,11 @@ def mut6(spark, d):
     return n[0].join(n[1]).join(n[2])
 
 
-@query("mut7_delete_documents_orphans", oracle("""WITH e AS (SELECT * FROM kx WHERE document_id % 3 = 0 AND source % 2 = 0) SELECT DISTINCT engram_id AS id FROM kl WHERE document_id % 8 < 7 AND engram_id NOT IN (SELECT engram_id FROM kl WHERE document_id % 8 = 7)
-    AND engram_id NOT IN (SELECT source FROM e WHERE document_id % 8 = 7) AND engram_id NOT IN (SELECT target FROM e WHERE document_id % 8 = 7)"""))
+@query("mut7_delete_documents_orphans", oracle("""WITH e AS (SELECT * FROM kx WHERE document_id IS NULL OR document_id % 8 = 7) SELECT DISTINCT engram_id AS id FROM kl WHERE document_id % 8 < 7 AND engram_id NOT IN (SELECT engram_id FROM kl WHERE document_id % 8 = 7)
+    AND engram_id NOT IN (SELECT source FROM e) AND engram_id NOT IN (SELECT target FROM e)"""))
 def mut7(spark, d):
     gone = view(spark, d, "kd").where("id % 8 < 7").select("id")
-    edges = view(spark, d, "kx").where("document_id % 3 = 0 AND source % 2 = 0")
-    return M.delete_documents(view(spark, d, "kd"), view(spark, d, "kl"), edges, view(spark, d, "ke"), gone)["orphans"]
+    return M.delete_documents(view(spark, d, "kd"), view(spark, d, "kl"), view(spark, d, "kx"), view(spark, d, "ke"), gone)["orphans"]
 
 
 @query("mut8_delete_engrams", oracle("""SELECT (SELECT count(*) FROM ke WHERE id NOT IN (3, 6, 9)) AS engrams, (SELECT count(*) FROM kl WHERE engram_id NOT IN (3, 6, 9)) AS links, (SELECT count(*) FROM kx WHERE source NOT IN (3, 6, 9) AND target NOT IN (3, 6, 9)) AS edges,

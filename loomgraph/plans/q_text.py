@@ -64,10 +64,10 @@ def txt7(spark, d):
     "txt8_line_classes",
     rf"""SELECT doc_id, i AS place, regexp_matches(x, '^(?:#{{1,6}}\s+|[-*+]\s+|\d+[.)]\s+|>\s+)') AS structural, regexp_matches(x, '["“”''‘’]') AS quote, regexp_matches(x, '(?i)^(?:figure|table)\s+\d+[.:]?\s+') OR regexp_matches(x, '^\[\d+\]') OR starts_with(lower(x), 'doi:') AS caption,
     contains(lower(x), '@') OR regexp_matches(lower(x), 'university|institute|department|school of|hospital|centre|center|faculty|college|st |road|avenue|street|email') AS affiliation,
-    CAST(len(regexp_extract_all(x, '[0-9][0-9,./:-]*(?:%|st|nd|rd|th)?')) AS INT) AS numbers FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS i, x FROM ({LINES})) WHERE doc_id % 3 = 0""",
+    CAST(len(regexp_extract_all(x, '[0-9][0-9,./:-]*(?:%|st|nd|rd|th)?')) AS INT) AS numbers FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS i, x FROM ({LINES}))""",
 )
 def txt8(spark, d):
-    rows = view(spark, d, "documents").where("doc_id % 3 = 0").select("doc_id", F.posexplode(X.lines(F.col("text"))).alias("place", "x"))
+    rows = view(spark, d, "documents").select("doc_id", F.posexplode(X.lines(F.col("text"))).alias("place", "x"))
     x = F.col("x")
     return rows.select("doc_id", F.col("place").cast("long").alias("place"), X.is_structural(x).alias("structural"), X.is_quote(x).alias("quote"), X.is_caption(x).alias("caption"), X.is_affiliation(x).alias("affiliation"), F.size(X.numeric_tokens(x)).alias("numbers"))
 
@@ -120,13 +120,13 @@ def evl2(spark, d):
     return view(spark, d, "documents").select("doc_id", s["hangul"].alias("hangul"), s["latin"].alias("latin"))
 
 
-NOVEL = rf"SELECT a.doc_id, list_filter(regexp_extract_all(lower(a.text), '{V.WORD.replace(chr(39), chr(39) * 2)}'), lambda w: NOT list_contains([{', '.join(repr(w) for w in V.STOPWORDS)}], w)) AS o, list_filter(regexp_extract_all(lower(b.text), '{V.WORD.replace(chr(39), chr(39) * 2)}'), lambda w: NOT list_contains([{', '.join(repr(w) for w in V.STOPWORDS)}], w)) AS s FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 4 = 0"
+NOVEL = rf"SELECT a.doc_id, list_filter(regexp_extract_all(lower(a.text), '{V.WORD.replace(chr(39), chr(39) * 2)}'), lambda w: NOT list_contains([{', '.join(repr(w) for w in V.STOPWORDS)}], w)) AS o, list_filter(regexp_extract_all(lower(b.text), '{V.WORD.replace(chr(39), chr(39) * 2)}'), lambda w: NOT list_contains([{', '.join(repr(w) for w in V.STOPWORDS)}], w)) AS s FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1"
 
 
 @query("evl5_novel_ratio", f"SELECT doc_id, round(len(list_filter(o, lambda w: NOT list_contains(s, w))) / nullif(len(o), 0)::DOUBLE, 6) AS ratio FROM ({NOVEL})")
 def evl5(spark, d):
     docs = view(spark, d, "documents")
-    both = docs.where("doc_id % 4 = 0").select("doc_id", "text").join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("source")), "doc_id")
+    both = docs.select("doc_id", "text").join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("source")), "doc_id")
     return rounded(both.select("doc_id", V.novel_ratio(F.col("source"), F.col("text")).alias("ratio")))
 
 

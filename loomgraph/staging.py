@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,13 +11,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set."""
-    if d := spark.conf.get("spark.checkpoint.dir", None):
+    """The folder that the cluster names in spark.checkpoint.dir. In local mode, where driver and executors are one
+    process, one of our own will do if none is named; elsewhere that is an error."""
+    if d := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return d.rstrip("/")
-    if not (d := spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-"))
-        d = spark.sparkContext.getCheckpointDir()
-    return d.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
