@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.vectors import l2_squared
+from ..staging import staged
 
 #: Letters with marks and what they fold to; fixed values.
 MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
@@ -32,43 +34,67 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-TOKEN = r"[0-9A-Za-zÀ-ÖØ-öø-ÿ\p{L}\p{N}]"
+@dataclass(frozen=True)
+class TextIndex:
+    """A stored inverted index: postings (term, id, tf, places, len) in order of term, and the corpus totals (n, avglen)."""
 
+    postings: DataFrame
+    totals: DataFrame
 
-def _pattern(phrase: list[str]) -> str:
-    """A regex for a phrase of folded tokens in raw text: either case, with or without marks, whole tokens."""
 
-    def letter(c: str) -> str:
-        same = {c, c.upper()} | {x for m, q in zip(MARKED, PLAIN) if q == c for x in (m, m.upper())}
-        return "[" + "".join(sorted(x for x in same if len(x) == 1)) + "]"
+def text_index(docs: DataFrame, columns: tuple[str, ...] = ("title", "text", "annotation"), id_col: str = "id") -> TextIndex:
+    """The index of all columns together, written once in the shared folder; searches read the terms they ask for.
 
-    first, *rest = ["".join(map(letter, t)) for t in phrase]
-    after = "".join(rf"[^\p{{L}}\p{{N}}]+{t}" for t in rest)
-    return rf"(?<!{TOKEN}){first}(?!{TOKEN})" + (rf"(?={after}(?!{TOKEN}))" if rest else "")
+    Postings are stored by ranges of (term, id), so the files that lack a term are passed over by their statistics and a
+    term that every document has is no single file. places count on from column to column with a gap that no phrase
+    crosses; len is the document's number of tokens. ids name one document each."""
+    gap = 1 << 40
+    placed = lambda c, k: F.transform(tokens(F.col(c)), lambda t, i: F.struct(t.alias("term"), (i.cast("long") + k * gap).alias("place")))
+    found = [placed(c, k) for k, c in enumerate(columns)]
+    listed = docs.select(F.col(id_col).alias("id"), F.concat(*found).alias("tokens")).withColumn("len", F.size("tokens").cast("long"))
+    totals = staged(listed.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("avglen")), "text-totals")
+    rows = listed.select("id", "len", F.explode("tokens").alias("t")).groupBy(F.col("t.term").alias("term"), "id", "len").agg(F.sort_array(F.collect_list("t.place")).alias("places"))
+    rows = rows.select("term", "id", F.size("places").cast("long").alias("tf"), "places", "len")
+    return TextIndex(staged(rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "text-postings"), totals)
 
 
-def keyword_search(docs: DataFrame, query: str, columns: tuple[str, ...] = ("title", "text", "annotation"), limit: int | None = 20, id_col: str = "id") -> DataFrame:
+def keyword_search(index: TextIndex, query: str, limit: int | None = 20) -> DataFrame:
     """(id, score): documents that hold every phrase of the query, by BM25 over all columns together.
 
-    Tokens are counted in the raw text, which folding letter by letter leaves in the same places: two passes of one
-    scan, the first for the corpus totals (one row), so no posting is shuffled. A phrase that repeats counts again; a query without phrases gives no rows.
-    """
+    Only the query's terms are read. A phrase of several tokens counts where its tokens' places follow each other. A
+    phrase that repeats counts again; a query without phrases gives no rows."""
     folded = [re.findall(r"[^\W_]+", p.lower().translate(str.maketrans(MARKED, PLAIN))) for p in query_phrases(query)]
     folded = [p for p in folded if p]
+    asked = index.postings
     if not folded:
-        return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
-    n = [F.coalesce(F.col(c), F.lit("")) for c in columns]
-    total_of = lambda pattern: sum((F.regexp_count(c, F.lit(pattern)) for c in n[1:]), F.regexp_count(n[0], F.lit(pattern)))
-    tf = [total_of(_pattern(p)) for p in folded]
-    counted = docs.select(F.col(id_col).alias("id"), total_of(TOKEN + "+").cast("double").alias("len"), *[t.cast("double").alias(f"tf{k}") for k, t in enumerate(tf)])
+        return asked.select("id", F.lit(0.0).alias("score")).limit(0)
+    terms = sorted({t for p in folded for t in p})
+    in_phrase = {t for p in folded if len(p) > 1 for t in p}
+    rows = asked.where(F.col("term").isin(terms)).groupBy("id").agg(
+        F.max("len").cast("double").alias("len"),
+        *[F.max(F.when(F.col("term") == t, F.col("tf"))).alias(f"tf_{i}") for i, t in enumerate(terms)],
+        *[F.max(F.when(F.col("term") == t, F.col("places"))).alias(f"at_{i}") for i, t in enumerate(terms) if t in in_phrase],
+    )
+
+    def tf(phrase: list[str]) -> Column:
+        if len(phrase) == 1:
+            return F.coalesce(F.col(f"tf_{terms.index(phrase[0])}"), F.lit(0))
+        shifted = lambda t, k: F.transform(f"at_{terms.index(t)}", lambda x: x - k)
+        starts = [shifted(t, k) for k, t in enumerate(phrase)]
+        met = starts[0]
+        for other in starts[1:]:
+            met = F.array_intersect(met, other)
+        return F.coalesce(F.when(met.isNotNull(), F.size(met)), F.lit(0))
+
     k = range(len(folded))
-    total = counted.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("avglen"), *[F.sum((F.col(f"tf{i}") > 0).cast("double")).alias(f"df{i}") for i in k])
+    counted = rows.select("id", "len", *[tf(p).cast("double").alias(f"tf{i}") for i, p in enumerate(folded)])
+    df = counted.agg(*[F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"df{i}") for i in k])
     raw = [F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) for i in k]
     idf = [F.when(x <= 0, 1e-6).otherwise(x) for x in raw]
     norm = 1.2 * (0.25 + 0.75 * F.col("len") / F.col("avglen"))
     score = sum(idf[i] * F.col(f"tf{i}") * 2.2 / (F.col(f"tf{i}") + norm) for i in k)
     every = counted.where(" AND ".join(f"tf{i} > 0" for i in k))
-    found = every.join(F.broadcast(total)).select("id", score.alias("score"))  # total is one row
+    found = every.join(F.broadcast(index.totals)).join(F.broadcast(df)).select("id", score.alias("score"))  # one row each
     return found if limit is None else found.orderBy(F.desc("score"), "id").limit(limit)
 
 
@@ -101,10 +127,10 @@ def fuse(lists: dict[str, DataFrame], limit: int | None = 20, k: int = 60) -> Da
     return (fused if limit is None else fused.limit(limit)).drop("seen")
 
 
-def hybrid_search(docs: DataFrame, vectors: DataFrame, query: str, vector: list[float], columns: tuple[str, ...], limit: int = 20) -> DataFrame:
+def hybrid_search(index: TextIndex, docs: DataFrame, vectors: DataFrame, query: str, vector: list[float], limit: int = 20) -> DataFrame:
     """Keyword and vector search, fused."""
     known = vector_search(vectors, vector, limit).join(docs.select("id"), "id", "left_semi")
-    return fuse({"keyword": keyword_search(docs, query, columns, limit), "semantic": known}, limit)
+    return fuse({"keyword": keyword_search(index, query, limit), "semantic": known}, limit)
 
 
 def like_ascii(c: Column, part: str) -> Column:

@@ -63,10 +63,11 @@ def known(spark, d):
 
 
 DOT = "list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
+D2 = "list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
 KNOWN = """known AS (SELECT p_name || ' ' || lower(p_brand) AS name, min(p_partkey) AS id FROM part WHERE p_partkey % 20 <> 0 GROUP BY 1),
     c AS (SELECT p_partkey AS cand, embedding, CASE WHEN p_partkey % 3 = 0 THEN 'unheard of ' || lower(p_type) ELSE p_name || ' ' || lower(p_brand) END AS name FROM part JOIN embeddings ON vec_id = p_partkey WHERE p_partkey % 20 = 0)"""
 ER = f"""WITH {KNOWN},
-    near AS (SELECT a.vec_id AS cand, arg_max(b.vec_id, {DOT}) AS id, max({DOT}) AS cosine FROM embeddings a, embeddings b, known k WHERE a.vec_id % 20 = 0 AND b.vec_id = k.id GROUP BY 1)
+    near AS (SELECT a.vec_id AS cand, arg_min(b.vec_id, {D2}) AS id, 1 - min({D2}) / 2 AS cosine FROM embeddings a, embeddings b, known k WHERE a.vec_id % 20 = 0 AND b.vec_id = k.id GROUP BY 1)
     SELECT c.cand, coalesce(k.id, CASE WHEN cosine >= {{least}} THEN n.id END) AS engram_id, CASE WHEN k.id IS NOT NULL THEN 'exact_name' WHEN cosine >= {{least}} THEN 'vector_similarity' ELSE 'none' END AS reason,
       CASE WHEN k.id IS NULL AND cosine >= {{least}} THEN round(cosine, 6) END AS cosine FROM c LEFT JOIN known k USING (name) LEFT JOIN near n USING (cand)"""
 

@@ -37,6 +37,17 @@ def docs(spark, d):
     return view(spark, d, "documents").withColumnRenamed("doc_id", "id")
 
 
+_INDEXES: dict[tuple[str, str], S.TextIndex] = {}
+
+
+def index(spark, d):
+    """The text index of a folder's documents, built once an application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        _INDEXES[key] = S.text_index(docs(spark, d), ("text",))
+    return _INDEXES[key]
+
+
 def vectors(spark, d):
     return view(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
 
@@ -57,12 +68,22 @@ def fts0(spark, d):
 
 @query("fts1_keyword_search", f"SELECT id, round(score, 6) AS score FROM {bm25_sql(['that', 'ingthe'][:1])}")
 def fts1(spark, d):
-    return rounded(S.keyword_search(docs(spark, d), "(That*)", ("text",)))
+    return rounded(S.keyword_search(index(spark, d), "(That*)"))
 
 
 @query("fts1_keyword_search_all_terms", f"SELECT id, round(score, 6) AS score FROM {bm25_sql(['la', 'avec', 'etre'], None)}")
 def fts1_all(spark, d):
-    return rounded(S.keyword_search(docs(spark, d), 'la AND "avec" être', ("text",), None))
+    return rounded(S.keyword_search(index(spark, d), 'la AND "avec" être', None))
+
+
+PHRASE = """WITH tok AS (SELECT doc_id AS id, list_filter(""" + TOKENS.format(c="text") + """, lambda x: true) AS w FROM documents), cnt AS (SELECT id, CAST(len(w) AS DOUBLE) AS length, CAST(len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS DOUBLE) AS tf FROM tok),
+    tot AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(length) AS avglen, CAST(count(*) FILTER (tf > 0) AS DOUBLE) AS df FROM cnt)
+    SELECT id, round(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avglen)), 6) AS score FROM cnt, tot WHERE tf > 0"""
+
+
+@query("fts1_phrase_search", PHRASE)
+def fts1_phrase(spark, d):
+    return rounded(S.keyword_search(index(spark, d), "of-The", None))
 
 
 @query("vec1_vector_search", f"SELECT id, round(score, 6) AS score FROM {VEC} WHERE id IN (SELECT doc_id FROM documents)")
@@ -79,13 +100,13 @@ def fused_sql(limit: str) -> str:
 
 @query("srch_hybrid", fused_sql("LIMIT 20"))
 def srch(spark, d):
-    return rounded(S.hybrid_search(docs(spark, d), vectors(spark, d), "the that", vector_of(spark, d), ("text",)))
+    return rounded(S.hybrid_search(index(spark, d), docs(spark, d), vectors(spark, d), "the that", vector_of(spark, d)))
 
 
 @query("rrf1_fuse_untruncated", fused_sql(""))
 def rrf1(spark, d):
     known = S.vector_search(vectors(spark, d), vector_of(spark, d)).join(docs(spark, d).select("id"), "id", "left_semi")
-    return rounded(S.fuse({"keyword": S.keyword_search(docs(spark, d), "the that", ("text",)), "semantic": known}, None))
+    return rounded(S.fuse({"keyword": S.keyword_search(index(spark, d), "the that"), "semantic": known}, None))
 
 
 EDGE = "id, source, target, predicate, confidence"

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import names as N
 from loomgraph.functions import text as X
-from loomgraph.operators import graph, layout, lint, resolve, search, vectors
+from loomgraph.functions import vectors as V
+from loomgraph.operators import graph, heat, layout, lint, resolve, search, vectors
 from loomgraph.operators.components import components
 from loomgraph.sources import readers
 from loomgraph.streaming import feeds
@@ -51,7 +52,8 @@ def test_query_phrases():
 def test_keyword_search(spark):
     rows = [(1, "The quick brown fox jumps"), (2, "A lazy dog sleeps"), (3, "The fox and the hound"), (4, "foo bar"), (5, "bar foo"), (6, None)]
     docs = spark.createDataFrame(rows, "id long, text string")
-    hits = lambda q: {r.id for r in search.keyword_search(docs, q, ("text",)).collect()}
+    index = search.text_index(docs, ("text",))
+    hits = lambda q: {r.id for r in search.keyword_search(index, q).collect()}
     assert hits("fox") == {1, 3} and hits("FOX hound") == {3} and hits("foo-bar") == {4} and hits('"*') == set()
 
 
@@ -98,10 +100,70 @@ def test_gaps_and_clusters(spark):
     assert (gap.c1, gap.c2, gap.x, gap.z) == (0, 1, 5.5, 2.5)
     assert layout.gaps(points.where("cluster_id = 0")).collect() == []
     rng = np.random.default_rng(1)
-    x = np.concatenate([rng.normal(c, 0.1, (20, 3)) for c in (0, 5, 10)])
-    labels = layout.hdbscan(x, 5)
-    assert all(len(set(labels[k : k + 20]) - {-1}) == 1 for k in (0, 20, 40)) and len(set(labels) - {-1}) == 3
-    assert (layout.hdbscan(x[:1], 2) == -1).all()
+    x = np.concatenate([rng.normal(c, 0.1, (60, 3)) for c in (0, 5, 10)] + [rng.uniform(-3, 13, (40, 3)), np.repeat([[5.0, 5.0, 5.0]], 30, axis=0)])
+    frame = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, x double, y double, z double")
+    for size, eps in ((5, 0.3), (8, 0.15), (4, None)):
+        got = {r.id: r.cluster_id for r in layout.cluster(frame, size, eps).collect()}
+        if eps is not None:
+            assert got == density_by_hand(x, size, eps)
+        assert all(len({got[i] for i in range(k, k + 60)} - {None}) >= 1 for k in (0, 60, 120))
+    assert layout.cluster(frame.limit(0), 3, 0.1).collect() == [] and layout.cluster(frame.limit(1), 3).collect()[0].cluster_id is None
+
+
+def density_by_hand(x, size, eps):
+    d2 = ((x[:, None] - x[None]) ** 2).sum(-1)
+    core = (d2 <= eps * eps).sum(1) >= size
+    label = {i: i for i in np.flatnonzero(core).tolist()}
+    for _ in range(len(x)):
+        old = dict(label)
+        for i in label:
+            label[i] = min(label[j] for j in label if d2[i, j] <= eps * eps)
+        if old == label:
+            break
+    for i in np.flatnonzero(~core).tolist():
+        near = min(((d2[i, j], j) for j in np.flatnonzero(core).tolist() if d2[i, j] <= eps * eps), default=None)
+        label[i] = label[near[1]] if near else None
+    return label
+
+
+def test_nearest_in_blocks(spark):
+    """Copies and ties by id, ids that are words, more blocks than one, zero vectors and a missing one."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 6)).round(1)
+    v = np.concatenate([base, base[:20], np.zeros((2, 6))])
+    rows = [(f"v{i:03d}", [float(c) for c in x]) for i, x in enumerate(v)] + [("none", None)]
+    df = spark.createDataFrame(rows, "id string, embedding array<double>")
+    for block in (7, 2048):
+        near = vectors.knn(df.select(F.col("id").alias("q"), "embedding"), df, 4, "q", block).collect()
+        want = {}
+        for i, x in enumerate(v):
+            for r, (d, j) in enumerate(sorted((((x - y) ** 2).sum(), j) for j, y in enumerate(v))[:4]):
+                want[f"v{i:03d}", r + 1] = f"v{j:03d}"
+        assert {(r.q, r["rank"]): r.id for r in near} == want
+        unit = df.where("embedding is not null and id < 'v060'").withColumn("embedding", V.unit(F.col("embedding")))
+        n = v[:60] / np.linalg.norm(v[:60], axis=1, keepdims=True)
+        pairs = {(f"v{i:03d}", f"v{j:03d}") for i in range(60) for j in range(i + 1, 60) if n[i] @ n[j] >= 0.9}
+        got = {(r.a, r.b) for r in vectors.threshold_pairs(unit, 0.9, block).collect()}
+        assert got == pairs
+
+
+def test_families_of_a_busy_name(spark):
+    """The least cosine of all pairs of a name, in tiles of three members."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(11, 4))
+    held = spark.createDataFrame([("hot", i, [float(c) for c in x]) for i, x in enumerate(v)] + [("lone", 50, [1.0] * 4)], "alias_key string, engram_id long, embedding array<double>")
+    got = resolve.least_cosines(held, 3).collect()
+    assert abs(min(r.cosine for r in got) - min(v[i] @ v[j] for i in range(11) for j in range(i))) < 1e-9 and len(got) <= 15
+
+
+def test_new_concepts_link_beyond_ten_copies(spark):
+    """Crowds of equal vectors on either side of a link: one concept."""
+    a, b, c = [1.0, 0.05, 0.0], [1.0, -0.05, 0.0], [0.0, -1.0, -1.0]
+    rows = [(i, f"name {i}", x) for i, x in enumerate([a] * 15 + [b] * 15 + [c])]
+    cands = spark.createDataFrame(rows, "cand long, name string, embedding array<double>").withColumn("embedding", V.unit(F.col("embedding")))
+    none = spark.createDataFrame([], "id long, canonical_name string")
+    got = resolve.get_or_create(cands, none, spark.createDataFrame([], "engram_id long, embedding array<double>"), least=0.99).collect()
+    assert {r.engram_id for r in got if r.cand < 30} == {0} and {r.engram_id for r in got if r.cand == 30} == {30}
 
 
 def test_components(spark):
@@ -128,6 +190,47 @@ def test_chunks_overlap_and_cover():
     assert X.split_chunks("short", 1000) == ["short"]
 
 
+def test_chunks_by_case():
+    """The best kind of mark near the limit ends a piece, even before a later one of a lesser kind."""
+    text = "a" * 60 + ". " + "b" * 20 + ", " + "c" * 30 + " d"
+    assert X.split_chunks(text, 100, 0) == ["a" * 60 + ".", "b" * 20 + ", " + "c" * 30 + " d"]
+    para = "x " * 45 + "\n\n" + "y " * 10
+    assert X.split_chunks(para, 100, 0)[0] == ("x " * 45).strip()
+    solid = "z" * 250
+    assert X.split_chunks(solid, 100, 10) == [solid[:100], solid[90:190], solid[180:]]
+    words = "word " * 60
+    assert all(p.startswith("word") for p in X.split_chunks(words, 100, 13))
+
+
+def test_fingerprints(spark):
+    cases = [("The Ethics of AI vs Safety", "ethics ai safety"), ("안전과 윤리", "안전 윤리"), ("윤리 및 안전", "윤리 안전"), ("AI와 사회", "ai 사회"), ("of the", "of the"), ("A-B (b)", "b"), ("사과", "사과")]
+    got = spark.createDataFrame([(a,) for a, _ in cases], "n string").select(N.fingerprint(F.col("n")).alias("f")).collect()
+    assert [r.f for r in got] == [b for _, b in cases]
+
+
+def test_heat_counts_stop_where_the_score_does(spark):
+    """A concept that all have, documents with fewer recent ones than count, loops, and both variants."""
+    import collections
+
+    as_of, day = "2026-01-31 00:00:00", datetime.timedelta(days=1)
+    docs = [(i, datetime.datetime(2026, 1, 31) - day * (i * 3), i % 4, "url", 1, "t") for i in range(30)]
+    links = [(i, 1) for i in range(30)] + [(i, 10 + i % 7) for i in range(30)] + [(0, 99), (29, 99)]
+    edges = [(k, k % 5, 10 + k % 3) for k in range(14)] + [(100, 99, 99), (101, 99, 1)]
+    d = spark.createDataFrame(docs, "id long, created_at timestamp, revision int, source_type string, processed int, tidy_text string").withColumn("updated_at", F.col("created_at"))
+    k = spark.createDataFrame(links, "document_id long, engram_id long")
+    e = spark.createDataFrame(edges, "id long, source long, target long")
+    of = collections.defaultdict(set)
+    for i, c in links:
+        of[i].add(c)
+    recent = {i for i, at, *_ in docs if at.date() >= datetime.date(2026, 1, 1)}
+    co = {i: len({j for j in recent if j != i and of[i] & of[j]}) for i in of}
+    near = {i: sum(1 for _, a, b in edges if {a, b} & of[i]) for i in of}
+    met = {i: sum(len({a, b} & of[i]) for _, a, b in edges) for i in of}
+    for variant, n in (("standard", near), ("created", met)):
+        got = {r.id: (r.co_activity, r.edge_count) for r in heat.heat(d, k, e, as_of, variant).collect()}
+        assert got == {i: (min(co[i], 5), min(n[i], 10)) for i in of}
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "note.md").write_text("# Head\n\nBody.\n")
     (tmp_path / "blank.md").write_text(" \n")
