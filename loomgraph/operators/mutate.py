@@ -155,3 +155,35 @@ def migrate(old: DataFrame, schema: DataFrame) -> DataFrame:
 def backfill_aliases(engrams: DataFrame, stored: DataFrame) -> DataFrame:
     """Alias rows for concepts that have none."""
     return alias_index(engrams.join(stored.select(F.col("engram_id").alias("id")), "id", "left_anti"))
+
+
+def store_aliases(stored: DataFrame, engrams: DataFrame) -> DataFrame:
+    """Stored alias rows and those of the concepts' names that aren't stored yet."""
+    new = alias_index(engrams).join(stored.select("engram_id", "alias_key"), ["engram_id", "alias_key"], "left_anti")
+    return stored.select("engram_id", "alias_key", "alias_kind").unionByName(new.select("engram_id", "alias_key", "alias_kind"))
+
+
+def retidy(docs: DataFrame, results: DataFrame) -> DataFrame:
+    """docs with the tidy fields of results (id, revision, tidy_title, tidy_text, tidy_level) where the revision is still the
+    document's; a result of an older one changes nothing, and neither text nor graph is touched."""
+    fields = ("tidy_title", "tidy_text", "tidy_level")
+    new = results.select("id", "revision", *[F.col(c).alias(f"_{c}") for c in fields], F.lit(True).alias("_hit")).dropDuplicates(["id", "revision"])
+    both = docs.join(new, ["id", "revision"], "left")
+    return both.withColumns({c: F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)) for c in fields}).select(*docs.columns)
+
+
+def materialize(prepared: DataFrame) -> DataFrame:
+    """prepared (pos, engram_id, ...) to one row a concept, the first by pos."""
+    rest = [c for c in prepared.columns if c != "engram_id"]
+    return prepared.groupBy("engram_id").agg(F.min_by(F.struct(*rest), "pos").alias("r")).select("engram_id", "r.*").select(*prepared.columns)
+
+
+def vector_sizes(tables: dict[str, DataFrame], size: int, column: str = "embedding") -> DataFrame:
+    """(table, size, uneven, mismatch): the length of each table's vectors, whether they differ among themselves, and whether they
+    must be made anew for vectors of ``size``. A table without vectors has a null size and is no mismatch."""
+    out = None
+    for name, df in tables.items():
+        n = F.size(column)
+        row = df.where(F.col(column).isNotNull()).agg(F.max(n).alias("size"), F.coalesce(F.max(n) > F.min(n), F.lit(False)).alias("uneven")).select(F.lit(name).alias("table"), "size", "uneven", F.coalesce(F.col("size") != size, F.lit(False)).alias("mismatch"))
+        out = row if out is None else out.unionByName(row)
+    return out

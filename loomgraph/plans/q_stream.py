@@ -9,9 +9,9 @@ from .registry import query
 from .views import view
 
 
-@query("str2_first_seen", "SELECT count(DISTINCT user_id) AS n FROM events")
+@query("str2_first_seen", "SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id, arg_min(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1")
 def str2(spark, d):
-    return S.first_seen(view(spark, d, "events"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return S.first_seen(view(spark, d, "events"), "user_id", order=["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
 @query("str5_latest_revision", "SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role FROM conversations GROUP BY 1")

@@ -191,6 +191,8 @@ def evl4(spark, d):
     return only(V.validate(cases(spark, d)), "numbers_kept", "numbers_added", "quotes_kept")
 
 
+#: Letters beyond ASCII as one that DuckDB's word boundary knows.
+WORDY = "regexp_replace(text, '[À-ÖØ-öø-ÿĀ-ſ가-힣]', 'z', 'g')"
 LESS = "(CASE WHEN {0} THEN {1} ELSE 0 END)"
 HAS = lambda p: f"regexp_matches(output, '(?m){p}')"
 N = lambda c, p: f"len(regexp_extract_all({c}, '(?m){p}'))"
@@ -249,7 +251,7 @@ def evl8(spark, d):
 
 
 @query("evl15_case_tokens", f"""SELECT doc_id, CASE WHEN h > 0 AND l > 0 THEN 'mixed-ko-en' WHEN h > 0 THEN 'ko' ELSE 'en' END AS locale, CASE WHEN regexp_matches(text, '(?m){V.HEADING}') OR regexp_matches(text, '(?m){V.ITEM}') THEN 'preserve-markdown' WHEN regexp_matches(lower(text), 'attendees|minutes|next steps') THEN 'memo-light' ELSE 'notes-light' END AS style,
-    len(list_distinct(list_concat({QUOTES}, {NUMBERS.format('text')}[1:3], regexp_extract_all(text, '{X.ACRONYM}')[1:3])))::INT AS preserve, len(list_distinct(list_filter(regexp_extract_all(text, '{V.WORD.replace(chr(39), chr(39) * 2)}'), lambda w: length(w) >= 4)[1:4]))::INT AS critical FROM (SELECT *, {HANGUL.format('text')} AS h, {LATIN.format('text')} AS l FROM documents)""")
+    len(list_distinct(list_concat({QUOTES}, {NUMBERS.format('text')}[1:3], regexp_extract_all({WORDY}, '{X.ACRONYM}')[1:3])))::INT AS preserve, len(list_distinct(list_filter(regexp_extract_all(text, '{V.WORD.replace(chr(39), chr(39) * 2)}'), lambda w: length(w) >= 4)[1:4]))::INT AS critical FROM (SELECT *, {HANGUL.format('text')} AS h, {LATIN.format('text')} AS l FROM documents)""")
 def evl15(spark, d):
     t = F.col("text")
     return view(spark, d, "documents").select("doc_id", V.script_locale(t).alias("locale"), V.style(t).alias("style"), F.size(V.preserve_tokens(t)).alias("preserve"), F.size(V.critical_tokens(t)).alias("critical"))
@@ -288,7 +290,7 @@ def evl21(spark, d):
     return V.simulate_policies(c, (("by vector", 0.3, 5, False, False), ("by key", 0.3, 5, True, True))).select("id", "policy", "left_id", "right_id")
 
 
-@query("evl11_salient_coverage", f"""WITH t AS (SELECT doc_id AS id, unnest(list_concat(regexp_extract_all(text, '{X.NUMBER}'), regexp_extract_all(text, '{X.ACRONYM}'))) AS token FROM documents), n AS (SELECT id, token, count(*) AS n FROM t GROUP BY 1, 2),
+@query("evl11_salient_coverage", f"""WITH t AS (SELECT doc_id AS id, unnest(list_concat(regexp_extract_all(text, '{X.NUMBER}'), regexp_extract_all({WORDY}, '{X.ACRONYM}'))) AS token FROM documents), n AS (SELECT id, token, count(*) AS n FROM t GROUP BY 1, 2),
     k AS (SELECT id, token FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, length(token) DESC, token) AS rank FROM n) WHERE rank <= 10)
     SELECT id, round(avg(CASE WHEN contains(substring(text, 1, CAST(floor(length(text) / 2) AS INT)), token) THEN 1.0::DOUBLE ELSE 0 END), 6) AS ratio, avg(CASE WHEN contains(substring(text, 1, CAST(floor(length(text) / 2) AS INT)), token) THEN 1.0::DOUBLE ELSE 0 END) >= 0.8 AS passed FROM k JOIN documents ON doc_id = id GROUP BY 1""")
 def evl11(spark, d):

@@ -38,7 +38,7 @@ def _load() -> None:
         importlib.import_module(f"loomgraph.plans.{module}")
 
 
-MODULES: tuple[str, ...] = ("q_listing", "q_search", "q_graph", "q_resolve", "q_text", "q_render", "q_stream")
+MODULES: tuple[str, ...] = ("q_listing", "q_search", "q_graph", "q_resolve", "q_text", "q_render", "q_source", "q_stream")
 
 
 def queries() -> dict[str, Query]:

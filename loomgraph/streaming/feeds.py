@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,27 +19,37 @@ def active_only(items: DataFrame, feeds: DataFrame) -> DataFrame:
     return items.join(feeds.where("active").select(F.col("id").alias("feed_id")), "feed_id", "left_semi")
 
 
-def first_seen(items: DataFrame, key: str = "source_uri", at: str | None = None, within: str | None = None) -> DataFrame:
-    """The first item of each key. Without ``within`` the keys are kept for ever; with it, for that long after ``at``."""
+def first_seen(items: DataFrame, key: str = "source_uri", at: str | None = None, within: str | None = None, order: list[str] | None = None) -> DataFrame:
+    """The first item of each key. A table has the first by ``order``; a stream the first that comes, with keys kept for ever
+    without ``within``, else for that long after ``at``. Within a micro-batch a stream has no order: insert_batches does."""
+    if not items.isStreaming:
+        rest = [c for c in items.columns if c != key]
+        by = F.struct(*(order or [at or rest[0]]))
+        return items.groupBy(key).agg(F.min_by(F.struct(*rest), by).alias("r")).select(key, "r.*").select(*items.columns)
     if within is None:
         return items.dropDuplicates([key])
     return items.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, within).dropDuplicatesWithinWatermark([key])
 
 
+def stored_or_empty(spark: SparkSession, table: str, schema) -> DataFrame:
+    """The rows of a Parquet table, none if there isn't one yet."""
+    try:
+        return spark.read.schema(schema).parquet(table)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def insert_batches(items: DataFrame, table: str, checkpoint: str, key: str = "source_uri", after: Callable[[DataFrame], None] | None = None):
-    """Append each batch's new keys to a Parquet table; at least once, so a batch that runs again adds nothing.
+    """Append each batch's new keys to a Parquet table, of each key the row of least first column; a batch that runs again adds
+    nothing.
 
     ``after`` gets the inserted rows (triage, for one). Stops when what is there has been read."""
     from ..operators.mutate import insert_new
 
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            stored = spark.read.parquet(table)
-        except Exception as e:  # no table yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            stored = batch.limit(0)
+        stored = stored_or_empty(batch.sparkSession, table, batch.schema)
         rows = insert_new(stored, batch, key, batch.columns[0]).persist()
         rows.write.mode("append").parquet(table)
         if after is not None:
@@ -48,6 +59,28 @@ def insert_batches(items: DataFrame, table: str, checkpoint: str, key: str = "so
     return items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def process_batches(items: DataFrame, work: Callable[[DataFrame], DataFrame], done: str, quarantine: str, checkpoint: str, key: str = "id"):
+    """Each batch's items through ``work``, which returns them with an ``error`` column, null where all went well: good rows are
+    appended to ``done``, the others with their error to ``quarantine``, and the stream goes on. Items that either table has are
+    passed over, so a batch that runs again adds nothing. Stops when what is there has been read."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        seen = [stored_or_empty(spark, t, batch.select(key).schema) for t in (done, quarantine)]
+        fresh = batch.join(seen[0].unionByName(seen[1]), key, "left_anti")
+        rows = work(fresh).persist()
+        rows.where("error is null").drop("error").write.mode("append").parquet(done)
+        rows.where("error is not null").write.mode("append").parquet(quarantine)
+        rows.unpersist()
+
+    return items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def pending(items: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
+    """Items without a result: what a restart has to take up again, quarantined ones included."""
+    return items.join(done.select(key), key, "left_anti")
+
+
 def latest_revision(items: DataFrame, key: str = "id", revision: str = "revision") -> DataFrame:
     """The row of the highest revision of each document; work on an older one is dropped."""
     rest = [c for c in items.columns if c != key]

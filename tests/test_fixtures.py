@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import names as N
 from loomgraph.functions import text as X
 from loomgraph.functions import vectors as V
-from loomgraph.operators import graph, heat, layout, lint, resolve, search, vectors
+from loomgraph.operators import evals, graph, heat, layout, lint, resolve, search, vectors
 from loomgraph.operators.components import components
 from loomgraph.sources import readers
 from loomgraph.streaming import feeds
@@ -241,8 +241,13 @@ def test_files(spark, tmp_path):
         z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
     (tmp_path / "word.docx").write_bytes(data.getvalue())
     (tmp_path / "bad.docx").write_bytes(b"no zip")
-    got = {r.title: r.text for r in readers.files(spark, str(tmp_path)).collect()}
-    assert got == {"note": "# Head\n\nBody.", "word": "One\na | b", "bad": None}
+    (tmp_path / "paper.pdf").write_bytes(b"%PDF-1.7 one\ftwo goes on")
+    (tmp_path / "sheet.xlsx").write_bytes(b"x")
+    got = {r.title: (r.text, r.error) for r in readers.files(spark, str(tmp_path)).collect()}
+    assert got["note"] == ("# Head\n\nBody.", None) and got["word"] == ("One\na | b", None) and got["blank"] == (None, "blank") and got["bad"] == (None, "damaged")
+    assert got["paper"] == (None, "unsupported suffix: pdf") and got["sheet"] == (None, "unsupported suffix: xlsx")
+    read = {r.title: (r.text, r.error, r.mime_type) for r in readers.files(spark, str(tmp_path), lambda b: b.decode().split("\f")).collect()}
+    assert read["paper"] == ("%PDF-1.7 one\n\ntwo goes on", None, "application/pdf") and len(read) == 6
 
 
 def test_pdf_pages(spark):
@@ -250,6 +255,61 @@ def test_pdf_pages(spark):
     pages = [f"Journal of Things\n{w} opens the page\nwith text that goes hyphen-\nated {w} here.\nThe {w} ends\n{k + 1}" for k, w in enumerate(word)]
     (r,) = readers.page_texts(spark.createDataFrame([(1, pages)], "id long, pages array<string>")).collect()
     assert "Journal" not in r.text and "hyphenated cloud here." in r.text and not r.text.endswith("3")
+    blocks = [f"Paragraph {i} ends here." for i in range(30)] + ["References", "[1] A paper."]
+    few = ["Start.", "References", "[1] Kept, as the text is short."]
+    rows = [(1, ["\n".join(blocks)]), (2, ["\n".join(few)]), (3, ["\n".join(["References"] + blocks)]), (4, [" ", ""]), (5, ["one page\n1 of 2", "Page 2\nSHOUTED\nruns on\nand on.\nNew one"])]
+    got = {x.id: x.text for x in readers.page_texts(spark.createDataFrame(rows, "id long, pages array<string>")).collect()}
+    assert got == {1: "\n\n".join(blocks[:30]), 2: "\n\n".join(few), 3: "\n\n".join(["References"] + blocks[:30]), 5: "one page\n\nSHOUTED\n\nruns on and on.\n\nNew one"}
+
+
+def test_feeds_and_articles(spark):
+    bodies = [
+        ("u1", "<rss><channel><item><title>T</title><description>&lt;p&gt;Some  text&lt;/p&gt;</description><link>l</link><pubDate>d</pubDate></item><item><title>Only title</title></item><item><description> </description></item></channel></rss>"),
+        ("u2", '<feed xmlns="http://www.w3.org/2005/Atom"><title>F</title><entry><title>E</title><content>Body</content><link rel="self" href="s"/><link rel="alternate" href="a"/><published>p</published></entry><entry><title>Bare</title></entry></feed>'),
+        ("u3", "not xml"),
+    ]
+    got = {(r.feed_url, r.title, r.text, r.source_uri, r.published) for r in readers.feed_items(spark.createDataFrame(bodies, "feed_url string, xml string")).collect()}
+    assert got == {("u1", "T", "Some text", "l", "d"), ("u1", "Only title", "Only title", "u1", None), ("u2", "E", "Body", "a", "p"), ("u2", "Bare", "Bare", "u2", None)}
+    html = """<html><head><title>Plain</title><meta property="og:title" content="Own &amp; only"><meta name="author" content="Ann"><meta property="article:published_time" content="2024-01-02">
+      <script>var x = "<p>no</p>"</script></head><body><nav><p>menu</p></nav><article><h1>Head</h1><p>First <b>bold</b> line.</p><p><a href=x>only a link</a></p><!-- <p>gone</p> --><ul><li>Item &lt;1&gt;</li></ul></article><footer>foot</footer></body></html>"""
+    pages = [(html,), ("<title>T</title><p>a<br>b",), ("<script>x</script>",), (None,)]
+    a, b, c, d = [r.a for r in spark.createDataFrame(pages, "h string").select(readers.article(F.col("h")).alias("a")).collect()]
+    assert (a.title, a.author, a.date, a.text) == ("Own & only", "Ann", "2024-01-02", "Head\nFirst bold line.\nItem <1>")
+    assert (b.title, b.text) == ("T", "T\na\nb") and c.text is None and d.text is None
+    page = lambda t: spark.range(1).select(readers.reader_page(F.lit(t)).alias("p")).first().p
+    assert page("# Head\nshort") is None and page("# Head\n" + "x" * 50).title == "Head" and page("Title: A b\n" + "x" * 50).title == "A b" and page("x" * 50).title is None
+
+
+def test_failed_prompts_are_known(spark):
+    """One prompt of a batch fails: the others have their replies, and its error is kept."""
+
+    def model(prompts):
+        if any("bad" in p for p in prompts):
+            raise RuntimeError("refused")
+        return [p.upper() for p in prompts]
+
+    got = vectors.ask(spark.createDataFrame([(1, "a"), (2, "bad"), (3, "c")], "id long, prompt string").coalesce(1), model)
+    good, lost = vectors.quarantined(got)
+    assert {r.id: r.reply for r in good.collect()} == {1: "A", 3: "C"} and [(r.id, r.error) for r in lost.collect()] == [(2, "RuntimeError: refused")]
+
+
+def test_late_events_and_windows(spark, tmp_path):
+    """A stream with a watermark: a row later than it is left out, a window is written once it is past."""
+    at = lambda h, m: datetime.datetime(2024, 1, 1, h, m)
+    schema = "ts timestamp, event_type string"
+    for n, rows in enumerate(([(at(1, 5), "a"), (at(1, 20), "a")], [(at(5, 0), "b")], [(at(1, 30), "late"), (at(5, 30), "b")], [(at(9, 0), "c")])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        counts = feeds.tumbling_counts(feeds.poll(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema))
+        counts.writeStream.option("checkpointLocation", str(tmp_path / "check")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
+    got = {(r.start, r.event_type, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(at(1, 0), "a", 2), (at(5, 0), "b", 2)}
+
+
+def test_unknown_cases_are_an_error(spark):
+    cases = spark.createDataFrame([(1, "a", 1, False), (2, "b", 1, True)], "id long, category string, rank int, map_reduce boolean")
+    assert [r.id for r in evals.eligible(cases, 5, 1, [1]).collect()] == [1]
+    with pytest.raises(ValueError):
+        evals.eligible(cases, 5, 1, [1, 2])
 
 
 def test_stream_inserts_each_key_once(spark, tmp_path):
