@@ -167,19 +167,23 @@ def telling(rated: DataFrame, n_grades: int, screen: float = 4.0) -> np.ndarray:
 
 
 def only(rated: DataFrame, chosen: np.ndarray) -> DataFrame:
-    """rated (grade, features) with the chosen features only."""
+    """rated (grade, features) with the chosen features only, and a key of them."""
     mask = np.zeros(1 << BITS, bool)
     mask[chosen] = True
     shared = rated.sparkSession.sparkContext.broadcast(mask)  # 2^BITS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for b in batches:
             flat, n = b.column(1).flatten().to_numpy(), b.column(1).value_lengths().to_numpy()
             good = shared.value[flat]
             at = np.concatenate(([0], np.cumsum(np.bincount(np.repeat(np.arange(len(n)), n)[good], minlength=len(n)))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat[good], pa.int32()))], names=["grade", "features"])
+            flat = flat[good]
+            key = [int(np.uint64(xxhash.xxh64_intdigest(flat[x:y].tobytes())).astype(np.int64)) for x, y in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32())), pa.array(key, pa.int64())], names=["grade", "features", "key"])
 
-    return rated.select("grade", "features").mapInArrow(run, rated.select("grade", "features").schema)
+    return rated.select("grade", "features").mapInArrow(run, "grade int, features array<int>, key long")
 
 
 def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
@@ -187,10 +191,11 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, max_rows: int =
     rated = ratings.select(F.col(id_col), F.col("grade").cast("int").alias("grade")).where(F.col(id_col).isNotNull() & F.col("grade").between(0, n_grades - 1))
     sample = rated.orderBy(F.xxhash64(id_col), id_col, "grade").limit(max_rows)  # at most max_rows ids, so it may be broadcast
     featured = staged(_features_of(docs.join(F.broadcast(sample), id_col), ["grade"], text_col), "rated-features")
-    rows = only(featured, telling(featured, n_grades)).orderBy("grade", "features").toArrow()  # in one order, whatever the partitions were
-    features = rows.column("features").combine_chunks()
+    rows = only(featured, telling(featured, n_grades)).toArrow()
+    order = pa.array(np.lexsort((rows.column("key").to_numpy(), rows.column("grade").to_numpy())))  # one order, whatever the partitions were
+    features, grades = rows.column("features").combine_chunks().take(order), rows.column("grade").combine_chunks().take(order)
     sizes, flat = features.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), features.flatten().to_numpy()
-    return fit_ordinal(flat, sizes, rows.column("grade").to_numpy().astype(int), n_grades)
+    return fit_ordinal(flat, sizes, grades.to_numpy(zero_copy_only=False).astype(int), n_grades)
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
