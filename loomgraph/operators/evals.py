@@ -171,8 +171,7 @@ def validate(cases: DataFrame) -> DataFrame:
     novel, ratio, most = novel_ratio(s, o), length_ratio(s, o), by_level(level, LENGTH, 1)
     soft, hard = by_level(level, NOVELTY, 0), by_level(level, NOVELTY, 1)
     least = F.least("least_ratio", F.when(level == "structured_notes", F.col("least_ratio")).otherwise(by_level(level, LENGTH, 0)))
-    right_length, blank = ratio.between(least, most), (F.length(s) == 0) | (F.length(o) == 0)
-    too_far = blank | (~right_length & ((ratio < F.least(F.col("fail_below"), least * 0.7)) | (ratio > most + 0.35)))
+    blank = (F.length(s) == 0) | (F.length(o) == 0)
     locale_points, locale_passed = locale_check(s, o, F.col("dominant"))
     latin = lambda found: F.filter(found, lambda t: t.rlike("[A-Za-z]"))
     mixed = (F.col("dominant") == "mixed-ko-en") | (s.rlike("[가-힣]") & (F.size(latin(F.regexp_extract_all(s, F.lit(WORD), F.lit(0)))) > 0))
@@ -180,7 +179,16 @@ def validate(cases: DataFrame) -> DataFrame:
     fences = (F.length(o) - F.length(F.replace(o, F.lit("```"), F.lit("")))) / 3
     whole = (fences % 2 == 0) & ~o.rlike("(?md)" + EMPTY_HEADING) & ~o.rlike("(?md)" + EMPTY_ITEM)
     surface, form = F.when(F.trim(o) == "", 0.0).otherwise(surface_score(o, level)), form_score(s, o, level, F.col("style"))
-    must = lambda name, category, good: (name, category, F.when(good, 100.0).otherwise(0.0), good, ~good)
+    once: dict[str, Column] = {"_novel": novel, "_ratio": ratio, "_surface": surface, "_form": form, "_locale": locale_points, "_in_locale": locale_passed}  # computed once a row
+
+    def must(name: str, category: str, good: Column) -> tuple:
+        once[f"_{name}"] = good
+        held = F.col(f"_{name}")
+        return name, category, F.when(held, 100.0).otherwise(0.0), held, ~held
+
+    novel, ratio, surface, form, locale_points, locale_passed = map(F.col, once)
+    right_length = ratio.between(least, most)
+    too_far = blank | (~right_length & ((ratio < F.least(F.col("fail_below"), least * 0.7)) | (ratio > most + 0.35)))
     checks = [
         must("required_fields", "accuracy", (F.coalesce("title", F.lit("")) != "") & (o != "")),
         must("required_tokens", "accuracy", none_missing(F.concat("must", "critical"))),
@@ -205,7 +213,7 @@ def validate(cases: DataFrame) -> DataFrame:
         ("markdown_form", "structure", form, form >= 60, F.lit(False)),
     ]
     rows = [F.struct(F.lit(a).alias("check"), F.lit(b).alias("category"), c.cast("double").alias("score"), F.coalesce(d, F.lit(False)).alias("passed"), F.coalesce(e, F.lit(False)).alias("hard_fail")) for a, b, c, d, e in checks]
-    return cases.select("id", F.explode(F.array(*rows)).alias("r")).select("id", "r.*")
+    return cases.withColumns(once).select("id", F.explode(F.array(*rows)).alias("r")).select("id", "r.*")
 
 
 def case_scores(checks: DataFrame, judged: DataFrame | None = None, weights: dict[str, float] = WEIGHTS) -> DataFrame:

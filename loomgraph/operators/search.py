@@ -162,6 +162,11 @@ def named_edge_search(engrams: DataFrame, edges: DataFrame, query: str, limit: i
     return touching(edges, hits).join(name("source"), "source").join(name("target"), "target").orderBy(F.desc("confidence"), "id").limit(limit)
 
 
+def named_engrams(engrams: DataFrame, query: str, limit: int = 30) -> DataFrame:
+    """Concepts whose name holds the query, by name."""
+    return engrams.where(like_ascii(F.col("canonical_name"), query)).orderBy("canonical_name", "id").limit(limit)
+
+
 def named_edge_hits(engrams: DataFrame, edges: DataFrame, query: str) -> DataFrame:
     """One row for each end that matches: an edge whose ends both do comes twice."""
     hits = engrams.where(like_ascii(F.col("canonical_name"), query)).select(F.col("id").alias("hit"))

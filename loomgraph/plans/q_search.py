@@ -131,6 +131,11 @@ def knw1u(spark, d):
     return S.named_edge_search(view(spark, d, "ke"), view(spark, d, "kx"), "red").select("id", "source_name", "target_name", "predicate", "confidence")
 
 
+@query("knw1u_named_engrams", oracle("SELECT id, canonical_name FROM ke WHERE canonical_name ILIKE '%red%' ORDER BY canonical_name, id LIMIT 30"))
+def knw1un(spark, d):
+    return S.named_engrams(view(spark, d, "ke"), "Red").select("id", "canonical_name")
+
+
 @query("knw1g_edge_hits", oracle("SELECT x.id, e.id AS hit, predicate FROM ke e JOIN kx x ON x.source = e.id OR x.target = e.id WHERE e.canonical_name ILIKE '%red bolt%'"))
 def knw1g(spark, d):
     return S.named_edge_hits(view(spark, d, "ke"), view(spark, d, "kx"), "red bolt").select("id", "hit", "predicate")
