@@ -30,11 +30,17 @@ def without(docs: DataFrame, dropped: DataFrame, row: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose text is clean with a probability of LEAST_QUALITY or more, by the model of the labels table.
+
+    A null or empty text is judged by its style; rows that repeat are judged alike; ids don't matter. Without labels all
+    grades are equally likely and every row goes."""
     ratings = quality.grades_of(table(spark, sf_dir, "labels"))
     return quality.select_quality(docs, ratings, LEAST_QUALITY)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts, a null text being empty: the one of the largest id, a null id last; of rows that
+    share id and text, one."""
     docs, row = row_keyed(docs)
     key = F.struct("doc_id", F.col(row).alias("row"))  # the largest id stays, a null one last
     groups = exact_dedup.exact_groups(docs.select(key.alias("key"), "text"), "key")
@@ -42,6 +48,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies: the one of the least id, a null id last. Groups are the components of the pairs
+    whose sets of five-word shingles have a similarity of 0.8 or more; texts without words are one group."""
     docs, row = row_keyed(docs)
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row"))  # the least id stays, a null one last
     groups = simhash.near_groups(docs.select(key.alias("key"), "text"), "key", **NEAR)
@@ -49,12 +57,16 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows without a passage of the benchmark table, each by its own text: rows that share an id are told apart. Null and
+    empty texts stay, and with an empty benchmark all rows do."""
     docs, row = row_keyed(docs)
     found = decontaminate.contamination_report(docs.select(row, "text"), table(spark, sf_dir, "benchmark"), row)
     return without(docs, staged(found.where("contaminated"), "leaks"), row)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the mix takes words of, with those words; columns of docs called like the mix's give way to them. Null and
+    empty texts have no words to take; a null source is a source; rows that repeat are drawn like different ones."""
     docs, row = row_keyed(docs)
     mixed = mixing.mix(docs, carry=(row,)).where("taken > 0").select(row, "size", "source_size", "target", "taken", "draws")
     mixed = staged(mixed, "mix")
