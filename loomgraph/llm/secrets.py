@@ -174,7 +174,8 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
     part = lambda r, k: spans_of(F.col("text"), r, k)
     scanned = texts.select("id", row, F.concat(none, *[part(r, k) for k, r in enumerate(rules) if r.kind not in indexed]).alias("scanned"))
-    held = texts.where(reduce(lambda a, b: a | b, [F.contains(F.lower("text"), F.lit(t)) for t in rarest], F.lit(False)))
+    asked_for = F.array(*map(F.lit, rarest)).cast("array<string>")
+    held = texts.where(F.exists(F.array(F.lower("text")), lambda low: F.exists(asked_for, lambda t: F.contains(low, t))))  # lower-cased once a row
     asked = [F.when(F.array_contains("kinds", r.kind), part(r, k)).otherwise(none) for k, r in enumerate(rules) if r.kind in indexed]
     verified = held.join(hits, row).select(row, F.concat(none, *asked).alias("verified")).where(F.size("verified") > 0)
     both = split_join(scanned, staged(verified, "secret-spans"), [row], "left")
