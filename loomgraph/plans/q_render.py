@@ -149,7 +149,9 @@ def txt19(spark, d):
     return view(spark, d, "part").select(F.col("p_partkey").alias("id"), F.explode(A.entities(J.json_object(reply))).alias("e")).select("id", "e.*")
 
 
-TWO = F.array(F.slice("found", 1, 5), F.slice("found", 4, 6))  # two chunks that overlap
+def two():
+    """Two chunks of a document's lines, which overlap."""
+    return F.array(F.slice("found", 1, 5), F.slice("found", 4, 6))
 
 
 @query("txt21_payload", f"SELECT doc_id, CAST(20 + sum(length(x) + 2 + length(x) - length(replace(replace(x, '\"', ''), '\\', ''))) + 2 * (count(*) - 1) AS BIGINT) AS chars FROM {FIRSTS} WHERE NOT contains(x, chr(9)) GROUP BY 1".replace("CAST(20", "CAST(length('{\"evidence_lines\": []}')"))
@@ -163,20 +165,20 @@ OVER = LINES.replace("SELECT doc_id, i, trim(x) AS x", "SELECT doc_id, row_numbe
 
 @query("txt26_merged_evidence", f"SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY i) AS rn FROM ({OVER}) WHERE i <= 9) WHERE rn = 1 GROUP BY 1")
 def txt26(spark, d):
-    return lined(spark, d).select("doc_id", F.array_join(A.distinct(F.flatten(TWO)), "\n").alias("lines"))
+    return lined(spark, d).select("doc_id", F.array_join(A.distinct(F.flatten(two())), "\n").alias("lines"))
 
 
 @query("txt27_summary_inputs", f"SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN 'said' ELSE string_agg(x, chr(10) ORDER BY i) FILTER (i IN (1, 2, 4, 5)) END AS inputs FROM ({OVER}) GROUP BY 1")
 def txt27(spark, d):
     said = F.when(F.col("doc_id") % 2 == 1, F.array(F.lit(""), F.lit("said"))).otherwise(F.array(F.lit(None).cast("string"), F.lit("")))
-    return lined(spark, d).select("doc_id", F.array_join(A.summary_inputs(said, TWO), "\n").alias("inputs"))
+    return lined(spark, d).select("doc_id", F.array_join(A.summary_inputs(said, two()), "\n").alias("inputs"))
 
 
 @query("txt28_grounded_merge", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN arg_min('- ' || k, i) ELSE string_agg(x, chr(10) ORDER BY i) FILTER (rn = 1) END AS lines FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY i) AS rn FROM ({OVER}) WHERE i <= 9) GROUP BY 1")
 def txt28(spark, d):
     first = F.concat(F.lit("- "), X.line_key(F.get("found", F.lit(0))))
     said = F.when(F.col("doc_id") % 2 == 0, F.array(first)).otherwise(F.array(first, F.lit("never said before")))
-    return lined(spark, d).select("doc_id", F.array_join(A.merged(said, TWO), "\n").alias("lines"))
+    return lined(spark, d).select("doc_id", F.array_join(A.merged(said, two()), "\n").alias("lines"))
 
 
 @query("txt23_fallback_evidence", f"SELECT doc_id, string_agg(x, chr(10) ORDER BY place) AS lines FROM {FIRSTS} WHERE place <= 80 AND doc_id IN (SELECT doc_id FROM ({LINES}) GROUP BY 1 HAVING count(*) >= 4) GROUP BY 1")

@@ -48,3 +48,14 @@ def test_entry_points_import_without_the_rest():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "srch_hybrid" in e.queries()
+
+
+def test_entry_points_need_no_session():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
