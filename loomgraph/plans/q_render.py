@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import artifacts as A
 from ..functions import replies as J
 from ..functions import text as X
-from .q_text import LINES
+from .q_text import LINES, WORDY
 from .registry import query
 from .views import view
 
@@ -51,12 +51,69 @@ HEADING = r"(starts_with(x, '#') OR (regexp_matches(x, '^\d+(?:\.\d+)*(?:\s+|$)'
 CAPTION = r"(regexp_matches(x, '(?i)^(?:figure|table)\s+\d+[.:]?\s+') OR regexp_matches(x, '^\[\d+\]') OR starts_with(lower(x), 'doi:'))"
 QUOTE = "regexp_matches(x, '[\"“”''‘’]')"
 AFFILIATION = "(contains(lower(x), '@') OR " + " OR ".join(f"contains(lower(x), '{m}')" for m in X.AFFILIATIONS) + ")"
-KEPT = f"(len(regexp_extract_all(x, '{X.NUMBER}')) + len(regexp_extract_all(x, '{X.ACRONYM}')))"
+KEPT = f"(len(regexp_extract_all(x, '{X.NUMBER}')) + len(regexp_extract_all({WORDY.replace('text', 'x')}, '{X.ACRONYM}')))"
 TOPIC = rf"(NOT {AFFILIATION} AND length(x) BETWEEN 40 AND 260 AND len(regexp_extract_all(x, '{X.TOPIC_WORD}')) >= 4 AND len(regexp_extract_all(x, '{X.CITATION}')) < 2 AND (length(x) - length(regexp_replace(x, '\p{{L}}', '', 'g'))) / nullif(CAST(length(x) - length(regexp_replace(x, '[\p{{L}}\p{{N}}]', '', 'g')) AS DOUBLE), 0) >= 0.6)"
 CLASSES = f"""(SELECT *, place = min(CASE WHEN place <= 2 AND plain THEN place END) OVER (PARTITION BY doc_id) AS top FROM (SELECT doc_id, x, place, NOT {AFFILIATION} AND NOT {HEADING} AND NOT {CAPTION} AND length(x) <= 180 AS plain,
     CASE WHEN {HEADING} THEN 'heading' WHEN {QUOTE} THEN 'quote' WHEN {CAPTION} OR {KEPT} >= 2 THEN 'numeric' WHEN {TOPIC} THEN 'topic' ELSE 'support' END AS kind FROM {FIRSTS}))"""
 
 
+def chunk_sql(size: int, overlap: int) -> str:
+    """Chunks by recursion: the end of one from the last mark of the best kind in its window, the start of the next from the
+    word after the overlap."""
+    reach = min(600, max(80, size // 3))
+    low, window = f"greatest(start + 1, start + {size} - {reach})", f"substring(text, greatest(start + 1, start + {size} - {reach}) + 1, start + {size} - greatest(start + 1, start + {size} - {reach}))"
+    ends = " ".join(
+        f"WHEN contains({window}, {lit}) THEN {low} + length(regexp_extract({window}, '(?s)^(.*){pattern}', 1)) + {keep}"
+        for lit, pattern, keep in (("chr(10) || chr(10)", "\\n\\n", 0), ("chr(10)", "\\n", 0), *((f"'{c} '", ("\\" if c in ".?" else "") + c + " ", 1) for c in ".?!;:,"), ("' '", " ", 0))
+    )
+    end = f"CASE WHEN start + {size} >= length(text) THEN length(text) {ends} ELSE start + {size} END"
+    back = f"greatest(stop - {overlap}, start + 1)"
+    blank = r"[\s]"
+    rest = f"substring(text, {back} + 1)"
+    lead = f"(CASE WHEN regexp_matches(substring(text, {back}, 1), '{blank}') THEN 0 ELSE least(120, length(regexp_extract({rest}, '^\\S*', 0))) END)"
+    word = f"({back} + {lead} + length(regexp_extract(substring(text, {back} + {lead} + 1), '^\\s*', 0)))"
+    return f"""WITH RECURSIVE c AS (SELECT doc_id, text, start, CAST({end} AS BIGINT) AS stop, 0 AS n FROM (SELECT doc_id, text, CAST(0 AS BIGINT) AS start FROM documents WHERE text IS NOT NULL)
+      UNION ALL SELECT doc_id, text, start, CAST({end} AS BIGINT), n + 1 FROM (SELECT doc_id, text, CAST(CASE WHEN {word} < stop THEN {word} ELSE {back} END AS BIGINT) AS start, n FROM c WHERE stop < length(text) AND length(text) > {size})),
+      p AS (SELECT doc_id, n, CASE WHEN length(text) <= {size} THEN text ELSE trim(substring(text, start + 1, stop - start), ' ' || chr(9) || chr(10) || chr(13)) END AS chunk FROM c)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INT) AS place, chunk FROM p WHERE chunk <> '' OR n = 0"""
+
+
+@query("txt4_chunks", chunk_sql(4000, 200))
+def txt4(spark, d):
+    return view(spark, d, "documents").select("doc_id", F.posexplode(X.chunks(F.col("text"))).alias("place", "chunk"))
+
+
+SPLIT = r"string_split(regexp_replace({0}, '([.!?])\s+([A-Z0-9“\"''(\[])', '\1' || chr(1) || '\2', 'g'), chr(1))"
+
+
+@query("txt9_sentences", f"SELECT doc_id, unnest(range(len(l)))::INT AS place, unnest(l) AS sentence FROM (SELECT doc_id, list_filter(list_transform({SPLIT.format('text')}, lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)")
+def txt9(spark, d):
+    return view(spark, d, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("place", "sentence"))
+
+
+PIECES = f"""(SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS place, trim(regexp_replace(regexp_replace(trim(x), '^(?:#{{1,6}}\\s+|[-*+]\\s+)', ''), '\\s+', ' ', 'g')) AS k FROM (SELECT doc_id, i, unnest(l) AS x, unnest(range(len(l))) AS j FROM (SELECT doc_id, i, CASE WHEN {HEADING} OR {CAPTION} THEN [x] ELSE list_filter(list_transform({SPLIT.format('x')}, lambda y: trim(y)), lambda y: y <> '') END AS l
+    FROM (SELECT doc_id, trim(b) AS x, i FROM (SELECT doc_id, unnest(b) AS b, unnest(range(len(b))) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\\n{{2,}}') AS b FROM documents))) WHERE x <> '')))"""
+
+
+@query("txt10_preservation_lines", f"""SELECT doc_id, coalesce(lines, '') AS lines FROM documents LEFT JOIN (SELECT doc_id, string_agg(x, chr(10) ORDER BY n) AS lines FROM (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY q DESC, place) AS n FROM
+    (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY q DESC, place) AS rn FROM (SELECT *, {QUOTE} AS q FROM {PIECES} WHERE length(x) <= 240 AND NOT {HEADING} AND NOT {CAPTION}) WHERE q OR {KEPT} >= 2) WHERE rn = 1 AND k <> '') WHERE n <= 8 GROUP BY 1) USING (doc_id)""")
+def txt10(spark, d):
+    return view(spark, d, "documents").select("doc_id", F.array_join(X.preservation_lines(F.col("text")), "\n").alias("lines"))
+
+
+SCORED = f"""(SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY -score, i) AS rk, count(*) OVER (PARTITION BY doc_id) AS total FROM (SELECT doc_id, x, i, {HEADING} AS h, {QUOTE} AS q, {KEPT} AS n,
+    CASE WHEN i = 0 THEN 25 ELSE 0 END + CASE WHEN {HEADING} THEN 100 ELSE 0 END + CASE WHEN {CAPTION} THEN 80 ELSE 0 END + CASE WHEN {QUOTE} THEN 45 ELSE 0 END + CASE WHEN {KEPT} > 0 THEN 35 + least(60, 12 * {KEPT}) ELSE 0 END
+      + CASE WHEN regexp_matches({WORDY.replace('text', 'x')}, '\\b[A-Z]{{2,}}\\b') THEN 15 ELSE 0 END + CASE WHEN length(x) BETWEEN 40 AND 180 THEN 10 ELSE 0 END AS score FROM (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS i FROM ({LINES}))))"""
+
+
+@query("txt11_trimmed_evidence", f"""WITH s AS MATERIALIZED (FROM {SCORED}), a AS (SELECT doc_id, min(rk) FILTER (h) AS h FROM s GROUP BY 1), b AS (SELECT s.doc_id, any_value(a.h) AS h, min(rk) FILTER (q AND rk IS DISTINCT FROM a.h) AS q FROM s JOIN a USING (doc_id) GROUP BY 1),
+    c AS (SELECT s.doc_id, any_value(b.h) AS h, any_value(b.q) AS q, min(rk) FILTER (n >= 2 AND rk IS DISTINCT FROM b.h AND rk IS DISTINCT FROM b.q) AS k FROM s JOIN b USING (doc_id) GROUP BY 1),
+    o AS (SELECT s.doc_id, x, i, total, row_number() OVER (PARTITION BY s.doc_id ORDER BY CASE WHEN rk = c.h THEN 0 WHEN rk = c.q THEN 1 WHEN rk = c.k THEN 2 ELSE 3 END, rk) AS turn FROM s JOIN c USING (doc_id))
+    SELECT doc_id, coalesce(lines, '') AS lines FROM documents LEFT JOIN (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS lines FROM o WHERE total <= 6 OR turn <= 6 GROUP BY 1) USING (doc_id)""")
+def txt11(spark, d):
+    return view(spark, d, "documents").select("doc_id", F.array_join(X.trim_evidence(X.lines(F.col("text")), 6), "\n").alias("lines"))
+
+
 @query(
     "txt12_classified_lines",
     f"""SELECT doc_id, kind, lines FROM (SELECT doc_id, kind, string_agg(x, chr(10) ORDER BY place) AS lines FROM (SELECT doc_id, CASE WHEN top THEN 'title' ELSE kind END AS kind, x, place, row_number() OVER (PARTITION BY doc_id, CASE WHEN top THEN 'title' ELSE kind END ORDER BY place) AS n FROM {CLASSES})

@@ -24,12 +24,6 @@ def txt2(spark, d):
     return view(spark, d, "pages").select("page_id", X.html_title(F.col("html")).alias("title"))
 
 
-@query("txt4_chunks")
-def txt4(spark, d):
-    docs = view(spark, d, "documents")
-    return docs.select("doc_id", F.posexplode(X.chunks(F.col("text"))).alias("place", "chunk"))
-
-
 VIDEO = "concat('https://', CASE page_id % 4 WHEN 0 THEN 'youtu.be/a' WHEN 1 THEN 'www.youtube.com/watch?x=1&v=b' WHEN 2 THEN 'm.youtube.com/embed/c' ELSE 'example.com/v/d' END, CAST(page_id AS STRING), '?t=3')"
 
 
@@ -72,21 +66,6 @@ def txt8(spark, d):
     return rows.select("doc_id", F.col("place").cast("long").alias("place"), X.is_structural(x).alias("structural"), X.is_quote(x).alias("quote"), X.is_caption(x).alias("caption"), X.is_affiliation(x).alias("affiliation"), F.size(X.numeric_tokens(x)).alias("numbers"))
 
 
-@query("txt9_sentences")
-def txt9(spark, d):
-    return view(spark, d, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("place", "sentence"))
-
-
-@query("txt10_preservation_lines")
-def txt10(spark, d):
-    return view(spark, d, "documents").select("doc_id", F.array_join(X.preservation_lines(F.col("text")), "\n").alias("lines"))
-
-
-@query("txt11_trimmed_evidence")
-def txt11(spark, d):
-    return view(spark, d, "documents").select("doc_id", F.array_join(X.trim_evidence(X.lines(F.col("text")), 6), "\n").alias("lines"))
-
-
 @query("txt17_grounded", rf"SELECT doc_id, doc_id % 5 <> 0 AS grounded FROM documents WHERE trim(text) <> ''")
 def txt17(spark, d):
     docs = view(spark, d, "documents").where("trim(text) <> ''")
