@@ -6,6 +6,7 @@ import re
 
 from .licenses import TEMPLATES, Template, TokenAutomaton
 from .secrets import RULES, Rule
+from .url_rules import GIVEN, GivenRule
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -94,3 +95,37 @@ WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w F
   c AS (SELECT r, count(DISTINCT p) AS covered FROM (SELECT r, unnest(range(i, i + n)) AS p FROM f) GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
   CASE WHEN len(w) = 0 THEN 0.0::DOUBLE ELSE coalesce(covered, 0) / CAST(len(w) AS DOUBLE) END AS score FROM d LEFT JOIN g USING (r) LEFT JOIN c USING (r)"""
+
+
+def url_filter(rules: tuple[GivenRule, ...] = GIVEN, support: float = 0.005, confidence: float = 0.9, default: str = "allow") -> str:
+    """Every combination of a labelled URL's frequent tokens is counted, and every combination of an open URL's tokens is
+    looked up among the rules."""
+    longest = sorted(rules, key=lambda r: (-len(r.name), r.name))
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '/{r.path}')"
+    case = lambda value: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{value(r)}'" for r in longest) + " END"
+    tag = lambda mark, c: f"list_transform({c}, lambda x: '{mark}' || x)"
+    labels, file = "list_filter(list_reverse(string_split(host, '.')), lambda x: x <> '')", "regexp_extract(path, '([^/]*)$', 1)"
+    dirs = "list_filter(string_split(path, '/')[:-2], lambda x: x <> '')"
+    ext = rf"regexp_extract({file}, '\.([A-Za-z0-9]+)$', 1)"
+    tokens = ", ".join(
+        (
+            f"list_transform({labels}, lambda x, i: 'h' || i || ':' || x)",
+            tag("w:", f"flatten(list_transform(list_filter({labels}, lambda x: regexp_matches(x, '[^a-z]')), lambda x: regexp_extract_all(x, '[a-z]{{2,}}')))"),
+            f"list_transform({dirs}, lambda x, i: 'p' || i || ':' || x)",
+            tag("f:", rf"regexp_extract_all(regexp_replace({file}, '\.[A-Za-z0-9]+$', ''), '[\p{{L}}\p{{N}}]+')"),
+            f"CASE WHEN {ext} <> '' THEN ['x:' || {ext}] ELSE [] END",
+            tag("q:", r"regexp_extract_all(regexp_extract(coalesce(url, ''), '\?([^#]*)', 1), '(?:^|&)([^=&]+)', 1)"),
+        )
+    )
+    subsets = lambda c: f"unnest(list_transform(range(1, CAST(pow(2, len({c})) AS BIGINT)), lambda m: list_filter({c}, lambda x, i: (m >> (i - 1)) & 1 = 1)))"
+    return rf"""
+WITH u AS (SELECT row_number() OVER () AS r, page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+  j AS MATERIALIZED (SELECT *, {case(lambda r: r.name)} AS rule, {case(lambda r: r.verdict)} AS said, list_sort(list_distinct(list_concat({tokens}))) AS tokens FROM u),
+  n AS (SELECT count(*) AS n FROM j WHERE rule IS NOT NULL),
+  often AS MATERIALIZED (SELECT token FROM (SELECT unnest(tokens) AS token FROM j WHERE rule IS NOT NULL), n GROUP BY token, n HAVING count(*) >= {support} * n),
+  b AS (SELECT said, list_sort(list_intersect(tokens, (SELECT coalesce(list(token), []) FROM often))) AS known FROM j WHERE rule IS NOT NULL),
+  c AS (SELECT s, count(*) AS every, said, sum(count(*)) OVER (PARTITION BY s) AS held FROM (SELECT said, {subsets('known')} AS s FROM b) GROUP BY s, said),
+  rules AS MATERIALIZED (SELECT s, said AS label, every / CAST(held AS DOUBLE) AS confidence, every / CAST(n AS DOUBLE) AS support FROM c, n WHERE every >= ceil({support} * n) AND every / CAST(held AS DOUBLE) >= {confidence}),
+  o AS (SELECT r, {subsets('known')} AS s FROM (SELECT r, list_sort(list_intersect(tokens, (SELECT coalesce(list(DISTINCT t), []) FROM (SELECT unnest(s) AS t FROM rules)))) AS known FROM j WHERE rule IS NULL)),
+  m AS (SELECT r, s, label FROM (SELECT r, o.s, label, row_number() OVER (PARTITION BY r ORDER BY confidence DESC, support DESC, o.s DESC, label DESC) AS place FROM o JOIN rules ON rules.s = o.s) WHERE place = 1)
+SELECT page_id, host, path, rule, coalesce(said, label, '{default}') AS verdict, array_to_string(s, ' ') AS mined FROM j LEFT JOIN m USING (r)"""

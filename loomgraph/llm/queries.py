@@ -70,9 +70,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: The rest hash with XXH64, mine rules, train, tokenise or permute, which SQL can't: tests/llm has brute force.
+#: The rest hash with XXH64, train, tokenise or permute, which SQL can't: tests/llm has brute force.
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": oracles.EXACT_DEDUP,
+    "op4_url_filter": oracles.url_filter(),
     "op5_secret_scan": oracles.secret_scan(),
     "op6_license_scan": oracles.license_scan(),
     "op7_warc": oracles.WARC,
