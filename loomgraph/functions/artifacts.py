@@ -200,28 +200,23 @@ def _steps(rows: Column, s: dict) -> Column:
     return F.concat(each("heading", s["heading"]), *[in_turn(k, s[k]) for k in ("topic", "quote", "numeric")], *[each(k, MANY) for k in ("topic", "quote", "numeric")], each("support", s["support"]))
 
 
-def chosen(artifacts: Column, title: Column, level: str) -> Column:
-    """The places (in candidates) of the lines that a document's plan takes, in the order they were taken."""
-    s = STRATEGIES[level]
-
-    def fold(rows: Column) -> Column:
-        w = weights(F.coalesce(title, F.lit("")))
-        start = F.struct(F.array().cast("array<int>").alias("at"), none().alias("key"), none().alias("kind"), *[w[c].alias(c) for c in "ahp"])
-
-        def take(state: Column, step: Column) -> Column:
-            fits = lambda r: _tokens(state["a"] + r["a"], state["h"] + r["h"], state["p"] + r["p"]) <= s["evidence"]
-            asked = lambda r: (r["kind"] == step["kind"]) & ((step["section"] < 0) | (r["section"] == step["section"])) & ((step["at"] < 0) | (r["at"] == step["at"]))
-            first = F.get(F.filter(rows, lambda r: asked(r) & ~F.array_contains(state["key"], r["key"]) & fits(r)), F.lit(0))
-            free = F.size(F.filter(state["kind"], lambda k: k == step["kind"])) < step["most"]
-            added = lambda r: F.when(
-                free & r["at"].isNotNull(),
-                F.struct(F.concat(state["at"], F.array(r["at"])).alias("at"), F.concat(state["key"], F.array(r["key"])).alias("key"), F.concat(state["kind"], F.array(r["kind"])).alias("kind"), *[(state[c] + r[c]).alias(c) for c in "ahp"]),
-            ).otherwise(state)
-            return let(first, added)
+def chosen(rows: Column, title: Column, level: str) -> Column:
+    """The places of the candidates that a document's plan takes, in the order they were taken."""
+    s, w = STRATEGIES[level], weights(F.coalesce(title, F.lit("")))
+    start = F.struct(F.array().cast("array<int>").alias("at"), none().alias("key"), none().alias("kind"), *[w[c].alias(c) for c in "ahp"])
 
-        return F.aggregate(_steps(rows, s), start, take, lambda state: state["at"])
+    def take(state: Column, step: Column) -> Column:
+        fits = lambda r: _tokens(state["a"] + r["a"], state["h"] + r["h"], state["p"] + r["p"]) <= s["evidence"]
+        asked = lambda r: (r["kind"] == step["kind"]) & ((step["section"] < 0) | (r["section"] == step["section"])) & ((step["at"] < 0) | (r["at"] == step["at"]))
+        first = F.get(F.filter(rows, lambda r: asked(r) & ~F.array_contains(state["key"], r["key"]) & fits(r)), F.lit(0))
+        free = F.size(F.filter(state["kind"], lambda k: k == step["kind"])) < step["most"]
+        added = lambda r: F.when(
+            r["at"].isNotNull(),
+            F.struct(F.concat(state["at"], F.array(r["at"])).alias("at"), F.concat(state["key"], F.array(r["key"])).alias("key"), F.concat(state["kind"], F.array(r["kind"])).alias("kind"), *[(state[c] + r[c]).alias(c) for c in "ahp"]),
+        ).otherwise(state)
+        return F.when(free, let(first, added)).otherwise(state)
 
-    return let(candidates(artifacts), fold)
+    return F.aggregate(_steps(rows, s), start, take, lambda state: state["at"])
 
 
 def numeric_tokens(text: Column) -> Column:
@@ -270,8 +265,7 @@ def plan(artifacts: Column, title: Column, level: str) -> Column:
     """The chosen lines by chunk: (chunk, heading, topic, quote, numeric, support, polished, fault); a polished block that can't
     stand for its chunk's lines is null with the fault beside it. Chunks with neither lines nor a block are left out."""
 
-    def by_chunk(both: Column) -> Column:
-        rows, taken = both["rows"], both["taken"]
+    def by_chunk(rows: Column, taken: Column) -> Column:
         of = lambda i, k: F.transform(F.filter(rows, lambda r: (r["chunk"] == i) & (r["kind"] == k) & F.array_contains(taken, r["at"])), lambda r: r["x"])
 
         def one(a: Column, i: Column) -> Column:
@@ -284,7 +278,7 @@ def plan(artifacts: Column, title: Column, level: str) -> Column:
 
         return F.filter(F.transform(artifacts, one), lambda c: c["there"])
 
-    return let(F.struct(candidates(artifacts).alias("rows"), chosen(artifacts, title, level).alias("taken")), by_chunk)
+    return let(candidates(artifacts), lambda rows: let(chosen(rows, title, level), lambda taken: by_chunk(rows, taken)))
 
 
 def chunk_blocks(c: Column, level: str) -> Column:
