@@ -70,17 +70,20 @@ class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray  # ascending; one fewer than grades
 
-    def score(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(self.weights[flat], starts) if len(starts) else np.empty(0)
+    def score(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The sum of the weights of each row's features, laid end to end; 0 for a row without any."""
+        if sizes.all():
+            return np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes) if len(sizes) else np.empty(0)
+        return np.bincount(np.repeat(np.arange(len(sizes)), sizes), self.weights[flat], len(sizes))
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ..., a column each."""
         return _sigmoid(score[:, None] - self.thresholds[None, :])
 
 
-def log_likelihood(m: OrdinalModel, flat: np.ndarray, begin: np.ndarray, grades: np.ndarray) -> float:
+def log_likelihood(m: OrdinalModel, flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray) -> float:
     """Mean log-probability of the grades."""
-    edge = np.concatenate((np.full((len(grades), 1), 1.0), m.tails(m.score(flat, begin[:-1])), np.zeros((len(grades), 1))), axis=1)
+    edge = np.concatenate((np.full((len(grades), 1), 1.0), m.tails(m.score(flat, sizes)), np.zeros((len(grades), 1))), axis=1)
     p = edge[np.arange(len(grades)), grades] - edge[np.arange(len(grades)), grades + 1]
     return float(np.log(np.maximum(p, 1e-12)).mean())
 
@@ -88,7 +91,7 @@ def log_likelihood(m: OrdinalModel, flat: np.ndarray, begin: np.ndarray, grades:
 def gradients(m: OrdinalModel, flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of minus the mean log-likelihood, by weight and by threshold."""
     k, y = len(m.thresholds) + 1, grades
-    score = m.score(flat, np.cumsum(sizes) - sizes)
+    score = m.score(flat, sizes)
     upper = np.where(y < k - 1, m.thresholds[np.minimum(y, k - 2)] - score, 30.0)
     lower = np.where(y > 0, m.thresholds[np.maximum(y - 1, 0)] - score, -30.0)
     pu, pl = _sigmoid(upper), _sigmoid(lower)
@@ -97,31 +100,35 @@ def gradients(m: OrdinalModel, flat: np.ndarray, sizes: np.ndarray, grades: np.n
     return g, (np.bincount(y, dl / p, k)[1:] - np.bincount(y, du / p, k)[:-1]) / len(y)
 
 
-def fit_ordinal(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_grades: int, epochs: int = 200, batch: int = 1024, rate: float = 0.3, l1: float = 1e-4, screen: float = 4.0, seed: int = 5) -> OrdinalModel:
+def fit_ordinal(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_grades: int, epochs: int = 200, batch: int = 1024, rate: float = 0.3, l1: float = 1e-4, screen: float | None = 4.0, seed: int = 5) -> OrdinalModel:
     """Mini-batch AdaGrad on the log-likelihood with an L1 penalty, from the rows' features laid end to end and their
     numbers. Features whose rows reach each grade as often as all rows do, within ``screen`` standard errors, keep
-    weight 0: a long text is then not the sum of many small errors. Without rows every grade is equally likely."""
+    weight 0: a long text is then not the sum of many small errors. None if that was seen to before. Without rows every
+    grade is equally likely; a row without features is scored by the thresholds alone."""
     base = np.arange(1, n_grades, dtype=float) / n_grades
     m = OrdinalModel(np.zeros(1 << BITS), np.log(base / (1 - base)))
     if not len(sizes):
         return m
     share = np.clip([np.mean(grades <= k) for k in range(n_grades - 1)], 1e-3, 1 - 1e-3)
     thresholds = np.maximum.accumulate(np.log(share / (1 - share)) + 1e-3 * np.arange(n_grades - 1))
-    n = np.maximum(np.bincount(flat, minlength=1 << BITS), 1)
     tells = np.zeros(1 << BITS, bool)
-    for k in range(1, n_grades):
-        high = (grades >= k).astype(float)
-        rate_with = np.bincount(flat, np.repeat(high, sizes), 1 << BITS) / n
-        tells |= np.abs(rate_with - high.mean()) * np.sqrt(n) > screen * max(high.std(), 1e-9)
-    chosen = np.flatnonzero(tells)  # the weights fitted, and a zero for rows that have none of them
-    row = np.repeat(np.arange(len(sizes)), sizes)[tells[flat]]
-    flat, none = np.searchsorted(chosen, flat[tells[flat]]), np.setdiff1d(np.arange(len(sizes)), row)
-    order = np.argsort(np.concatenate((row, none)), kind="stable")
-    flat = np.concatenate((flat, np.full(len(none), len(chosen))))[order]
-    sizes = np.maximum(np.bincount(row, minlength=len(sizes)), 1)
+    if screen is None:
+        tells[flat] = True
+    else:
+        n = np.maximum(np.bincount(flat, minlength=1 << BITS), 1)
+        for k in range(1, n_grades):
+            high = (grades >= k).astype(float)
+            rate_with = np.bincount(flat, np.repeat(high, sizes), 1 << BITS) / n
+            tells |= np.abs(rate_with - high.mean()) * np.sqrt(n) > screen * max(high.std(), 1e-9)
+        good = tells[flat]
+        kept = np.concatenate(([0], np.cumsum(good, dtype=np.int32)))
+        ends = np.cumsum(sizes)
+        flat, sizes = flat[good], (kept[ends] - kept[ends - sizes]).astype(np.int64)
+    chosen = np.flatnonzero(tells)  # the weights that are fitted
+    flat = (np.cumsum(tells, dtype=np.int32) - 1)[flat]
     begin = np.concatenate(([0], np.cumsum(sizes)))
-    fitted = OrdinalModel(np.zeros(len(chosen) + 1), thresholds)
-    rng, w2, t2 = np.random.default_rng(seed), np.full(len(chosen) + 1, 1e-6), np.full(n_grades - 1, 1e-6)
+    fitted = OrdinalModel(np.zeros(len(chosen)), thresholds)
+    rng, w2, t2 = np.random.default_rng(seed), np.full(len(chosen), 1e-6), np.full(n_grades - 1, 1e-6)
     for _ in range(epochs):
         order = rng.permutation(len(sizes))
         for s in range(0, len(sizes), batch):
@@ -134,9 +141,8 @@ def fit_ordinal(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_grade
             step = rate / np.sqrt(w2)
             w = fitted.weights - step * g
             fitted.weights = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
-            fitted.weights[-1] = 0.0  # rows without a chosen feature are scored by the thresholds alone
             fitted.thresholds = np.maximum.accumulate(fitted.thresholds - rate * gt / np.sqrt(t2) + 1e-9 * np.arange(n_grades - 1))
-    m.weights[chosen], m.thresholds = fitted.weights[:-1], fitted.thresholds
+    m.weights[chosen], m.thresholds = fitted.weights, fitted.thresholds
     return m
 
 
@@ -194,8 +200,9 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, max_rows: int =
     rows = only(featured, telling(featured, n_grades)).toArrow()
     order = pa.array(np.lexsort((rows.column("key").to_numpy(), rows.column("grade").to_numpy())))  # one order, whatever the partitions were
     features, grades = rows.column("features").combine_chunks().take(order), rows.column("grade").combine_chunks().take(order)
+    del rows
     sizes, flat = features.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), features.flatten().to_numpy()
-    return fit_ordinal(flat, sizes, grades.to_numpy(zero_copy_only=False).astype(int), n_grades)
+    return fit_ordinal(flat, sizes, grades.to_numpy(zero_copy_only=False).astype(int), n_grades, screen=None)
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -215,7 +222,7 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
             rows = [features(t.as_py()) for t in b.column(columns.index(text_col)).cast(pa.binary())]
             if rows:
                 sizes = np.array([len(r) for r in rows])
-                tails = m.tails(m.score(np.concatenate(rows), np.cumsum(sizes) - sizes).astype(float))
+                tails = m.tails(m.score(np.concatenate(rows), sizes).astype(float))
                 at = pa.array(np.arange(len(rows) + 1) * tails.shape[1], pa.int32())
                 out = [pa.array(tails.sum(axis=1)), pa.ListArray.from_arrays(at, pa.array(tails.ravel()))]
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(given)], *out], names=schema.names)

@@ -52,6 +52,8 @@ def test_quality_thresholds_are_ordered_and_odd_rows_pass(spark, odd, empty):
     assert (np.diff(m.thresholds) > 0).all()
     tied = quality.fit_ordinal(np.zeros(40, int), np.ones(40, int), np.arange(40) % 2, 3)  # equal rows of either grade
     assert np.isfinite(tied.weights).all() and abs(tied.weights[0]) < 1
+    bare = quality.fit_ordinal(np.array([3, 3, 3]), np.array([1, 0, 1, 0, 1]), np.array([1, 0, 1, 0, 1]), 2, screen=None)  # rows without features
+    assert bare.weights[3] > 0 > bare.thresholds[0] - bare.weights[3] and (bare.weights[:3] == 0).all()
     some = spark.createDataFrame([(1, 2), (4, 0), (9, 2), (8, 1), (None, 1), (6, 7), (7, None)], "doc_id long, grade int")
     assert quality.select_quality(odd, some, least=0.0).columns == odd.columns
 
@@ -77,9 +79,8 @@ def test_ordinal_likelihood_and_gradients_by_hand():
     rng = np.random.default_rng(11)
     flat, sizes, grades = ordinal_rows(rng)
     m = quality.OrdinalModel(rng.normal(0, 0.5, 12), np.array([-0.7, 0.9]))
-    begin = np.concatenate(([0], np.cumsum(sizes)))
     by_hand = lambda w, t: likelihood_by_hand(w, t, flat, sizes, grades)
-    assert abs(quality.log_likelihood(m, flat, begin, grades) - by_hand(m.weights, m.thresholds)) < 1e-9
+    assert abs(quality.log_likelihood(m, flat, sizes, grades) - by_hand(m.weights, m.thresholds)) < 1e-9
     g, gt = quality.gradients(m, flat, sizes, grades)
     for k in range(12):
         step = np.eye(12)[k] * 1e-5
@@ -92,13 +93,12 @@ def test_ordinal_likelihood_and_gradients_by_hand():
 def test_ordinal_fit_is_the_best_there_is():
     """Against plain gradient descent on the same likelihood, without screen or penalty."""
     flat, sizes, grades = ordinal_rows(np.random.default_rng(12), 600)
-    begin = np.concatenate(([0], np.cumsum(sizes)))
-    m = quality.fit_ordinal(flat, sizes, grades, 3, l1=0.0, screen=-1.0)
+    m = quality.fit_ordinal(flat, sizes, grades, 3, l1=0.0, screen=None)
     best = quality.OrdinalModel(np.zeros(12), np.array([-1.0, 1.0]))
     for _ in range(4000):
         g, gt = quality.gradients(best, flat, sizes, grades)
         best.weights, best.thresholds = best.weights - 0.5 * g, best.thresholds - 0.5 * gt
-    got, want = (quality.log_likelihood(x, flat, begin, grades) for x in (m, best))
+    got, want = (quality.log_likelihood(x, flat, sizes, grades) for x in (m, best))
     assert got > want - 0.01 and np.abs(m.weights[:12] - best.weights).max() < 0.35
 
 
