@@ -182,10 +182,11 @@ def _matches(index: DataFrame, block: Asked, nearby: list, gap: int, slop: int,
             T.StructField("near", T.ArrayType(T.StringType())),
         ]
     )
-    asked = index.sparkSession.sparkContext.broadcast((block, nearby))
+    plain = (block.words, block.order, block.sizes, block.cut, block.items, block.names)  # no class of ours, which executors may lack
+    asked = index.sparkSession.sparkContext.broadcast((plain, nearby))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, near_by_term = asked.value[0], defaultdict(list)
+        block, near_by_term = Asked(*asked.value[0]), defaultdict(list)
         for terms, item in asked.value[1]:
             near_by_term[terms[0]].append((terms, item))
         rarest = block.words[np.arange(len(block.words)), block.order[:, 0]] if len(block.words) else np.empty(0, np.int32)
