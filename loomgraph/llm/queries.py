@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, licenses, mixing, oracles, quality, secrets, simhash, token_counts, url_rules, warc
+from . import decontaminate, exact_dedup, fim, licenses, mixing, oracles, quality, secrets, simhash, token_counts, url_rules, warc
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_report(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontaminate,
         op9_mix_sources,
         op10_token_counts,
+        op11_fill_in_middle,
     )
 }
 
@@ -78,4 +83,5 @@ ORACLES: dict[str, str] = {
     "op6_license_scan": oracles.license_scan(),
     "op7_warc": oracles.WARC,
     "op8_decontaminate": oracles.DECONTAMINATE,
+    "op11_fill_in_middle": oracles.FILL_IN_MIDDLE,
 }
