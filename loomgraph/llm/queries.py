@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, fim, licenses, mixing, oracles, quality, secrets, simhash, token_counts, url_rules, warc
+from . import decontaminate, exact_dedup, fim, importance, licenses, mixing, oracles, quality, secrets, simhash, token_counts, url_rules, warc
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fim_report(table(spark, sf_dir, "documents"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_mix_sources,
         op10_token_counts,
         op11_fill_in_middle,
+        op12_importance_resampling,
     )
 }
 
