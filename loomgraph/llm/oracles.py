@@ -74,6 +74,15 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(t
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
   sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM c"""
 
+SUBSTRING_DEDUP = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  g AS MATERIALIZED (SELECT r, doc_id, p, md5_number(array_to_string(w[p:p + 49], ' ')) AS gram FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+  f AS (SELECT gram, min(doc_id) AS lo FROM g GROUP BY gram HAVING count(*) > 1),
+  s AS (SELECT DISTINCT r, p FROM g JOIN f USING (gram) WHERE lo < doc_id OR (doc_id IS NULL AND lo IS NOT NULL)),
+  x AS (SELECT DISTINCT r, unnest(range(p, p + 50)) AS q FROM s),
+  k AS (SELECT r, count(*) AS n, string_agg(v, ' ' ORDER BY q) AS kept FROM (SELECT r, unnest(w) AS v, unnest(range(1, len(w) + 1)) AS q FROM d) t ANTI JOIN x USING (r, q) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)"""
+
 
 def _regex(markup: str) -> str:
     """A template as a pattern over words that each end in a blank."""

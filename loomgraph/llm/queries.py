@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, fim, importance, licenses, mixing, oracles, quality, secrets, simhash, token_counts, url_rules, warc
+from . import debruijn, decontaminate, exact_dedup, fim, importance, licenses, mixing, oracles, quality, secrets, simhash, token_counts, url_rules, warc
 from .common import table
 
 
@@ -62,6 +62,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.without_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_token_counts,
         op11_fill_in_middle,
         op12_importance_resampling,
+        op13_substring_dedup,
     )
 }
 
@@ -89,4 +94,5 @@ ORACLES: dict[str, str] = {
     "op7_warc": oracles.WARC,
     "op8_decontaminate": oracles.DECONTAMINATE,
     "op11_fill_in_middle": oracles.FILL_IN_MIDDLE,
+    "op13_substring_dedup": oracles.SUBSTRING_DEDUP,
 }
