@@ -9,7 +9,8 @@ segment its own occurrences only.
 
 The benchmark is a query set against all rows. Spark cuts it into distinct windows and deals them, by their own
 hash, into blocks of about ``block_windows``; a block is a few integer arrays on the driver and in a task, however
-long an item is. All blocks ask one index, and their results meet row by row.
+long an item is. Each block has an index of the terms it asks for and of no others, so neither its dictionary nor its
+postings grow with the benchmark, and the blocks' results meet row by row.
 """
 
 from __future__ import annotations
@@ -243,9 +244,9 @@ def contamination(
 
     Null and empty texts have no words and no matches; items without words match nothing; a null item id is
     written as an empty string. Items that repeat an id count once. Repeated document rows give repeated rows.
-    An empty benchmark leaves every document clean; other columns are not read. The driver and each task hold the
-    benchmark's distinct terms and one block: ``block_windows`` windows as integers (30 bytes of each of 10 words), and
-    as many items. The result is the same for every block size.
+    An empty benchmark leaves every document clean; other columns are not read. The driver and each task hold one block:
+    ``block_windows`` windows as integers (30 bytes of each of 10 words), as many items, and the distinct terms of
+    those. Each block reads the texts once. The result is the same for every block size.
     """
     gap, kind = max(width, slop) + 1, docs.schema[id_col].dataType
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), word_list(F.col(text_col)).alias("words")).where(F.size("words") > 0)
@@ -253,14 +254,28 @@ def contamination(
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - width + 1, F.lit(1)))
     cut = items.select("item", F.explode(F.transform(starts, lambda i: F.slice("words", i, width))).alias("window"))
     windows = staged(cut.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items")), "benchmark-windows")
-    n_windows, n_items = windows.count(), items.count()
-    blocks = max(1, math.ceil(max(n_windows, n_items) / block_windows))
-    terms = items.select(F.explode("words").alias("term")).distinct().orderBy("term").toArrow().column(0).combine_chunks()
+    blocks = max(1, math.ceil(max(windows.count(), items.count()) / block_windows))
     key = id_col
     if blocks > 1:  # rows are numbered once, so that the blocks' results meet by row
         docs, row = row_keyed(docs)
         docs, key = docs.select(F.struct(F.col(id_col).alias("id"), F.col(row).alias("row")).alias("_key"), F.col(text_col)), "_key"
         kind = docs.schema[key].dataType
+    own = lambda df, c, k: df if blocks == 1 else df.where(F.pmod(F.xxhash64(*c), F.lit(blocks)) == k)
+    parts = [_block(docs, own(windows, ["window"], k), own(items, ["item", "words"], k), key, text_col, kind, width, slop, near_terms, gap, blocks == 1) for k in range(blocks)]
+    if blocks == 1:
+        return parts[0][0]
+    index = parts[0][1]
+    every = index.select(F.explode(F.arrays_zip("ids", "sizes")).alias("x")).select(F.col("x.ids").alias(key), F.col("x.sizes").alias("n_words"))
+    found = staged(_merged([p for p, _ in parts], key).withColumnRenamed(key, "_found"), "blocks-merged")
+    empty = lambda c: F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c)
+    out = every.join(found, F.col(f"{key}.row") == F.col("_found.row"), "left")
+    return out.select(F.col(f"{key}.id").alias(id_col), "n_words", *[empty(c) for c in ("hits", "items", "near")])
+
+
+def _block(docs: DataFrame, windows: DataFrame, items: DataFrame, key: str, text_col: str, kind: T.DataType, width: int, slop: int, near_terms: int, gap: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """The matches of one block of windows (window, items) and items (item, words), and the index of its terms."""
+    used = windows.select(F.explode("window").alias("term")).union(items.select(F.explode("words")))
+    terms = used.distinct().orderBy("term").toArrow().column(0).combine_chunks()
     index = build_index(docs, [t.encode() for t in terms.to_pylist()], gap, key, text_col)
     zipped = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("x.*")
     summed = zipped.groupBy("terms").agg(F.sum("counts").alias("n")).toArrow()
@@ -268,20 +283,10 @@ def contamination(
     counts[summed.column("terms").to_numpy()] = summed.column("n").to_numpy()
     number = dict(zip(terms.to_pylist(), range(len(terms))))
     rank = lambda t: (int(counts[t]), t)
-    parts = []
-    for k in range(blocks):
-        own = lambda df, c: df if blocks == 1 else df.where(F.pmod(F.xxhash64(*c), F.lit(blocks)) == k)  # noqa: B023, E731
-        block = asked_block(own(windows, ["window"]).toArrow(), terms, counts, width)
-        distinct = own(items, ["item", "words"]).select("item", F.array_distinct("words").alias("words")).toArrow()
-        nearby = [(sorted((number[w] for w in words.as_py()), key=rank)[:near_terms], item.as_py()) for item, words in zip(distinct.column(0), distinct.column(1))]
-        parts.append(_matches(index, block, nearby, gap, slop, kind, blocks == 1).withColumnRenamed("id", key))
-    if blocks == 1:
-        return parts[0]
-    every = index.select(F.explode(F.arrays_zip("ids", "sizes")).alias("x")).select(F.col("x.ids").alias(key), F.col("x.sizes").alias("n_words"))
-    found = staged(_merged(parts, key).withColumnRenamed(key, "_found"), "blocks-merged")
-    empty = lambda c: F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c)
-    out = every.join(found, F.col(f"{key}.row") == F.col("_found.row"), "left")
-    return out.select(F.col(f"{key}.id").alias(id_col), "n_words", *[empty(c) for c in ("hits", "items", "near")])
+    distinct = items.select("item", F.array_distinct("words").alias("words")).toArrow()
+    nearby = [(sorted((number[w] for w in words.as_py()), key=rank)[:near_terms], item.as_py()) for item, words in zip(distinct.column(0), distinct.column(1))]
+    block = asked_block(windows.toArrow(), terms, counts, width)
+    return _matches(index, block, nearby, gap, slop, kind, every).withColumnRenamed("id", key), index
 
 
 def _merged(parts: list[DataFrame], key: str) -> DataFrame:

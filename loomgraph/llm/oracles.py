@@ -61,9 +61,15 @@ WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w F
   dw AS (SELECT r, p, k, array_to_string(w[p:p + k - 1], ' ') AS gram FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, ks WHERE len(w) >= k)),
   m AS MATERIALIZED (SELECT r, p, dw.k, item_id FROM dw JOIN iw ON iw.gram = dw.gram AND iw.k = dw.k),
   h AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS q FROM m) GROUP BY r),
-  t AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM m GROUP BY r)
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)"""
+  t AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM m GROUP BY r),
+  c AS (SELECT term, count(*) AS n FROM (SELECT unnest(w) AS term FROM d) GROUP BY term),
+  v AS (SELECT row_number() OVER () AS v, item_id, ts FROM (SELECT DISTINCT item_id, list_sort(list_distinct(w)) AS ts FROM i WHERE len(w) > 0)),
+  rare AS MATERIALIZED (SELECT * FROM (SELECT v, item_id, term, least(len(ts), 5) AS every, row_number() OVER (PARTITION BY v ORDER BY coalesce(n, 0), term) AS k FROM (SELECT v, item_id, ts, unnest(ts) AS term FROM v) LEFT JOIN c USING (term)) WHERE k <= 5),
+  o AS MATERIALIZED (SELECT r, p, term FROM (SELECT r, unnest(w) AS term, unnest(range(len(w))) AS p FROM d) SEMI JOIN rare USING (term)),
+  near AS (SELECT r, count(DISTINCT item_id) AS n_near FROM (SELECT a.r, x.item_id FROM rare x JOIN o a ON x.k = 1 AND a.term = x.term JOIN rare y ON y.v = x.v JOIN o b ON b.r = a.r AND b.term = y.term AND abs(b.p - a.p) <= 40
+    GROUP BY a.r, a.p, x.v, x.item_id, x.every HAVING count(DISTINCT y.k) = x.every) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r) LEFT JOIN near USING (r)"""
 
 FILL_IN_MIDDLE = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BYTES, staged
+from .common import WORD_BYTES, row_keyed, staged
 
 BITS = 20
 STEMS = (4, 5, 6)  # bytes
@@ -193,10 +193,15 @@ def only(rated: DataFrame, chosen: np.ndarray) -> DataFrame:
 
 
 def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
-    """Fit on ratings (id, grade from 0) of documents. Null ids, and grades that are null or out of range, are left out."""
+    """Fit on ratings (id, grade from 0) of documents. Null ids, and grades that are null or out of range, are left out. At most
+    ``max_rows`` rows are read, with their grades, in an order that a hash of the id gives: an id that stands in many rows of docs,
+    or has many ratings, counts with each of them up to there."""
     rated = ratings.select(F.col(id_col), F.col("grade").cast("int").alias("grade")).where(F.col(id_col).isNotNull() & F.col("grade").between(0, n_grades - 1))
-    sample = rated.orderBy(F.xxhash64(id_col), id_col, "grade").limit(max_rows)  # at most max_rows ids, so it may be broadcast
-    featured = staged(_features_of(docs.join(F.broadcast(sample), id_col), ["grade"], text_col), "rated-features")
+    order = (F.xxhash64(id_col), id_col, "grade")
+    sample = rated.orderBy(*order).limit(max_rows)  # at most max_rows ids, so it may be broadcast
+    keyed, row = row_keyed(docs.select(id_col, text_col))
+    rows = keyed.select(id_col, row).join(F.broadcast(sample), id_col).orderBy(*order, row).limit(max_rows)  # an id may stand in any number of rows
+    featured = staged(_features_of(keyed.join(F.broadcast(rows.select(row, "grade")), row), ["grade"], text_col), "rated-features")
     rows = only(featured, telling(featured, n_grades)).toArrow()
     order = pa.array(np.lexsort((rows.column("key").to_numpy(), rows.column("grade").to_numpy())))  # one order, whatever the partitions were
     features, grades = rows.column("features").combine_chunks().take(order), rows.column("grade").combine_chunks().take(order)
