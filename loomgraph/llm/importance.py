@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BYTES, row_keyed, staged
+from .common import WORD_BYTES, numbered, row_keyed, staged
 
 MOST_BUCKETS = 1 << 16  # a bucket number has two bytes
 #: A stream is closed at so many features or documents; a longer document is a stream by itself.
@@ -145,20 +145,6 @@ def gumbel(id_col: Column, seed: int) -> Column:
     return F.floor(F.lit(-1000) * F.log(-F.log(u))).cast("long")
 
 
-def numbered(rows: DataFrame, *order: Column) -> DataFrame:
-    """rows with rank: 1, 2, 3... in the order. Rows are dealt to ranges of the order, sorted and numbered in each; the ranges'
-    sizes, one number a partition, are summed on the driver."""
-    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("rank", F.monotonically_increasing_id())
-    ranges = staged(ranges, "ranges")  # the number's upper bits are the range, the lower 33 the place in it
-    part, before, starts = F.shiftright("rank", 33), 0, []
-    for r in ranges.groupBy(part.alias("part")).count().orderBy("part").collect():
-        starts.append((r.part, before))
-        before += r["count"]
-    offsets = rows.sparkSession.createDataFrame(starts, "_part long, _before long")
-    placed = ranges.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-    return placed.withColumn("rank", F.col("_before") + F.col("rank").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_before")
-
-
 def resample(
     docs: DataFrame,
     target: DataFrame,

@@ -3,14 +3,18 @@
 The words of a source, its documents in a seeded order, are cut into blocks. A source's target gives an exact
 number of words: whole passes over all blocks, then permuted blocks and the beginning of one more. The blocks to
 draw are shared out over output shards by a binary tree: each node splits its per-source counts between its
-halves by a multivariate-hypergeometric draw seeded by the node, so shards have equal block counts, each is a
-uniform random part of the mix, and any task can compute any shard's quota alone. A shard then draws disjoint
-ranges of each source's permuted blocks and is shuffled by itself.
-
-Where a document stands in its source comes from a two-level prefix sum: a source's documents are dealt to buckets
-of ``bucket_docs`` or of the root of their number, whichever is more, so neither a bucket nor the list of a source's
-buckets is long where a source has a third of all rows. Blocks are permuted by a keyed Feistel network. The driver and
-each task hold one row per source, and one number for each shard and source; more than ``MOST_SOURCES`` are refused.
+halves by a multivariate-hypergeometric draw, so shards have equal block counts and each is a uniform random part
+of the mix. A document's words are taken where a shard's quota holds their block's rank.
+
+A node's draw over the sources is itself made by halves: of the blocks that go left, how many are of the first half of
+the sources, and so on down to one source. Every step is a plain hypergeometric draw seeded by its place, so the quotas
+of one source need the counts of halves on the way to it only, and a task works out those of its own sources: nobody
+holds shards times sources. Draws among 10^9 blocks or more, which numpy refuses, are made by rejection.
+
+Where a document stands in its source comes from running sums: rows are dealt to ranges of (source, seeded hash, row),
+summed within a range, and ranges are offset by the sums before. So neither a hot source nor an id or a text that
+repeats is one task's. Blocks are permuted by a keyed Feistel network. The driver and each task hold a few numbers for
+each source (not its name), and one for each range of rows and source that meet.
 """
 
 from __future__ import annotations
@@ -19,52 +23,51 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
-from .common import staged
+from .common import numbered, row_keyed, staged
 
 WEIGHTS = (3, 1, 2)
-#: numpy's hypergeometric takes fewer than 10^9 blocks in all: beyond this many, blocks are of more words. Totals stay
-#: exact; only the grain of the shuffle changes.
-MOST_BLOCKS = 500_000_000
-MOST_SOURCES = 1_000_000
+#: numpy's hypergeometric takes fewer items than this in all.
+NUMPY_MOST = 1_000_000_000
 
 DRAWS = T.ArrayType(
     T.StructType([T.StructField("shard", T.LongType()), T.StructField("rank", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n", T.LongType())])
 )
+#: What a source's plan holds, a number each.
+PLAN = ("source_size", "target", "blocks", "key", "passes", "full", "part")
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, source, size, h) and the columns to carry: words between blanks, and the place in a seeded order of the source."""
+    """(id, source, size, h, at) and the columns to carry: words between blanks, the place in a seeded order of the source,
+    and a key of the row, which parts rows that are equal in all else."""
+    docs, row = row_keyed(docs)
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11)  # 53 bits
-    return staged(docs.select(id_col, F.col(source_col).alias("source"), size.alias("size"), h.alias("h"), *carry), "mix-sizes")
+    return staged(docs.select(id_col, F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), text).alias("h"), F.col(row).alias("at"), *carry), "mix-sizes")
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(source, source_size, docs, weight, target) from rows (source, size).
+def water_level(sizes: np.ndarray, weights: np.ndarray, share: float, most: float) -> np.ndarray:
+    """Each source's target: sources share ``share`` of all words by weight, a target stops at ``most`` times its source's
+    size, and the excess goes to the others by weight.
 
-    Sources in code-point order, null last, have the weights in turn and share ``share`` of all words; a target
-    stops at ``most`` times its source's size and the excess goes to the others by weight. That is the level L at
-    which sum(min(cap, L * weight)) is the total. With sources sorted by cap / weight, the level that the sources from
-    one on would share rises as long as that one is above its cap and falls after, so L is its greatest value.
-    """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
-    named = W.orderBy(F.col("source").isNull(), "source")
-    rank = F.pmod(F.row_number().over(named) - 1, F.lit(len(weights))).cast("int")
-    s = by_source.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), rank + 1).cast("double")).withColumn("cap", F.col("source_size") * most)
-    every, before = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), W.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source").rowsBetween(W.unboundedPreceding, -1)
-    total = F.sum("source_size").over(every) * share
-    s = s.withColumn("level", (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    s = s.withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(every))
-    target = F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))
-    return s.select("source", "source_size", "docs", "weight", target.alias("target"))
+    That is the level L at which sum(min(cap, L * weight)) is the total. With sources sorted by cap / weight, the level that
+    the sources from one on would share rises as long as that one is above its cap and falls after, so L is its greatest value."""
+    cap, total = sizes * most, sizes.sum() * share
+    order = np.argsort(cap / weights, kind="stable")
+    before = lambda v: np.concatenate(([0.0], np.cumsum(v[order])[:-1]))
+    level = (total - before(cap)) / (weights.sum() - before(weights))
+    fits = level * weights[order] <= cap[order]
+    return np.minimum(cap, level[fits].max() * weights) if fits.any() else cap
+
+
+def sources_of(sizes: DataFrame) -> DataFrame:
+    """(source, number, source_size): sources in code-point order, null last, numbered from 0."""
+    by_source = staged(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    return numbered(by_source, F.col("source").asc_nulls_last()).withColumn("number", F.col("rank") - 1).select("source", "number", "source_size")
 
 
 def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -86,44 +89,143 @@ def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def source_plan(rows: list, block_words: int, seed: int) -> tuple[pd.DataFrame, int]:
-    """What a source's blocks are and how many are drawn: one line per source, and the block size."""
-    block = max(block_words, math.ceil(sum(r.target for r in rows) / MOST_BLOCKS))
-    out = []
-    for k, r in enumerate(rows):
-        s, take = int(r.source_size), min(round(r.target), 2 * int(r.source_size)) if r.source_size else 0
-        blocks = -(-s // block)
-        key, passes, full, part = int(np.random.default_rng([seed, k]).integers(0, 1 << 62)), 0, 0, 0
-        if blocks:
-            passes, rest = divmod(take, s)
-            short, at = s - (blocks - 1) * block, int(permuted([blocks - 1], [blocks], [key])[0])  # the last block, and its rank
-            if rest <= at * block:
-                full, part = divmod(rest, block)
-            elif rest < at * block + short:
-                full, part = at, rest - at * block
-            else:
-                full, part = divmod(rest + block - short, block)
-        out.append((r.source, k, s, int(r.docs), float(r.target), blocks, key, passes, full, part))
-    names = ["source", "number", "source_size", "docs", "target", "blocks", "key", "passes", "full", "part"]
-    return pd.DataFrame(out, columns=names), block
+def plan_of(number: int, size: int, target: float, block: int, most: float, seed: int) -> tuple[int, int, int, int, int]:
+    """(blocks, key, passes, full, part) of a source: how many blocks it has, the key of their order, and what is drawn: whole
+    passes, the first ``full`` ranks of one more, and ``part`` words of the next."""
+    take, blocks = (min(round(target), int(most * size)), -(-size // block)) if size else (0, 0)
+    key, passes, full, part = int(np.random.default_rng([seed, number]).integers(0, 1 << 62)), 0, 0, 0
+    if blocks:
+        passes, rest = divmod(take, size)
+        short, at = size - (blocks - 1) * block, int(permuted([blocks - 1], [blocks], [key])[0])  # the last block, and its rank
+        if rest <= at * block:
+            full, part = divmod(rest, block)
+        elif rest < at * block + short:
+            full, part = at, rest - at * block
+        else:
+            full, part = divmod(rest + block - short, block)
+    return blocks, key, passes, full, part
+
+
+def _log_steps(a: float, d: np.ndarray) -> np.ndarray:
+    """log((a + d)! / a!) - d log(a), exact to some 1e-12 for large a and d well below it."""
+    b = a + d
+    return (b + 0.5) * np.log1p(d / a) - d + (1 / b - 1 / a) / 12
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n items drawn from good + bad are good. By numpy where it can; beyond, by rejection from a wide curve around
+    the mode (ratio of uniforms), with the ratio of probabilities to the mode's by Stirling's series."""
+    total = good + bad
+    if total < NUMPY_MOST:
+        return int(rng.hypergeometric(good, bad, n))
+    small = min(good, bad, n, total - n)
+    if small < 1 << 20:  # the few are good, bad, drawn or left out: they fall one after another among the places that are left
+        hit, left, places = 0, n if small in (good, bad) else good, total
+        for u in rng.random(small):
+            inside = u * places < left
+            hit, left, places = hit + inside, left - inside, places - 1
+        return int(hit if small in (good, n) else (n if small == bad else good) - hit)
+    mode = (n + 1) * (good + 1) // (total + 2)
+    lo, hi = max(0, n - bad), min(n, good)
+    wide = math.sqrt(n / total * good / total * bad * (total - n) / total) + 1
+    a, b, c, e = float(mode), float(good - mode), float(n - mode), float(bad - n + mode)
+    step = math.log1p((b * c - a * e) / (a * e))
+    while True:
+        u, v = rng.random(256), rng.random(256)
+        k = mode + np.floor(0.5 + 2.2 * wide * (v - 0.5) / u)  # the tails beyond are below e-100 of the mode
+        d = np.where((k < lo) | (k > hi) | (np.abs(k - mode) > 40 * wide), np.nan, k - mode)
+        log_ratio = d * step - _log_steps(a, d) - _log_steps(b, -d) - _log_steps(c, -d) - _log_steps(e, d)
+        good_ones = np.flatnonzero(2 * np.log(u) <= log_ratio)
+        if len(good_ones):
+            return int(k[good_ones[0]])
+
+
+class ShardTree:
+    """Quotas of blocks by shard, for one source at a time.
+
+    before: how many blocks all sources before a source have, and the sum. Shards have equal sizes, to one block. A group is
+    a range of sources; its counts are kept by level of the tree over shards, 1, 2, 4... numbers, and worked out from those
+    of the group twice as large. Halves are split once and kept as long as there is room."""
+
+    def __init__(self, before: np.ndarray, shards: int, seed: int, room: int = 48):
+        self.before, self.shards, self.seed, self.room, self.known = before, shards, seed, room, {}
+        self.levels = max(0, math.ceil(math.log2(shards)))
+        base, extra = divmod(int(before[-1]), shards)
+        sizes = np.zeros(1 << self.levels, np.int64)
+        sizes[:shards] = base + (np.arange(shards) < extra)
+        self.known[0, len(before) - 1] = [sizes.reshape(1 << d, -1).sum(axis=1) for d in range(self.levels + 1)]
+
+    def split(self, whole: list[np.ndarray], lo: int, mid: int) -> list[np.ndarray]:
+        """The counts of sources lo to mid, of those of a group that begins with them."""
+        out = [np.array([self.before[mid] - self.before[lo]], np.int64)]
+        for d in range(self.levels):
+            own, rest, left = out[d], whole[d] - out[d], whole[d + 1][0::2]
+            goes = np.where(rest == 0, left, 0)
+            todo = np.flatnonzero((own > 0) & (rest > 0) & (left > 0))
+            if len(todo):
+                rng = np.random.default_rng([self.seed, d, lo, mid])
+                x, y, n = own[todo], rest[todo], left[todo]
+                if (x + y).max() < NUMPY_MOST:
+                    goes[todo] = rng.hypergeometric(x, y, n)
+                else:
+                    goes[todo] = [hypergeometric(rng, *map(int, t)) for t in zip(x, y, n)]
+            out.append(np.stack([goes, own - goes], axis=1).ravel())
+        return out
+
+    def column(self, source: int) -> np.ndarray:
+        """Blocks of the source for each shard."""
+        lo, hi = 0, len(self.before) - 1
+        while hi - lo > 1:
+            mid, whole = (lo + hi) // 2, self.known[lo, hi]
+            if (lo, mid) not in self.known:
+                while len(self.known) > self.room:  # the oldest but the root
+                    self.known.pop(next(k for k in self.known if k not in ((0, len(self.before) - 1), (lo, hi))))
+                first = self.split(whole, lo, mid)
+                self.known[lo, mid], self.known[mid, hi] = first, [w - f for w, f in zip(whole, first)]
+            elif (mid, hi) not in self.known:
+                self.known[mid, hi] = [w - f for w, f in zip(whole, self.known[lo, mid])]
+            lo, hi = (lo, mid) if source < mid else (mid, hi)
+        return self.known[lo, hi][-1][: self.shards]
 
 
 def shard_quotas(counts: list[int], shards: int, seed: int) -> np.ndarray:
-    """Blocks of each source for each shard (shards x sources): a splitting tree over the shards. Column sums are
-    the counts and row sums differ by one at most."""
-    out = np.zeros((shards, len(counts)), np.int64)
-    todo = [(0, shards, np.array(counts, np.int64))]
-    while todo:
-        lo, hi, c = todo.pop()
-        if hi - lo == 1:
-            out[lo] = c
-            continue
-        mid, total = (lo + hi) // 2, int(c.sum())
-        base, extra = divmod(total, hi - lo)
-        left_n = base * (mid - lo) + min(extra, mid - lo)
-        left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(c, left_n, method="marginals") if total else c
-        todo += [(lo, mid, left), (mid, hi, c - left)]
-    return out
+    """Blocks of each source for each shard (shards x sources): the tree whole. Column sums are the counts and row sums
+    differ by one at most. For tests and small mixes."""
+    tree = ShardTree(np.concatenate(([0], np.cumsum(counts))).astype(np.int64), shards, seed)
+    return np.stack([tree.column(k) for k in range(len(counts))], axis=1)
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """rows (number, size, h, at, ...) with begin: how many words of its source stand before a row, in an order that h gives.
+
+    Ranges of rows are summed up one by one; the sums of what they have of each source, at most ranges + sources numbers, are
+    joined back as the offsets of the next."""
+    order = ["number", "h", "size", "at"]
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.shiftright(F.monotonically_increasing_id(), 33))
+    schema = T.StructType([*ranges.schema.fields, T.StructField("begin", T.LongType())])
+    at, of = ranges.columns.index("size"), ranges.columns.index("number")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = -1, 0
+        for b in batches:
+            if b.num_rows:
+                size, number = b.column(at).to_numpy(), b.column(of).to_numpy()
+                before = np.cumsum(size) - size
+                new = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+                begin = before - np.repeat(before[new], np.diff(np.append(new, len(number))))
+                if number[0] == last:
+                    begin[: new[1] if len(new) > 1 else None] += held
+                last, held = number[-1], int(begin[-1] + size[-1])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(begin)], names=schema.names)
+
+    ranges = staged(ranges.mapInArrow(run, schema), "mix-ranges")
+    sums = ranges.groupBy("number", "range").agg(F.sum("size").alias("words")).orderBy("number", "range").toArrow()
+    number, words = sums.column("number").to_numpy(), sums.column("words").to_numpy()
+    before = np.cumsum(words) - words
+    first = np.searchsorted(number, number)  # where the ranges of a source begin
+    sums = sums.drop_columns(["words"]).append_column("offset", pa.array(before - before[first]))
+    offsets = rows.sparkSession.createDataFrame(sums.to_pandas(), "number long, range long, offset long") if len(number) else ranges.select("number", "range", F.lit(0).cast("long").alias("offset"))
+    return ranges.join(offsets, ["number", "range"]).withColumn("begin", F.col("begin") + F.col("offset")).drop("offset", "range")
 
 
 def mix(
@@ -136,41 +238,46 @@ def mix(
     most: float = 2.0,
     block_words: int = 256,
     shard_words: int = 50_000_000,
-    bucket_docs: int = 1024,
     seed: int = 7,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per input row: id, source, size, source_size, target, the columns to carry, taken and draws (shard,
     rank of the block among the source's draws, first word, words).
 
-    ``taken`` is the sum of the draws; per source it is the rounded target. Null texts have size 0 and are never
-    drawn; null sources are one source, the last. Repeated rows are drawn like different documents. An empty
-    table gives no rows, other columns are not read, and the same rows and seed give the same result however they
-    are partitioned.
+    ``taken`` is the sum of the draws, those of a row's words whose block some shard's quota holds; per source it is the
+    rounded target. Null texts have size 0 and are never drawn; null sources are one source, the last. Repeated rows are
+    drawn like different documents. An empty table gives no rows, other columns are not read, and the same rows and seed
+    give the same result however they are partitioned.
     """
     sizes = measured(docs, id_col, text_col, source_col, seed, carry)
-    rows = targets(sizes, weights, share, most).orderBy(F.col("source").isNull(), "source").limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources: group them first")
-    plan, block = source_plan(rows, block_words, seed)
-    spark, kind = docs.sparkSession, sizes.schema["source"].dataType
-    fields = [T.StructField("source", kind), *[T.StructField(c, T.DoubleType() if c == "target" else T.LongType()) for c in plan.columns[1:]]]
-    lines = spark.createDataFrame(plan.astype(object).values.tolist(), T.StructType(fields)).withColumn("buckets", F.ceil(F.col("docs") / F.greatest(F.lit(float(bucket_docs)), F.sqrt("docs")))).withColumnRenamed("source", "_source")
-    placed = sizes.join(lines, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    placed = placed.withColumn("bucket", F.least(F.floor(F.col("h") / F.lit(float(1 << 53)) * F.col("buckets")), F.col("buckets") - 1))
-    sums = placed.groupBy("number", "bucket").agg(F.sum("size").alias("words"))
-    before = W.partitionBy("number").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select("number", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
-    own = W.partitionBy("number", "bucket").orderBy("h", id_col, "size", *carry).rowsBetween(W.unboundedPreceding, -1)
-    at = placed.join(offsets, ["number", "bucket"]).withColumn("begin", F.col("offset") + F.coalesce(F.sum("size").over(own), F.lit(0)))
+    sources = staged(sources_of(sizes), "mix-numbers")
+    known = sources.select("number", "source_size").orderBy("number").toArrow()  # numbers of each source, without its name
+    words = known.column("source_size").to_numpy().astype(np.int64)
+    target = water_level(words.astype(float), np.array(weights, float)[np.arange(len(words)) % len(weights)], share, most) if len(words) else np.empty(0)
+    shared = docs.sparkSession.sparkContext.broadcast((words, target))
+    fields = [sources.schema["source"], T.StructField("number", T.LongType()), *[T.StructField(c, T.DoubleType() if c == "target" else T.LongType()) for c in PLAN]]
+
+    def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, target = shared.value
+        for b in batches:
+            number = b.column(1).to_numpy()
+            rows = [plan_of(k, int(words[k]), float(target[k]), block_words, most, seed) for k in number.tolist()]
+            columns = [pa.array([r[c] for r in rows], pa.int64()) for c in range(5)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words[number]), pa.array(target[number]), *columns], names=["source", "number", *PLAN])
+
+    lines = staged(sources.select("source", "number").mapInArrow(planned, T.StructType(fields)), "mix-plan").withColumnRenamed("source", "_source")
+    drawn = F.col("passes") * F.col("blocks") + F.col("full") + F.when(F.col("part") > 0, 1).otherwise(0)
+    counts = lines.select("number", drawn.alias("n")).orderBy("number").toArrow().column("n").to_numpy()
+    rows = sizes.join(lines, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    at = placed(rows)
     keep = [id_col, "source", "size", "source_size", "target", *carry, "number", "begin", "blocks", "key", "passes", "full", "part"]
     own_columns = 5 + len(carry)
-    counts = [int(p.passes * p.blocks + p.full + (p.part > 0)) for p in plan.itertuples()]
-    shards = max(1, math.ceil(sum(r.target for r in rows) / shard_words)) if rows else 1
+    block, shards = block_words, max(1, math.ceil(float(target.sum()) / shard_words))
+    before = docs.sparkSession.sparkContext.broadcast(np.concatenate(([0], np.cumsum(counts))).astype(np.int64))
     schema = T.StructType([*at.select(*keep[:own_columns]).schema.fields, T.StructField("taken", T.LongType()), T.StructField("draws", DRAWS)])
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends = np.cumsum(shard_quotas(counts, shards, seed), axis=0)  # by source, the rank at which each shard ends
+        tree = ShardTree(before.value, shards, seed)
         for d in batches:
             x = {c: d.column(keep.index(c)).to_numpy(zero_copy_only=False) for c in [*keep[own_columns:], "size"]}
             first, last = x["begin"] // block, (x["begin"] + x["size"] - 1) // block
@@ -191,7 +298,8 @@ def mix(
             shard = np.zeros(len(row), np.int64)
             for s in np.unique(number):
                 of = number == s
-                shard[of] = np.searchsorted(ends[:, s], rank[of], "right")
+                shard[of] = np.searchsorted(np.cumsum(tree.column(int(s))), rank[of], "right")  # the shard whose quota holds the rank
+            row, rank, start, words, shard = (v[shard < shards] for v in (row, rank, start, words, shard))
             order = np.lexsort((rank, row))
             fields = [pa.array(v[order].astype(np.int64)) for v in (shard, rank, start, words)]
             cut = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=d.num_rows))))
@@ -202,6 +310,14 @@ def mix(
     return at.select(*keep).mapInArrow(draw, schema)
 
 
+def mix_report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """One row per input row: id, size, source_size, target, taken, n_shards (that take words of it) and draws_sha256 (of its
+    draws as shard:rank:start:n, in their order)."""
+    lines = F.transform("draws", lambda d: F.concat_ws(":", d["shard"], d["rank"], d["start"], d["n"]))
+    shards = F.size(F.array_distinct(F.transform("draws", lambda d: d["shard"]))).cast("long")
+    return mix(docs, id_col, **options).select(id_col, "size", "source_size", "target", "taken", shards.alias("n_shards"), F.sha2(F.array_join(lines, ","), 256).alias("draws_sha256"))
+
+
 def shuffled_shards(mixed: DataFrame, id_col: str = "doc_id", seed: int = 7) -> DataFrame:
     """The mix as shards: (shard, id, source, start, n) of each draw, each shard shuffled by itself. Partitions
     are split by shard and a part of its draws, so a large shard is not one task's."""

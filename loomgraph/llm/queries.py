@@ -47,7 +47,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

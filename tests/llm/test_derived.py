@@ -136,3 +136,75 @@ def test_an_id_in_many_rows_is_bounded(spark):
     finally:
         quality.fit_ordinal = old
     assert seen == [50] and len(got) == len(rows)
+
+
+def test_mix_of_one_id_null_ids_and_equal_rows(spark):
+    """Nothing but the row tells rows apart, and they are still dealt out and drawn like others."""
+    from loomgraph.llm import mixing
+
+    rows = [(None, f"w{k % 50} " * (k % 7), "a") for k in range(400)] + [(3, "same words here", "b")] * 300 + [(4, f"x{k} y z", None) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(df, block_words=8, shard_words=200).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    for s in ("a", "b", None):
+        of = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in of) - of[0].target) <= 1
+    again = mixing.mix(df.repartition(3), block_words=8, shard_words=200).collect()
+    draws = lambda rows: Counter((r.doc_id, r.size, tuple(map(tuple, r.draws))) for r in rows)
+    assert draws(got) == draws(again)
+    report = mixing.mix_report(df, block_words=8, shard_words=200).collect()
+    assert Counter((r.size, r.taken, r.n_shards) for r in report) == Counter((r.size, r.taken, len({d.shard for d in r.draws})) for r in got)
+    assert len({r.draws_sha256 for r in report}) > 100
+
+
+def test_the_report_of_a_mix_comes_through_the_tree(spark, docs):
+    """Shards of the draws hold the tree's quotas: row sums equal to one, column sums the blocks drawn."""
+    from loomgraph.llm import mixing
+
+    by_shard = Counter()
+    for r in mixing.mix(docs, block_words=16, shard_words=2000).collect():
+        by_shard.update({(d.shard, r.source, d.rank) for d in r.draws})
+    per_shard = Counter(s for s, *_ in {(s, x, k) for s, x, k in by_shard})
+    sources = sorted({x for _, x, _ in by_shard}, key=lambda x: (x is None, x))
+    counts = [len({k for _, x, k in by_shard if x == s}) for s in sources]
+    held = [[len({k for t, x, k in by_shard if t == shard and x == s}) for s in sources] for shard in range(max(per_shard) + 1)]
+    assert mixing.shard_quotas(counts, len(held), 7).tolist() == held and max(per_shard.values()) - min(per_shard.values()) <= 1
+
+
+def test_many_sources(spark):
+    """More sources than rows of any batch, without a limit."""
+    from loomgraph.llm import mixing
+
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("a b c d e").alias("text"), F.concat(F.lit("s"), F.col("id") % 20_000).alias("source"))
+    got = mixing.mix(df, block_words=2, shard_words=10_000)
+    x = got.agg(F.sum("taken").alias("t"), F.sum("size").alias("s"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).first()
+    assert x.s == 150_000 and abs(x.t - 225_000) < 20_000 * 0.6 and x.over <= 0
+
+
+def test_draws_beyond_numpys_limit():
+    """The rejection draw against numpy's, where both can, and its mean and spread where only it can."""
+    import numpy as np
+
+    from loomgraph.llm import mixing
+
+    rng = np.random.default_rng(1)
+    old = mixing.NUMPY_MOST
+    mixing.NUMPY_MOST = 0
+    try:
+        for good, bad, n in ((30_000_000, 60_000_000, 20_000_000), (3_000_000, 900_000_000, 5_000_000), (40, 10**9, 10**8), (10**9, 40, 10**8), (10**8, 10**9, 50), (10**8, 10**9, 11 * 10**8 - 50)):
+            x = np.array([mixing.hypergeometric(rng, good, bad, n) for _ in range(1500)])
+            y = rng.hypergeometric(good, bad, n, 1500) if good + bad < 10**9 else None
+            total = good + bad
+            mean, var = n * good / total, n * good / total * bad / total * (total - n) / (total - 1)
+            assert abs(x.mean() - mean) < 5 * (var / 1500) ** 0.5 + 1e-9 and 0.85 * var < x.var() < 1.17 * var + 1e-9
+            if y is not None:
+                assert np.abs(np.sort(x) - np.sort(y)).mean() < 0.25 * var**0.5
+    finally:
+        mixing.NUMPY_MOST = old
+    for good, bad, n in ((10**12, 3 * 10**12, 5 * 10**11), (10**11, 10**10, 10**11)):
+        x = np.array([mixing.hypergeometric(rng, good, bad, n) for _ in range(800)], float)
+        total = good + bad
+        mean, var = n * good / total, n * (good / total) * (bad / total) * ((total - n) / total)
+        assert abs(x.mean() - mean) < 5 * (var / 800) ** 0.5 and 0.8 * var < x.var() < 1.25 * var
+    q = mixing.shard_quotas([6 * 10**9, 2 * 10**9, 5, 0], 6, 3)
+    assert q.sum(axis=0).tolist() == [6 * 10**9, 2 * 10**9, 5, 0] and np.ptp(q.sum(axis=1)) <= 1 and (q >= 0).all()

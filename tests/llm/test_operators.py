@@ -603,7 +603,7 @@ def reshared(sizes, weights=(3, 1, 2)):
 def test_mix(odd, docs, empty):
     assert mixing.mix(empty).collect() == []
     for df in (odd, docs):
-        got = mixing.mix(df, block_words=32, shard_words=5000, bucket_docs=8).collect()
+        got = mixing.mix(df, block_words=32, shard_words=5000).collect()
         assert ids(got) == ids(df.collect())
         sizes, taken = Counter(), Counter()
         for r in got:
@@ -621,7 +621,7 @@ def test_mix(odd, docs, empty):
                 shards[(s, r.source, k)] = 1
         per_shard = Counter(s for s, *_ in shards)
         assert len(shards) == len(draws) and max(per_shard.values()) - min(per_shard.values()) <= 1
-        again = mixing.mix(df.repartition(7), block_words=32, shard_words=5000, bucket_docs=8).collect()
+        again = mixing.mix(df.repartition(7), block_words=32, shard_words=5000).collect()
         assert Counter((r.doc_id, r.taken) for r in again) == Counter((r.doc_id, r.taken) for r in got)
 
 
