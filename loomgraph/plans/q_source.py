@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ..operators import mutate as M
@@ -9,6 +10,7 @@ from ..operators import pipeline as P
 from ..operators import resolve as R
 from ..operators import vectors as K
 from ..sources import readers as S
+from ..sources.polling import polls
 from ..staging import staged, staging_path
 from ..streaming import feeds as T
 from .q_resolve import ALIASES
@@ -90,6 +92,16 @@ def stream_of(spark, df):
     return T.poll(spark, path, df.schema, 2), staging_path(spark, "stream")
 
 
+def arriving(spark, df, part, parts, run):
+    """df in parts by the column ``part``, one after another: each is added to a folder of files, and ``run`` starts a stream over the
+    folder, which takes up where the last one ended. Gives what run returned, and a folder for what comes of it."""
+    path, out, got = staging_path(spark, "arrivals"), staging_path(spark, "stream"), []
+    for k in range(parts):
+        df.where(part == k).write.mode("append").parquet(path)
+        got.append(run(T.poll(spark, path, df.schema, 1000), out, k))
+    return got, out
+
+
 FEED_ITEMS = "SELECT event_id AS pos, user_id % 7 AS feed_id, 'u' || (user_id % 50) || event_type AS source_uri FROM events"
 
 
@@ -98,20 +110,39 @@ def arrivals(spark, d):
     return e.select(F.col("event_id").alias("pos"), (F.col("user_id") % 7).alias("feed_id"), F.concat(F.lit("u"), (F.col("user_id") % 50).cast("string"), "event_type").alias("source_uri"))
 
 
-@query("str1_polled_items", f"SELECT source_uri, min(pos) AS pos FROM ({FEED_ITEMS}) WHERE feed_id < 4 GROUP BY 1")
+def thirds(items):
+    """items and the part of three that each comes with, by pos: 0 to 2."""
+    n = items.agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("top"), F.min("pos").alias("low")).first()
+    step = ((n.top or 0) - (n.low or 0) + 1) / 3
+    return items.withColumn("third", F.least(F.floor((F.col("pos") - (n.low or 0)) / step), F.lit(2)).cast("int"))
+
+
+BY_THIRD = "least(floor((pos - min(pos) OVER ()) / ((max(pos) OVER () - min(pos) OVER () + 1) / 3.0::DOUBLE)), 2)"
+
+
+@query("str1_polled_items", f"SELECT source_uri, min(pos) AS pos FROM (SELECT *, {BY_THIRD} AS third FROM ({FEED_ITEMS})) WHERE feed_id < 4 AND (feed_id <> 3 OR third <> 1) AND (feed_id <> 2 OR third = 0) GROUP BY 1")
 def str1(spark, d):
-    items, out = stream_of(spark, arrivals(spark, d).coalesce(1))  # one file: what comes first is the least pos
-    feeds = spark.range(7).select("id", (F.col("id") < 4).alias("active"))
-    T.insert_batches(T.active_only(items, feeds).select("pos", "source_uri"), f"{out}/table", f"{out}/check").awaitTermination()
+    """Feed 3 is off at the second poll and on again at the third; feed 2 is switched off after the first."""
+    items, folder, feeds, out = thirds(arrivals(spark, d)), staging_path(spark, "polls"), staging_path(spark, "feeds"), staging_path(spark, "stream")
+    for k, active in enumerate(([0, 1, 2, 3], [0, 1], [0, 1, 3])):
+        items.where(F.col("third") == k).drop("third").write.partitionBy("feed_id").parquet(f"{folder}/poll={k + 1}")
+        spark.range(7).select("id", F.col("id").isin(active).alias("active")).write.mode("overwrite").parquet(feeds)
+        polled = polls(spark, folder, feeds, items.drop("third").schema).select("pos", "source_uri")
+        T.insert_batches(polled, f"{out}/table", f"{out}/check").awaitTermination()
     return spark.read.parquet(f"{out}/table").select("source_uri", "pos")
 
 
-@query("str2_streamed_first_seen", f"SELECT count(DISTINCT source_uri) AS n FROM ({FEED_ITEMS})")
+@query("str2_streamed_first_seen", f"SELECT source_uri, min(pos) AS pos, third AS came FROM (SELECT *, {BY_THIRD} AS third FROM ({FEED_ITEMS})) GROUP BY source_uri, third QUALIFY row_number() OVER (PARTITION BY source_uri ORDER BY min(pos)) = 1")
 def str2s(spark, d):
-    items, out = stream_of(spark, arrivals(spark, d))
-    seen = T.first_seen(items)
-    seen.writeStream.format("parquet").option("checkpointLocation", f"{out}/check").option("path", f"{out}/table").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(seen.schema).parquet(f"{out}/table").agg(F.count(F.lit(1)).alias("n"))
+    """Three arrivals, the stream started anew for each: keys that came before are known from its state."""
+    items = thirds(arrivals(spark, d))
+    items = items.select("pos", "source_uri", F.col("third").cast("double").alias("came"))
+
+    def run(stream, out, k):
+        T.insert_batches(stream, f"{out}/table", f"{out}/check").awaitTermination()
+
+    _, out = arriving(spark, items, F.col("came"), 3, run)
+    return spark.read.schema(items.schema).parquet(f"{out}/table").select("source_uri", "pos", "came")
 
 
 D2 = "list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
@@ -119,15 +150,26 @@ D2 = "list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.emb
 
 @query("str3_triaged_after_poll", f"SELECT i.id, CASE WHEN s IS NULL OR s >= 0.35 THEN 1 ELSE -1 END AS triaged FROM (SELECT min(pos) AS id FROM ({FEED_ITEMS}) GROUP BY source_uri) i LEFT JOIN (SELECT a.vec_id AS id, max(1 - {D2} / 2) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0 GROUP BY 1) USING (id)")
 def str3(spark, d):
-    items, out = stream_of(spark, arrivals(spark, d).coalesce(1))
+    """Three arrivals; triage goes by the batch that stored the rows and fails the first time in the second, which runs again."""
     v = view(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     queries, known = v.where("id % 20 = 0"), v.where("id % 20 <> 0")
+    items, failed = thirds(arrivals(spark, d)), []
+
+    def run(stream, out, k):
+        def triage(rows, name):
+            if k == 1 and not failed:
+                failed.append(name)
+                raise RuntimeError("the first triage fails")
+            K.triage(rows.select(F.col("pos").alias("id")), queries, known, 0.35).select("id", "triaged").write.mode("overwrite").parquet(f"{out}/triaged/{name}")
 
-    def triage(rows):
-        K.triage(rows.select(F.col("pos").alias("id")), queries, known, 0.35).select("id", "triaged").write.mode("append").parquet(f"{out}/triaged")
+        go = lambda: T.insert_batches(stream, f"{out}/table", f"{out}/check", after=triage).awaitTermination()
+        try:
+            go()
+        except StreamingQueryException:
+            go()
 
-    T.insert_batches(items, f"{out}/table", f"{out}/check", after=triage).awaitTermination()
-    return spark.read.parquet(f"{out}/triaged")
+    _, out = arriving(spark, items.drop("feed_id"), F.col("third"), 3, run)
+    return spark.read.parquet(f"{out}/triaged").select("id", "triaged")
 
 
 @query("str4_quarantine", "SELECT 'done' AS status, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS k FROM events WHERE event_id % 9 <> 0 UNION ALL SELECT 'quarantined', count(*), NULL FROM events WHERE event_id % 9 = 0 UNION ALL SELECT 'pending', count(*), NULL FROM events WHERE event_id % 9 = 0")
@@ -143,15 +185,6 @@ def str4(spark, d):
     return n(done, "done", F.sum("k")).unionByName(n(failed, "quarantined", none)).unionByName(n(T.pending(rows, done), "pending", none))
 
 
-@query("str7_streamed_counts", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-def str7stream(spark, d):
-    e = view(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    items, out = stream_of(spark, e)
-    counts = T.tumbling_counts(items)
-    counts.writeStream.outputMode("complete").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{out}/table")).option("checkpointLocation", f"{out}/check").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(counts.schema).parquet(f"{out}/table")
-
-
 @query("pip2_retidied", oracle("SELECT id, revision, CASE WHEN id % 4 = 0 AND id % 3 = 0 THEN 'new' ELSE tidy_title END AS tidy_title, CASE WHEN id % 4 = 0 AND id % 3 = 0 THEN 'full' ELSE tidy_level END AS tidy_level FROM kd"))
 def pip2(spark, d):
     kd = view(spark, d, "kd")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .state import first_seen_stream
 
 
 def poll(spark: SparkSession, folder: str, schema, files_per_batch: int = 100) -> DataFrame:
@@ -21,7 +25,7 @@ def active_only(items: DataFrame, feeds: DataFrame) -> DataFrame:
 
 def first_seen(items: DataFrame, key: str = "source_uri", at: str | None = None, within: str | None = None, order: list[str] | None = None) -> DataFrame:
     """The first item of each key. A table has the first by ``order``; a stream the first that comes, with keys kept for ever
-    without ``within``, else for that long after ``at``. Within a micro-batch a stream has no order: insert_batches does."""
+    without ``within``, else for that long after ``at``. Within a micro-batch this has no order: first_seen_stream does."""
     if not items.isStreaming:
         rest = [c for c in items.columns if c != key]
         by = F.struct(*(order or [at or rest[0]]))
@@ -32,7 +36,11 @@ def first_seen(items: DataFrame, key: str = "source_uri", at: str | None = None,
 
 
 def stored_or_empty(spark: SparkSession, table: str, schema) -> DataFrame:
-    """The rows of a Parquet table, none if there isn't one yet."""
+    """The rows of a table that insert_batches or process_batches writes, none if there isn't one yet; with the columns run and
+    batch, which name the stream and the batch that a row came with."""
+    schema = T.StructType([*schema.fields])
+    for c, kind in (("run", T.StringType()), ("batch", T.LongType())):
+        schema = schema if c in schema.names else schema.add(c, kind)
     try:
         return spark.read.schema(schema).parquet(table)
     except AnalysisException as e:
@@ -41,39 +49,50 @@ def stored_or_empty(spark: SparkSession, table: str, schema) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def insert_batches(items: DataFrame, table: str, checkpoint: str, key: str = "source_uri", after: Callable[[DataFrame], None] | None = None):
-    """Append each batch's new keys to a Parquet table, of each key the row of least first column; a batch that runs again adds
-    nothing.
+def run_of(checkpoint: str) -> str:
+    """A name for the stream that has this checkpoint."""
+    return hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
 
-    ``after`` gets the inserted rows (triage, for one). Stops when what is there has been read."""
-    from ..operators.mutate import insert_new
+def insert_batches(items: DataFrame, table: str, checkpoint: str, key: str = "source_uri", after: Callable[[DataFrame, str], None] | None = None, order: str | None = None, at: str | None = None, forget: int | None = None):
+    """Write each batch's rows of new keys to a Parquet table; of a key's rows that come together the one of least ``order`` (the
+    first column by default); rows without a key all go in.
 
-    def write(batch: DataFrame, _: int) -> None:
-        stored = stored_or_empty(batch.sparkSession, table, batch.schema)
-        rows = insert_new(stored, batch, key, batch.columns[0]).persist()
-        rows.write.mode("append").parquet(table)
+    Keys are kept as state, so a batch costs what its own rows cost, however long the history is; what other streams have put
+    in the table is read once, when this one begins. Where keys should not be kept for ever, ``forget`` says how many milliseconds
+    past ``at``, a time that the stream has a watermark on. A batch has a folder of its own, run=<stream>/batch=<number>, and one that
+    runs again writes it again. Then ``after`` gets the stored rows and that folder's name (triage, for one); if it fails, or the
+    driver does before it ends, the batch runs again and so does it, so what it writes should go by the name. Stops when what
+    is there has been read."""
+    spark, run = items.sparkSession, run_of(checkpoint)
+    stored = stored_or_empty(spark, table, items.schema).where(F.col("run") != run)
+    fresh = first_seen_stream(items, key, order or items.columns[0], stored, at, forget)
+
+    def write(batch: DataFrame, n: int) -> None:
+        name = f"run={run}/batch={n}"
+        batch.write.mode("overwrite").parquet(f"{table}/{name}")
         if after is not None:
-            after(rows)
-        rows.unpersist()
+            after(batch.sparkSession.read.schema(items.schema).parquet(f"{table}/{name}"), name)
 
-    return items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def process_batches(items: DataFrame, work: Callable[[DataFrame], DataFrame], done: str, quarantine: str, checkpoint: str, key: str = "id"):
-    """Each batch's items through ``work``, which returns them with an ``error`` column, null where all went well: good rows are
-    appended to ``done``, the others with their error to ``quarantine``, and the stream goes on. Items that either table has are
-    passed over, so a batch that runs again adds nothing. Stops when what is there has been read."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        seen = [stored_or_empty(spark, t, batch.select(key).schema) for t in (done, quarantine)]
-        fresh = batch.join(seen[0].unionByName(seen[1]), key, "left_anti")
-        rows = work(fresh).persist()
-        rows.where("error is null").drop("error").write.mode("append").parquet(done)
-        rows.where("error is not null").write.mode("append").parquet(quarantine)
+    """Each batch's items through ``work``, which returns them with an ``error`` column, null where all went well: good rows go to
+    ``done``, the others with their error to ``quarantine``, and the stream goes on. Items that either table has are passed over,
+    as in insert_batches; a batch that runs again writes its folders again. Stops when what is there has been read."""
+    spark, run = items.sparkSession, run_of(checkpoint)
+    kind = T.StructType([items.schema[key]])
+    seen = [stored_or_empty(spark, t, kind).where(F.col("run") != run).select(key) for t in (done, quarantine)]
+    fresh = first_seen_stream(items, key, items.columns[0], seen[0].unionByName(seen[1]))
+
+    def write(batch: DataFrame, n: int) -> None:
+        rows, at = work(batch).persist(), f"run={run}/batch={n}"
+        rows.where("error is null").drop("error").write.mode("overwrite").parquet(f"{done}/{at}")
+        rows.where("error is not null").write.mode("overwrite").parquet(f"{quarantine}/{at}")
         rows.unpersist()
 
-    return items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def pending(items: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
