@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import xxhash
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import drop_staged, shared_dir, split_join, staged, staging_path
+from ..staging import drop_staged, numbered, shared_dir, split_join, staged, staging_path
 
 __all__ = ["LOWER", "UPPER", "WORD_BYTES", "drop_staged", "lower_ascii", "numbered", "row_keyed", "shared_dir", "split_join", "staged", "staging_path", "table"]
 
@@ -59,17 +59,3 @@ def row_keyed(docs: DataFrame) -> tuple[DataFrame, str]:
         except AnalysisException:  # not Parquet
             pass
     return staged(docs.withColumn(row, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "rows"), row
-
-
-def numbered(rows: DataFrame, *order: Column) -> DataFrame:
-    """rows with rank: 1, 2, 3... in the order. Rows are dealt to ranges of the order, sorted and numbered in each; the ranges'
-    sizes, one number a partition, are summed on the driver."""
-    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("rank", F.monotonically_increasing_id())
-    ranges = staged(ranges, "ranges")  # the number's upper bits are the range, the lower 33 the place in it
-    part, before, starts = F.shiftright("rank", 33), 0, []
-    for r in ranges.groupBy(part.alias("part")).count().orderBy("part").collect():
-        starts.append((r.part, before))
-        before += r["count"]
-    offsets = rows.sparkSession.createDataFrame(starts, "_part long, _before long")
-    placed = ranges.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-    return placed.withColumn("rank", F.col("_before") + F.col("rank").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_before")
