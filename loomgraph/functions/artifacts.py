@@ -182,37 +182,43 @@ def candidates(artifacts: Column) -> Column:
     return F.transform(every, lambda r, i: F.struct(i.alias("at"), *[r[c].alias(c) for c in ("chunk", "section", "kind", "x", "key")], *[r["w"][c].alias(c) for c in "ahp"]))
 
 
-STEP = "struct<kind:string,section:int,at:int,most:int>"
 MANY = 1 << 30
 
 
 def _steps(rows: Column, s: dict) -> Column:
     """What is tried in turn: headings; then, a section each in turn, the topic, quote and numeric lines to have first; then
-    the others. A step names its lines by kind and by section or place (-1: any), and how many of the kind there may be."""
-    step = lambda kind, section, at, most: F.struct(F.lit(kind).alias("kind"), section.cast("int").alias("section"), at.cast("int").alias("at"), F.lit(most).alias("most"))
-    any_ = F.lit(-1)
-    each = lambda kind, most: F.transform(F.filter(rows, lambda r: r["kind"] == kind), lambda r: step(kind, any_, r["at"], most))
+    the others. A step names its lines by their places, and how many of their kind there may be."""
+    step = lambda kind, places, most: F.struct(F.lit(kind).alias("kind"), places.alias("places"), F.lit(most).alias("most"))
+    each = lambda kind, most: F.transform(F.filter(rows, lambda r: r["kind"] == kind), lambda r: step(kind, F.array(r["at"]), most))
 
     def in_turn(kind: str, least: int) -> Column:
-        sections = F.array_sort(F.array_distinct(F.transform(F.filter(rows, lambda r: r["kind"] == kind), lambda r: r["section"])))
-        return let(sections, lambda own: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(least)), lambda _: F.transform(own, lambda x: step(kind, x, any_, least)))))
+        def of_section(own: Column) -> Column:
+            sections = F.array_sort(F.array_distinct(F.transform(own, lambda r: r["section"])))
+            listed = F.transform(sections, lambda x: step(kind, F.transform(F.filter(own, lambda r: r["section"] == x), lambda r: r["at"]), least))
+            return let(listed, lambda steps: F.flatten(F.array_repeat(steps, least)))
+
+        return let(F.filter(rows, lambda r: r["kind"] == kind), of_section)
 
     return F.concat(each("heading", s["heading"]), *[in_turn(k, s[k]) for k in ("topic", "quote", "numeric")], *[each(k, MANY) for k in ("topic", "quote", "numeric")], each("support", s["support"]))
 
 
 def chosen(rows: Column, title: Column, level: str) -> Column:
-    """The places of the candidates that a document's plan takes, in the order they were taken."""
+    """The places of the candidates that a document's plan takes, in the order they were taken.
+
+    One fold over the steps: a step looks its lines up by place, and what has been taken is their places, their keys, of which
+    the token budget bounds the number, and a count of each kind."""
     s, w = STRATEGIES[level], weights(F.coalesce(title, F.lit("")))
-    start = F.struct(F.array().cast("array<int>").alias("at"), none().alias("key"), none().alias("kind"), *[w[c].alias(c) for c in "ahp"])
+    counts = lambda state, kind=None: F.struct(*[(state["n"][k] + F.when(kind == k, 1).otherwise(0) if kind is not None else state["n"][k]).alias(k) for k in BODY])
+    start = F.struct(F.array().cast("array<int>").alias("at"), none().alias("key"), F.struct(*[F.lit(0).alias(k) for k in BODY]).alias("n"), *[w[c].alias(c) for c in "ahp"])
 
     def take(state: Column, step: Column) -> Column:
         fits = lambda r: _tokens(state["a"] + r["a"], state["h"] + r["h"], state["p"] + r["p"]) <= s["evidence"]
-        asked = lambda r: (r["kind"] == step["kind"]) & ((step["section"] < 0) | (r["section"] == step["section"])) & ((step["at"] < 0) | (r["at"] == step["at"]))
-        first = F.get(F.filter(rows, lambda r: asked(r) & ~F.array_contains(state["key"], r["key"]) & fits(r)), F.lit(0))
-        free = F.size(F.filter(state["kind"], lambda k: k == step["kind"])) < step["most"]
+        may = lambda r: fits(r) & ~F.array_contains(state["key"], r["key"])
+        first = F.get(F.filter(F.transform(step["places"], lambda i: F.get(rows, i)), may), F.lit(0))
+        free = F.element_at(F.array(*[state["n"][k] for k in BODY]), F.array_position(F.array(*map(F.lit, BODY)), step["kind"]).cast("int")) < step["most"]
         added = lambda r: F.when(
             r["at"].isNotNull(),
-            F.struct(F.concat(state["at"], F.array(r["at"])).alias("at"), F.concat(state["key"], F.array(r["key"])).alias("key"), F.concat(state["kind"], F.array(r["kind"])).alias("kind"), *[(state[c] + r[c]).alias(c) for c in "ahp"]),
+            F.struct(F.concat(state["at"], F.array(r["at"])).alias("at"), F.concat(state["key"], F.array(r["key"])).alias("key"), counts(state, r["kind"]).alias("n"), *[(state[c] + r[c]).alias(c) for c in "ahp"]),
         ).otherwise(state)
         return F.when(free, let(first, added)).otherwise(state)
 

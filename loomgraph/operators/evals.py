@@ -126,11 +126,22 @@ def content_words(text: Column) -> Column:
 
 
 def novel_ratio(source: Column, output: Column) -> Column:
-    """The share of the output's content words that the source lacks; null without any."""
+    """The share of the output's content words that the source lacks; null without any.
+
+    Both the output's words and the new ones among them are sorted, and one walk along the words counts those that are new:
+    each new word is met in its turn, so the place in the list of new words moves by one at most."""
     o = content_words(output)
-    once = F.array(F.struct(o.alias("o"), F.array_except(o, content_words(source)).alias("new")))  # computed once a row
-    ratio = F.transform(once, lambda x: F.try_divide(F.size(F.filter(x["o"], lambda w: F.array_contains(x["new"], w))), F.size(x["o"])))
-    return F.get(ratio, F.lit(0))
+    once = F.array(F.struct(F.array_sort(o).alias("o"), F.array_sort(F.array_except(o, content_words(source))).alias("new")))  # computed once a row
+
+    def walk(new: Column):
+        def step(acc: Column, w: Column) -> Column:
+            at = acc["at"] + F.when(w > F.get(new, acc["at"]), 1).otherwise(0)
+            return F.struct(at.alias("at"), (acc["n"] + F.when(F.get(new, at) == w, 1).otherwise(0)).alias("n"))
+
+        return step
+
+    count = lambda x: F.aggregate(x["o"], F.struct(F.lit(0).alias("at"), F.lit(0).alias("n")), walk(x["new"]), lambda acc: acc["n"])
+    return F.get(F.transform(once, lambda x: F.try_divide(count(x), F.size(x["o"]))), F.lit(0))
 
 
 def length_ratio(source: Column, output: Column) -> Column:

@@ -68,10 +68,11 @@ def cluster(points: DataFrame, min_size: int = 5, eps: float | None = None, shar
     cell = [F.floor(F.col(c) / side).cast("long").alias(f"c{c}") for c in "xyz"]
     celled = staged(points.select("id", *"xyz", *cell), "celled")
     kind = points.schema["id"].dataType
-    counts = _neighbours(celled, celled, eps, T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType())]), _count)
-    core_ids = counts.groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_size).select("id")
-    core = staged(celled.join(core_ids, "id", "left_semi"), "core")
     key = ["cx", "cy", "cz"]
+    sized = split_join(celled, celled.groupBy(*key).agg(F.count(F.lit(1)).alias("held")), key)  # the points of a cell of min_size points are core
+    counts = _neighbours(sized.where(F.col("held") < min_size).drop("held"), celled, eps, T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType())]), _count)
+    core_ids = staged(counts.groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_size).select("id").unionByName(sized.where(F.col("held") >= min_size).select("id")), "core-ids")
+    core = staged(celled.join(core_ids, "id", "left_semi"), "core")
     first = staged(core.groupBy(*key).agg(F.min("id").alias("v")), "core-cells")
     within = split_join(core.select("id", *key), first, key).select(F.col("id").alias("u"), "v").where("u <> v")
     between = _neighbours(core, core, eps, T.StructType([T.StructField("u", kind), T.StructField("v", kind)]), _touch, own_cell=False)
@@ -121,8 +122,11 @@ def _neighbours(left: DataFrame, right: DataFrame, eps: float, schema: T.StructT
     moves = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("xyz", s)]) for s in steps])
     a = staged(tiled(left), "cell-tiles")
     b = a if left is right else staged(tiled(right), "cell-tiles")
-    moved = a.select(F.col("ids").alias("a_ids"), F.col("flat").alias("a_flat"), *key, F.explode(moves).alias("d")).select("a_ids", "a_flat", *[(F.col(c) + F.col(f"d.{c[1]}")).alias(c) for c in key])
-    pairs = moved.join(b, key).select("a_ids", "a_flat", "ids", "flat")
+    # cells first, without their points: what is shipped is a tile for each cell within reach that has points
+    to = [f"to_{c}" for c in key]
+    moved = a.select(*key).distinct().select(*key, F.explode(moves).alias("d")).select(*key, *[(F.col(c) + F.col(f"d.{c[1]}")).alias(t) for c, t in zip(key, to)])
+    met = moved.join(b.select(*[F.col(c).alias(t) for c, t in zip(key, to)]).distinct(), to)
+    pairs = a.select(*key, F.col("ids").alias("a_ids"), F.col("flat").alias("a_flat")).join(met, key).drop(*key).join(b.select(*[F.col(c).alias(t) for c, t in zip(key, to)], "ids", "flat"), to).select("a_ids", "a_flat", "ids", "flat")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import graph as G
 from ..operators import heat as H
-from ..operators import hierarchy as H
+from ..operators import hierarchy
 from ..operators import layout as Y
 from ..operators import lint as L
 from ..operators import resolve as R
@@ -266,7 +266,7 @@ def clu1(spark, d):
 @query("clu1_cluster_hierarchy")
 def clu1h(spark, d):
     """Not for SQL: a spanning tree and a fold over its edges; tests/test_hierarchy.py has a plain one."""
-    return H.cluster_hierarchy(points(spark, d))
+    return hierarchy.cluster_hierarchy(points(spark, d))
 
 
 @query("clu2_cluster_stats", f"WITH {GROUPS} SELECT cluster_id, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM proj WHERE cluster_id IS NOT NULL GROUP BY 1")
