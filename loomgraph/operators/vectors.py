@@ -177,6 +177,26 @@ def mock_replies(prompts: DataFrame, canned: dict[str, str], default: str = "{}"
     return prompts.select("id", out.alias("reply"))
 
 
+def _each_or_alone(call, rows: list) -> tuple[list, list]:
+    """What call(rows) gives, one result a row; if it fails, the rows are tried one by one, and those that fail by themselves have
+    None and their error."""
+    try:
+        got = list(call(rows))
+        if len(got) != len(rows):
+            raise ValueError(f"{len(got)} results for {len(rows)} rows")
+        return got, [None] * len(rows)
+    except Exception:  # the function is the caller's: what it raises is unknown
+        out, errors = [], []
+        for row in rows:
+            try:
+                (one,), error = call([row]), None
+            except Exception as e:
+                one, error = None, f"{type(e).__name__}: {e}"
+            out.append(one)
+            errors.append(error)
+        return out, errors
+
+
 def ask(prompts: DataFrame, model, batch_rows: int = 32) -> DataFrame:
     """prompts (id, prompt) through model(list of prompts) -> list of replies, a batch at a time: (id, reply, error).
 
@@ -187,20 +207,8 @@ def ask(prompts: DataFrame, model, batch_rows: int = 32) -> DataFrame:
         for b in batches:
             replies, errors = [], []
             for s in range(0, len(b), batch_rows):
-                part = b["prompt"].tolist()[s : s + batch_rows]
-                try:
-                    got = list(model(part))
-                    if len(got) != len(part):
-                        raise ValueError(f"{len(got)} replies to {len(part)} prompts")
-                    replies, errors = replies + got, errors + [None] * len(part)
-                except Exception:  # the model is the caller's: what it raises is unknown
-                    for prompt in part:
-                        try:
-                            (reply,), error = model([prompt]), None
-                        except Exception as e:
-                            reply, error = None, f"{type(e).__name__}: {e}"
-                        replies.append(reply)
-                        errors.append(error)
+                got, failed = _each_or_alone(model, b["prompt"].tolist()[s : s + batch_rows])
+                replies, errors = replies + got, errors + failed
             yield pd.DataFrame({"id": b["id"], "reply": pd.Series(replies, b.index, dtype=object), "error": pd.Series(errors, b.index, dtype=object)})
 
     return prompts.select("id", "prompt").mapInPandas(run, f"id {prompts.schema['id'].dataType.simpleString()}, reply string, error string")
@@ -211,17 +219,27 @@ def quarantined(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return answers.where("error is null").drop("error"), answers.where("error is not null").select("id", "error")
 
 
-def embed(texts: DataFrame, model, size: int, batch_rows: int = 64) -> DataFrame:
+def embed(texts: DataFrame, model, size: int, batch_rows: int = 64, keep_errors: bool = False) -> DataFrame:
     """texts (id, text) through model(list of texts) -> rows of ``size`` numbers: (id, embedding) of unit length; a zero
-    row stays zero, and a row of another size is an error."""
+    row stays zero. A batch that fails is tried row by row; a row that fails, or has another size, is an error: the job's, or with
+    ``keep_errors`` a row with a null embedding and a third column, error (see quarantined)."""
+
+    def vectors_of(rows: list[str]) -> list[np.ndarray]:
+        got = list(model(rows))
+        v = [np.asarray(x, np.float64).reshape(size) for x in got]
+        return [x / (np.linalg.norm(x) or 1.0) for x in v]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
+            out, errors = [], []
             for s in range(0, len(b), batch_rows):
-                v = np.asarray(model([t or "" for t in b["text"].tolist()[s : s + batch_rows]]), np.float64).reshape(-1, size)
-                n = np.linalg.norm(v, axis=1, keepdims=True)
-                out += list(v / np.where(n == 0, 1.0, n))
-            yield pd.DataFrame({"id": b["id"], "embedding": pd.Series(out, b.index, dtype=object)})
-
-    return texts.select("id", "text").mapInPandas(run, f"id {texts.schema['id'].dataType.simpleString()}, embedding array<double>")
+                got, failed = _each_or_alone(vectors_of, [t or "" for t in b["text"].tolist()[s : s + batch_rows]])
+                out, errors = out + got, errors + failed
+            lost = [(i, e) for i, e in zip(b["id"], errors) if e]
+            if lost and not keep_errors:
+                raise ValueError(f"{len(lost)} of {len(b)} texts have no vector; the first, {lost[0][0]}: {lost[0][1]}")
+            columns = {"id": b["id"], "embedding": pd.Series(out, b.index, dtype=object)}
+            yield pd.DataFrame(columns | ({"error": pd.Series(errors, b.index, dtype=object)} if keep_errors else {}))
+
+    kind = f"id {texts.schema['id'].dataType.simpleString()}, embedding array<double>"
+    return texts.select("id", "text").mapInPandas(run, f"{kind}, error string" if keep_errors else kind)

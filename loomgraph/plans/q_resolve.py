@@ -164,11 +164,11 @@ def fam7(spark, d):
 # changes
 
 
-@query("mut1_insert_feed_items", oracle("""SELECT id, source_uri FROM (SELECT id, source_uri, row_number() OVER (PARTITION BY source_uri ORDER BY id) AS rn FROM kd WHERE source_uri IS NOT NULL AND id % 4 = 1)
+@query("mut1_insert_feed_items", oracle("""SELECT id, source_uri FROM (SELECT id, source_uri, row_number() OVER (PARTITION BY source_uri ORDER BY id) AS rn FROM kd WHERE source_uri IS NOT NULL AND id % 4 <> 0)
     WHERE rn = 1 AND source_uri NOT IN (SELECT source_uri FROM kd WHERE id % 4 = 0 AND source_uri IS NOT NULL)"""))
 def mut1(spark, d):
     kd = view(spark, d, "kd").select("id", "source_uri").where("source_uri IS NOT NULL")
-    return M.insert_new(kd.where("id % 4 = 0"), kd.where("id % 4 = 1"), order="id")
+    return M.insert_new(kd.where("id % 4 = 0"), kd.where("id % 4 <> 0"), order="id")
 
 
 EDGE_BATCH = "SELECT *, row_number() OVER (PARTITION BY source, target, predicate ORDER BY id) AS rn, row_number() OVER (PARTITION BY source, target, predicate ORDER BY id DESC) AS last FROM kx0"

@@ -10,7 +10,8 @@ from ..operators import pipeline as P
 from ..operators import resolve as R
 from ..operators import vectors as K
 from ..sources import readers as S
-from ..sources.polling import polls
+from ..sources.file_source import docx_of, read_files
+from ..sources.polling import opened, polls
 from ..staging import staged, staging_path
 from ..streaming import feeds as T
 from .q_resolve import ALIASES
@@ -24,6 +25,74 @@ def src1(spark, d):
     return S.scribbles(view(spark, d, "events").select("event_id", text.alias("text")))
 
 
+def written(spark, d):
+    """A folder of files made from documents, one each, by id: Markdown, Word, PDF (pages between form feeds), Word files
+    that are cut short, blank Markdown, and text."""
+    folder = staging_path(spark, "files")
+    docs = view(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"[\x00-\x08\x0b-\x1f]", " ").alias("text"))
+
+    def write(batches):
+        fs, path = opened(folder)
+        for b in batches:
+            for i, t in zip(b["doc_id"], b["text"]):
+                kind = ("md", "docx", "pdf", "docx", "md", "txt")[i % 6]
+                data = docx_of(["", t], [[" a", str(i)]]) if kind == "docx" else (" \n" if i % 6 == 4 else f" \n{t}\n").encode()
+                data = data[: len(data) // 2] if i % 6 == 3 else "\f".join([t[:40], "", t[40:80]]).encode() if kind == "pdf" else data
+                fs.create_dir(f"{path}/{i % 10}")
+                with fs.open_output_stream(f"{path}/{i % 10}/{i}.{kind}") as f:
+                    f.write(data)
+            yield b[["doc_id"]]
+
+    docs.mapInPandas(write, "doc_id long").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+BARE = r"regexp_replace(text, '[\x00-\x08\x0b-\x1f]', ' ', 'g')"
+
+
+@query("src2_files", rf"""SELECT doc_id AS title, ['text/markdown', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document', 'application/pdf', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document', 'text/markdown', NULL][1 + doc_id % 6] AS mime_type,
+    CASE WHEN doc_id % 6 IN (0, 1) THEN sha256(CASE doc_id % 6 WHEN 0 THEN t ELSE CASE WHEN t = '' THEN '' ELSE b || chr(10) END || 'a | ' || doc_id END) END AS text_sha256,
+    CASE WHEN doc_id % 6 = 3 THEN 'damaged: BadZipFile' WHEN doc_id % 6 = 4 OR (doc_id % 6 = 0 AND t = '') OR (doc_id % 6 = 2 AND trim(left(b, 80), ' ' || chr(10) || chr(9)) = '') THEN 'blank' WHEN doc_id % 6 = 5 THEN 'unsupported suffix: txt' END AS error
+    FROM (SELECT doc_id, b, trim(b, ' ' || chr(10) || chr(9)) AS t FROM (SELECT doc_id, {BARE} AS b FROM documents)) WHERE doc_id % 6 <> 2""")
+def src2(spark, d):
+    """Files of all kinds but PDFs, which go through page cleaning (txt3_page_texts)."""
+    rows = read_files(spark, written(spark, d), lambda data: data.decode("utf-8").split("\f"))
+    kept = rows.where("suffix <> 'pdf'")
+    return kept.select(F.col("title").cast("long").alias("title"), "mime_type", F.sha2("text", 256).alias("text_sha256"), "error")
+
+
+def paged(spark, d, lines=5):
+    """Documents as pages of some lines each, with a running head that has the page's number, and a foot."""
+    found = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    docs = view(spark, d, "documents").select("doc_id", found.alias("found")).where("size(found) > 0")
+    page = lambda k: F.concat(F.lit("Journal of Looms, page "), k.cast("string"), F.lit("\n"), F.array_join(F.slice("found", k * lines - (lines - 1), lines), "\n"), F.lit("\n"), k.cast("string"))
+    pages = F.transform(F.sequence(F.lit(1), F.ceil(F.size("found") / lines).cast("int")), page)
+    return docs.select(F.col("doc_id").alias("id"), pages.alias("pages"))
+
+
+@query("txt3_page_texts")
+def txt3(spark, d):
+    """Not for SQL: paragraphs flow by a fold over lines; tests/test_files.py has a plain one."""
+    return S.page_texts(paged(spark, d))
+
+
+@query("emb1_mock_vectors", "SELECT doc_id AS id, 8 AS n, 1.0::DOUBLE AS length, count(*) OVER (PARTITION BY text) AS alike FROM documents")
+def emb1(spark, d):
+    """A unit vector a text, the same for equal texts and no others."""
+    docs = view(spark, d, "documents").select(F.col("doc_id").alias("id"), K.mock_embedding(F.col("text"), 8).alias("v"))
+    norm = F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), 9)
+    counts = staged(docs.select("id", F.size("v").alias("n"), norm.alias("length"), F.xxhash64("v").alias("mark")), "mock-vectors")
+    return counts.join(counts.groupBy("mark").agg(F.count(F.lit(1)).alias("alike")), "mark").select("id", "n", "length", "alike")
+
+
+@query("src15_vectors", "SELECT CAST(label AS BIGINT) AS label, count(*) AS n, round(avg(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS squares, CAST(max(len(embedding)) AS BIGINT) AS size FROM embeddings GROUP BY 1")
+def src15(spark, d):
+    """Vectors as they are stored."""
+    e = view(spark, d, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    return e.groupBy(F.col("label").cast("long").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(squares), 6).alias("squares"), F.max(F.size("embedding")).cast("long").alias("size"))
+
+
 @query("src6_feed_items", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Sum of ' || page_id ELSE 'Item ' || page_id END AS text, CASE WHEN page_id % 4 = 0 THEN 'http://feed/' || page_id ELSE 'http://item/' || page_id END AS source_uri, CASE WHEN page_id % 2 = 0 THEN 'Mon' ELSE '2024-01-02' END AS published FROM pages WHERE page_id % 7 <> 6")
 def src6(spark, d):
     n, k = F.col("page_id"), F.col("page_id").cast("string")
