@@ -42,19 +42,25 @@ class TextIndex:
     totals: DataFrame
 
 
+def posting_rows(docs: DataFrame, columns: tuple[str, ...], id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(id, tokens, len) of documents, and the postings (term, id, tf, places, len) of all columns together."""
+    gap = 1 << 40
+    placed = lambda c, k: F.transform(tokens(F.col(c)), lambda t, i: F.struct(t.alias("term"), (i.cast("long") + k * gap).alias("place")))
+    found = [placed(c, k) for k, c in enumerate(columns)]
+    listed = docs.select(F.col(id_col).alias("id"), F.concat(*found).alias("tokens")).withColumn("len", F.size("tokens").cast("long"))
+    rows = listed.select("id", "len", F.explode("tokens").alias("t")).groupBy(F.col("t.term").alias("term"), "id", "len").agg(F.sort_array(F.collect_list("t.place")).alias("places"))
+    return listed, rows.select("term", "id", F.size("places").cast("long").alias("tf"), "places", "len")
+
+
 def text_index(docs: DataFrame, columns: tuple[str, ...] = ("title", "text", "annotation"), id_col: str = "id") -> TextIndex:
     """The index of all columns together, written once in the shared folder; searches read the terms they ask for.
 
     Postings are stored by ranges of (term, id), so the files that lack a term are passed over by their statistics and a
     term that every document has is no single file. places count on from column to column with a gap that no phrase
-    crosses; len is the document's number of tokens. ids name one document each."""
-    gap = 1 << 40
-    placed = lambda c, k: F.transform(tokens(F.col(c)), lambda t, i: F.struct(t.alias("term"), (i.cast("long") + k * gap).alias("place")))
-    found = [placed(c, k) for k, c in enumerate(columns)]
-    listed = docs.select(F.col(id_col).alias("id"), F.concat(*found).alias("tokens")).withColumn("len", F.size("tokens").cast("long"))
+    crosses; len is the document's number of tokens. ids name one document each. An index that follows its documents is in
+    text_segments."""
+    listed, rows = posting_rows(docs, columns, id_col)
     totals = staged(listed.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("avglen")), "text-totals")
-    rows = listed.select("id", "len", F.explode("tokens").alias("t")).groupBy(F.col("t.term").alias("term"), "id", "len").agg(F.sort_array(F.collect_list("t.place")).alias("places"))
-    rows = rows.select("term", "id", F.size("places").cast("long").alias("tf"), "places", "len")
     return TextIndex(staged(rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "text-postings"), totals)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import search as S
+from ..operators import text_segments as X
+from ..staging import DROPS, staging_path
 from .registry import query
 from .views import oracle, view
 
@@ -37,17 +39,41 @@ def docs(spark, d):
     return view(spark, d, "documents").withColumnRenamed("doc_id", "id")
 
 
-_INDEXES: dict[tuple[str, str], S.TextIndex] = {}
+_INDEXES: dict[tuple, S.TextIndex] = {}
 
 
 def index(spark, d):
-    """The text index of a folder's documents, built once an application."""
-    key = (spark.sparkContext.applicationId, d)
+    """The text index of a folder's documents, kept as long as the files are the same and staged tables stay."""
+    rows = docs(spark, d)
+    files = rows.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect()  # a row a file
+    key = (spark.sparkContext.applicationId, DROPS[0], d, *sorted(map(tuple, files)))
     if key not in _INDEXES:
-        _INDEXES[key] = S.text_index(docs(spark, d), ("text",))
+        _INDEXES[key] = S.text_index(rows, ("text",))
     return _INDEXES[key]
 
 
+@query("fts1_index_build", f"SELECT term, count(*) AS documents, sum(tf)::BIGINT AS places FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS.format(c='text')}) AS term FROM documents) GROUP BY 1, 2) GROUP BY 1")
+def fts1_build(spark, d):
+    """The index built anew, and what it holds of each term."""
+    return S.text_index(docs(spark, d), ("text",)).postings.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("places"))
+
+
+#: Documents after the changes of fts1_updated_index.
+AFTER = "(SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Edited: la mer avec etre ' || doc_id || ' ' || text ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0)"
+
+
+@query("fts1_updated_index", f"SELECT id, round(score, 6) AS score FROM {bm25_sql(['la', 'avec', 'etre'], None).replace('FROM documents', 'FROM ' + AFTER)}")
+def fts1_updated(spark, d):
+    """An index that began with a part of the documents, got the others in two batches, then edits, then deletes."""
+    rows, folder = docs(spark, d).select("id", "text"), staging_path(spark, "segments")
+    edited = rows.where("id % 7 = 0").select("id", F.concat(F.lit("Edited: la mer avec etre "), F.col("id").cast("string"), F.lit(" "), "text").alias("text"))
+    state = X.open_index(spark, folder)
+    for batch in (rows.where("id % 4 > 1"), rows.where("id % 4 = 1"), rows.where("id % 4 = 0"), edited):
+        state = X.changed(spark, state, batch, columns=("text",))
+    state = X.changed(spark, state, rows.limit(0), rows.where("id % 11 = 0").select("id"), columns=("text",))
+    return rounded(S.keyword_search(X.open_index(spark, folder).index(spark), "la avec être", None))
+
+
 def vectors(spark, d):
     return view(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
 

@@ -33,8 +33,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: How often drop_staged has run: what is kept by its staged path holds for one count.
+DROPS = [0]
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Remove what staged() has written in this application. Results read from it must have been used before."""
+    DROPS[0] += 1
     jvm, path = spark._jvm, f"{shared_dir(spark)}/loomgraph-{spark.sparkContext.applicationId}"
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
