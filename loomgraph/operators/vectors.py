@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.replies import json_object
-from ..staging import staged
+from ..staging import split_join, staged
 
 #: The predicates that an edge may have; fixed values.
 PREDICATES = (
@@ -243,3 +244,72 @@ def embed(texts: DataFrame, model, size: int, batch_rows: int = 64, keep_errors:
 
     kind = f"id {texts.schema['id'].dataType.simpleString()}, embedding array<double>"
     return texts.select("id", "text").mapInPandas(run, f"{kind}, error string" if keep_errors else kind)
+
+
+def bands_for(least: float, recall: float, width: int) -> int:
+    """How many bands of ``width`` signs find a pair of cosine ``least`` with a probability of ``recall``: one sign is equal with
+    1 - angle / pi."""
+    band = (1 - math.acos(max(-1.0, min(1.0, least))) / math.pi) ** width
+    return 1 if band >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - band)))
+
+
+def sketches(vectors: DataFrame, width: int, bands: int, seed: int) -> DataFrame:
+    """(id, keys array<long>): for each band the signs of ``width`` seeded projections as a number."""
+    schema = T.StructType([vectors.schema["id"], T.StructField("keys", T.ArrayType(T.LongType()))])
+    place = (1 << np.arange(width, dtype=np.int64)).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = None
+        for b in batches:
+            if b.num_rows:
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                if planes is None:
+                    planes = np.random.default_rng(seed).standard_normal((x.shape[1], bands * width))
+                keys = ((x @ planes) > 0).reshape(len(x), bands, width).astype(np.int64) @ place
+                at = pa.array(np.arange(len(x) + 1) * bands, pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(at, pa.array(keys.ravel()))], names=schema.names)
+
+    return vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, schema)
+
+
+def sketch_pairs(vectors: DataFrame, least: float, recall: float = 0.95, width: int | None = None, seed: int = 11, tile: int = 512) -> DataFrame:
+    """(a, b, cosine), a < b: pairs of unit vectors (id, embedding) of cosine ``least`` or more, each found with a probability of
+    ``recall`` at least, and none that isn't one. threshold_pairs finds all.
+
+    Vectors whose signs agree in all of a band's projections are compared. Bands are as wide as strangers' chance of meeting
+    needs (about 2 to the width of them in n vectors), and as many as the recall needs. Members of a bucket are dealt into
+    tiles, tiles meet two by two, and a pair is handed on by the first band that both ends share; the product of the
+    two vectors decides."""
+    vectors = staged(vectors.where("embedding is not null").select("id", "embedding"), "vectors")
+    n = vectors.count()
+    width = width or max(4, min(32, math.ceil(math.log2(max(n, 2) / 64)) if n > 64 else 4))
+    bands = bands_for(least, recall, width)
+    rows = staged(sketches(vectors, width, bands, seed), "sketches")
+    laid = rows.select("id", "keys", F.posexplode("keys").alias("band", "key"))
+    sizes = laid.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    dealt = split_join(laid, sizes, ["band", "key"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    packs = staged(dealt.groupBy("band", "key", "tile", "tiles").agg(F.collect_list(F.struct("id", "keys")).alias("m")), "sketch-tiles")
+    left = packs.select("band", "key", F.col("m").alias("m1"), F.col("tile").alias("own"), F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)).alias("tile"))
+    met = left.join(packs.select("band", "key", "tile", F.col("m").alias("m2")), ["band", "key", "tile"]).select("band", "m1", "m2", (F.col("own") == F.col("tile")).alias("same"))
+    kind = vectors.schema["id"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                band, same = batch.column("band")[r].as_py(), batch.column("same")[r].as_py()
+                v1, v2 = batch.column("m1")[r].values, batch.column("m2")[r].values
+                k1, k2 = (v.field("keys").flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)[:, :band] for v in (v1, v2))
+                new = np.ones((len(v1), len(v2)), bool)
+                for t in range(band):  # another band has handed it on
+                    new &= k1[:, t, None] != k2[None, :, t]
+                i, j = np.nonzero(new)
+                one, two = v1.field("id").to_numpy(zero_copy_only=False)[i], v2.field("id").to_numpy(zero_copy_only=False)[j]
+                good = one < two if same else one != two
+                lo, hi = np.where(one < two, one, two)[good], np.where(one < two, two, one)[good]
+                yield pa.RecordBatch.from_arrays([pa.array(lo, v1.field("id").type), pa.array(hi, v1.field("id").type)], names=schema.names)
+
+    pairs = met.mapInArrow(compare, schema)
+    side = lambda c: vectors.select(F.col("id").alias(c), F.col("embedding").cast("array<double>").alias(f"v_{c}"))
+    cosine = F.aggregate(F.zip_with("v_a", "v_b", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    return split_join(split_join(pairs, side("a"), ["a"]), side("b"), ["b"]).select("a", "b", cosine.alias("cosine")).where(F.col("cosine") >= least)

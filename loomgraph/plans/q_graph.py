@@ -73,6 +73,12 @@ def knn2(spark, d):
     return rounded(K.threshold_pairs(vecs(spark, d), 0.3))
 
 
+@query("knn2_sketched_pairs")
+def knn2s(spark, d):
+    """Not for SQL: which pairs meet goes by seeded projections; tests/test_sketches.py measures the recall against the exact form."""
+    return rounded(K.sketch_pairs(vecs(spark, d), 0.6))
+
+
 @query("tri1_triage", oracle(f"""SELECT d.id, CASE WHEN s IS NULL OR s >= 0.35 THEN 1 ELSE -1 END AS triaged, round(s, 6) AS similarity FROM kd d LEFT JOIN (SELECT a.vec_id AS id, max(1 - {D2} / 2) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0 GROUP BY a.vec_id) USING (id)
     WHERE d.source_type <> 'scribble'"""))
 def tri1(spark, d):
