@@ -10,6 +10,7 @@ from ..operators import heat as H
 from ..operators import hierarchy
 from ..operators import layout as Y
 from ..operators import lint as L
+from ..operators import manifold
 from ..operators import resolve as R
 from ..operators import vectors as K
 from ..operators.listing import is_draft
@@ -76,7 +77,7 @@ def knn2(spark, d):
 @query("knn2_sketched_pairs")
 def knn2s(spark, d):
     """Not for SQL: which pairs meet goes by seeded projections; tests/test_sketches.py measures the recall against the exact form."""
-    return rounded(K.sketch_pairs(vecs(spark, d), 0.6))
+    return rounded(K.sketch_pairs(vecs(spark, d), 0.3))
 
 
 @query("tri1_triage", oracle(f"""SELECT d.id, CASE WHEN s IS NULL OR s >= 0.35 THEN 1 ELSE -1 END AS triaged, round(s, 6) AS similarity FROM kd d LEFT JOIN (SELECT a.vec_id AS id, max(1 - {D2} / 2) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0 GROUP BY a.vec_id) USING (id)
@@ -257,6 +258,12 @@ def prj1(spark, d):
     return rounded(Y.project_pca(vecs(spark, d)), 4)
 
 
+@query("prj1_project_neighbours")
+def prj1n(spark, d):
+    """Not for SQL: gradient steps; tests/test_manifold.py measures which neighbours are kept, against components."""
+    return rounded(manifold.project_neighbours(vecs(spark, d)), 2)
+
+
 EPS = 0.2
 
 

@@ -7,7 +7,7 @@ import numpy as np
 from loomgraph.operators import layout, manifold
 
 
-def clustered(seed=5, n=260, dims=24, kinds=13):
+def clustered(seed=5, n=400, dims=40, kinds=40):
     rng = np.random.default_rng(seed)
     centres = rng.standard_normal((kinds, dims))
     rows = []
@@ -23,8 +23,9 @@ def test_neighbours_are_kept_better_than_by_components(spark):
     points = manifold.project_neighbours(df, rounds=6, rows=100)
     got = {r.id: (r.x, r.y, r.z) for r in points.collect()}
     assert set(got) == {i for i, _ in rows} and all(math.isfinite(c) for p in got.values() for c in p)
-    kept, plain = manifold.neighbour_preservation(df, points), manifold.neighbour_preservation(df, layout.project_pca(df))
-    assert kept > plain + 0.15 and kept > 0.55, (kept, plain)
+    plain = layout.project_pca(df)
+    for k, more in ((9, 0.15), (15, 0.03)):  # kinds have ten vectors, so that nine neighbours can all be kept
+        assert manifold.neighbour_preservation(df, points, k) > manifold.neighbour_preservation(df, plain, k) + more
 
 
 def test_weights_by_hand(spark):
