@@ -26,7 +26,70 @@ class Template:
     base: bool = False
 
 
+#: Whole licenses and notices in their public wording, with what may differ marked; fixed values.
+AS_IS = (
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and "
+    "noninfringement in no event shall the <<var 1-12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in "
+    "connection with the software or the use or other dealings in the software"
+)
+WHOLE = (
+    Template(
+        "mit-text",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<opt>>the software<</opt>> to deal in the software "
+        "without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the "
+        "software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<opt>>including the next paragraph<</opt>> shall be included in "
+        "all copies or substantial portions of the software " + AS_IS,
+    ),
+    Template(
+        "isc-text",
+        "permission to use copy modify and <<opt>>or<</opt>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this "
+        "permission notice appear in all copies the software is provided as is and <<var 1-8>> disclaims all warranties with regard to this software including all implied warranties of "
+        "merchantability and fitness in no event shall <<var 1-8>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or "
+        "profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    Template(
+        "bsd-text",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<opt>>1<</opt>> redistributions of source "
+        "code must retain the above copyright notice this list of conditions and the following disclaimer <<opt>>2<</opt>> redistributions in binary form must reproduce the above copyright notice "
+        "this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<opt>><<opt>>3<</opt>> neither the name of <<var 1-12>> "
+        "nor the names of <<var 1-4>> may be used to endorse or promote products derived from this software without specific prior written permission<</opt>> this software is provided by "
+        "<<var 1-12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no "
+        "event shall <<var 1-12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services "
+        "loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising "
+        "in any way out of the use of this software even if advised of the possibility of such damage",
+    ),
+    Template(
+        "zlib-text",
+        "this software is provided as is without any express or implied warranty in no event will the <<var 1-4>> be held liable for any damages arising from the use of this software permission is "
+        "granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions <<opt>>1<</opt>> "
+        "the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product "
+        "documentation would be appreciated but is not required <<opt>>2<</opt>> altered source versions must be plainly marked as such and must not be misrepresented as being the original "
+        "software <<opt>>3<</opt>> this notice may not be removed or altered from any source distribution",
+    ),
+    Template(
+        "unlicense-text",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a "
+        "compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all "
+        "copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this "
+        "dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law " + AS_IS,
+    ),
+    Template(
+        "apache-2.0-notice",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses "
+        "license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind "
+        "either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
+    Template(
+        "gpl-notice",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu <<opt>>lesser<</opt>> general public license as published by the free software foundation "
+        "either version <<var 1-2>> of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the "
+        "implied warranty of merchantability or fitness for a particular purpose see the gnu <<opt>>lesser<</opt>> general public license for more details <<opt>>you should have received a copy of "
+        "the gnu <<opt>>lesser<</opt>> general public license along with this program if not see <<opt>>https<</opt>> <<opt>>http<</opt>> www gnu org licenses<</opt>>",
+    ),
+)
+
 TEMPLATES = (
+    *WHOLE,
     Template("cc-by", "cc by", True),
     Template("gpl", "general public license", True),
     Template("reserved", "all rights reserved", True),

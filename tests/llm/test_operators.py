@@ -421,6 +421,48 @@ def test_license_labels_by_case(spark):
     assert {r.doc_id: (r.labels, round(r.score, 9)) for r in got} == {k: (labels, round(score, 9)) for k, (_, labels, score) in enumerate(LICENSED)}
 
 
+MIT = """Copyright (c) 2021 Ann Example
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+{holders} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+
+
+def test_whole_licenses(spark):
+    """Every template against a text made of it, with and without what is optional, and with one mandatory word changed."""
+    texts = [(0, MIT.format(holders="AUTHORS OR COPYRIGHT HOLDERS")), (1, MIT.format(holders="X").replace("(the \"Software\")", "")), (2, MIT.format(holders="X").replace("merge", "join"))]
+    want = {0: True, 1: True, 2: False}
+    for k, t in enumerate(licenses.WHOLE):
+        bare = re.sub(r"<<var (\d+)-(\d+)>>", lambda m: "any " * int(m[2]), t.markup)
+        full = re.sub(r"<<.*?>>", " ", bare)
+        least = bare
+        while "<<opt>>" in least:
+            least = re.sub(r"<<opt>>((?!<<opt>>).)*?<</opt>>", " ", least)
+        words = full.split()
+        wrong = " ".join([*words[:40], "else", *words[41:]])
+        for n, (text, found) in enumerate(((full, True), (f"before. {least.upper()}!", True), (wrong, False))):
+            texts.append((10 * (k + 1) + n, text))
+            want[10 * (k + 1) + n] = found
+    label = lambda i: "mit-text" if i < 3 else licenses.WHOLE[i // 10 - 1].label
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert {i: label(i) in r.labels.split(",") for i, r in got.items()} == want
+    assert got[0].score > 0.95 and got[10].score == 1.0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_against_sql(spark, name):
     import duckdb
