@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import split_join, staged
+from ..staging import bucketed, split_join, staged
 
 
 def neighbourhood(seeds: DataFrame, engrams: DataFrame, edges: DataFrame, hops: int = 2, predicate: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -28,28 +28,34 @@ def neighbourhood(seeds: DataFrame, engrams: DataFrame, edges: DataFrame, hops:
     return nodes, (empty if found is None else found.distinct())
 
 
-def page_rank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, variant: str = "standard", every: int = 5) -> DataFrame:
+def page_rank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, variant: str = "standard", every: int = 5, degree_a_part: int = 50_000) -> DataFrame:
     """(node, rank) over undirected edges (source, target, confidence); only ends of edges are nodes.
 
     'standard': shares by confidence, what dangling nodes hold is spread evenly, and the greatest rank is 1.
     'plain': a neighbour passes rank / degree times confidence, nothing is spread, no scaling. A loop counts at
-    both its ends. Each round is one join on the edges and one aggregation; ``every`` rounds the plan is cut."""
+    both its ends. The edges are stored once, in buckets by their end and by part, of which a node has one for each
+    ``degree_a_part`` of its edges, so that no bucket is one hot node's; a round moves the ranks to them, a row for each node and
+    part, and sums what arrives. ``every`` rounds the plan is cut."""
     both = edges.select(F.col("source").alias("u"), F.col("target").alias("v"), "confidence").unionByName(edges.select(F.col("target").alias("u"), F.col("source").alias("v"), "confidence"))
     out = both.groupBy("u").agg(F.sum("confidence").alias("weight"), F.count(F.lit(1)).alias("degree"))
+    out = staged(out.withColumn("parts", F.ceil(F.col("degree") / degree_a_part).cast("int")), "degrees")
     share = F.col("confidence") / F.col("weight") if variant == "standard" else F.col("confidence") / F.col("degree")
-    moves = staged(both.join(out, "u").where("weight > 0").groupBy("u", "v").agg(F.sum(share).alias("share")), "moves")
-    nodes = staged(out.select(F.col("u").alias("node"), (F.col("weight") <= 0).alias("dangling")), "nodes")
+    part = F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part")
+    moves = split_join(both, out, ["u"]).where("weight > 0").groupBy("u", part, "v").agg(F.sum(share).alias("share"))
+    nodes = staged(out.select(F.col("u").alias("node"), "parts", (F.col("weight") <= 0).alias("dangling")), "nodes")
     n = nodes.count()
     rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for k in range(1, rounds + 1):
-        got = split_join(moves, rank.select(F.col("node").alias("u"), "rank"), ["u"]).groupBy("v").agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
-        nxt = nodes.join(got, nodes["node"] == got["v"], "left")
-        value = (1 - damping) / max(n, 1) + damping * F.coalesce("in", F.lit(0.0))
-        if variant == "standard":
-            lost = rank.agg((F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)) / max(n, 1)).alias("lost"))
-            nxt, value = nxt.join(F.broadcast(lost)), value + damping * F.col("lost")  # one row
-        rank = nxt.select("node", "dangling", value.alias("rank"))
-        rank = staged(rank, "rank") if k % every == 0 or k == rounds else rank
+    with bucketed(moves, ["u", "part"], "moves") as stored:
+        for k in range(1, rounds + 1):
+            sent = rank.select(F.col("node").alias("u"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "rank")
+            got = stored.join(sent, ["u", "part"]).groupBy("v").agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
+            nxt = nodes.join(got, nodes["node"] == got["v"], "left")
+            value = (1 - damping) / max(n, 1) + damping * F.coalesce("in", F.lit(0.0))
+            if variant == "standard":
+                lost = rank.agg((F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)) / max(n, 1)).alias("lost"))
+                nxt, value = nxt.join(F.broadcast(lost)), value + damping * F.col("lost")  # one row
+            rank = nxt.select("node", "parts", "dangling", value.alias("rank"))
+            rank = staged(rank, "rank") if k % every == 0 or k == rounds else rank
     if variant != "standard":
         return rank.select("node", "rank")
     top = rank.agg(F.max("rank").alias("top"))

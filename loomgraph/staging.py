@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def bucketed(df: DataFrame, keys: list[str], name: str, rows: int = 2_000_000) -> Iterator[DataFrame]:
+    """df written once in the shared folder in buckets by keys, about ``rows`` rows each and as many as shuffle partitions at least:
+    joins on the keys exchange the other side only, as often as they are made. The table has a name until the end of the
+    block, so what is read from it must have been used by then."""
+    spark, at = df.sparkSession, staging_path(df.sparkSession, name)
+    df = staged(df, f"{name}-rows")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+    table = "loomgraph_" + uuid.uuid4().hex[:12]
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", at).format("parquet").saveAsTable(table)
+    try:
+        yield spark.table(table)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 #: How often drop_staged has run: what is kept by its staged path holds for one count.
 DROPS = [0]
 
