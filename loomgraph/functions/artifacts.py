@@ -237,6 +237,11 @@ def anchors(line: Column, most: int = 2) -> Column:
     return F.transform(F.slice(F.sort_array(F.transform(telling, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, most), lambda r: r["w"])
 
 
+#: What may be wrong with a polished block, in the order of the tests; fixed values.
+EMPTY, OVER_CAP, LOST_SPAN, LOST_LINE = "empty_polished_block", "polished_block_over_cap", "missing_quote_span", "missing_quote_line"
+LOST_NUMBER, NEW_NUMBER, OFF_TOPIC, HEADED = "missing_numeric_token", "added_numeric_token", "missing_topic_anchor", "unexpected_heading"
+
+
 def polish_fault(block: Column, topic: Column, quote: Column, numeric: Column, support: Column, level: str) -> Column:
     """Why a polished block can't stand for the lines it was made of; null if it can."""
     b = F.trim(block)
@@ -244,17 +249,17 @@ def polish_fault(block: Column, topic: Column, quote: Column, numeric: Column, s
     spans = lambda q: F.filter(F.transform(F.concat(*[F.regexp_extract_all(q, F.lit(QUOTED), F.lit(g)) for g in (1, 2, 3, 4)]), lambda x: F.trim(x)), lambda x: x != "")
     lost_span = F.exists(quote, lambda q: F.exists(spans(q), lambda x: ~F.contains(b, x)))
     lost_line = F.exists(quote, lambda q: (F.size(spans(q)) == 0) & ~F.contains(b, q))
-    first_lost = F.get(F.filter(F.transform(quote, lambda q: F.when(F.exists(spans(q), lambda x: ~F.contains(b, x)), "missing_quote_span").when((F.size(spans(q)) == 0) & ~F.contains(b, q), "missing_quote_line")), lambda x: x.isNotNull()), F.lit(0))
+    first_lost = F.get(F.filter(F.transform(quote, lambda q: F.when(F.exists(spans(q), lambda x: ~F.contains(b, x)), LOST_SPAN).when((F.size(spans(q)) == 0) & ~F.contains(b, q), LOST_LINE)), lambda x: x.isNotNull()), F.lit(0))
     wanted, has = numeric_tokens(F.array_join(F.concat(quote, numeric), "\n")), numeric_tokens(b)
     off_topic = F.exists(F.concat(topic, support), lambda x: let(anchors(x), lambda a: (F.size(a) > 0) & ~F.exists(a, lambda w: F.contains(low, w))))
     return (
-        F.when(F.coalesce(b, F.lit("")) == "", "empty_polished_block")
-        .when(X.estimate_tokens(b) > STRATEGIES[level]["polish"], "polished_block_over_cap")
+        F.when(F.coalesce(b, F.lit("")) == "", EMPTY)
+        .when(X.estimate_tokens(b) > STRATEGIES[level]["polish"], OVER_CAP)
         .when(lost_span | lost_line, first_lost)
-        .when(F.size(F.array_except(wanted, has)) > 0, "missing_numeric_token")
-        .when(F.size(F.array_except(has, wanted)) > 0, "added_numeric_token")
-        .when(off_topic, "missing_topic_anchor")
-        .when(b.rlike(r"^#{1,6}\s+"), "unexpected_heading")
+        .when(F.size(F.array_except(wanted, has)) > 0, LOST_NUMBER)
+        .when(F.size(F.array_except(has, wanted)) > 0, NEW_NUMBER)
+        .when(off_topic, OFF_TOPIC)
+        .when(b.rlike(r"^#{1,6}\s+"), HEADED)
     )
 
 

@@ -137,13 +137,39 @@ def titled(spark, d, level=LEVEL):
     return artifacts(spark, d, level).withColumn("title", A.document_title(F.col("artifacts"), F.array(F.lit("abc"), F.lit("An entity"))))
 
 
-@query("txt24_artifacts")
+OF_CHUNKS = lambda sql: sql.replace("FROM documents", "FROM ch")
+CAPS = "CASE kind " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in zip(A.KINDS, A.STRATEGIES[LEVEL]["caps"])) + " END"
+RANK = "CASE kind " + " ".join(f"WHEN '{k}' THEN {n}" for n, k in enumerate(A.KINDS)) + " END"
+CLASSED = lambda lines: f"SELECT doc_id, kind, x, place FROM (SELECT doc_id, kind, x, place, row_number() OVER (PARTITION BY doc_id, kind ORDER BY place) AS n FROM (SELECT doc_id, CASE WHEN top THEN 'title' ELSE kind END AS kind, x, place FROM {CLASSES.replace(FIRSTS, lines)})) WHERE n <= {CAPS}"
+LINE_KEY = r"trim(regexp_replace(regexp_replace(trim(x), '^(?:#{1,6}\s+|[-*+]\s+)', ''), '\s+', ' ', 'g'))"
+#: Each chunk as a document of its own, classified; lacking quotes or numbers, what those lines and three more give stands in
+#: for the kinds that are empty.
+ARTIFACTS = f"""WITH ch AS MATERIALIZED (SELECT doc_id * 100000 + place AS doc_id, chunk AS text FROM ({chunk_sql(1500, 100)})),
+    f1 AS MATERIALIZED (FROM {OF_CHUNKS(FIRSTS)}), a AS MATERIALIZED ({CLASSED('f1')}),
+    kept AS (SELECT doc_id, x, n FROM (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY q DESC, place) AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY q DESC, place) AS rn FROM (SELECT *, {QUOTE} AS q FROM {OF_CHUNKS(PIECES)}
+      WHERE length(x) <= 240 AND NOT {HEADING} AND NOT {CAPTION}) WHERE q OR {KEPT} >= 2) WHERE rn = 1 AND k <> '') WHERE n <= 3),
+    pooled AS (SELECT doc_id, x, {LINE_KEY} AS k, o FROM (SELECT doc_id, x, {RANK} * 1000000 + place AS o FROM a UNION ALL SELECT doc_id, x, 100000000 + n FROM kept)),
+    f2 AS MATERIALIZED (SELECT doc_id, x, k, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY o) AS rn FROM pooled) WHERE rn = 1 AND k <> ''),
+    b AS MATERIALIZED ({CLASSED('f2')}), whole AS (SELECT doc_id FROM a WHERE kind IN ('quote', 'numeric') GROUP BY 1 HAVING count(DISTINCT kind) = 2),
+    art AS MATERIALIZED (SELECT * FROM a UNION ALL SELECT b.* FROM b WHERE doc_id NOT IN (FROM whole) AND NOT EXISTS (SELECT 1 FROM a WHERE a.doc_id = b.doc_id AND a.kind = b.kind))"""
+
+
+@query("txt24_artifacts", f"""{ARTIFACTS} SELECT CAST(floor(ch.doc_id / 100000) AS BIGINT) AS doc_id, CAST(ch.doc_id % 100000 AS INT) AS chunk, """
+    + ", ".join(f"coalesce(string_agg(x, chr(10) ORDER BY place) FILTER (kind = '{k}'), '') AS {k}" for k in A.KINDS) + " FROM ch LEFT JOIN art ON art.doc_id = ch.doc_id GROUP BY ch.doc_id")
 def txt24(spark, d):
     rows = artifacts(spark, d).select("doc_id", F.posexplode("artifacts").alias("chunk", "a"))
     return rows.select("doc_id", "chunk", *[F.array_join(F.col("a")[k], "\n").alias(k) for k in A.KINDS])
 
 
-@query("txt25_titles")
+NOISE = "(trim(x) = '' OR " + AFFILIATION + " OR " + " OR ".join(f"starts_with(lower(trim(x)), '{m}')" for m in A.FRONTMATTER) + r" OR (starts_with(lower(trim(x)), 'doi:') AND len(regexp_split_to_array(trim(x), '\s+')) <= 6))"
+BARE_LINE = r"trim(regexp_replace(x, '^(?:#{1,6}\s+|[-*+]\s+|\d+\.\s+)', ''))"
+
+
+@query("txt25_titles", f"""{ARTIFACTS}, l AS (SELECT CAST(floor(doc_id / 100000) AS BIGINT) AS d, kind, x, (doc_id % 100000) * 100000000 + {RANK} * 1000000 + place AS o FROM art WHERE NOT {NOISE}),
+    t AS (SELECT d, x, o, kind = 'title' AS head, bool_or(kind = 'title') OVER (PARTITION BY d) AS has FROM l),
+    g AS (SELECT d, c, o, h FROM (SELECT d, o, x, {BARE_LINE} AS c, {HEADING} AS h FROM t WHERE head OR NOT has) WHERE c <> '' AND NOT regexp_matches(c, '(?i)^(?:\d|figure\b|table\b|doi:)') AND NOT {AFFILIATION.replace('(x)', '(c)')}),
+    f AS (SELECT d, arg_min(c, o) AS c, bool_or(h) AS h FROM g GROUP BY 1)
+    SELECT doc_id, CASE WHEN coalesce(h, false) THEN CASE WHEN length(c) > 120 THEN rtrim(substring(c, 1, 117)) || '...' ELSE c END ELSE 'An entity' END AS title FROM documents LEFT JOIN f ON f.d = doc_id WHERE text IS NOT NULL""")
 def txt25(spark, d):
     return titled(spark, d).select("doc_id", "title")
 

@@ -153,6 +153,10 @@ CLOSED = "[.!?][\"”’)\\]]?$"
 BACKMATTER = r"(?i)^(?:references|bibliography|appendix(?:\b|[\s:.-])|appendices(?:\b|[\s:.-])|acknowledg(?:e)?ments?)"
 
 
+#: From so many paragraphs on a text may have matter at its back, beyond so many and so large a part; fixed values.
+MANY_BLOCKS, FRONT_BLOCKS, FRONT_PART = 24, 8, 0.35
+
+
 def page_texts(pages: DataFrame) -> DataFrame:
     """PDF pages (id, pages array<string>) to (id, text).
 
@@ -184,9 +188,9 @@ def page_texts(pages: DataFrame) -> DataFrame:
 
     flowed = both.select("id", "page", F.aggregate(kept, F.array().cast("array<string>"), flow).alias("blocks"))
     joined = flowed.groupBy("id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("page", "blocks"))), lambda r: r["blocks"])).alias("blocks"))
-    floor = F.greatest(F.lit(8), F.floor(F.size("blocks") * 0.35).cast("int"))
+    floor = F.greatest(F.lit(FRONT_BLOCKS), F.floor(F.size("blocks") * FRONT_PART).cast("int"))
     ends = F.array_min(F.filter(F.transform("blocks", lambda x, i: F.when((i >= floor) & x.rlike(BACKMATTER), i)), lambda i: i.isNotNull()))
-    size = F.when(F.size("blocks") >= 24, F.coalesce(ends, F.size("blocks"))).otherwise(F.size("blocks"))
+    size = F.when(F.size("blocks") >= MANY_BLOCKS, F.coalesce(ends, F.size("blocks"))).otherwise(F.size("blocks"))
     return joined.select("id", F.array_join(F.slice("blocks", F.lit(1), size), "\n\n").alias("text")).where("text <> ''")
 
 
