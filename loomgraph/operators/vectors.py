@@ -34,6 +34,8 @@ PREDICATES = (
 )
 
 
+#: Blocks a side of a cell: blocks meet in cells of so many by so many, so each is shipped once a cell, not once a partner.
+CELL = 8
 #: Vectors in a block: a block pair is one numpy product, of 2048 x 2048 doubles at most (32 MB).
 BLOCK = 2048
 
@@ -61,8 +63,10 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, query_col: str = "cand",
     queries, vectors = queries.where("embedding is not null"), vectors.where("embedding is not null")
     q, n_q = packed(queries, query_col, rows)
     v, n_v = packed(vectors, "id", rows)
-    left = q.select(F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("block"))
-    pairs = left.join(v, "block").select("q_ids", "q_flat", "ids", "flat", "block")
+    cells = lambda n: F.explode(F.sequence(F.lit(0), F.lit((n - 1) // CELL)))
+    left = q.select(F.floor(F.col("block") / CELL).cast("int").alias("row"), cells(n_v).alias("column"), F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
+    right = v.select(F.floor(F.col("block") / CELL).cast("int").alias("column"), cells(n_q).alias("row"), "ids", "flat", "block")
+    pairs = left.join(right, ["row", "column"]).select("q_ids", "q_flat", "ids", "flat", "block")
     kind = lambda df, c: df.schema[c].dataType
     schema = T.StructType([T.StructField(query_col, kind(queries, query_col)), T.StructField("id", kind(vectors, "id")), T.StructField("d2", T.DoubleType()), T.StructField("block", T.IntegerType())])
 
@@ -99,9 +103,11 @@ def find_neighbors(queries: DataFrame, vectors: DataFrame, k: int = 10, least: f
 
 def block_pairs(blocks: DataFrame, n: int) -> DataFrame:
     """blocks (block, ids, flat) with each other: (a_ids, a_flat, ids, flat, same), every unordered pair once."""
-    left = blocks.select("block", F.col("ids").alias("a_ids"), F.col("flat").alias("a_flat")).withColumn("with", F.explode(F.sequence(F.col("block"), F.lit(n - 1))))
-    right = blocks.select(F.col("block").alias("with"), "ids", "flat")
-    return left.join(right, "with").select("a_ids", "a_flat", "ids", "flat", (F.col("block") == F.col("with")).alias("same"))
+    own, last = F.floor(F.col("block") / CELL).cast("int"), F.lit((n - 1) // CELL)
+    left = blocks.select(own.alias("row"), F.explode(F.sequence(own, last)).alias("column"), F.col("block").alias("a"), F.col("ids").alias("a_ids"), F.col("flat").alias("a_flat"))
+    right = blocks.select(own.alias("column"), F.explode(F.sequence(F.lit(0), own)).alias("row"), F.col("block").alias("b"), "ids", "flat")
+    met = left.join(right, ["row", "column"]).where("a <= b")
+    return met.select("a_ids", "a_flat", "ids", "flat", (F.col("a") == F.col("b")).alias("same"))
 
 
 def threshold_pairs(vectors: DataFrame, least: float, rows: int = BLOCK) -> DataFrame:

@@ -48,3 +48,17 @@ def test_bands():
         b, p = K.bands_for(least, recall, width), 1 - math.acos(least) / math.pi
         assert 1 - (1 - p**width) ** b >= recall > 1 - (1 - p**width) ** (b - 1)
     assert K.bands_for(1.0, 0.9, 8) == 1
+
+
+def test_blocks_meet_in_cells(spark, monkeypatch):
+    """More blocks than a cell has: every pair of blocks once, nearest neighbours and pairs as by hand."""
+    rng = np.random.default_rng(9)
+    x = np.array([unit(v) for v in rng.standard_normal((150, 6))])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, embedding array<double>")
+    monkeypatch.setattr(K, "CELL", 2)
+    c = x @ x.T
+    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if c[i, j] >= 0.8}
+    assert sorted((r.a, r.b) for r in K.threshold_pairs(df, 0.8, rows=20).collect()) == sorted(want)
+    queries = df.where("id % 3 = 0").withColumnRenamed("id", "cand")
+    got = {(r.cand, r.id, r["rank"]) for r in K.knn(queries, df, 4, rows=9).collect()}
+    assert got == {(i, int(j), k + 1) for i in range(0, 150, 3) for k, j in enumerate(np.lexsort((np.arange(150), ((x - x[i]) ** 2).sum(1)))[:4])}
