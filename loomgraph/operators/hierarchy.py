@@ -103,6 +103,20 @@ def _closest(points: DataFrame, asked: DataFrame) -> DataFrame:
     return pairs.mapInArrow(compare, schema)
 
 
+def joined_roots(best: DataFrame) -> DataFrame:
+    """(node, root) of components that join along each one's least edge (comp, other). Least edges form trees, in each of which
+    one edge is both its ends': the lesser of them is the root. Pointers double in reach, a join each time."""
+    up = best.select(F.col("comp").alias("node"), F.col("other").alias("to"))
+    back = up.select(F.col("node").alias("to"), F.col("to").alias("again"))
+    at = staged(up.join(back, "to").select("node", F.when((F.col("again") == F.col("node")) & (F.col("node") < F.col("to")), F.col("node")).otherwise(F.col("to")).alias("to")), "pointers")
+    while True:
+        further = at.join(at.select(F.col("node").alias("to"), F.col("to").alias("root")), "to").select("node", "to", "root")
+        further = staged(further, "pointers")
+        if further.where("to <> root").isEmpty():
+            return further.select("node", "root")
+        at = further.select("node", F.col("root").alias("to"))
+
+
 def spanning_tree(points: DataFrame, neighbours: int = 5, rows: int = BLOCK, listed: int = 16) -> DataFrame:
     """(w, lo, hi): the edges of the least spanning tree of points (id, x, y, z) by mutual reachability, n - 1 of them."""
     known, lists = nearest_lists(staged(points.select("id", *[F.col(c).cast("double").alias(c) for c in "xyz"]), "points"), neighbours, max(listed, neighbours + 1))
@@ -124,8 +138,7 @@ def spanning_tree(points: DataFrame, neighbours: int = 5, rows: int = BLOCK, lis
             return points.select(F.lit(0.0).alias("w"), F.col("id").alias("lo"), F.col("id").alias("hi")).limit(0) if tree is None else tree
         added = best.select("w", "lo", "hi").distinct()
         tree = staged(added if tree is None else tree.unionByName(added), "tree")
-        roots = components(best.select(F.col("comp").alias("u"), F.col("other").alias("v")))
-        comps = staged(comps.join(roots.withColumnRenamed("node", "comp"), "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")), "comps")
+        comps = staged(comps.join(joined_roots(best).withColumnRenamed("node", "comp"), "comp").select("id", F.col("root").alias("comp")), "comps")
         left = left.select("w", "lo", "hi")
 
 
