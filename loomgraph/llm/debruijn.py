@@ -138,6 +138,28 @@ def pieces(docs: DataFrame, row: str, k: int, gram: int) -> DataFrame:
     return docs.select(row, "id", "text").mapInArrow(run, schema)
 
 
+def packed(docs: DataFrame, row: str) -> DataFrame:
+    """docs (row, id, text) as (row, id, packed): texts as zstandard frames, which are a good deal smaller to shuffle."""
+    schema = T.StructType([docs.schema[row], docs.schema["id"], T.StructField("packed", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        small = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            frames = [small.compress(t.as_py() or b"") for t in b.column(2).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(frames, pa.binary())], names=schema.names)
+
+    return docs.select(row, "id", "text").mapInArrow(run, schema)
+
+
+def unpacked(frames: pa.Array) -> Iterator[bytes]:
+    import zstandard
+
+    whole = zstandard.ZstdDecompressor()
+    return (whole.decompress(f.as_py()) for f in frames)
+
+
 def ambiguous_edges(docs: DataFrame, asked: DataFrame, row: str, k: int) -> DataFrame:
     """(edge, piece, j, lo, hi, before, after) of the windows of the pieces in asked (row, piece, lo, hi, start, windows): the
     words at their source coordinates are read again. before and after are hashes of the words beside a window, null at an end."""
@@ -154,8 +176,8 @@ def ambiguous_edges(docs: DataFrame, asked: DataFrame, row: str, k: int) -> Data
             flat, cut = listed.flatten(), listed.offsets.to_numpy()
             names, starts, sizes = flat.field("piece").to_pylist(), flat.field("start").to_pylist(), flat.field("windows").to_pylist()
             out: tuple[list, ...] = ([], [], [], [], [])
-            for i, t in enumerate(b.column(0).cast(pa.binary())):
-                words = t.as_py().split()
+            for i, t in enumerate(unpacked(b.column(0))):
+                words = t.split()
                 ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1).tolist()
                 joined = b" ".join(words)
                 for p in range(cut[i] - cut[0], cut[i + 1] - cut[0]):
@@ -172,7 +194,7 @@ def ambiguous_edges(docs: DataFrame, asked: DataFrame, row: str, k: int) -> Data
                     yield pa.RecordBatch.from_arrays(columns, names=schema.names)
                     out = ([], [], [], [], [])
 
-    return docs.join(struct.hint("shuffle_hash"), row).select("text", "asked").mapInArrow(run, schema)
+    return packed(docs, row).join(struct.hint("shuffle_hash"), row).select("packed", "asked").mapInArrow(run, schema)
 
 
 def compacted(edges: DataFrame) -> DataFrame:
@@ -232,8 +254,8 @@ def without_repeats(docs: DataFrame, k: int = 50, gram: int = 16, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [])
-            for t, spans in zip(b.column(1).cast(pa.binary()), b.column(2)):
-                words, gone = t.as_py().split(), 0
+            for t, spans in zip(unpacked(b.column(1)), b.column(2)):
+                words, gone = t.split(), 0
                 if spans.is_valid:
                     start, windows = (spans.values.field(c).to_numpy() for c in ("start", "windows"))
                     edge = np.zeros(len(words) + 1, np.int64)
@@ -249,5 +271,5 @@ def without_repeats(docs: DataFrame, k: int = 50, gram: int = 16, id_col: str =
             columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns, *([pa.array(out[3], pa.binary()).cast(pa.string())] if with_text else [])], names=schema.names)
 
-    both = docs.join(spans.hint("shuffle_hash"), row, "left")
-    return both.select(F.col("id.id"), "text", "spans").mapInArrow(run, schema)
+    both = packed(docs, row).join(spans.hint("shuffle_hash"), row, "left")
+    return both.select(F.col("id.id"), "packed", "spans").mapInArrow(run, schema)
