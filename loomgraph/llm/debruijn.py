@@ -212,13 +212,12 @@ def compacted(edges: DataFrame) -> DataFrame:
 
 
 def repeated_paths(docs: DataFrame, found: DataFrame, row: str, k: int) -> DataFrame:
-    """(piece, paths) of the pieces (row, id, least, piece, start, windows) that stand, in whole or in part, in an earlier document
-    than some document that has them."""
+    """(piece, paths) of the pieces (row, id, least, piece, start, windows), of minimizers that several documents have, that stand, in
+    whole or in part, in an earlier document than some document that has them."""
     at = F.min(F.struct(row, "start")).alias("at")
-    groups = found.groupBy("least", "piece").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), at, F.first("windows").alias("windows"))
-    groups = staged(groups, "piece-groups")
-    met = groups.groupBy("least").agg(F.min("lo").alias("first"), F.max("hi").alias("last"), F.count(F.lit(1)).alias("kinds")).where("first < last")
-    groups = staged(split_join(groups, met.select("least", "kinds"), ["least"]), "repeated-pieces")
+    groups = staged(found.groupBy("least", "piece").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), at, F.first("windows").alias("windows")), "piece-groups")
+    kinds = groups.groupBy("least").agg(F.count(F.lit(1)).alias("kinds"))
+    groups = staged(split_join(groups, kinds, ["least"]), "repeated-pieces")
     whole = groups.where("kinds = 1").select("piece", F.array(F.struct(F.lit(0).cast("long").alias("first"), "windows", F.col("lo").alias("source"))).alias("paths"))
     asked = groups.where("kinds > 1").select(F.col("at")[row].alias(row), "piece", "lo", "hi", F.col("at")["start"].alias("start"), "windows")
     edges = staged(ambiguous_edges(docs, asked, row, k), "edges")
@@ -230,7 +229,10 @@ def repeated_spans(docs: DataFrame, row: str, k: int = 50, gram: int = 16) -> Da
     the least of them, as runs."""
     if not 1 <= gram <= k:
         raise ValueError("gram must be 1 to k")
-    found = staged(pieces(docs, row, k, gram), "pieces")
+    every = staged(pieces(docs, row, k, gram), "pieces")
+    kept = F.min("id.id").alias("lo"), F.max("id.id").alias("hi"), F.max("id.none").alias("none")
+    met = every.groupBy("least").agg(*kept).where("lo is not null and (lo < hi or none)")  # most minimizers are one document's
+    found = staged(split_join(every, met.select("least"), ["least"], "left_semi"), "shared-pieces")
     paths = repeated_paths(docs, found, row, k)
     spans = split_join(found.select(row, "id", "piece", "start"), paths, ["piece"]).select(row, "id", "start", F.explode("paths").alias("path"))
     return spans.where("path.source < id").select(row, (F.col("start") + F.col("path.first")).alias("start"), F.col("path.windows").alias("windows"), F.col("path.source").alias("source"))
