@@ -165,7 +165,7 @@ NOISE = "(trim(x) = '' OR " + AFFILIATION + " OR " + " OR ".join(f"starts_with(l
 BARE_LINE = r"trim(regexp_replace(x, '^(?:#{1,6}\s+|[-*+]\s+|\d+\.\s+)', ''))"
 
 
-@query("txt25_titles", f"""{ARTIFACTS}, l AS (SELECT CAST(floor(doc_id / 100000) AS BIGINT) AS d, kind, x, (doc_id % 100000) * 100000000 + {RANK} * 1000000 + place AS o FROM art WHERE NOT {NOISE}),
+@query("txt25_titles", rf"""{ARTIFACTS}, l AS (SELECT CAST(floor(doc_id / 100000) AS BIGINT) AS d, kind, x, (doc_id % 100000) * 100000000 + {RANK} * 1000000 + place AS o FROM art WHERE NOT {NOISE}),
     t AS (SELECT d, x, o, kind = 'title' AS head, bool_or(kind = 'title') OVER (PARTITION BY d) AS has FROM l),
     g AS (SELECT d, c, o, h FROM (SELECT d, o, x, {BARE_LINE} AS c, {HEADING} AS h FROM t WHERE head OR NOT has) WHERE c <> '' AND NOT regexp_matches(c, '(?i)^(?:\d|figure\b|table\b|doi:)') AND NOT {AFFILIATION.replace('(x)', '(c)')}),
     f AS (SELECT d, arg_min(c, o) AS c, bool_or(h) AS h FROM g GROUP BY 1)

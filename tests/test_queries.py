@@ -14,7 +14,8 @@ NAMES = """lst1_recent_documents lst5_related_documents lst15_companion fts0_san
 knw1g_edge_hits knn1_find_neighbors knn2_threshold_pairs lnk1_propose_edges heat1_scores heat1g_scores_created gph2_article_edges lnt2_contradictions lnt3_missing_links gap1_gaps viz2_cluster_colors
 als2_index_aliases er1_match fam1_merge_families fam4_rewrite_edges mut1_insert_feed_items mut3_upsert_edges mut5_edited_documents mut7_delete_documents_orphans mut12_revise txt6_token_estimate
 txt7_distinct_lines txt8_line_classes txt12_classified_lines txt21_payload txt28_grounded_merge evl5_novel_ratio evl7_surface evl8_case_scores evl21_policy_cases evl9_run_summary str1_polled_items str4_quarantine
-fts1_phrase_search clu1_density_clusters er2_get_or_create bfs1_edges pr1_page_rank pip8_processed src6_feed_items src13_articles emb3_json_object str2_first_seen str5_latest_revision str7_tumbling_counts str7_session_counts""".split()
+fts1_phrase_search clu1_density_clusters er2_get_or_create bfs1_edges pr1_page_rank pip8_processed src6_feed_items src13_articles emb3_json_object str2_first_seen str5_latest_revision str7_tumbling_counts str7_session_counts
+src2_files emb1_mock_vectors fts1_updated_index txt24_artifacts txt25_titles str3_triaged_after_poll str5_streamed_revisions str7_streamed_sessions""".split()
 
 
 def plain(v):
