@@ -36,6 +36,7 @@ def page_rank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, variant
     both its ends. The edges are stored once, in buckets by their end and by part, of which a node has one for each
     ``degree_a_part`` of its edges, so that no bucket is one hot node's; a round moves the ranks to them, a row for each node and
     part, and sums what arrives. ``every`` rounds the plan is cut."""
+    edges = staged(edges.select("source", "target", "confidence"), "rank-edges")  # read four times
     both = edges.select(F.col("source").alias("u"), F.col("target").alias("v"), "confidence").unionByName(edges.select(F.col("target").alias("u"), F.col("source").alias("v"), "confidence"))
     out = both.groupBy("u").agg(F.sum("confidence").alias("weight"), F.count(F.lit(1)).alias("degree"))
     out = staged(out.withColumn("parts", F.ceil(F.col("degree") / degree_a_part).cast("int")), "degrees")
