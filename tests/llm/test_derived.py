@@ -208,3 +208,14 @@ def test_draws_beyond_numpys_limit():
         assert abs(x.mean() - mean) < 5 * (var / 800) ** 0.5 and 0.8 * var < x.var() < 1.25 * var
     q = mixing.shard_quotas([6 * 10**9, 2 * 10**9, 5, 0], 6, 3)
     assert q.sum(axis=0).tolist() == [6 * 10**9, 2 * 10**9, 5, 0] and np.ptp(q.sum(axis=1)) <= 1 and (q >= 0).all()
+
+
+def test_given_verdicts_are_the_contracts(spark):
+    """com/en/ blocks, example.com/en/7 allows, net/de/ allows, example.net/de/8 blocks, org/es/ blocks; the longest that fits wins."""
+    want = {
+        "http://a.com/en/x": ("com/en/", "block"), "http://www.Example.com/en/71": ("example.com/en/7", "allow"), "http://net/de/": ("net/de/", "allow"), "http://a.net/de/8": ("net/de/", "allow"),
+        "http://example.net/de/7": ("net/de/", "allow"), "http://example.net/de/8": ("example.net/de/8", "block"), "x://www.example.net/de/80?q": ("example.net/de/8", "block"), "http://a.org/es/": ("org/es/", "block"),
+    }
+    pages = spark.createDataFrame(list(enumerate(want)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.url_verdicts(pages).collect()}
+    assert got == dict(enumerate(want.values()))
