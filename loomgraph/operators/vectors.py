@@ -259,63 +259,90 @@ def bands_for(least: float, recall: float, width: int) -> int:
     return 1 if band >= 1 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - band)))
 
 
+#: What moving a vector costs, counted in comparisons of two vectors: a fixed value, by which the width of bands is chosen.
+MOVE = 5000
+
+
+def band_width(n: int, least: float, recall: float, tile: int) -> int:
+    """The width whose bands cost least over n vectors. Wide bands leave few strangers to compare, but at a low cosine need very
+    many bands, each of which moves every vector: into its tile, and from there once a cell of its bucket."""
+
+    def cost(width: int) -> float:
+        bucket = n / 2**width
+        return bands_for(least, recall, width) * (MOVE * (2 + bucket / (tile * CELL)) + bucket)
+
+    return min(range(4, max(4, min(32, math.ceil(math.log2(max(n, 2) / 64)))) + 1), key=cost)
+
+
 def sketches(vectors: DataFrame, width: int, bands: int, seed: int) -> DataFrame:
-    """(id, keys array<long>): for each band the signs of ``width`` seeded projections as a number."""
-    schema = T.StructType([vectors.schema["id"], T.StructField("keys", T.ArrayType(T.LongType()))])
+    """(id, embedding, keys array<long>, signs): for each band the signs of ``width`` seeded projections as a number, and all signs
+    as bits."""
+    schema = T.StructType([*vectors.schema.fields, T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("signs", T.BinaryType())])
     place = (1 << np.arange(width, dtype=np.int64)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = None
         for b in batches:
             if b.num_rows:
-                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
                 if planes is None:
                     planes = np.random.default_rng(seed).standard_normal((x.shape[1], bands * width))
-                keys = ((x @ planes) > 0).reshape(len(x), bands, width).astype(np.int64) @ place
+                signs = (x @ planes) > 0
+                keys = signs.reshape(len(x), bands, width).astype(np.int64) @ place
                 at = pa.array(np.arange(len(x) + 1) * bands, pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(at, pa.array(keys.ravel()))], names=schema.names)
+                bits = pa.array([r.tobytes() for r in np.packbits(signs, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(at, pa.array(keys.ravel())), bits], names=schema.names)
 
-    return vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, schema)
+    return vectors.mapInArrow(run, schema)
 
 
-def sketch_pairs(vectors: DataFrame, least: float, recall: float = 0.95, width: int | None = None, seed: int = 11, tile: int = 512) -> DataFrame:
+def sketch_pairs(vectors: DataFrame, least: float, recall: float = 0.95, width: int | None = None, seed: int = 11, tile: int = BLOCK) -> DataFrame:
     """(a, b, cosine), a < b: pairs of unit vectors (id, embedding) of cosine ``least`` or more, each found with a probability of
     ``recall`` at least, and none that isn't one. threshold_pairs finds all.
 
-    Vectors whose signs agree in all of a band's projections are compared. Bands are as wide as strangers' chance of meeting
-    needs (about 2 to the width of them in n vectors), and as many as the recall needs. Members of a bucket are dealt into
-    tiles, tiles meet two by two, and a pair is handed on by the first band that both ends share; the product of the
-    two vectors decides."""
+    Vectors whose signs agree in all of a band's projections are compared. Bands are as wide as costs least (band_width), and as
+    many as the recall needs. Members of a bucket are dealt into tiles with their vectors, tiles meet two by two in cells, the
+    product of the two vectors decides there, and a pair is handed on by the first band that both ends share: nothing but pairs
+    that are near leaves a task."""
     vectors = staged(vectors.where("embedding is not null").select("id", "embedding"), "vectors")
     n = vectors.count()
-    width = width or max(4, min(32, math.ceil(math.log2(max(n, 2) / 64)) if n > 64 else 4))
+    width = width or band_width(n, least, recall, tile)
     bands = bands_for(least, recall, width)
     rows = staged(sketches(vectors, width, bands, seed), "sketches")
-    laid = rows.select("id", "keys", F.posexplode("keys").alias("band", "key"))
-    sizes = laid.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    dealt = split_join(laid, sizes, ["band", "key"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    packs = staged(dealt.groupBy("band", "key", "tile", "tiles").agg(F.collect_list(F.struct("id", "keys")).alias("m")), "sketch-tiles")
-    left = packs.select("band", "key", F.col("m").alias("m1"), F.col("tile").alias("own"), F.explode(F.sequence(F.col("tile"), F.col("tiles") - 1)).alias("tile"))
-    met = left.join(packs.select("band", "key", "tile", F.col("m").alias("m2")), ["band", "key", "tile"]).select("band", "m1", "m2", (F.col("own") == F.col("tile")).alias("same"))
+    laid = rows.select("id", F.posexplode("keys").alias("band", "key"))
+    sizes = laid.groupBy("band", "key").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    dealt = split_join(rows.select("id", "embedding", "signs", F.posexplode("keys").alias("band", "key")), sizes, ["band", "key"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    lists = dealt.groupBy("band", "key", "tile", "tiles").agg(F.collect_list(F.struct("id", "embedding", "signs")).alias("m"))
+    packs = staged(lists.select("band", "key", "tile", "tiles", F.col("m.id").alias("ids"), F.flatten("m.embedding").alias("flat"), F.col("m.signs").alias("signs")), "sketch-tiles")
+    own, last = F.floor(F.col("tile") / CELL).cast("int"), F.floor((F.col("tiles") - 1) / CELL).cast("int")
+    side = lambda k: [F.col(c).alias(f"{c}{k}") for c in ("ids", "flat", "signs", "tile")]
+    left = packs.select("band", "key", own.alias("row"), F.explode(F.sequence(own, last)).alias("column"), *side(1))
+    right = packs.select("band", "key", own.alias("column"), F.explode(F.sequence(F.lit(0), own)).alias("row"), *side(2))
+    met = left.join(right, ["band", "key", "row", "column"]).where("tile1 <= tile2").select("band", *(f"{c}{k}" for k in (1, 2) for c in ("ids", "flat", "signs")), (F.col("tile1") == F.col("tile2")).alias("same"))
     kind = vectors.schema["id"].dataType
-    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("cosine", T.DoubleType())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 band, same = batch.column("band")[r].as_py(), batch.column("same")[r].as_py()
-                v1, v2 = batch.column("m1")[r].values, batch.column("m2")[r].values
-                k1, k2 = (v.field("keys").flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)[:, :band] for v in (v1, v2))
-                new = np.ones((len(v1), len(v2)), bool)
-                for t in range(band):  # another band has handed it on
-                    new &= k1[:, t, None] != k2[None, :, t]
-                i, j = np.nonzero(new)
-                one, two = v1.field("id").to_numpy(zero_copy_only=False)[i], v2.field("id").to_numpy(zero_copy_only=False)[j]
-                good = one < two if same else one != two
-                lo, hi = np.where(one < two, one, two)[good], np.where(one < two, two, one)[good]
-                yield pa.RecordBatch.from_arrays([pa.array(lo, v1.field("id").type), pa.array(hi, v1.field("id").type)], names=schema.names)
-
-    pairs = met.mapInArrow(compare, schema)
-    side = lambda c: vectors.select(F.col("id").alias(c), F.col("embedding").cast("array<double>").alias(f"v_{c}"))
-    cosine = F.aggregate(F.zip_with("v_a", "v_b", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    return split_join(split_join(pairs, side("a"), ["a"]), side("b"), ["b"]).select("a", "b", cosine.alias("cosine")).where(F.col("cosine") >= least)
+                (ai, x), (bi, y) = matrix(batch, r, "ids1", "flat1"), matrix(batch, r, "ids2", "flat2")
+                x, y = x.astype(np.float64), y.astype(np.float64)
+                one, two = ai.to_numpy(zero_copy_only=False), bi.to_numpy(zero_copy_only=False)
+                bits = [np.frombuffer(b"".join(batch.column(c)[r].as_py()), np.uint8).reshape(len(v), -1) for c, v in (("signs1", x), ("signs2", y))]
+                g, h = (np.unpackbits(s, axis=1, count=bands * width).reshape(len(s), bands, width)[:, :band] for s in bits)
+                for at in range(0, len(x), 64):  # a stripe at a time: in a tile of copies every pair is near
+                    i, j = np.nonzero(x[at : at + 64] @ y.T >= least - 1e-9)
+                    i += at
+                    good = one[i] < two[j] if same else one[i] != two[j]
+                    i, j = i[good], j[good]
+                    c = (x[i] * y[j]).sum(1)
+                    i, j, c = i[c >= least], j[c >= least], c[c >= least]
+                    for t in range(band):  # another band has handed it on
+                        new = (g[i, t] != h[j, t]).any(1)
+                        i, j, c = i[new], j[new], c[new]
+                    a, z = np.minimum(one[i], two[j]), np.maximum(one[i], two[j])
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(a, ai.type), pa.array(z, bi.type), pa.array(c)], names=schema.names)
+
+    return met.mapInArrow(compare, schema)

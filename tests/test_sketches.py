@@ -62,3 +62,17 @@ def test_blocks_meet_in_cells(spark, monkeypatch):
     queries = df.where("id % 3 = 0").withColumnRenamed("id", "cand")
     got = {(r.cand, r.id, r["rank"]) for r in K.knn(queries, df, 4, rows=9).collect()}
     assert got == {(i, int(j), k + 1) for i in range(0, 150, 3) for k, j in enumerate(np.lexsort((np.arange(150), ((x - x[i]) ** 2).sum(1)))[:4])}
+
+
+def test_a_low_threshold_needs_few_bands(spark):
+    """At cosine 0.3 in 100,000 vectors, bands of 11 signs would be some 870 and move each vector as often."""
+    n = 100_000
+    width = K.band_width(n, 0.3, 0.95, K.BLOCK)
+    assert K.bands_for(0.3, 0.95, width) <= 40 < 500 < K.bands_for(0.3, 0.95, math.ceil(math.log2(n / 64)))
+    assert K.band_width(10_000_000, 0.95, 0.95, K.BLOCK) > 8
+    rng = np.random.default_rng(2)
+    rows = [(k, unit(v)) for k, v in enumerate(rng.standard_normal((400, 32)))] + [(1000 + k, unit(np.ones(32))) for k in range(30)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
+    exact = {(r.a, r.b) for r in K.threshold_pairs(df, 0.3).collect()}
+    got = [(r.a, r.b) for r in K.sketch_pairs(df, 0.3, tile=9).collect()]
+    assert len(got) == len(set(got)) and set(got) <= exact and len(got) >= 0.95 * len(exact)
