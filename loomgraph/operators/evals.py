@@ -208,7 +208,7 @@ def validate(cases: DataFrame) -> DataFrame:
         must("entity_guardrails", "accuracy", F.col("entities") >= F.col("least_entities")),
         ("locale_consistency", "locale", locale_points, locale_passed, ~locale_passed),
         must("mixed_language", "locale", ~mixed | none_missing(latin(F.col("must")))),
-        must("numbers_kept", "accuracy", none_missing(F.array_distinct(F.concat(numbers(s), X.acronyms(s))))),
+        must("numbers_kept", "accuracy", none_missing(F.array_distinct(F.concat(numbers(s), X.ascii_acronyms(s))))),
         must("numbers_added", "hallucination", F.size(F.array_except(numbers(o), numbers(s))) == 0),
         must("quotes_kept", "accuracy", none_missing(quoted(s))),
         (
