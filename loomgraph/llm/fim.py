@@ -7,16 +7,21 @@ the text there.
 It is done twice, so that few rows stand for a text: first with blocks of ``block`` units as matches, whose offsets lead a
 request to the block it falls into (its ordinal divided by the block's size), then with the units of those blocks alone. A
 document of n units is n / block rows and 2 * block more, not n; only rows of numbers and the blocks asked for are shuffled,
-and whole texts once, to be cut.
+and whole texts once, compressed, to be cut.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .common import row_keyed, staged
+from .debruijn import packed, unpacked
 
 #: Letters in a row, or anything else by itself. Matches must cover a text without a gap.
 UNITS = r"[A-Za-z]+|[^A-Za-z]"
@@ -78,6 +83,19 @@ def restored(output: Column, form: Column) -> Column:
     return F.when(form == "psm", psm).when(form == "spm", spm).otherwise(output)
 
 
+def opened(rows: DataFrame) -> DataFrame:
+    """rows with ``packed`` (see debruijn.packed) as its text, in a column text."""
+    others = [c for c in rows.columns if c != "packed"]
+    schema = T.StructType([*(rows.schema[c] for c in others), T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = pa.array(unpacked(b.column(len(others))), pa.binary()).view(pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], names=schema.names)
+
+    return rows.select(*others, "packed").mapInArrow(run, schema)
+
+
 def fill_in_middle(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", units: str = UNITS, plain_share: int = 10, spm_share: int = 20, block: int = 32
 ) -> DataFrame:
@@ -93,7 +111,7 @@ def fill_in_middle(
     requests = todo.select(row, F.posexplode(F.array("first", "second")).alias("cut", "ordinal")).where("ordinal > 0")
     cuts = cut_offsets(asked.where("form <> 'plain' and second > 0"), requests, row, units, block)
     cuts = staged(stated.join(cuts, row, "left").select(row, "n", "form", "first_at", "second_at"), "fim-cuts")
-    both = docs.join(cuts.hint("shuffle_hash"), row)
+    both = opened(packed(docs, row).join(cuts.hint("shuffle_hash"), row).drop(row))
     cut = F.col("form") != "plain"
     a, b = F.coalesce("first_at", F.lit(0)), F.coalesce("second_at", F.lit(0))
     prefix, middle, suffix = F.substr("text", F.lit(1), a), F.substr("text", a + 1, b - a), F.substr("text", b + 1)

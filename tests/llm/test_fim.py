@@ -70,3 +70,14 @@ def test_units_of_another_kind(spark):
     assert {r.n for r in got} == {6} and all(r.form != "plain" for r in got)
     starts = {0, 4, 9, 15, 20, 25, 28}
     assert {r.prefix_chars for r in got} <= starts and {r.prefix_chars + r.middle_chars for r in got} <= starts
+
+
+def test_texts_are_packed_to_be_shuffled(spark):
+    """No exchange of the plan that cuts the texts moves a text as it is; what comes out is the text all the same."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    out = fim.fill_in_middle(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"MapInArrow run\(.*text", plan) and "packed" in plan
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = out.withColumn("back", fim.restored(F.col("output"), F.col("form"))).collect()
+    assert len(got) == len(texts) and all(r.back == texts[r.doc_id] for r in got)
