@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.vectors import l2_squared
@@ -36,32 +41,73 @@ def tokens(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class TextIndex:
-    """A stored inverted index: postings (term, id, tf, places, len) in order of term, and the corpus totals (n, avglen)."""
+    """A stored inverted index: postings (term, id, tf, places, len) in runs by term, and the corpus totals (n, avglen)."""
 
     postings: DataFrame
     totals: DataFrame
 
 
-def posting_rows(docs: DataFrame, columns: tuple[str, ...], id_col: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(id, tokens, len) of documents, and the postings (term, id, tf, places, len) of all columns together."""
-    gap = 1 << 40
-    placed = lambda c, k: F.transform(tokens(F.col(c)), lambda t, i: F.struct(t.alias("term"), (i.cast("long") + k * gap).alias("place")))
-    found = [placed(c, k) for k, c in enumerate(columns)]
-    listed = docs.select(F.col(id_col).alias("id"), F.concat(*found).alias("tokens")).withColumn("len", F.size("tokens").cast("long"))
-    rows = listed.select("id", "len", F.explode("tokens").alias("t")).groupBy(F.col("t.term").alias("term"), "id", "len").agg(F.sort_array(F.collect_list("t.place")).alias("places"))
-    return listed, rows.select("term", "id", F.size("places").cast("long").alias("tf"), "places", "len")
+def posting_rows(docs: DataFrame, columns: tuple[str, ...], id_col: str = "id", most: int = 2_000_000) -> DataFrame:
+    """The postings (term, id, tf, places, len) of all columns together, and a row without a term for each document.
+
+    A document's postings are made where its text is read, so nothing is shuffled. Documents are taken in runs of up to ``most``
+    tokens, one longer document at least, and a run's rows are in order of (term, place among the documents)."""
+    gap, names = 1 << 40, [f"t{k}" for k, _ in enumerate(columns)]
+    listed = docs.select(F.col(id_col).alias("id"), *[tokens(F.col(c)).alias(t) for c, t in zip(columns, names)])
+    kind = T.StructField("id", listed.schema["id"].dataType)
+    schema = T.StructType([T.StructField("term", T.StringType()), kind, T.StructField("tf", T.LongType()), T.StructField("places", T.ArrayType(T.LongType())), T.StructField("len", T.LongType())])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, found = batch.num_rows, [batch.column(t) for t in names]
+        sizes = [pc.list_value_length(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in found]
+        doc = np.concatenate([np.repeat(np.arange(n), s) for s in sizes])
+        place = np.concatenate([np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s) + k * gap for k, s in enumerate(sizes)])
+        words = pa.chunked_array([c.flatten().cast(pa.string()) for c in found]).combine_chunks().dictionary_encode()
+        by_term = pc.sort_indices(words.dictionary).to_numpy()
+        rank = np.empty(len(by_term), np.int64)
+        rank[by_term] = np.arange(len(by_term))
+        key = rank[words.indices.to_numpy()] * n + doc
+        order = np.argsort(key, kind="stable")  # places of a column follow each other, and columns do
+        key = key[order]
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        ends = np.append(starts, len(key))
+        of, length = key[starts] % max(n, 1), sum(sizes)
+        terms = words.dictionary.take(pa.array(by_term[key[starts] // max(n, 1)]))
+        own = np.arange(n)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays([pa.nulls(n, pa.string()), terms]),
+                batch.column("id").take(pa.array(np.concatenate([own, of]))),
+                pa.array(np.concatenate([own * 0, np.diff(ends)])),
+                pa.ListArray.from_arrays(pa.array(np.concatenate([own * 0, ends]).astype(np.int32)), pa.array(place[order])),
+                pa.array(np.concatenate([length, length[of]])),
+            ],
+            names=schema.names,
+        )
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = np.cumsum(sum(pc.list_value_length(batch.column(t)).to_numpy(zero_copy_only=False).astype(np.int64) for t in names))
+            first = 0
+            while first < batch.num_rows:
+                before = held[first - 1] if first else 0
+                last = max(int(np.searchsorted(held, before + most, side="right")), first + 1)
+                yield run(batch.slice(first, last - first))
+                first = last
+
+    return listed.mapInArrow(runs, schema)
 
 
 def text_index(docs: DataFrame, columns: tuple[str, ...] = ("title", "text", "annotation"), id_col: str = "id") -> TextIndex:
     """The index of all columns together, written once in the shared folder; searches read the terms they ask for.
 
-    Postings are stored by ranges of (term, id), so the files that lack a term are passed over by their statistics and a
-    term that every document has is no single file. places count on from column to column with a gap that no phrase
-    crosses; len is the document's number of tokens. ids name one document each. An index that follows its documents is in
-    text_segments."""
-    listed, rows = posting_rows(docs, columns, id_col)
-    totals = staged(listed.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("avglen")), "text-totals")
-    return TextIndex(staged(rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "text-postings"), totals)
+    Each task writes the postings of the documents that it reads, in runs by term, so the pages of a file that lack a term are
+    passed over by their statistics, and a term that every document has is spread as the documents are. places count on from
+    column to column with a gap that no phrase crosses; len is the document's number of tokens. ids name one document each.
+    An index that follows its documents is in text_segments."""
+    rows = staged(posting_rows(docs, columns, id_col), "text-postings")
+    totals = rows.where("term is null").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("avglen"))
+    return TextIndex(rows.where("term is not null"), staged(totals, "text-totals"))
 
 
 def keyword_search(index: TextIndex, query: str, limit: int | None = 20) -> DataFrame:

@@ -12,8 +12,11 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +28,7 @@ TEXTS = ("title", "text", "annotation")
 
 @dataclass(frozen=True)
 class Segment:
-    """A folder with postings, docs (id, len) and gone (id); how many postings; whether it voids anything."""
+    """A folder with rows (postings, and a row without a term for each document) and gone (id); how many postings; whether it voids anything."""
 
     name: str
     postings: int
@@ -43,10 +46,12 @@ class SegmentedIndex:
     tokens: int
 
     def part(self, spark: SparkSession, segment: Segment, name: str) -> DataFrame:
-        return spark.read.parquet(f"{self.folder}/{segment.name}/{name}")
+        """rows, postings, docs (id, len) or gone of a segment."""
+        rows = spark.read.parquet(f"{self.folder}/{segment.name}/{'gone' if name == 'gone' else 'rows'}")
+        return rows.where("term is not null") if name == "postings" else rows.where("term is null").select("id", "len") if name == "docs" else rows
 
     def live(self, spark: SparkSession, name: str, segments: tuple[Segment, ...] | None = None) -> DataFrame | None:
-        """postings or docs of the given segments (all by default), less what later ones void."""
+        """rows, postings or docs of the given segments (all by default), less what later ones void."""
         chosen, out, gone = self.segments if segments is None else segments, None, None
         for s in reversed(self.segments):
             if s in chosen:
@@ -84,13 +89,34 @@ def open_index(spark: SparkSession, folder: str) -> SegmentedIndex:
     return SegmentedIndex(folder, m["version"], tuple(Segment(*s) for s in m["segments"]), m["n"], m["tokens"])
 
 
-def _written(folder: str, postings: DataFrame, docs: DataFrame, gone: DataFrame | None) -> Segment:
-    name, spark = f"segment-{uuid.uuid4().hex[:12]}", postings.sparkSession
-    postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{folder}/{name}/postings")
-    docs.write.parquet(f"{folder}/{name}/docs")
+def _written(folder: str, rows: DataFrame, gone: DataFrame | None) -> Segment:
+    name, spark = f"segment-{uuid.uuid4().hex[:12]}", rows.sparkSession
+    rows.write.parquet(f"{folder}/{name}/rows")
     if gone is not None:
         gone.write.parquet(f"{folder}/{name}/gone")
-    return Segment(name, spark.read.parquet(f"{folder}/{name}/postings").count(), gone is not None)
+    return Segment(name, spark.read.parquet(f"{folder}/{name}/rows").where("term is not null").count(), gone is not None)
+
+
+def _in_runs(rows: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """rows of each task in runs by (term, id) of about ``most``; small runs become one, nothing is shuffled or spilled."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= most:
+                yield from ordered(held)
+                held, n = [], 0
+        if held:
+            yield from ordered(held)
+
+    def ordered(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        by = pc.sort_indices(table, sort_keys=[("term", "ascending"), ("id", "ascending")], null_placement="at_start")
+        return table.take(by).combine_chunks().to_batches()
+
+    return rows.mapInArrow(runs, rows.schema)
 
 
 def changed(spark: SparkSession, state: SegmentedIndex, docs: DataFrame, deleted: DataFrame | None = None, columns: tuple[str, ...] = TEXTS, id_col: str = "id", ratio: float = 4.0) -> SegmentedIndex:
@@ -106,8 +132,7 @@ def changed(spark: SparkSession, state: SegmentedIndex, docs: DataFrame, deleted
         lost = old.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens")).first()
         n, tokens = n - lost.n, tokens - lost.tokens
         gone = old.select("id").distinct() if lost.n else None
-    listed, rows = posting_rows(docs, columns, id_col)
-    segment = _written(state.folder, rows, listed.select("id", "len"), gone)
+    segment = _written(state.folder, posting_rows(docs, columns, id_col), gone)
     own = SegmentedIndex(state.folder, 0, (segment,), 0, 0).part(spark, segment, "docs").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens")).first()
     state = replace(state, version=state.version + 1, segments=(*state.segments, segment), n=n + own.n, tokens=tokens + own.tokens)
     return _committed(spark, merged(spark, state, ratio))
@@ -127,5 +152,6 @@ def merged(spark: SparkSession, state: SegmentedIndex, ratio: float) -> Segmente
         parts = [state.part(spark, s, "gone") for s in tail if s.voids]
         for p in parts:
             gone = p if gone is None else gone.unionByName(p).distinct()
-    one = _written(state.folder, state.live(spark, "postings", tail), state.live(spark, "docs", tail), gone)
+    rows = state.live(spark, "rows", tail).coalesce(max(1, -(-size // 8_000_000)))  # fewer files where they are small
+    one = _written(state.folder, _in_runs(rows), gone)
     return replace(state, segments=(*state.segments[:k], one))

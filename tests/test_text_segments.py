@@ -53,3 +53,20 @@ def test_a_change_that_breaks_off(spark, tmp_path, monkeypatch):
     assert X.open_index(spark, folder) == state and [r.id for r in S.keyword_search(X.open_index(spark, folder).index(spark), "red").collect()] == [1]
     empty = X.open_index(spark, str(tmp_path / "none"))
     assert (empty.n, empty.segments) == (0, ())
+
+
+@pytest.mark.parametrize("most", [1, 7, 2_000_000])
+def test_postings_are_made_without_a_shuffle(spark, most):
+    """Counted by hand in runs of any length, documents without tokens included, and no exchange in the plan."""
+    docs = [(1, None, "red the Red", "the"), (2, "blue", "", None), (3, None, None, None), (4, "the", "été the red red", "red"), (5, "", "x1 " * 20, "a")]
+    rows = S.posting_rows(spark.createDataFrame(docs, SCHEMA), X.TEXTS, most=most)
+    want = []
+    for i, *texts in docs:
+        words = [(w, n + k * (1 << 40)) for k, t in enumerate(texts) for n, w in enumerate((t or "").lower().translate(str.maketrans(S.MARKED, S.PLAIN)).split())]
+        want.append((None, i, 0, [], len(words)))
+        for w in {w for w, _ in words}:
+            at = [p for x, p in words if x == w]
+            want.append((w, i, len(at), at, len(words)))
+    key = lambda r: (r[1], r[0] or "")
+    assert sorted([tuple(r) for r in rows.collect()], key=key) == sorted(want, key=key)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
