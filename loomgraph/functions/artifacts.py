@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import text as X
 from .names import let
-from .replies import strings_of
+from .replies import names_key, strings_of
 
 KINDS = ("title", "heading", "topic", "quote", "numeric", "support")
 BODY = KINDS[1:]
@@ -69,7 +69,7 @@ def entities(reply: Column) -> Column:
 def optional(reply: Column, key: str) -> Column:
     """A string of a reply, trimmed; null if it is blank or no string."""
     v = F.try_variant_get(F.try_parse_json(reply), f"$.{key}", "variant")
-    return F.when(F.schema_of_variant(v) == "STRING", F.nullif(F.trim(F.variant_get(v, "$", "string")), F.lit("")))
+    return F.when(names_key(reply, key), let(v, lambda v: F.when(F.schema_of_variant(v) == "STRING", F.nullif(F.trim(F.variant_get(v, "$", "string")), F.lit("")))))
 
 
 def _made(lists: dict[str, Column], polished: Column | None = None) -> Column:
@@ -81,7 +81,7 @@ def classify(found: Column, level: str) -> Column:
     captions and lines with two numbers or acronyms, topics, and support, in this order of tests."""
     caps = STRATEGIES[level]["caps"]
     plain = lambda x: ~X.is_affiliation(x) & ~X.is_heading(x) & ~X.is_caption(x) & (F.length(x) <= 180)
-    kind = lambda x: F.when(X.is_heading(x), "heading").when(X.is_quote(x), "quote").when(X.is_caption(x) | (X.protected_count(x) >= 2), "numeric").when(X.is_topic(x), "topic").otherwise("support")
+    kind = lambda x: F.when(X.is_heading(x), "heading").when(X.is_quote(x), "quote").when(X.is_caption(x) | (X.protected_count(x) >= 2), "numeric").when(X.is_topical(x), "topic").otherwise("support")
 
     def named(rows: Column) -> Column:
         first = F.array_min(F.transform(F.filter(rows, lambda r: r["head"]), lambda r: r["i"]))
@@ -102,6 +102,10 @@ def flat(artifact: Column) -> Column:
 def artifact(reply: Column, chunk: Column, level: str) -> Column:
     """The artifact of a reply about a chunk: its capped lists, or if all are empty its evidence lines classified; what it
     lacks in quotes or numbers comes from the chunk."""
+    return let(reply, lambda r: _artifact(r, chunk, level))
+
+
+def _artifact(reply: Column, chunk: Column, level: str) -> Column:
     s = STRATEGIES[level]
     polished = optional(reply, "polished_block") if s["polish"] else None
     said = _made({k: distinct(F.coalesce(strings_of(reply, key), none()), cap) if cap else none() for k, key, cap in zip(KINDS, KEYS, s["caps"])}, polished)
@@ -163,7 +167,7 @@ def document_title(artifacts: Column, names: Column) -> Column:
 def weights(line: Column) -> Column:
     """What a line adds to the three counts of the token estimate, which add up over lines."""
     n = lambda c: (F.length(line) - F.length(F.regexp_replace(line, c, ""))).cast("int")
-    return F.struct(n("[A-Za-z0-9]").alias("a"), n("[가-힣]").alias("h"), n(r"(?U)[^\w\s]").alias("p"))
+    return F.struct(n("[A-Za-z0-9]+").alias("a"), n("[가-힣]+").alias("h"), n(r"(?U)[^\w\s]+").alias("p"))
 
 
 def _tokens(a: Column, h: Column, p: Column) -> Column:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .names import let
+
 #: A token of JSON after blanks: a string, another scalar, or a mark.
 TOKEN = re.compile(r"""[ \t\r\n]*(?:("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|((?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null)(?![\w.]))|([][{}:,]))""")
 FENCE = re.compile(r"```[^\n]*\n(.*?)\s*```", re.S)
@@ -88,10 +90,17 @@ def json_object(reply: Column) -> Column:
     return F.when(scalar, F.lit(None)).when(whole, own).otherwise(run(F.when(whole, F.lit(None)).otherwise(reply)))
 
 
+def names_key(reply: Column, key: str) -> Column:
+    """False where a reply can't have a key of letters and _: its name isn't there, nor an escape that could stand for a letter of it."""
+    return F.contains(reply, F.lit(key)) | F.contains(reply, F.lit("\\u"))
+
+
 def strings_of(reply: Column, key: str) -> Column:
     """The strings of a list in a JSON object, trimmed; null if the key holds something else, empty without the key."""
-    raw = F.get_json_object(reply, f"$.{key}")
-    items = F.from_json(raw, "array<variant>")
     text = lambda v: F.trim(F.variant_get(v, "$", "string"))
-    found = F.transform(F.filter(items, lambda v: F.schema_of_variant(v) == "STRING"), text)
-    return F.when(raw.isNull(), F.array().cast("array<string>")).when(F.startswith(raw, F.lit("[")), found)
+
+    def listed(raw: Column) -> Column:
+        found = F.transform(F.filter(F.from_json(raw, "array<variant>"), lambda v: F.schema_of_variant(v) == "STRING"), text)
+        return F.when(raw.isNull(), F.array().cast("array<string>")).when(F.startswith(raw, F.lit("[")), found)
+
+    return let(F.when(names_key(reply, key), F.get_json_object(reply, f"$.{key}")), listed)

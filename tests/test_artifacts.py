@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import artifacts as A
 from loomgraph.functions import replies as J
+from loomgraph.functions import text as X
 
 
 def key(x):
@@ -180,3 +181,19 @@ def test_first_object():
         "": None, "5": None, '"{}"': None, "no": None, None: None, '{"한": "é"} {"b": 1}': '{"한": "é"}',
     }
     assert {k: J.first_object(k) for k in cases} == cases
+
+
+def test_workers_get_only_the_texts_that_are_cut(spark, monkeypatch):
+    """Short texts, and texts whose lines are the evidence, don't go to a Python worker."""
+    monkeypatch.setattr(X, "split_chunks", lambda *a, **b: 1 / 0)
+    lined, short = "one\ntwo\nthree\n" + "four " * 600, " some text "
+    rows = spark.createDataFrame([(1, lined), (2, short), (3, None), (4, "")], "id int, text string")
+    got = {r.id: (r.e, r.c) for r in rows.select("id", X.fallback_evidence(F.col("text")).alias("e"), X.chunks(F.col("text")).alias("c")).collect()}
+    assert got == {1: (["one", "two", "three", ("four " * 600).strip()], [lined]), 2: ([short], [short]), 3: ([], [""]), 4: ([], [""])}
+
+
+def test_lists_under_an_escaped_key(spark):
+    replies = [r'{"evidence_lines": ["a", 1, " b "]}', r'{"evidence\u005flines": ["c"]}', '{"other": ["d"]}', '{"evidence_lines": "e"}', None]
+    rows = spark.createDataFrame(list(enumerate(replies)), "id int, reply string")
+    got = {r.id: r.x for r in rows.select("id", A.strings_of(F.col("reply"), "evidence_lines").alias("x")).collect()}
+    assert got == {0: ["a", "b"], 1: ["c"], 2: [], 3: None, 4: []}
