@@ -2,8 +2,8 @@
 
 The distance of two points is the greatest of their own distance and of the distances that each has to its ``min_size``-th
 neighbour. The tree that spans all points by the least of these is grown in Borůvka's rounds: each round joins every component
-to another by its least edge. A point's nearest neighbours, found once, give most of these; where they can't rule out a
-nearer point beyond, blocks of points that lie close together are compared, and block pairs that are too far apart or all in
+to another by its least edge. A point's nearest neighbours, found once among blocks that lie close, give most of these; where they
+can't rule out a nearer point beyond, blocks of points that lie close together are compared, and block pairs that are too far apart or all in
 one component are not. Edges of equal weight go by their ends' ids, so there is one tree.
 
 The tree's edges, from the shortest on, are folded into clusters in batches of a bounded number of edges. Within a batch the
@@ -19,14 +19,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..staging import numbered, staged
 from .components import components
-from .vectors import BLOCK, knn
+from .vectors import BLOCK
 
 #: Distances below count as this: equal points would be infinitely dense.
 LEAST = 1e-12
@@ -42,13 +43,99 @@ def blocked(points: DataFrame, rows: int) -> DataFrame:
     return numbered(placed, F.col("curve"), F.col("id")).withColumn("block", F.floor((F.col("rank") - 1) / rows).cast("int")).drop("curve", "rank")
 
 
-def nearest_lists(points: DataFrame, neighbours: int, listed: int) -> tuple[DataFrame, DataFrame]:
+def _box() -> list[Column]:
+    return [f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("l", F.min), ("h", F.max))]
+
+
+def _boxes(blocks: DataFrame, mark: str) -> DataFrame:
+    """blocks without their points, columns named after mark."""
+    return blocks.select(*[F.col(c).alias(f"{mark}_{c}") for c in blocks.columns if c != "m"])
+
+
+def _gap() -> Column:
+    """The square of the distance of the boxes a and b of a pair."""
+    one = lambda c: F.pow(F.greatest(F.col(f"a_l{c}") - F.col(f"b_h{c}"), F.col(f"b_l{c}") - F.col(f"a_h{c}"), F.lit(0.0)), 2)
+    return one("x") + one("y") + one("z")
+
+
+def _listed(k: int, first: bool, kind: T.DataType):
+    """Over pairs of blocks, the k nearest others of each point of the first in the second, equal distances by id. The first pair of a
+    block gives one row: its lists, its points' bounds (their k-th distance squared) and the greatest; later ones give rows
+    (u, v, d2) within the bounds."""
+    entry = pa.struct([("u", to_arrow_type(kind)), ("v", to_arrow_type(kind)), ("d2", pa.float64())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                v1, v2 = batch.column("m1")[r].values, batch.column("m2")[r].values
+                x, y = (v.field("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, 3) for v in (v1, v2))
+                u, v = (m.field("id").to_numpy(zero_copy_only=False) for m in (v1, v2))
+                bound, of = np.full(len(x), np.inf), np.arange(len(x))
+                if not first:
+                    bound = batch.column("bounds")[r].values.to_numpy(zero_copy_only=False)
+                    away = np.maximum(np.maximum(y.min(axis=0) - x, x - y.max(axis=0)), 0.0)
+                    of = np.flatnonzero((away**2).sum(axis=1) <= bound * (1 + 1e-12))
+                by = np.argsort(v, kind="stable")
+                y, v, named = y[by], v[by], v2.field("id").take(pa.array(by))
+                i, j, d2 = [], [], []
+                for at in range(0, len(of), 256):  # a stripe at a time
+                    some = of[at : at + 256]
+                    d = sum((x[some][:, None, c] - y[None, :, c]) ** 2 for c in range(3))
+                    d[u[some][:, None] == v[None]] = np.inf
+                    few = min(k, len(v))
+                    most = np.minimum(np.partition(d, few - 1, axis=1)[:, few - 1], bound[some])
+                    a, b = np.nonzero((d <= most[:, None]) & np.isfinite(d))
+                    order = np.lexsort((b, d[a, b], a))
+                    a, b = a[order], b[order]
+                    good = np.arange(len(a)) - np.searchsorted(a, a) < k
+                    a, b = a[good], b[good]
+                    i.append(some[a])
+                    j.append(b)
+                    d2.append(d[a, b])
+                i, j, d2 = (np.concatenate([np.array([], t), *z]) for z, t in ((i, int), (j, int), (d2, float)))
+                columns = [v1.field("id").take(pa.array(i)), named.take(pa.array(j)), pa.array(d2)]
+                if not first:
+                    yield pa.RecordBatch.from_arrays(columns, names=["u", "v", "d2"])
+                    continue
+                n = np.bincount(i, minlength=len(x))
+                full = n == k
+                bound[full] = d2[np.cumsum(n)[full] - 1]
+                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                lists = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(columns, entry)], fields=list(entry))
+                yield pa.RecordBatch.from_arrays([batch.column("a_block").slice(r, 1), batch.column("b_block").slice(r, 1), pa.array([bound.max()]), one(pa.array(bound)), one(lists)], names=["a_block", "b_block", "most", "bounds", "lists"])
+
+    return compare
+
+
+def nearest(points: DataFrame, k: int, rows: int = BLOCK) -> DataFrame:
+    """(u, v, d2): the k nearest others of each point (id, x, y, z) by the square of their distance, equal distances by id, and some
+    that aren't among them.
+
+    Points are dealt to blocks that lie close together. A block's first look at the block nearest to it bounds how far its
+    points' neighbours can be, and only blocks within that are looked at then, by the points within it of them: what is handed on
+    grows with the points. Of equal points the k + 1 least ids are looked for, as a list holds no more."""
+    kind = points.schema["id"].dataType
+    pack = lambda df: staged(blocked(df, rows).groupBy("block").agg(F.collect_list(F.struct("id", F.array(*"xyz").alias("p"))).alias("m"), *_box()), "near-blocks")
+    a = pack(points)
+    b = pack(points.withColumn("spot", F.row_number().over(W.partitionBy(*"xyz").orderBy("id"))).where(F.col("spot") <= k + 1).drop("spot"))
+    apart = sum((F.abs(F.col(f"a_l{c}") + F.col(f"a_h{c}") - F.col(f"b_l{c}") - F.col(f"b_h{c}")) for c in "xyz"), F.lit(0.0))
+    met = _boxes(a, "a").crossJoin(_boxes(b, "b")).select("a_block", "b_block", _gap().alias("gap"), apart.alias("apart"))  # blocks, not points
+    nearby = met.groupBy("a_block").agg(F.min(F.struct("gap", "apart", "b_block"))["b_block"].alias("b_block"))
+    side = lambda df, c, m: df.select(F.col("block").alias(c), F.col("m").alias(m))
+    with_points = lambda pairs: pairs.join(side(a, "a_block", "m1"), "a_block").join(side(b, "b_block", "m2"), "b_block")
+    entry = f"struct<u:{kind.simpleString()},v:{kind.simpleString()},d2:double>"
+    looked = staged(with_points(nearby).select("a_block", "b_block", "m1", "m2").mapInArrow(_listed(k, True, kind), f"a_block int, b_block int, most double, bounds array<double>, lists array<{entry}>"), "first-looks")
+    others = met.join(looked.select("a_block", F.col("b_block").alias("seen"), "most"), "a_block").where((F.col("b_block") != F.col("seen")) & (F.col("gap") <= F.col("most") * (1 + 1e-12))).select("a_block", "b_block")
+    more = with_points(others).join(looked.select("a_block", "bounds"), "a_block").select("m1", "m2", "bounds").mapInArrow(_listed(k, False, kind), f"u {kind.simpleString()}, v {kind.simpleString()}, d2 double")
+    return looked.select(F.explode("lists").alias("e")).select("e.*").unionByName(more)
+
+
+def nearest_lists(points: DataFrame, neighbours: int, listed: int, rows: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """points with core (the distance to the neighbours-th other point, or the farthest if there are fewer) and beyond (no point
     that isn't listed is nearer), and the lists (u, v, d)."""
-    flat = points.select("id", F.array(*"xyz").alias("embedding"))
-    near = knn(flat.withColumnRenamed("id", "q"), flat, listed + 1, "q").where("q <> id")
-    place = F.row_number().over(W.partitionBy("q").orderBy("d2", "id"))
-    near = staged(near.select(F.col("q").alias("u"), F.col("id").alias("v"), F.sqrt("d2").alias("d"), place.alias("place")).where(F.col("place") <= listed), "nearest")
+    near = nearest(points.select("id", *"xyz"), listed, rows)
+    place = F.row_number().over(W.partitionBy("u").orderBy("d2", "v"))
+    near = staged(near.select("u", "v", F.sqrt("d2").alias("d"), place.alias("place")).where(F.col("place") <= listed), "nearest")
     by_point = near.groupBy("u").agg(F.max(F.when(F.col("place") <= neighbours, F.col("d"))).alias("core"), F.max("d").alias("last"), F.count(F.lit(1)).alias("n"))
     beyond = F.when(F.col("n") < listed, F.lit(float("inf"))).otherwise(F.greatest("core", "last"))
     known = points.join(by_point.select(F.col("u").alias("id"), "core", beyond.alias("beyond")), "id")
@@ -63,16 +150,13 @@ def _closest(points: DataFrame, asked: DataFrame) -> DataFrame:
     blocks, its least edge to another component."""
     kind = points.schema["id"].dataType
     schema = T.StructType([T.StructField("comp", kind), T.StructField("w", T.DoubleType()), T.StructField("lo", kind), T.StructField("hi", kind), T.StructField("other", kind)])
-    box = [f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("l", F.min), ("h", F.max))]
-    pack = [F.collect_list(F.struct("id", "comp", "core", F.array(*"xyz").alias("p"))).alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), *box]
+    pack = [F.collect_list(F.struct("id", "comp", "core", F.array(*"xyz").alias("p"))).alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), *_box()]
     a = staged(asked.groupBy("block").agg(F.max(F.coalesce("bound", F.lit(float("inf")))).alias("bound"), *pack), "asked-blocks")
     b = staged(points.groupBy("block").agg(*pack), "point-blocks")
-    boxes = lambda df, mark: df.drop("m").select(*[F.col(c).alias(f"{mark}_{c}") for c in df.columns if c != "m"])
     last = b.agg(F.max("block").alias("n")).first().n
-    sides = boxes(a, "a").withColumn("b_block", F.explode(F.sequence(F.lit(0), F.lit(last)))).join(boxes(b, "b"), "b_block")
-    gap = sum((F.pow(F.greatest(F.col(f"a_l{c}") - F.col(f"b_h{c}"), F.col(f"b_l{c}") - F.col(f"a_h{c}"), F.lit(0.0)), 2) for c in "yz"), F.pow(F.greatest(F.col("a_lx") - F.col("b_hx"), F.col("b_lx") - F.col("a_hx"), F.lit(0.0)), 2))
+    sides = _boxes(a, "a").withColumn("b_block", F.explode(F.sequence(F.lit(0), F.lit(last)))).join(_boxes(b, "b"), "b_block")
     one = (F.col("a_c0") == F.col("a_c1")) & (F.col("b_c0") == F.col("b_c1")) & (F.col("a_c0") == F.col("b_c0"))
-    sides = sides.where((F.sqrt(gap) <= F.col("a_bound") * (1 + 1e-12)) & ~one).select(F.col("a_block").alias("block"), "b_block")
+    sides = sides.where((F.sqrt(_gap()) <= F.col("a_bound") * (1 + 1e-12)) & ~one).select(F.col("a_block").alias("block"), "b_block")
     pairs = sides.join(a.select("block", F.col("m").alias("m1")), "block").join(b.select(F.col("block").alias("b_block"), F.col("m").alias("m2")), "b_block").select("m1", "m2")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +203,7 @@ def joined_roots(best: DataFrame) -> DataFrame:
 
 def spanning_tree(points: DataFrame, neighbours: int = 5, rows: int = BLOCK, listed: int = 16) -> DataFrame:
     """(w, lo, hi): the edges of the least spanning tree of points (id, x, y, z) by mutual reachability, n - 1 of them."""
-    known, lists = nearest_lists(staged(points.select("id", *[F.col(c).cast("double").alias(c) for c in "xyz"]), "points"), neighbours, max(listed, neighbours + 1))
+    known, lists = nearest_lists(staged(points.select("id", *[F.col(c).cast("double").alias(c) for c in "xyz"]), "points"), neighbours, max(listed, neighbours + 1), rows)
     known = staged(blocked(known, rows), "blocked")
     core = lambda c: known.select(F.col("id").alias(c), F.col("core").alias(f"core_{c}"))
     w = F.greatest("d", "core_u", "core_v")

@@ -100,3 +100,19 @@ def test_few_and_equal_points(spark):
     same = [(k, 0.0, 0.0, 0.0) for k in range(8)] + [(k, 5.0, 5.0, 5.0) for k in range(8, 15)]
     got = {r.id: r.cluster_id for r in H.cluster_hierarchy(spark.createDataFrame(same, schema), rows=4).collect()}
     assert got == {k: 0 if k < 8 else 8 for k in range(15)}
+
+
+def test_nearest_lists_grow_with_the_points(spark):
+    """Lists as by brute force, copies included; and blocks that are too far apart hand nothing on."""
+    rng = random.Random(3)
+    rows = blobs(rng, 300, [((10.0 * k, 0, 0), 0.2) for k in range(6)], 20) + [(1.0, 2.0, 3.0)] * 40
+    points = {k * 2 + 1: p for k, p in enumerate(rows)}
+    df = spark.createDataFrame([(k, *p) for k, p in points.items()], "id long, x double, y double, z double")
+    found = sorted(tuple(r) for r in H.nearest(df, 4, rows=16).collect())
+    got = {}
+    for u, v, d2 in found:
+        got.setdefault(u, []).append((d2, v))
+    d2 = lambda a, b: sum((x - y) * (x - y) for x, y in zip(a, b))
+    want = {a: sorted((d2(p, q), b) for b, q in points.items() if b != a)[:4] for a, p in points.items()}
+    assert {a: sorted(m)[:4] for a, m in got.items()} == want
+    assert len(found) < 4 * len(points) * 4  # four a point and block before, 23 blocks
