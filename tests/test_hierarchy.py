@@ -112,7 +112,8 @@ def test_nearest_lists_grow_with_the_points(spark):
     got = {}
     for u, v, d2 in found:
         got.setdefault(u, []).append((d2, v))
-    d2 = lambda a, b: sum((x - y) * (x - y) for x, y in zip(a, b))
+    sq = lambda x: x * x
+    d2 = lambda a, b: sq(a[0] - b[0]) + sq(a[1] - b[1]) + sq(a[2] - b[2])
     want = {a: sorted((d2(p, q), b) for b, q in points.items() if b != a)[:4] for a, p in points.items()}
     assert {a: sorted(m)[:4] for a, m in got.items()} == want
     assert len(found) < 4 * len(points) * 4  # four a point and block before, 23 blocks
