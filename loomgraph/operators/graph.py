@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import bucketed, split_join, staged
+from ..staging import bucketed, numbered, staged
 
 
 def neighbourhood(seeds: DataFrame, engrams: DataFrame, edges: DataFrame, hops: int = 2, predicate: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -28,36 +34,122 @@ def neighbourhood(seeds: DataFrame, engrams: DataFrame, edges: DataFrame, hops:
     return nodes, (empty if found is None else found.distinct())
 
 
-def page_rank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, variant: str = "standard", every: int = 5, degree_a_part: int = 50_000) -> DataFrame:
+#: Nodes in a block of ranks: one numpy array of 8 MB. Where nodes have few edges blocks grow, to eight times as many at most.
+SIDE = 1 << 20
+#: Edges in a row of a tile, and in a part of one.
+ROW_EDGES, PART_EDGES = 1 << 21, 1 << 24
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (tile, i, j, share) as rows (tile, i, j, share) of up to ROW_EDGES edges of one tile, each column the bytes of an array."""
+    held: dict[int, list] = {}
+
+    def row(tile: int) -> pa.RecordBatch:
+        parts = held.pop(tile)
+        packed = [np.concatenate([p[k] for p in parts]).tobytes() for k in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array([tile]), *[pa.array([b], pa.binary()) for b in packed]], names=["tile", "i", "j", "share"])
+
+    size: Counter = Counter()
+    for b in batches:
+        tile, i, j, share = (b.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "i", "j", "share"))
+        order = np.argsort(tile, kind="stable")
+        names, starts = np.unique(tile[order], return_index=True)
+        for name, at in zip(names.tolist(), np.split(order, starts[1:])):
+            held.setdefault(name, []).append((i[at].astype(np.int32), j[at].astype(np.int32), share[at]))
+            size[name] += len(at)
+            if size[name] >= ROW_EDGES or sum(size.values()) >= 2 * ROW_EDGES:  # the largest goes first
+                largest = max(size, key=size.get)
+                del size[largest]
+                yield row(largest)
+    for name in list(held):
+        yield row(name)
+
+
+def _products(side: int):
+    """Rows of tiles with their block of ranks: for each block of the other end, what arrives there, summed as far as a task has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        out = lambda k: pa.RecordBatch.from_arrays([pa.array([k]), pa.array([sums.pop(k).tobytes()], pa.binary())], names=["block", "sums"])
+        for b in batches:
+            for r in range(b.num_rows):
+                to = b.column("to")[r].as_py()
+                array = lambda c, kind: np.frombuffer(b.column(c)[r].as_buffer(), kind)  # noqa: B023, E731
+                ranks = array("ranks", np.float64)
+                came = np.bincount(array("j", np.int32), ranks[array("i", np.int32)] * array("share", np.float64), side)
+                sums[to] = sums[to] + came if to in sums else came
+                if len(sums) > 8:
+                    yield out(min(sums))
+        for k in list(sums):
+            yield out(k)
+
+    return run
+
+
+def _next_ranks(base: float, damping: float):
+    def step(blocks: pd.DataFrame, came: pd.DataFrame) -> pd.DataFrame:
+        idle = np.frombuffer(blocks["dangling"].iloc[0], np.uint8)
+        total = np.zeros(len(idle))
+        for b in came["sums"]:
+            total += np.frombuffer(b, np.float64)[: len(idle)]
+        ranks = base + damping * total
+        return pd.DataFrame({"block": blocks["block"].iloc[:1], "ranks": [ranks.tobytes()], "lost": [float(ranks[idle > 0].sum())], "top": [float(ranks.max())]})
+
+    return step
+
+
+def page_rank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, variant: str = "standard", side: int | None = None) -> DataFrame:
     """(node, rank) over undirected edges (source, target, confidence); only ends of edges are nodes.
 
     'standard': shares by confidence, what dangling nodes hold is spread evenly, and the greatest rank is 1.
     'plain': a neighbour passes rank / degree times confidence, nothing is spread, no scaling. A loop counts at
-    both its ends. The edges are stored once, in buckets by their end and by part, of which a node has one for each
-    ``degree_a_part`` of its edges, so that no bucket is one hot node's; a round moves the ranks to them, a row for each node and
-    part, and sums what arrives. ``every`` rounds the plan is cut."""
+    both its ends. Nodes are numbered, and ranks are blocks of ``side`` of them (SIDE if not given). The edges are stored once, in tiles
+    by the blocks of both ends and, where a tile has very many, by part; a round sends a block of ranks to each tile and a block of
+    sums from it, so what it moves grows with nodes times the root of the edges a node, not with the edges."""
     edges = staged(edges.select("source", "target", "confidence"), "rank-edges")  # read four times
-    both = edges.select(F.col("source").alias("u"), F.col("target").alias("v"), "confidence").unionByName(edges.select(F.col("target").alias("u"), F.col("source").alias("v"), "confidence"))
-    out = both.groupBy("u").agg(F.sum("confidence").alias("weight"), F.count(F.lit(1)).alias("degree"))
-    out = staged(out.withColumn("parts", F.ceil(F.col("degree") / degree_a_part).cast("int")), "degrees")
-    share = F.col("confidence") / F.col("weight") if variant == "standard" else F.col("confidence") / F.col("degree")
-    part = F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part")
-    moves = split_join(both, out, ["u"]).where("weight > 0").groupBy("u", part, "v").agg(F.sum(share).alias("share"))
-    nodes = staged(out.select(F.col("u").alias("node"), "parts", (F.col("weight") <= 0).alias("dangling")), "nodes")
-    n = nodes.count()
-    rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    with bucketed(moves, ["u", "part"], "moves") as stored:
-        for k in range(1, rounds + 1):
-            sent = rank.select(F.col("node").alias("u"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "rank")
-            got = stored.join(sent, ["u", "part"]).groupBy("v").agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
-            nxt = nodes.join(got, nodes["node"] == got["v"], "left")
-            value = (1 - damping) / max(n, 1) + damping * F.coalesce("in", F.lit(0.0))
-            if variant == "standard":
-                lost = rank.agg((F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)) / max(n, 1)).alias("lost"))
-                nxt, value = nxt.join(F.broadcast(lost)), value + damping * F.col("lost")  # one row
-            rank = nxt.select("node", "parts", "dangling", value.alias("rank"))
-            rank = staged(rank, "rank") if k % every == 0 or k == rounds else rank
-    if variant != "standard":
-        return rank.select("node", "rank")
-    top = rank.agg(F.max("rank").alias("top"))
-    return rank.join(F.broadcast(top)).select("node", (F.col("rank") / F.when(F.col("top") > 0, F.col("top")).otherwise(1.0)).alias("rank"))  # one row
+    both = edges.select(F.col("source").alias("u"), "confidence").unionByName(edges.select(F.col("target").alias("u"), "confidence"))
+    ends = both.groupBy("u").agg(F.sum("confidence").cast("double").alias("weight"), F.count(F.lit(1)).alias("degree"))
+    nodes = staged(numbered(ends, F.col("u")).withColumn("number", F.col("rank") - 1).drop("rank"), "nodes")
+    n, n_edges = nodes.count(), 2 * edges.count()
+    if not n:
+        return nodes.select(F.col("u").alias("node"), F.lit(0.0).alias("rank"))
+    side = min(side or max(SIDE, min(8 * SIDE, n * n // max(n_edges, 1))), n)
+    n_blocks = -(-n // side)
+
+    end = lambda c, k: nodes.select(F.col("u").alias(c), F.col("number").alias(f"n{k}"), F.when(F.col("weight") > 0, F.col("weight" if variant == "standard" else "degree")).alias(f"w{k}"))
+    ended = edges.join(end("source", 1), "source").join(end("target", 2), "target").withColumn("c", F.col("confidence").cast("double"))
+    way = lambda a, b: F.struct(F.col(f"n{a}").alias("u"), F.col(f"n{b}").alias("v"), (F.col("c") / F.col(f"w{a}")).alias("share"))
+    moves = ended.select(F.explode(F.array(way(1, 2), way(2, 1))).alias("m")).select("m.*").where("share is not null")
+    block = lambda c: F.floor(F.col(c) / side)
+    most = -(-n_edges // PART_EDGES)  # parts that a tile may need
+    part = F.pmod(F.xxhash64("u", "v"), F.lit(max(1, -(-most // (n_blocks * n_blocks)))))
+    tile = ((block("u") * n_blocks + block("v")) * (1 << 20) + part).cast("long")
+    cut = moves.select(tile.alias("tile"), (F.col("u") % side).cast("int").alias("i"), (F.col("v") % side).cast("int").alias("j"), "share")
+    dealt = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(n_blocks * n_blocks + most, 1000))
+    rows = cut.repartition(dealt, "tile").mapInArrow(_tiles, "tile long, i binary, j binary, share binary")
+
+    fields = "block long, ranks binary, lost double, top double"
+    first = lambda df: pd.DataFrame({"block": df["block"].iloc[:1], "dangling": [df.sort_values("number")["idle"].to_numpy(np.uint8).tobytes()]})
+    idle = nodes.select(block("number").cast("long").alias("block"), "number", F.coalesce(F.col("weight") <= 0, F.lit(False)).alias("idle"))
+    blocks = staged(idle.groupBy("block").applyInPandas(first, "block long, dangling binary"), "blocks")
+    even = lambda df: _next_ranks(1.0 / n, 0.0)(df, pd.DataFrame({"sums": []}))
+    rank = staged(blocks.groupBy("block").applyInPandas(even, fields), "rank")
+    with bucketed(rows, ["tile"], "tiles", dealt=dealt) as stored:
+        tiles = staged(stored.select("tile").distinct().withColumn("block", F.floor(F.floor(F.col("tile") / (1 << 20)) / n_blocks)), "tile-names")
+        for _ in range(rounds):
+            lost = rank.agg(F.sum("lost")).first()[0] if variant == "standard" else 0.0
+            sent = rank.join(tiles, "block").select("tile", "ranks")
+            met = stored.join(sent.hint("shuffle_hash"), "tile").select((F.floor(F.col("tile") / (1 << 20)) % n_blocks).alias("to"), "i", "j", "share", "ranks")
+            came = met.mapInArrow(_products(side), "block long, sums binary")
+            step = _next_ranks((1 - damping) / n + damping * lost / n, damping)
+            rank = staged(blocks.groupBy("block").cogroup(came.groupBy("block")).applyInPandas(step, fields), "rank")
+    top = rank.agg(F.max("top")).first()[0] if variant == "standard" else 1.0
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                values = np.frombuffer(b.column("ranks")[r].as_buffer(), np.float64)
+                numbers = b.column("block")[r].as_py() * side + np.arange(len(values))
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(values / (top if top > 0 else 1.0))], names=["number", "rank"])
+
+    return rank.mapInArrow(each, "number long, rank double").join(nodes.select("number", F.col("u").alias("node")), "number").select("node", "rank")
