@@ -73,21 +73,30 @@ def first_object(text: str | None) -> str | None:
     return None
 
 
-def json_object(reply: Column) -> Column:
+def own_object(reply: Column) -> Column:
+    """What first_object gives of a reply that is one JSON object or list and nothing else, parsed in the JVM; null of any other."""
+
+    def parsed(bare: Column) -> Column:
+        # the JVM's parser stops at the end of a value: that nothing follows shows if a member put behind it is read too
+        framed = F.try_parse_json(F.concat(F.lit('{"value": '), bare, F.lit(', "behind it": 1}')))
+        whole = ~F.contains(bare, F.lit("behind it")) & F.coalesce(F.try_variant_get(framed, '$["behind it"]', "int") == 1, F.lit(False))
+        listed = F.startswith(bare, F.lit("["))
+        return F.when((listed | F.startswith(bare, F.lit("{"))) & whole, F.when(listed, F.concat(F.lit('{"items": '), bare, F.lit("}"))).otherwise(bare))
+
+    return let(F.regexp_replace(reply, r"(?U)^\s+|\s+$", ""), parsed)
+
+
+def json_object(reply: Column, own: Column | None = None) -> Column:
     """first_object as a column. A reply that is nothing but JSON is parsed in the JVM; a worker reads the others, where JSON stands
-    within a fence or within prose, or is broken."""
+    within a fence or within prose, or is broken. ``own`` is own_object(reply) if the table has it as a column: it is used twice."""
 
     @F.pandas_udf("string")
     def run(replies: pd.Series) -> pd.Series:
-        return replies.map(first_object)
-
-    bare = F.regexp_replace(reply, r"(?U)^\s+|\s+$", "")
-    # the JVM's parser stops at the end of a value: that nothing follows shows if a member put behind it is read too
-    framed = F.try_parse_json(F.concat(F.lit('{"value": '), bare, F.lit(', "behind it": 1}')))
-    whole = F.coalesce(F.try_variant_get(framed, '$["behind it"]', "int") == 1, F.lit(False)) & ~F.contains(bare, F.lit("behind it"))
-    scalar = whole & ~F.startswith(bare, F.lit("{")) & ~F.startswith(bare, F.lit("["))
-    own = F.when(F.startswith(bare, F.lit("{")), bare).otherwise(F.concat(F.lit('{"items": '), bare, F.lit("}")))
-    return F.when(scalar, F.lit(None)).when(whole, own).otherwise(run(F.when(whole, F.lit(None)).otherwise(reply)))
+        return replies.map(first_object, na_action="ignore")
+
+    own = own_object(reply) if own is None else own
+    bracket = F.contains(reply, F.lit("{")) | F.contains(reply, F.lit("["))  # nothing is found without
+    return F.coalesce(own, run(F.when(own.isNull() & bracket, reply)))
 
 
 def names_key(reply: Column, key: str) -> Column:

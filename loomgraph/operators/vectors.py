@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..functions.replies import json_object
+from ..functions.replies import json_object, own_object
 from ..staging import split_join, staged
 
 #: The predicates that an edge may have; fixed values.
@@ -140,7 +140,8 @@ def propose_edges(replies: DataFrame, known: DataFrame, least: float | None = No
     confidence a number within 0 to 1 (1 if it isn't one; below ``least`` dropped). A reply may have its JSON object
     in a fence or among other words, or be a bare list of edges; one without any gives none."""
     one = "struct<target:string,predicate:string,confidence:string>"
-    repaired = F.from_json(json_object(F.col("reply")), f"struct<edges:array<{one}>,items:array<{one}>>")
+    replies = replies.withColumn("own", own_object(F.col("reply")))
+    repaired = F.from_json(json_object(F.col("reply"), F.col("own")), f"struct<edges:array<{one}>,items:array<{one}>>")
     parsed = replies.select("source", "document_id", repaired.alias("r")).select("source", "document_id", F.explode(F.coalesce("r.edges", "r.items")).alias("e"))
     confidence = F.least(F.greatest(F.coalesce(F.expr("try_cast(e.confidence AS double)"), F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
     edges = parsed.select("source", "document_id", F.col("e.target").alias("name"), F.col("e.predicate").alias("predicate"), confidence.alias("confidence"))

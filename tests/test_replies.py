@@ -73,3 +73,16 @@ def test_column(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, reply string")
     got = {r.id: r.o for r in df.select("id", J.json_object(F.col("reply")).alias("o")).collect()}
     assert got == {0: '{"a": 1}', 1: '{"items": [1, 2]}', 2: None, 3: None, 4: None, 5: None, 6: '{"a": [3]}', 7: '{"items": [4]}', 8: None, 9: '{"items": ' + texts[9] + "}", 10: '{"a": 1}', 11: None}
+
+
+def test_parsed_once(spark):
+    """Edges are read out of replies with one parse of each by the JVM, and what it has parsed or holds no bracket isn't sent to a worker."""
+    from loomgraph.operators import vectors as K
+
+    edge = '[{"target": "a", "predicate": "supports", "confidence": 0.5}]'
+    texts = [edge, f'{{"edges": {edge}}}', f"so: {edge}", "no JSON", None, "7"]
+    df = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "source long, document_id long, reply string")
+    out = K.propose_edges(df, spark.createDataFrame([(9, "a")], "id long, name string"))
+    assert sorted(r.source for r in out.collect()) == [0, 1, 2]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count('"behind it": 1') == 1, plan
