@@ -127,16 +127,17 @@ def project_neighbours(vectors: DataFrame, k: int = 15, rounds: int = 12, steps:
     kind = vectors.schema["id"].dataType.simpleString()
     every = rounds * steps
     for r in range(rounds):
-        point = lambda c: at.select(F.col("id").alias(c), *"xyz")  # noqa: B023, E731
+        # merge joins whatever the size: a broadcast would take all points through the driver, round after round
+        point = lambda c: at.select(F.col("id").alias(c), *"xyz").hint("merge")  # noqa: B023, E731
         near = split_join(edges, point("v"), ["v"]).groupBy("u").agg(F.sort_array(F.collect_list(F.struct("v", "w", *"xyz"))).alias("near"))
         picks = at.select(F.col("id").alias("u"), F.posexplode(F.sequence(F.lit(1), F.lit(sampled))).alias("place", "pick"))
         picks = picks.withColumn("number", F.pmod(F.xxhash64("u", "pick", F.lit(seed), F.lit(r)), F.lit(n)))
-        far = picks.join(at.select("number", F.col("id").alias("other"), *"xyz"), "number").where("other <> u").groupBy("u").agg(F.sort_array(F.collect_list(F.struct("place", *"xyz"))).alias("far"))
-        laid = blocked(at, rows).join(near.withColumnRenamed("u", "id"), "id", "left").join(far.withColumnRenamed("u", "id"), "id", "left")
+        far = picks.join(at.select("number", F.col("id").alias("other"), *"xyz").hint("merge"), "number").where("other <> u").groupBy("u").agg(F.sort_array(F.collect_list(F.struct("place", *"xyz"))).alias("far"))
+        laid = blocked(at, rows).join(near.withColumnRenamed("u", "id").hint("merge"), "id", "left").join(far.withColumnRenamed("u", "id").hint("merge"), "id", "left")
         laid = laid.withColumn("near", F.coalesce("near", F.expr(f"cast(array() as array<struct<v:{kind},w:double,x:double,y:double,z:double>>)"))).withColumn("far", F.coalesce("far", F.expr("cast(array() as array<struct<place:int,x:double,y:double,z:double>>)")))
         move = _stepper(steps, 1.0 - r * steps / every, 1.0 / every, others)
         moved = laid.select("block", "id", *"xyz", "near", "far").groupBy("block").applyInPandas(move_sorted(move), f"id {kind}, x double, y double, z double")
-        at = staged(moved.join(at.select("id", "number"), "id"), "layout")
+        at = staged(moved.join(at.select("id", "number").hint("merge"), "id"), "layout")
     return at.select("id", *"xyz")
 
 

@@ -54,3 +54,18 @@ def test_few_rows(spark):
     assert manifold.project_neighbours(spark.createDataFrame([(1, [1.0, 0.0, 0.0])], schema)).collect() == []
     three = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.0, 1.0, 0.0]), (4, None)], schema)
     assert {r.id for r in manifold.project_neighbours(three, rounds=2).collect()} == {1, 2, 3}
+
+
+def test_no_round_takes_the_points_through_the_driver(spark, monkeypatch):
+    plans, real = [], manifold.staged
+
+    def noted(df, name):
+        if name == "layout":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(manifold, "staged", noted)
+    df = spark.createDataFrame(clustered(n=60, kinds=6), "id long, embedding array<double>")
+    assert manifold.project_neighbours(df, k=4, rounds=2, rows=30).count() == 60
+    rounds = plans[1:]
+    assert len(rounds) == 2 and all(p.count("SortMergeJoin") == 5 and p.count("BroadcastHashJoin") <= 1 for p in rounds)  # one: the offsets of a numbering
