@@ -66,7 +66,7 @@ def insert_batches(items: DataFrame, table: str, checkpoint: str, key: str = "so
     is there has been read."""
     spark, run = items.sparkSession, run_of(checkpoint)
     stored = stored_or_empty(spark, table, items.schema).where(F.col("run") != run)
-    fresh = first_seen_stream(items, key, order or items.columns[0], stored, at, forget)
+    fresh = first_seen_stream(items, key, order or items.columns[0], stored, at, forget, checkpoint)
 
     def write(batch: DataFrame, n: int) -> None:
         name = f"run={run}/batch={n}"
@@ -84,7 +84,7 @@ def process_batches(items: DataFrame, work: Callable[[DataFrame], DataFrame], do
     spark, run = items.sparkSession, run_of(checkpoint)
     kind = T.StructType([items.schema[key]])
     seen = [stored_or_empty(spark, t, kind).where(F.col("run") != run).select(key) for t in (done, quarantine)]
-    fresh = first_seen_stream(items, key, items.columns[0], seen[0].unionByName(seen[1]))
+    fresh = first_seen_stream(items, key, items.columns[0], seen[0].unionByName(seen[1]), checkpoint=checkpoint)
 
     def write(batch: DataFrame, n: int) -> None:
         rows, at = work(batch).persist(), f"run={run}/batch={n}"

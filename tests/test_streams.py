@@ -43,6 +43,33 @@ def test_a_batch_costs_its_own_rows(spark, tmp_path):
         assert data[-1]["stateOperators"][0]["numRowsTotal"] == 50 * (k + 1)
 
 
+def test_keys_are_remembered_without_asking_for_each(spark, tmp_path, monkeypatch):
+    """Spark's deduplication holds the keys; what comes before it lets one row a key of a batch pass, and rows without a key all."""
+    monkeypatch.setattr(state, "HELD", 100, raising=False)  # repeated rows go while a group is read
+    at, schema = str(tmp_path), "pos long, source_uri string, ts timestamp, more struct<a: string, b: array<int>>"
+    row = lambda pos, key: (pos, key, datetime.datetime(2024, 1, 1, 1), ("x", [1, 2]))
+    hot = [row(p, "hot") for p in range(30_000, 5, -1)] + [row(None, "hot"), row(None, "null"), row(9, "null"), row(None, "only")]
+    for k, rows in enumerate(([row(7, None), row(7, None), *hot], [row(7, None), row(1, "hot"), row(2, "new"), row(None, None)], [row(3, "new")])):
+        q = feeds.insert_batches(dropped(spark, f"{at}/in", rows, schema), f"{at}/table", f"{at}/check")
+        q.awaitTermination()
+        assert [s["operatorName"] for s in q.lastProgress["stateOperators"]] == ["dedupe"], k
+    stored = spark.read.parquet(f"{at}/table")
+    got = sorted(((r.pos, r.source_uri) for r in stored.collect()), key=repr)
+    assert got == sorted([(7, None), (7, None), (6, "hot"), (9, "null"), (None, "only"), (7, None), (2, "new"), (None, None)], key=repr)
+    assert {(r.ts, r.more.a, tuple(r.more.b)) for r in stored.collect()} == {(datetime.datetime(2024, 1, 1, 1), "x", (1, 2))}
+    other = feeds.insert_batches(feeds.poll(spark, f"{at}/in", stored.drop("run", "batch").schema), f"{at}/table", f"{at}/check2")
+    other.awaitTermination()  # finds the keys of the first stream; rows without one have none to be found by
+    assert stored.count() == 8 and spark.read.parquet(f"{at}/table").count() == 12
+
+
+def test_earliest_row_of_a_key():
+    import pyarrow as pa
+
+    rows = pa.table({"_key": ["b", "a", "b", "a", "a", "c"], "_new": [True, True, True, True, False, True], "_order": pa.array([2, 1, 1, 0, None, None], pa.int64()), "n": range(6)})
+    assert state.earliest(rows).to_pydict()["n"] == [4, 2, 5]
+    assert state.earliest(rows.slice(4)) is not None and state.earliest(rows.slice(4)).num_rows == 2
+
+
 def test_a_key_may_be_forgotten(spark, tmp_path):
     """A timer clears a key when the watermark is an hour past its row."""
     at, time = str(tmp_path), lambda h, m=0: datetime.datetime(2024, 1, 1, h, m)
