@@ -34,22 +34,28 @@ def neighbourhood(seeds: DataFrame, engrams: DataFrame, edges: DataFrame, hops:
     return nodes, (empty if found is None else found.distinct())
 
 
-#: Nodes in a block of ranks: one numpy array of 8 MB. Where nodes have few edges blocks grow, to eight times as many at most.
+#: Nodes in a block of ranks: one numpy array of 8 MB. Where nodes have few edges blocks grow, to four times as many at most.
 SIDE = 1 << 20
-#: Edges in a row of a tile, and in a part of one.
-ROW_EDGES, PART_EDGES = 1 << 21, 1 << 24
+#: Edges in a row of a tile (256 KB), in a part of a tile, and rows in a row group of their file: what a reader holds is rows of one group.
+ROW_EDGES, PART_EDGES, GROUP_ROWS = 1 << 14, 1 << 24, 64
+#: Parts that there are at least, if each has STEP_EDGES edges; also the edges that are multiplied at once.
+LEAST_PARTS, STEP_EDGES = 16, 1 << 20
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (tile, i, j, share) as rows (tile, i, j, share) of up to ROW_EDGES edges of one tile, each column the bytes of an array."""
+    """Edges (tile, i, j, share) as rows (tile, seq, i, j, share) of up to ROW_EDGES edges of one tile, numbered from 0 in each tile; the
+    last three columns are the bytes of arrays."""
     held: dict[int, list] = {}
+    size, rows = Counter(), Counter()
 
     def row(tile: int) -> pa.RecordBatch:
         parts = held.pop(tile)
         packed = [np.concatenate([p[k] for p in parts]).tobytes() for k in range(3)]
-        return pa.RecordBatch.from_arrays([pa.array([tile]), *[pa.array([b], pa.binary()) for b in packed]], names=["tile", "i", "j", "share"])
+        columns = [pa.array([tile]), pa.array([rows[tile]], pa.int32()), *[pa.array([b], pa.binary()) for b in packed]]
+        del size[tile]
+        rows[tile] += 1
+        return pa.RecordBatch.from_arrays(columns, names=["tile", "seq", "i", "j", "share"])
 
-    size: Counter = Counter()
     for b in batches:
         tile, i, j, share = (b.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "i", "j", "share"))
         order = np.argsort(tile, kind="stable")
@@ -57,29 +63,40 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, at in zip(names.tolist(), np.split(order, starts[1:])):
             held.setdefault(name, []).append((i[at].astype(np.int32), j[at].astype(np.int32), share[at]))
             size[name] += len(at)
-            if size[name] >= ROW_EDGES or sum(size.values()) >= 2 * ROW_EDGES:  # the largest goes first
-                largest = max(size, key=size.get)
-                del size[largest]
-                yield row(largest)
+            if size[name] >= ROW_EDGES:
+                yield row(name)
+        while sum(size.values()) >= 64 * ROW_EDGES:  # the largest goes first
+            yield row(max(size, key=size.get))
     for name in list(held):
         yield row(name)
 
 
 def _products(side: int):
-    """Rows of tiles with their block of ranks: for each block of the other end, what arrives there, summed as far as a task has it."""
+    """Rows of tiles, the first of each with its block of ranks: for each block of the other end, what arrives there, summed as far as a
+    task has it. Rows of one tile stand together, the first one first, as they were written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
+        most = max(1, 8 * SIDE // side)  # 64 MB
         out = lambda k: pa.RecordBatch.from_arrays([pa.array([k]), pa.array([sums.pop(k).tobytes()], pa.binary())], names=["block", "sums"])
+        known, ranks = None, None
         for b in batches:
-            for r in range(b.num_rows):
-                to = b.column("to")[r].as_py()
-                array = lambda c, kind: np.frombuffer(b.column(c)[r].as_buffer(), kind)  # noqa: B023, E731
-                ranks = array("ranks", np.float64)
-                came = np.bincount(array("j", np.int32), ranks[array("i", np.int32)] * array("share", np.float64), side)
-                sums[to] = sums[to] + came if to in sums else came
-                if len(sums) > 8:
-                    yield out(min(sums))
+            tile, to, first = b.column("tile").to_numpy(), b.column("to").to_numpy(), b.column("ranks").is_valid().to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
+            array = lambda c, kind, lo, hi: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in b.column(c)[lo:hi]])  # noqa: B023, E731
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(tile)]):
+                if first[lo]:
+                    known, ranks = tile[lo], np.frombuffer(b.column("ranks")[lo].as_py(), np.float64)
+                if known != tile[lo] or first[lo + 1 : hi].any():
+                    raise ValueError("rows of a tile don't stand together")
+                if (k := int(to[lo])) not in sums:
+                    if len(sums) >= most:
+                        yield out(min(sums))
+                    sums[k] = np.zeros(side)
+                step = max(1, STEP_EDGES // ROW_EDGES)
+                for r in range(lo, hi, step):
+                    i, j, share = (array(c, kind, r, min(r + step, hi)) for c, kind in (("i", np.int32), ("j", np.int32), ("share", np.float64)))
+                    sums[k] += np.bincount(j, ranks[i] * share, side)
         for k in list(sums):
             yield out(k)
 
@@ -103,30 +120,32 @@ def page_rank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, variant
 
     'standard': shares by confidence, what dangling nodes hold is spread evenly, and the greatest rank is 1.
     'plain': a neighbour passes rank / degree times confidence, nothing is spread, no scaling. A loop counts at
-    both its ends. Nodes are numbered, and ranks are blocks of ``side`` of them (SIDE if not given). The edges are stored once, in tiles
-    by the blocks of both ends and, where a tile has very many, by part; a round sends a block of ranks to each tile and a block of
-    sums from it, so what it moves grows with nodes times the root of the edges a node, not with the edges."""
+    both its ends. Nodes are numbered in the order of a hash, so that edges spread over the blocks, and ranks are blocks of ``side`` of
+    them (SIDE if not given) at most. The edges are stored once, in tiles by the blocks of both ends and, where a tile has very many, by
+    part; a round sends a block of ranks to each tile and a block of sums from it, so what it moves grows with nodes times the root of
+    the edges a node, not with the edges. A task reads its tile in rows of ROW_EDGES edges, so it holds some rows and two blocks."""
     edges = staged(edges.select("source", "target", "confidence"), "rank-edges")  # read four times
     both = edges.select(F.col("source").alias("u"), "confidence").unionByName(edges.select(F.col("target").alias("u"), "confidence"))
     ends = both.groupBy("u").agg(F.sum("confidence").cast("double").alias("weight"), F.count(F.lit(1)).alias("degree"))
-    nodes = staged(numbered(ends, F.col("u")).withColumn("number", F.col("rank") - 1).drop("rank"), "nodes")
+    nodes = staged(numbered(ends, F.xxhash64("u"), F.col("u")).withColumn("number", F.col("rank") - 1).drop("rank"), "nodes")
     n, n_edges = nodes.count(), 2 * edges.count()
     if not n:
         return nodes.select(F.col("u").alias("node"), F.lit(0.0).alias("rank"))
-    side = min(side or max(SIDE, min(8 * SIDE, n * n // max(n_edges, 1))), n)
+    side = min(side or max(SIDE, min(4 * SIDE, n * n // max(n_edges, 1))), n)
     n_blocks = -(-n // side)
+    side = -(-n // n_blocks)
 
     end = lambda c, k: nodes.select(F.col("u").alias(c), F.col("number").alias(f"n{k}"), F.when(F.col("weight") > 0, F.col("weight" if variant == "standard" else "degree")).alias(f"w{k}"))
     ended = edges.join(end("source", 1), "source").join(end("target", 2), "target").withColumn("c", F.col("confidence").cast("double"))
     way = lambda a, b: F.struct(F.col(f"n{a}").alias("u"), F.col(f"n{b}").alias("v"), (F.col("c") / F.col(f"w{a}")).alias("share"))
     moves = ended.select(F.explode(F.array(way(1, 2), way(2, 1))).alias("m")).select("m.*").where("share is not null")
     block = lambda c: F.floor(F.col(c) / side)
-    most = -(-n_edges // PART_EDGES)  # parts that a tile may need
+    most = max(-(-n_edges // PART_EDGES), min(LEAST_PARTS, n_edges // STEP_EDGES))  # parts that there are to be
     part = F.pmod(F.xxhash64("u", "v"), F.lit(max(1, -(-most // (n_blocks * n_blocks)))))
     tile = ((block("u") * n_blocks + block("v")) * (1 << 20) + part).cast("long")
     cut = moves.select(tile.alias("tile"), (F.col("u") % side).cast("int").alias("i"), (F.col("v") % side).cast("int").alias("j"), "share")
     dealt = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(n_blocks * n_blocks + most, 1000))
-    rows = cut.repartition(dealt, "tile").mapInArrow(_tiles, "tile long, i binary, j binary, share binary")
+    rows = cut.repartition(dealt, "tile").mapInArrow(_tiles, "tile long, seq int, i binary, j binary, share binary")
 
     fields = "block long, ranks binary, lost double, top double"
     first = lambda df: pd.DataFrame({"block": df["block"].iloc[:1], "dangling": [df.sort_values("number")["idle"].to_numpy(np.uint8).tobytes()]})
@@ -134,12 +153,12 @@ def page_rank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, variant
     blocks = staged(idle.groupBy("block").applyInPandas(first, "block long, dangling binary"), "blocks")
     even = lambda df: _next_ranks(1.0 / n, 0.0)(df, pd.DataFrame({"sums": []}))
     rank = staged(blocks.groupBy("block").applyInPandas(even, fields), "rank")
-    with bucketed(rows, ["tile"], "tiles", dealt=dealt) as stored:
+    with bucketed(rows, ["tile"], "tiles", dealt=dealt, order=["tile", "seq"], group_rows=GROUP_ROWS) as stored:
         tiles = staged(stored.select("tile").distinct().withColumn("block", F.floor(F.floor(F.col("tile") / (1 << 20)) / n_blocks)), "tile-names")
         for _ in range(rounds):
             lost = rank.agg(F.sum("lost")).first()[0] if variant == "standard" else 0.0
             sent = rank.join(tiles, "block").select("tile", "ranks")
-            met = stored.join(sent.hint("shuffle_hash"), "tile").select((F.floor(F.col("tile") / (1 << 20)) % n_blocks).alias("to"), "i", "j", "share", "ranks")
+            met = stored.join(sent.hint("shuffle_hash"), "tile").select("tile", (F.floor(F.col("tile") / (1 << 20)) % n_blocks).alias("to"), "i", "j", "share", F.when(F.col("seq") == 0, F.col("ranks")).alias("ranks"))
             came = met.mapInArrow(_products(side), "block long, sums binary")
             step = _next_ranks((1 - damping) / n + damping * lost / n, damping)
             rank = staged(blocks.groupBy("block").cogroup(came.groupBy("block")).applyInPandas(step, fields), "rank")

@@ -2,9 +2,11 @@
 
 import random
 
+import pyarrow.parquet as pq
 import pytest
 
 from loomgraph.operators import graph as G
+from loomgraph.staging import staged
 
 
 def plain(edges, variant, rounds=20, damping=0.85):
@@ -42,3 +44,27 @@ def test_in_tiles(spark, monkeypatch, variant, side):
 
 def test_no_edges(spark):
     assert G.page_rank(spark.createDataFrame([], "source long, target long, confidence double")).collect() == []
+
+
+def test_tiles_are_read_in_small_groups(spark, monkeypatch):
+    """A tile's rows are small, a file's row groups have a few of them, in order, and the ranks are the same."""
+    monkeypatch.setattr(G, "GROUP_ROWS", 2)
+    made = []
+
+    def spied(df, name):
+        if name == "tile-names":
+            made.extend(df.inputFiles())
+        return staged(df, name)
+
+    monkeypatch.setattr(G, "staged", spied)
+    rng = random.Random(3)
+    edges = [(rng.randint(1, 300), rng.randint(1, 300), 1.0) for _ in range(60_000)]
+    df = spark.createDataFrame(edges, "source long, target long, confidence double")
+    got = {r.node: r.rank for r in G.page_rank(df, rounds=2).collect()}
+    want = plain(edges, "standard", 2)
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    tables = [pq.ParquetFile(f.removeprefix("file:")) for f in made]
+    groups = [t.read_row_group(g).to_pylist() for t in tables for g in range(t.num_row_groups)]
+    rows = [r for g in groups for r in g]
+    assert max(map(len, groups)) == 2 and max(len(r["i"]) // 4 for r in rows) < G.ROW_EDGES + 10_000
+    assert [r["seq"] for r in rows] == list(range(len(rows))) and sum(len(r["i"]) // 4 for r in rows) == 120_000 and len(rows) > 4
